@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, line_dedup, warc
+from tessera.llm import chat_format, line_dedup, packing, warc
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_chat_formatting": chat_format.op2_chat_formatting,
     "op7_warc": warc.op7_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
