@@ -43,8 +43,9 @@ def with_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 4000) -> None:
-    """Write the rows of :func:`with_records` as archives of ``per_file`` records at most."""
+def write_warc(records: DataFrame, path: str, per_file: int = 4000, compression: str = "gzip") -> None:
+    """Write the rows of :func:`with_records` as archives of ``per_file`` records at most, each
+    one gzip member, or plain with ``compression="none"``."""
     crlf = F.lit("\r\n")
     # nothing in a header may end its line
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -67,7 +68,7 @@ def write_warc(records: DataFrame, path: str, per_file: int = 4000) -> None:
     )
     block = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
     record = F.concat(head.cast("binary"), http.cast("binary"), block).cast("string").alias("value")
-    records.select(record).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    records.select(record).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def _headers(data: bytes) -> dict[str, str]:
@@ -131,6 +132,13 @@ def salvage_gzip(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
         except zlib.error as e:
             reason = f"member: {e}"
         if reason:
+            text = b"".join(parts)
+            stop = max((e for _, e, r, _ in salvage_plain(text) if r is not None), default=0)
+            for _, _, record, wrong in salvage_plain(text[:stop]):  # whole records before the damage
+                if bad is not None:
+                    yield bad, at, None, why
+                    bad = None
+                yield at, at, record, wrong
             bad, why = (at, reason) if bad is None else (bad, why)
             following = data.find(b"\x1f\x8b\x08", at + 1)
             at = following if following >= 0 else len(data)
