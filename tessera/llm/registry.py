@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, line_dedup, packing, simhash, warc
+from tessera.llm import chat_format, line_dedup, packing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_chat_formatting": chat_format.op2_chat_formatting,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_warc": warc.op7_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
