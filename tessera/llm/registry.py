@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, line_dedup, packing, simhash, toxicity, warc
+from tessera.llm import chat_format, line_dedup, mtree, packing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_chat_formatting": chat_format.op2_chat_formatting,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_exact_top_k": mtree.op6_exact_top_k,
     "op7_warc": warc.op7_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_chat_formatting": chat_format.ORACLE_SQL,
+    "op6_exact_top_k": mtree.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
