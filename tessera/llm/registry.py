@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, line_dedup, mtree, packing, simhash, toxicity, warc
+from tessera.llm import chat_format, decontaminate, line_dedup, mtree, packing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_exact_top_k": mtree.op6_exact_top_k,
     "op7_warc": warc.op7_warc,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
