@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, keep, real_id, with_ids
+from tessera.llm.common import components, flat_bytes, keep, real_id, slices, with_ids
+from tessera.llm.textarrays import mix, window_hashes, words
 
 SEED = 42
 
@@ -107,5 +108,106 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return out.select(real_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("component_id"))
 
 
+#: Wide fingerprints: four times 64 bits over the same shingles.
+WIDE = tuple((0x9E3779B97F4A7C15 * (k + 1)) % 2**64 for k in range(4))
+#: Blocks of a wide fingerprint: this many choices of this many of its 256 bits.
+TABLES, TABLE_BITS = 48, 22
+#: Fingerprints of a block value that are compared all with all; more are compared in parts.
+LARGEST = 16384
+
+
+def _wide_fingerprints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, "text")):
+            w = words(*flat_bytes(batch["text"]), lower=True)
+            cuts = np.searchsorted(w.doc, np.arange(batch.num_rows + 1))
+            out = np.zeros((batch.num_rows, 4), np.uint64)
+            for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if b > a:
+                    shingles = window_hashes(w.hash[a:b], min(width, b - a))
+                    out[i] = [simhash(mix(shingles ^ np.uint64(k))) for k in WIDE]
+            parts = out.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(parts[:, k]) for k in range(4))], names=["doc_id", "f0", "f1", "f2", "f3"])
+
+    return run
+
+
+def _block_values(tables: int, bits: int):
+    """A row for each block of each fingerprint: the block's number and bits as one key."""
+    rng = np.random.default_rng(7)
+    chosen = np.array([rng.choice(256, bits, replace=False) for _ in range(tables)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.stack([batch[f"f{k}"].to_numpy() for k in range(4)], 1)
+            flags = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), 32), axis=1, bitorder="little")
+            keys = (flags[:, chosen].astype(np.int64) << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
+            each = pa.array(np.repeat(np.arange(len(f)), tables))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch[c].take(each) for c in ("node", "f0", "f1", "f2", "f3"))], names=["key", "node", "f0", "f1", "f2", "f3"])
+
+    return run
+
+
+def _forest(radius: int):
+    """Rows sorted by block value: links that connect what is within ``radius`` bits in a block."""
+
+    def links(nodes: np.ndarray, f: np.ndarray) -> list[tuple[int, int]]:
+        out, label = [], np.arange(len(nodes))
+        for i in range(1, len(nodes)):
+            near = np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]).sum(1) <= radius)
+            for j in near[np.unique(label[near], return_index=True)[1]].tolist():
+                out.append((int(nodes[j]), int(nodes[i])))
+            if len(near):
+                label[np.isin(label, label[near])] = label[near[0]]
+                label[i] = label[near[0]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, f = None, np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+        for batch in batches:
+            keys = batch["key"].to_numpy()
+            new_nodes = batch["node"].to_numpy()
+            new_f = np.stack([batch[f"f{k}"].to_numpy() for k in range(4)], 1).view(np.uint64)
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
+            out = []
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if keys[a] == last and len(nodes) < LARGEST:
+                    nodes, f = np.r_[nodes, new_nodes[a:b]], np.r_[f, new_f[a:b]]
+                else:
+                    if len(nodes) > 1:
+                        out += links(nodes, f)
+                    last, nodes, f = keys[a], new_nodes[a:b], new_f[a:b]
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a, b = zip(*found, strict=True) if len(nodes) > 1 and (found := links(nodes, f)) else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def radius_for(similarity: float, bits: int = 256) -> int:
+    """Bits that differ, as expected, at a Jaccard similarity of two sets of equal size."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents whose shingles of ``width`` words are, as 256-bit SimHash
+    fingerprints estimate it, ``similarity`` alike or more, linked through others or directly.
+
+    At such radii no exact block scheme prunes, so blocks are random choices of bits: a pair at
+    similarity 0.8, 0.85 or 0.9 shares one of them with probability 0.75, 0.9 or 0.99. Equal
+    texts have equal fingerprints and are always found."""
+    texts = with_ids(docs, F.col("text").cast("string").alias("text"))
+    four = ["f0", "f1", "f2", "f3"]
+    prints = keep(texts.mapInArrow(_wide_fingerprints(width), "doc_id long, f0 long, f1 long, f2 long, f3 long"), "fingerprints")
+    nodes = keep(prints.groupBy(*four).agg(F.min("doc_id").alias("node")), "nodes")
+    keyed = nodes.mapInArrow(_block_values(TABLES, TABLE_BITS), "key long, node long, f0 long, f1 long, f2 long, f3 long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
+    found = components(keep(blocks.mapInArrow(_forest(radius_for(similarity)), "a long, b long").distinct(), "links"))
+    of = nodes.join(found, "node", "left").select(*four, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(of, four).select(real_id(), real_id("component_id"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
