@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import retrieval  # noqa: F401
+from tessera.plans import relational, retrieval  # noqa: F401
 from tessera.plans.base import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
