@@ -12,4 +12,5 @@ def half_up(x: Column, digits: int = 3) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
