@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import flat_bytes, keep, real_id, slices, with_ids
 from tessera.llm.textarrays import _BYTES, _powers, mix, rolling_min, window_hashes, words
 
-CHUNK_BYTES = 3 << 20
-BUCKET_BYTES = 16 << 20
-SEGMENT = 1 << 21
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
+SEGMENT = 1 << 19
 CHUNKS = "chunk long, ids binary, sizes binary, text binary"
 SENT = "bucket long, chunk long, base long, n long, payload binary"
 ANSWER = "chunk long, kind int, payload binary"
@@ -80,8 +80,8 @@ def _gram_hashes(unit: Unit, values: np.ndarray) -> np.ndarray:
         wide = wide[:-step] | (wide[step:] << np.uint64(8 * step))
     n = len(values) - unit.gram + 1
     out = wide[:n] * np.uint64(0x9FB21C651E98DF25)
-    for at, by in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (unit.gram - 8, 0xD6E8FEB86659FD93)):
-        out += wide[at : at + n] * np.uint64(by)
+    for at in sorted({*range(8, unit.gram - 8, 8), unit.gram - 8}):
+        out += wide[at : at + n] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * at)
         out ^= out >> np.uint64(29)
     return mix(out)
 
@@ -106,7 +106,7 @@ def super_windows(unit: Unit, s: Symbols) -> SuperWindows:
         stop = np.r_[edge[1:], n]
         fine = whole[edge]
         first, count = edge[fine], (stop - edge)[fine]
-        up, down = _powers(max(21, int(len(values)).bit_length()))
+        up, down = _powers(max(19, int(len(values)).bit_length()))
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum((_BYTES[values] if unit.kind == "bytes" else values) * up[: len(values)], out=sums[1:])
         content = (sums[first + count + unit.length - 1] - sums[first]) * down[first] + count.astype(np.uint64)
@@ -285,7 +285,7 @@ def _contents(unit: Unit, buckets: int):
     return run
 
 
-def _resolve(unit: Unit, resolver: Callable, most: int = 1 << 22):
+def _resolve(unit: Unit, resolver: Callable, most: int = 1 << 20):
     """Open contents, minimizer by minimizer in batches: for each window the smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,8 @@ places that are not multiples of three are named, the names are sorted by recurs
 cover the window length, the remaining suffixes are merged in, and neighbours in the
 order are compared. Equal prefixes form a group, whose smallest document keeps it.
 
-Only contents that differ and share a minimizer are sorted; of these, contents none of whose
-windows has a partner of equal hash are left out first, as they can have no equal neighbour.
+Only contents that differ and share a minimizer are sorted; of these, windows without a partner
+of equal hash are left out first, as they can have no equal neighbour.
 
 Defined results: a null or empty text has no bytes; equal doc_ids are one document, so neither
 of two such rows removes from the other; a null doc_id is smallest; extra columns play no part.
@@ -41,17 +41,18 @@ def _names(*columns: np.ndarray) -> np.ndarray:
 
 
 def _below(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """How many of ``others`` are smaller than each key."""
-    return np.searchsorted(np.sort(others), keys, "left")
+    """How many of ``others`` are smaller than each key; both are dense ranks."""
+    times = np.bincount(others, minlength=int(max(keys.max(initial=0), others.max(initial=0))) + 1)
+    return (np.cumsum(times) - times)[keys]
 
 
 def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     """A rank for each suffix of ``s`` (values from 1): ordered as their first ``depth`` symbols
     are at least; suffixes equal that far come next to each other."""
     n = len(s)
-    if depth <= 1 or n < 3:
-        return _names(s) if n else s
     t = np.r_[s, 0, 0, 0]
+    if depth <= 1 or n < 3:
+        return _names(s, t[1 : n + 1] if depth > 1 else s) if n else s
     sample = np.flatnonzero(np.arange(n) % 3)
     names = _names(t[sample], t[sample + 1], t[sample + 2])
     if depth > 3 and names.max() < len(names):
@@ -64,23 +65,22 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     rank[sample] = names
     p0, p1, p2 = (np.arange(k, n, 3) for k in range(3))
     # one step on, places 0 and 1 mod 3 meet the sample; two steps on, places 0 and 2 do
-    shift = int(rank.max()).bit_length()
-    pair = (t[:n] << shift) | rank[1 : n + 1]
-    twos = _names(t[np.r_[p0, p2]], t[np.r_[p0, p2] + 1], rank[np.r_[p0, p2] + 2])
-    a0, a2 = twos[: len(p0)], twos[len(p0) :]
-    out = np.empty(n, np.int64)
-    all_sample = np.sort(names)
-    own = np.searchsorted(all_sample, names, "left")
+    both = np.r_[p0, p1]
+    ones = _names(t[both], rank[both + 1])
+    both = np.r_[p0, p2]
+    twos = _names(t[both], t[both + 1], rank[both + 2])
+    b0, b1, a0, a2 = ones[: len(p0)], ones[len(p0) :], twos[: len(p0)], twos[len(p0) :]
     at = np.empty(n, np.int64)
-    at[sample] = own
-    out[p0] = _below(pair[p0], pair[p0]) + _below(pair[p0], pair[p1]) + _below(a0, a2)
-    out[p1] = at[p1] + _below(pair[p1], pair[p0])
+    at[sample] = _below(names, names)
+    out = np.empty(n, np.int64)
+    out[p0] = _below(b0, b0) + _below(b0, b1) + _below(a0, a2)
+    out[p1] = at[p1] + _below(b1, b0)
     out[p2] = at[p2] + _below(a2, a0)
     return out + 1
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    up, down = _powers(max(21, int(len(data)).bit_length()))
+    up, down = _powers(max(19, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     return mix((sums[starts + length] - sums[starts]) * down[starts])
@@ -96,26 +96,33 @@ def equal_prefixes(unit: Unit, data: np.ndarray, sizes: np.ndarray, least: np.nd
     result = least[of]
     hashes = _hashes(data, starts, unit.length)
     values, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    some = np.zeros(len(sizes), bool)
-    some[of[times[place] > 1]] = True
-    if not some.any():
+    partnered = times[place] > 1
+    if not partnered.any():
         return result
-    picked = np.flatnonzero(some)
-    inner = np.repeat(ends[picked] - sizes[picked] - np.r_[0, np.cumsum(sizes[picked] + 1)[:-1]], sizes[picked] + 1) + np.arange((sizes[picked] + 1).sum())
-    text = np.zeros(len(inner), np.int64)
-    stop = np.cumsum(sizes[picked] + 1) - 1  # an end mark after each content
+    # runs of windows with partners, each with an end mark; windows alone have no equal neighbour
+    new = np.r_[True, of[1:] != of[:-1]]
+    begin = np.flatnonzero(partnered & (new | ~np.r_[False, partnered[:-1]]))
+    window_of = np.flatnonzero(partnered)
+    run_windows = np.diff(np.r_[np.searchsorted(window_of, begin), len(window_of)])
+    run_sizes = run_windows + unit.length - 1
+    stop = np.cumsum(run_sizes + 1) - 1
+    inner = np.repeat(starts[begin] - np.r_[0, np.cumsum(run_sizes + 1)[:-1]], run_sizes + 1) + np.arange((run_sizes + 1).sum())
+    inner = np.minimum(inner, len(data) - 1)
     solid = np.ones(len(inner), bool)
     solid[stop] = False
+    text = np.zeros(len(inner), np.int64)
     text[solid] = data[inner[solid]].astype(np.int64) + 1
     ranks = suffix_ranks(text + 1, unit.length)
-    window_of = np.flatnonzero(some[of])
-    begins = np.repeat(stop - sizes[picked] - np.r_[0, np.cumsum(windows[picked])[:-1]], windows[picked]) + np.arange(len(window_of))
+    begins = np.repeat(stop - run_sizes - np.r_[0, np.cumsum(run_windows)[:-1]], run_windows) + np.arange(len(window_of))
     order = np.argsort(ranks[begins], kind="stable")
     sorted_at = begins[order]
-    # neighbours are compared byte by byte
+    # neighbours are compared in full, eight bytes at a time
+    wide = np.r_[data[inner], np.zeros(8, np.uint8)].astype(np.uint64)
+    for step in (1, 2, 4):
+        wide = wide[:-step] | (wide[step:] << np.uint64(8 * step))
     alive = np.arange(len(order) - 1)
-    for k in range(unit.length):
-        alive = alive[text[sorted_at[alive] + k] == text[sorted_at[alive + 1] + k]]
+    for k in [*range(0, unit.length - 8, 8), max(0, unit.length - 8)]:
+        alive = alive[wide[sorted_at[alive] + k] == wide[sorted_at[alive + 1] + k]]
     same = np.zeros(len(order) - 1, bool)
     same[alive] = True
     groups = np.flatnonzero(np.r_[True, ~same])
@@ -129,7 +136,9 @@ def equal_prefixes(unit: Unit, data: np.ndarray, sizes: np.ndarray, least: np.nd
 
 def dedup_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): kept holds the remaining bytes of the text."""
-    return remove_repeats(docs, Unit("bytes", length, length // 2 - 1), equal_prefixes)
+    if length < 20:
+        raise ValueError("windows of fewer than 20 bytes have no minimizers of eight bytes or more")
+    return remove_repeats(docs, Unit("bytes", length, max(8, length // 2 - 1)), equal_prefixes)
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

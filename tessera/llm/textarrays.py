@@ -55,7 +55,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     begins[1:] &= ~solid[:-1] | edge[1:-1]
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(max(21, int(n).bit_length()))
+    up, down = _powers(max(19, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
     value = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
