@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import governance, relational, retrieval, tables  # noqa: F401
+from tessera.plans import documents, governance, relational, retrieval, tables  # noqa: F401
 from tessera.plans.base import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
