@@ -16,6 +16,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends; ``trim`` takes spaces only."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalize_text(text: Column, unicode_forms: bool = False) -> Column:
     """Lower case, markdown marks and runs of white space as one space. ``unicode_forms`` adds
     NFKC, which leaves the JVM; leave it off for text known to be normalised."""
@@ -71,7 +76,7 @@ def cluster_query(text: Column) -> Column:
 
 
 def gap_query_key(text: Column) -> Column:
-    key = F.substring(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), 1, 400)
+    key = F.substring(F.regexp_replace(F.lower(strip(text)), r"\s+", " "), 1, 400)
     return F.when(F.coalesce(key, F.lit("")) == "", F.lit("empty")).otherwise(key)
 
 
@@ -111,4 +116,4 @@ def loose_json(text: Column) -> Column:
     fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     checked = lambda x: F.when(F.try_parse_json(x).isNotNull() & (x != ""), x)
-    return F.coalesce(checked(F.trim(text)), checked(F.trim(fence)), checked(inner))
+    return F.coalesce(checked(strip(text)), checked(strip(fence)), checked(inner))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip
+
 UTILITY = ["trust", "citations", "引用", "证据"]
 OKF_TYPES = [("activities/", "activity_template"), ("systems/", "system_rule"), ("tables/", "table_schema"), ("fields/", "field_definition"), ("numeric_rules/", "numeric_rule"), ("ui_flows/", "ui_flow"), ("concepts/", "concept")]
 
@@ -32,7 +34,7 @@ def sections(pages: DataFrame, key: str = "component_id", body: str = "body") ->
     rows = F.sort_array(F.collect_list(F.when(F.col("mark") == "", F.struct("line_no", "line"))))
     return numbered.groupBy(key, "section").agg(
         F.max(F.char_length("mark")).alias("level"), F.max(F.when(F.col("mark") != "", F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)))).alias("heading"),
-        F.trim(F.array_join(F.transform(rows, lambda x: x["line"]), "\n")).alias("content"),
+        strip(F.array_join(F.transform(rows, lambda x: x["line"]), "\n")).alias("content"),
     )
 
 
@@ -44,7 +46,7 @@ def section_text(parts: DataFrame, heading: str, key: str = "component_id") -> D
     own = parts.join(start, key).join(stop, key, "left").where((F.col("section") >= F.col("s.section")) & (F.col("stop").isNull() | (F.col("section") < F.col("stop"))))
     text = F.when(F.col("section") == F.col("s.section"), F.col("content")).otherwise(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("heading"), F.lit("\n"), F.col("content")))
     rows = own.select(key, "section", text.alias("t")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("section", "t"))).alias("r"))
-    return rows.select(key, F.trim(F.array_join(F.transform("r", lambda x: x["t"]), "\n")).alias("text"))
+    return rows.select(key, strip(F.array_join(F.transform("r", lambda x: x["t"]), "\n")).alias("text"))
 
 
 def strip_utility(body: Column) -> Column:
@@ -53,7 +55,7 @@ def strip_utility(body: Column) -> Column:
         F.when(line.rlike(r"^#\s+.+$"), F.lower(F.trim(F.regexp_extract(line, r"^#\s+(.+)$", 1))).isin(*UTILITY)).otherwise(acc["skip"]).alias("skip"),
         F.when(F.when(line.rlike(r"^#\s+.+$"), F.lower(F.trim(F.regexp_extract(line, r"^#\s+(.+)$", 1))).isin(*UTILITY)).otherwise(acc["skip"]), acc["out"]).otherwise(F.concat(acc["out"], line, F.lit("\n"))).alias("out"),
     )
-    return F.trim(F.aggregate(F.split(body, r"\r?\n"), F.struct(F.lit(False).alias("skip"), F.lit("").alias("out")), step)["out"])
+    return strip(F.aggregate(F.split(body, r"\r?\n"), F.struct(F.lit(False).alias("skip"), F.lit("").alias("out")), step)["out"])
 
 
 def citations(parts: DataFrame, key: str = "component_id") -> DataFrame:

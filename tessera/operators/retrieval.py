@@ -46,11 +46,12 @@ def lexical_scores(posts: DataFrame, terms: DataFrame) -> DataFrame:
 
 def intents_of(queries: DataFrame) -> DataFrame:
     """(query_id, intent, term): what the query's intents add to it."""
+    tagged = lambda name: lambda t: F.struct(F.lit(name).alias("intent"), t.alias("term"))
     rows = []
     for name, triggers, expansions in INTENTS:
         hit = F.array_contains(F.transform(F.array(*map(F.lit, triggers)), lambda t: F.contains(normalize_text(F.col("query")), t)), True)
         terms = F.flatten(F.array(*(tokenize(F.lit(x)) for x in expansions)))
-        rows.append(F.when(hit, F.transform(terms, lambda t, name=name: F.struct(F.lit(name).alias("intent"), t.alias("term")))))
+        rows.append(F.when(hit, F.transform(terms, tagged(name))))
     empty = F.array().cast("array<struct<intent:string,term:string>>")
     found = F.flatten(F.array(*(F.coalesce(r, empty) for r in rows)))
     return queries.select("query_id", F.inline(found)).distinct()

@@ -140,7 +140,7 @@ def fn7(t):
     return t.customer.select("c_custkey", X.cluster_query(F.concat(F.lit("kb_search:"), "c_mktsegment", F.lit("   x"))).alias("q"))
 
 
-@query("fn9_gap_key", "SELECT doc_id, coalesce(nullif(substr(regexp_replace(lower(trim(text, ' ')), '\\s+', ' ', 'g'), 1, 400), ''), 'empty') AS k FROM documents")
+@query("fn9_gap_key", "SELECT doc_id, coalesce(nullif(substr(regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), 1, 400), ''), 'empty') AS k FROM documents")
 def fn9(t):
     return t.documents.select("doc_id", X.gap_query_key(F.col("text")).alias("k"))
 

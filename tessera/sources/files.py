@@ -88,7 +88,7 @@ def aliases(spark: SparkSession, path: str) -> DataFrame:
     ``aliases``, or a flat map from alias to table."""
     text = spark.read.text(path, wholetext=True).select(F.col("value").alias("j"))
     record = "array<struct<table:string,canonical:string,canonicalName:string,aliases:array<string>>>"
-    listed = F.coalesce(F.from_json("j", record), F.from_json(F.get_json_object("j", "$.aliases"), record))
+    listed = F.when(F.trim("j").startswith("["), F.from_json("j", record)).otherwise(F.from_json(F.get_json_object("j", "$.aliases"), record))
     rows = text.select(F.explode(F.filter(listed, lambda x: F.coalesce(x["table"], x["canonical"], x["canonicalName"]).isNotNull())).alias("r"))
     first = rows.select(F.coalesce("r.table", "r.canonical", "r.canonicalName").alias("table"), F.explode("r.aliases").alias("alias"))
     flat = text.where(F.get_json_object("j", "$.aliases").isNull() & ~F.trim("j").startswith("["))
