@@ -152,14 +152,16 @@ def _forest(radius: int):
     """Rows sorted by block value: links that connect what is within ``radius`` bits in a block."""
 
     def links(nodes: np.ndarray, f: np.ndarray) -> list[tuple[int, int]]:
+        """Each fingerprint with the nearest one of every group before it that it comes near to."""
         out, label = [], np.arange(len(nodes))
         for i in range(1, len(nodes)):
-            near = np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]).sum(1) <= radius)
-            for j in near[np.unique(label[near], return_index=True)[1]].tolist():
-                out.append((int(nodes[j]), int(nodes[i])))
+            away = np.bitwise_count(f[:i] ^ f[i]).sum(1)
+            near = np.flatnonzero(away <= radius)
             if len(near):
-                label[np.isin(label, label[near])] = label[near[0]]
+                near = near[np.argsort(away[near], kind="stable")]
+                out += [(int(nodes[j]), int(nodes[i])) for j in near[np.unique(label[near], return_index=True)[1]].tolist()]
                 label[i] = label[near[0]]
+                label[np.isin(label, label[near])] = label[i]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +187,48 @@ def _forest(radius: int):
     return run
 
 
-def radius_for(similarity: float, bits: int = 256) -> int:
-    """Bits that differ, as expected, at a Jaccard similarity of two sets of equal size."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def radius_for(similarity: float, bits: int = 256, deviations: float = 2.0) -> int:
+    """Bits that differ at a Jaccard similarity of two sets of equal size: as expected and so many
+    standard deviations more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of documents whose shingles of ``width`` words are, as 256-bit SimHash
-    fingerprints estimate it, ``similarity`` alike or more, linked through others or directly.
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, "text")):
+            w = words(*flat_bytes(batch["text"]), lower=True)
+            cuts = np.searchsorted(w.doc, np.arange(batch.num_rows + 1)).tolist()
+            sets = [np.unique(window_hashes(w.hash[a:b], max(1, min(width, b - a))) >> np.uint64(32)).astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
 
-    At such radii no exact block scheme prunes, so blocks are random choices of bits: a pair at
-    similarity 0.8, 0.85 or 0.9 shares one of them with probability 0.75, 0.9 or 0.99. Equal
-    texts have equal fingerprints and are always found."""
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = []
+            for a, b in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
+                x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                total = len(x) + len(y) - shared
+                fine.append(total == 0 or shared >= similarity * total - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents linked, through others or directly, by a Jaccard similarity of
+    ``similarity`` or more of their sets of ``width``-word shingles.
+
+    Candidates are pairs of 256-bit SimHash fingerprints within a radius two deviations beyond
+    what the similarity leads to expect. At such radii no exact block scheme prunes, so blocks are
+    random choices of bits: a pair at similarity 0.8, 0.85 or 0.9 shares one of them with
+    probability 0.75, 0.9 or 0.99. Equal texts have equal fingerprints and are always found.
+    In a block each fingerprint brings its nearest one of every group so far, not all pairs;
+    the shingle sets of the candidates then decide."""
     texts = with_ids(docs, F.col("text").cast("string").alias("text"))
     four = ["f0", "f1", "f2", "f3"]
     prints = keep(texts.mapInArrow(_wide_fingerprints(width), "doc_id long, f0 long, f1 long, f2 long, f3 long"), "fingerprints")
@@ -204,7 +236,12 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     keyed = nodes.mapInArrow(_block_values(TABLES, TABLE_BITS), "key long, node long, f0 long, f1 long, f2 long, f3 long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
-    found = components(keep(blocks.mapInArrow(_forest(radius_for(similarity)), "a long, b long").distinct(), "links"))
+    near = keep(blocks.mapInArrow(_forest(radius_for(similarity)), "a long, b long").distinct(), "links")
+    linked = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    sets = keep(texts.join(linked, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), "node long, shingles binary"), "shingle-sets")
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    links = both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long").distinct()
+    found = components(links)
     of = nodes.join(found, "node", "left").select(*four, F.coalesce("component", "node").alias("component_id"))
     return prints.join(of, four).select(real_id(), real_id("component_id"))
 
