@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CELLS = "path string, sheet string, row_idx int, col_idx int, value string"
@@ -94,3 +94,62 @@ def aliases(spark: SparkSession, path: str) -> DataFrame:
     flat = text.where(F.get_json_object("j", "$.aliases").isNull() & ~F.trim("j").startswith("["))
     second = flat.select(F.explode(F.from_json("j", "map<string,string>")).alias("alias", "table")).select("table", "alias")
     return first.union(second)
+
+
+def _docx(content: bytes) -> str:
+    """Paragraphs of a word processor file as markdown, headings by their style, pictures as a mark."""
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for p in ElementTree.fromstring(z.read("word/document.xml")).iter(f"{w}p"):
+            style = p.find(f"{w}pPr/{w}pStyle")
+            level = re.match(r"Heading([1-6])$", style.get(f"{w}val", "")) if style is not None else None
+            text = "".join("![image]" if x.tag == f"{w}drawing" else x.text or "" for x in p.iter() if x.tag in (f"{w}t", f"{w}drawing"))
+            if text.strip():
+                out.append(f"{'#' * int(level[1])} {text}" if level else text)
+    return "\n\n".join(out)
+
+
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"path": batch["path"], "markdown": [_docx(c) for c in batch["content"]]})
+
+
+def document_markdown(spark: SparkSession, root: str) -> DataFrame:
+    """(path, markdown) of word processor files; inline pictures in base64 become a mark as well."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(root)
+    pages = files.select("path", "content").mapInPandas(_documents, "path string, markdown string")
+    return pages.withColumn("markdown", F.regexp_replace("markdown", r"!\[[^\]]*\]\(data:image/[^)]*\)", "![image]"))
+
+
+def sheet_markdown(cells: DataFrame) -> DataFrame:
+    """(path, sheet, markdown): each sheet as a table, the first row as its header."""
+    escaped = F.replace(F.replace("value", F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    width = cells.groupBy("path", "sheet").agg((F.max("col_idx") + 1).alias("width"))
+    by_row = cells.groupBy("path", "sheet", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", escaped.alias("v")))).alias("m")).join(width, ["path", "sheet"])
+    filled = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
+    lines = by_row.select("path", "sheet", "row_idx", "width", F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |")).alias("line"))
+    rows = lines.groupBy("path", "sheet").agg(F.max("width").alias("width"), F.sort_array(F.collect_list(F.struct("row_idx", "line"))).alias("r"))
+    texts = F.transform("r", lambda x: x["line"])
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" - |"), F.col("width")))
+    return rows.select("path", "sheet", F.array_join(F.concat(F.slice(texts, 1, 1), F.array(rule), F.slice(texts, 2, 1_000_000_000)), "\n").alias("markdown"))
+
+
+def sheet_schemas(cells: DataFrame) -> DataFrame:
+    """(path, sheets, rows): the sheets of each workbook and the rows of all of them below the first."""
+    each = cells.groupBy("path", "sheet").agg(F.max("row_idx").alias("rows"))
+    return each.groupBy("path").agg(F.array_sort(F.collect_set("sheet")).alias("sheets"), F.sum("rows").alias("rows"))
+
+
+def sheet_preview(cells: DataFrame, most: int = 12) -> DataFrame:
+    """The first rows of each sheet that aren't blank."""
+    filled = cells.where(F.trim("value") != "").select("path", "sheet", "row_idx").distinct()
+    order = Window.partitionBy("path", "sheet").orderBy("row_idx")
+    first = filled.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    return cells.join(first, ["path", "sheet", "row_idx"], "left_semi")
+
+
+def text_preview(texts: DataFrame, most: int = 60) -> DataFrame:
+    """(path, preview, truncated) of (path, text)."""
+    lines = F.split("text", r"\r?\n")
+    return texts.select("path", F.array_join(F.slice(lines, 1, most), "\n").alias("preview"), (F.size(lines) > most).alias("truncated"))

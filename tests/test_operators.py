@@ -187,6 +187,17 @@ def test_sources_and_sinks(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Id</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row></sheetData></worksheet>')
     assert {(r.sheet, r.row_idx, r.col_idx, r.value) for r in files.workbook_cells(spark, root).collect()} == {("S", 0, 0, "Id"), ("S", 0, 2, "7")}
+    cells = files.workbook_cells(spark, root)
+    assert files.sheet_markdown(cells).first().markdown == "| Id |  | 7 |\n| - | - | - |"
+    odd = spark.createDataFrame([("p", "S", 0, 0, "a|b" + chr(92) + "c"), ("p", "S", 1, 1, "x"), ("p", "S", 9, 0, " ")], "path string, sheet string, row_idx int, col_idx int, value string")
+    assert files.sheet_markdown(odd).first().markdown.splitlines()[0] == "| a" + chr(92) + "|b" + chr(92) * 2 + "c |  |"
+    assert (files.sheet_schemas(odd).first().sheets, files.sheet_schemas(odd).first().rows) == (["S"], 9)
+    assert files.sheet_preview(odd, 1).count() == 1
+    assert files.text_preview(spark.createDataFrame([("p", "a\nb\nc")], "path string, text string"), 2).first()[1:] == ("a\nb", True)
+    with zipfile.ZipFile(tmp_path / "src/gamedocs/d.docx", "w") as z:
+        w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>a </w:t><w:drawing/><w:t>b</w:t></w:r></w:p></w:body></w:document>')
+    assert files.document_markdown(spark, root).first().markdown == "## Head\n\na ![image]b"
     for text in ('[{"table":"T","aliases":["a","b"]}]', '{"aliases":[{"canonical":"T","aliases":["a","b"]}]}', '{"a":"T","b":"T"}'):
         (tmp_path / "alias.json").write_text(text)
         assert {(r["table"], r.alias) for r in files.aliases(spark, str(tmp_path / "alias.json")).collect()} == {("T", "a"), ("T", "b")}
