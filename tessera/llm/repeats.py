@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import flat_bytes, keep, real_id, slices, with_ids
-from tessera.llm.textarrays import _BYTES, _powers, mix, rolling_min, window_hashes, words
+from tessera.llm.textarrays import _BYTES, mix, powers, rolling_min, window_hashes, words
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
@@ -106,7 +106,7 @@ def super_windows(unit: Unit, s: Symbols) -> SuperWindows:
         stop = np.r_[edge[1:], n]
         fine = whole[edge]
         first, count = edge[fine], (stop - edge)[fine]
-        up, down = _powers(max(19, int(len(values)).bit_length()))
+        up, down = powers(len(values) + 1)
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum((_BYTES[values] if unit.kind == "bytes" else values) * up[: len(values)], out=sums[1:])
         content = (sums[first + count + unit.length - 1] - sums[first]) * down[first] + count.astype(np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.repeats import Unit, remove_repeats
-from tessera.llm.textarrays import _BYTES, _powers, mix
+from tessera.llm.textarrays import _BYTES, mix, powers
 
 
 def _names(*columns: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    up, down = _powers(max(19, int(len(data)).bit_length()))
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     return mix((sums[starts + length] - sums[starts]) * down[starts])

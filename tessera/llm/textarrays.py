@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -33,11 +32,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=2)
-def _powers(log_n: int) -> tuple[np.ndarray, np.ndarray]:
-    n, back = 1 << log_n, np.uint64(pow(int(_BASE), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (_BASE, back))
+_powers_so_far = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse, from one table that grows."""
+    global _powers_so_far
+    if len(_powers_so_far[0]) < n:
+        size, out = 1 << max(19, int(n - 1).bit_length()), []
+        for base in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps, out=steps))
+        _powers_so_far = tuple(out)
+    return _powers_so_far
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
@@ -55,7 +63,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     begins[1:] &= ~solid[:-1] | edge[1:-1]
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(max(19, int(n).bit_length()))
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
     value = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
