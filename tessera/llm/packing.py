@@ -27,7 +27,7 @@ from tessera.llm.common import keep, real_id, slices, with_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length that one task ranks.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 _encoders: dict = {}
 
 

@@ -8,7 +8,10 @@ super-window. Packed tables of (minimizer, content) hashes are shuffled by minim
 * a minimizer with one content everywhere needs no comparing: its windows repeat exactly where
   the content does, and the smallest document that holds it keeps it;
 * a minimizer with several contents is open: the contents themselves are sent to a resolver
-  that finds equal windows between them (by suffix sorting, or in a de Bruijn graph).
+  that finds equal windows between them (by suffix sorting, or in a de Bruijn graph);
+* a minimizer with very many contents (the border of a passage that many documents hold in contexts of
+  their own) is crowded: its windows are dealt one by one by their own hashes, so that no task
+  gets them all, and each chunk sends a window once.
 
 Texts are stored once, as compressed chunks of documents. A chunk sends each content once,
 however often it holds it, so a passage that a third of all documents share is one row a chunk.
@@ -35,15 +38,17 @@ SEGMENT = 1 << 19
 CHUNKS = "chunk long, ids binary, sizes binary, text binary"
 SENT = "bucket long, chunk long, base long, n long, payload binary"
 ANSWER = "chunk long, kind int, payload binary"
-SETTLED, OPEN, RESOLVED = 0, 1, 2
+SETTLED, OPEN, RESOLVED, CROWDED, WINDOWS = range(5)
 
 
 class Unit(NamedTuple):
-    """What windows are made of: their length, and that of the grams a minimizer is taken from."""
+    """What windows are made of: their length, that of the grams a minimizer is taken from, and how many
+    contents around one minimizer are resolved together."""
 
     kind: str
     length: int
     gram: int
+    crowd: int = 2048
 
 
 class Symbols(NamedTuple):
@@ -86,6 +91,14 @@ def _gram_hashes(unit: Unit, values: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def _sums(unit: Unit, values: np.ndarray) -> np.ndarray:
+    """Prefix sums of units times powers: the difference of two, times an inverse power, hashes a run."""
+    up, _ = powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((_BYTES[values] if unit.kind == "bytes" else values) * up[: len(values)], out=sums[1:])
+    return sums
+
+
 def super_windows(unit: Unit, s: Symbols) -> SuperWindows:
     """All super-windows; long inputs go in segments, which only cuts some in two."""
     parts = []
@@ -106,9 +119,8 @@ def super_windows(unit: Unit, s: Symbols) -> SuperWindows:
         stop = np.r_[edge[1:], n]
         fine = whole[edge]
         first, count = edge[fine], (stop - edge)[fine]
-        up, down = powers(len(values) + 1)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((_BYTES[values] if unit.kind == "bytes" else values) * up[: len(values)], out=sums[1:])
+        _, down = powers(len(values) + 1)
+        sums = _sums(unit, values)
         content = (sums[first + count + unit.length - 1] - sums[first]) * down[first] + count.astype(np.uint64)
         parts.append((first + at, count, doc[first], mix(grams[place[first].astype(np.int64)] ^ np.uint64(0x5851F42D4C957F2D)), mix(content)))
     if not parts:
@@ -128,6 +140,32 @@ class Distinct(NamedTuple):
     place: np.ndarray
 
 
+class Windows(NamedTuple):
+    """Windows of crowded minimizers in a chunk: start and document of each, its place among the
+    distinct ones, and of these the hashes, one start and the smallest document."""
+
+    start: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    hash: np.ndarray
+    sample: np.ndarray
+    least: np.ndarray
+
+
+def crowded_windows(unit: Unit, s: Symbols, w: SuperWindows, d: Distinct, at: np.ndarray, ids: np.ndarray) -> Windows:
+    """The windows of all super-windows with one of the contents ``at``."""
+    own = np.flatnonzero(np.isin(d.place, at))
+    count = w.count[own]
+    start = np.repeat(w.first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    doc = ids[np.repeat(w.doc[own], count)]
+    _, down = powers(len(s.values) + 1)
+    sums = _sums(unit, s.values)
+    hashes, sample, place = np.unique(mix((sums[start + unit.length] - sums[start]) * down[start]), return_index=True, return_inverse=True)
+    least = np.full(len(hashes), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, doc)
+    return Windows(start, doc, place, hashes, start[sample], least)
+
+
 def distinct(w: SuperWindows, ids: np.ndarray) -> Distinct:
     order = np.lexsort((w.g, w.h))
     h, g, doc = w.h[order], w.g[order], ids[w.doc[order]]
@@ -190,6 +228,14 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    if not len(values):
+        return []
+    edges = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["bucket", "chunk", "base", "n", "payload"])
@@ -209,10 +255,9 @@ def _emit(unit: Unit, buckets: int):
                 ids, data, offsets = _open_chunk(row)
                 d = distinct(super_windows(unit, symbols(unit, data, offsets)), ids)
                 bucket = _bucket(d.h, buckets)
-                edges = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(bucket) else np.zeros(0, np.int64)
                 docs, place = np.unique(d.least, return_inverse=True)
                 rows = []
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
+                for a, b in _runs(bucket):
                     rows.append((int(bucket[a]), row["chunk"], a, b - a, pack(short(d.h[a:b], 6), short(d.g[a:b], 7), docs, place[a:b].astype("<u4" if len(docs) > 65535 else "<u2"))))
                 yield _sent(rows)
 
@@ -233,32 +278,37 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield bucket, rows
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk, which of its contents a smaller document elsewhere holds, and which are open."""
-    for _, rows in _by_bucket(batches):
-        parts = []
-        for i, (_, _, base, n, payload) in enumerate(rows):
-            h, g, docs, place = unpack(payload)
-            parts.append((wide(h, 6), wide(g, 7), docs[place], np.full(n, i), base + np.arange(n)))
-        h, g, doc, who, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, g, h))
-        h, g, doc, who, at = h[order], g[order], doc[order], who[order], at[order]
-        new_h = np.r_[True, h[1:] != h[:-1]]
-        new = new_h | np.r_[True, g[1:] != g[:-1]]
-        contents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_h))
-        several = np.repeat(contents > 1, np.diff(np.r_[np.flatnonzero(new_h), len(h)]))
-        least = np.repeat(doc[new], np.diff(np.r_[np.flatnonzero(new), len(h)]))
-        later = ~several & (doc > least)
-        out = []
-        for kind, some in ((SETTLED, later), (OPEN, several)):
-            picked = np.flatnonzero(some)
-            picked = picked[np.argsort(who[picked], kind="stable")]
-            cuts = np.searchsorted(who[picked], np.arange(len(rows) + 1))
-            for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if b > a:
-                    some_at = at[picked[a:b]].astype("<u4")
-                    out.append((rows[i][1], kind, pack(some_at, least[picked[a:b]]) if kind == SETTLED else pack(some_at)))
-        yield _answers(out)
+def _settle(unit: Unit):
+    """For each chunk, which of its contents a smaller document elsewhere holds, and which are open or crowded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            parts = []
+            for i, (_, _, base, n, payload) in enumerate(rows):
+                h, g, docs, place = unpack(payload)
+                parts.append((wide(h, 6), wide(g, 7), docs[place], np.full(n, i), base + np.arange(n)))
+            h, g, doc, who, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((doc, g, h))
+            h, g, doc, who, at = h[order], g[order], doc[order], who[order], at[order]
+            new_h = np.r_[True, h[1:] != h[:-1]]
+            new = new_h | np.r_[True, g[1:] != g[:-1]]
+            contents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_h))
+            each = np.repeat(contents, np.diff(np.r_[np.flatnonzero(new_h), len(h)]))
+            several, crowded = (each > 1) & (each <= unit.crowd), each > unit.crowd
+            least = np.repeat(doc[new], np.diff(np.r_[np.flatnonzero(new), len(h)]))
+            later = (each == 1) & (doc > least)
+            out = []
+            for kind, some in ((SETTLED, later), (OPEN, several), (CROWDED, crowded)):
+                picked = np.flatnonzero(some)
+                picked = picked[np.argsort(who[picked], kind="stable")]
+                cuts = np.searchsorted(who[picked], np.arange(len(rows) + 1))
+                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if b > a:
+                        some_at = at[picked[a:b]].astype("<u4")
+                        out.append((rows[i][1], kind, pack(some_at, least[picked[a:b]]) if kind == SETTLED else pack(some_at)))
+            yield _answers(out)
+
+    return run
 
 
 def _contents(unit: Unit, buckets: int):
@@ -272,14 +322,20 @@ def _contents(unit: Unit, buckets: int):
             s = symbols(unit, data, offsets)
             w = super_windows(unit, s)
             d = distinct(w, ids)
-            at = np.sort(np.concatenate([unpack(x)[0] for x in answers["payload"].to_pylist()])).astype(np.int64)
+            listed = {kind: [unpack(p)[0] for k, p in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True) if k == kind] for kind in (OPEN, CROWDED)}
+            if listed[CROWDED]:
+                c = crowded_windows(unit, s, w, d, np.concatenate(listed[CROWDED]), ids)
+                bucket = _bucket(c.hash, buckets)
+                for a, b in _runs(bucket):
+                    inner = (c.sample[a:b, None] + np.arange(unit.length)).ravel()
+                    rows.append((int(bucket[a]), row["chunk"], WINDOWS, b - a, pack(np.arange(a, b).astype("<u4"), c.hash[a:b], c.least[a:b], np.full(b - a, unit.length, "<u2"), s.values[inner])))
+            at = np.sort(np.concatenate([np.zeros(0, "<u4"), *listed[OPEN]])).astype(np.int64)
             bucket = _bucket(d.h[at], buckets)
-            edges = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
+            for a, b in _runs(bucket):
                 own = d.sample[at[a:b]]
                 first, sizes = w.first[own], w.count[own] + unit.length - 1
                 inner = np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-                rows.append((int(bucket[a]), row["chunk"], 0, b - a, pack(at[a:b].astype("<u4"), d.h[at[a:b]], d.least[at[a:b]], sizes.astype("<u2"), s.values[inner])))
+                rows.append((int(bucket[a]), row["chunk"], RESOLVED, b - a, pack(at[a:b].astype("<u4"), d.h[at[a:b]], d.least[at[a:b]], sizes.astype("<u2"), s.values[inner])))
         return pa.Table.from_batches([_sent(rows)])
 
     return run
@@ -326,7 +382,7 @@ def _resolve(unit: Unit, resolver: Callable, most: int = 1 << 20):
                     x, y = edges[i], edges[i + 1]
                     if y > x:
                         answers[i].append((at[own][of[x:y]].astype("<u4"), (smaller[x:y] - cut[of[x:y]]).astype("<u2"), run_of[x:y].astype("<u2"), found[smaller[x:y]]))
-            yield _answers([(rows[i][1], RESOLVED, pack(*(np.concatenate(c) for c in zip(*found, strict=True)))) for i, found in enumerate(answers) if found])
+            yield _answers([(rows[i][1], rows[i][2], pack(*(np.concatenate(c) for c in zip(*found, strict=True)))) for i, found in enumerate(answers) if found])
 
     return run
 
@@ -365,6 +421,17 @@ def _apply(unit: Unit):
                     first = (w.first[occurrence] + window[each])[later]
                     np.add.at(marks, first, 1)
                     np.add.at(marks, first + windows[each][later] + unit.length - 1, -1)
+            crowded = [unpack(p)[0] for k, p in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True) if k == CROWDED]
+            if crowded:
+                c = crowded_windows(unit, s, w, d, np.concatenate(crowded), ids)
+                smallest = c.least.copy()
+                for kind, payload in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True):
+                    if kind == WINDOWS:
+                        at, _, _, smaller = unpack(payload)
+                        smallest[at] = smaller
+                first = c.start[c.doc > smallest[c.place]]
+                np.add.at(marks, first, 1)
+                np.add.at(marks, first + unit.length, -1)
             gone = np.cumsum(marks[:-1]) > 0
             for i, doc in enumerate(ids.tolist()):
                 a, b = int(s.offsets[i]), int(s.offsets[i + 1])
@@ -396,9 +463,9 @@ def remove_repeats(docs: DataFrame, unit: Unit, resolver: Callable) -> DataFrame
     buckets = int(size * 3 // BUCKET_BYTES + 1)
     parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = chunks.mapInArrow(_emit(unit, buckets), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    first = keep(sent.mapInArrow(_settle, ANSWER), "settled")
-    asked = chunks.groupBy("chunk").cogroup(first.where(f"kind = {OPEN}").groupBy("chunk")).applyInArrow(_contents(unit, buckets), SENT)
+    first = keep(sent.mapInArrow(_settle(unit), ANSWER), "settled")
+    asked = chunks.groupBy("chunk").cogroup(first.where(f"kind IN ({OPEN}, {CROWDED})").groupBy("chunk")).applyInArrow(_contents(unit, buckets), SENT)
     second = keep(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(unit, resolver), ANSWER), "resolved")
-    answers = first.where(f"kind = {SETTLED}").union(second)
+    answers = first.where(f"kind IN ({SETTLED}, {CROWDED})").union(second)
     out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(unit), "doc_id long, n_units long, n_removed long, n_spans long, kept binary")
     return out.select(real_id(), "n_units", "n_removed", "n_spans", "kept")

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, common, decontaminate, line_dedup, mtree, packing, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from tessera.llm import chat_format, common, decontaminate, line_dedup, mtree, packing, repeats, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from tests.compare import connect, rows
 
 random.seed(5)
@@ -138,6 +138,12 @@ def test_byte_dedup(docs, empty):
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
+def test_texts_shorter_than_a_window(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a b"), (3, None)], "doc_id long, text string")
+    assert [r.n_removed for r in suffix_dedup.dedup_bytes(df).collect()] == [0] * 3
+    assert [r.n_removed for r in substring_dedup.dedup_words(df).collect()] == [0] * 3
+
+
 def test_suffix_ranks_order_prefixes():
     rng = np.random.default_rng(0)
     for _ in range(300):
@@ -153,6 +159,8 @@ def test_word_dedup(docs, empty, length):
     got = multiset(substring_dedup.dedup_words(docs, length), "doc_id", "n_units", "n_removed", "n_spans", F.sha2("kept", 256))
     assert got == brute_removal(lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()), length, b" ".join)
     assert substring_dedup.dedup_words(empty).count() == 0
+    crowded = repeats.remove_repeats(docs, repeats.Unit("words", length, max(1, length // 3), crowd=1), substring_dedup.shared_edges)
+    assert multiset(crowded, "doc_id", "n_units", "n_removed", "n_spans", F.sha2("kept", 256)) == got
 
 
 def test_many_contexts_of_one_passage(spark):
@@ -160,6 +168,8 @@ def test_many_contexts_of_one_passage(spark):
     texts = [(i, "".join(random.choice("klmnop ") for _ in range(70)) + passage[: 90 - i % 20] + "".join(random.choice("qrstuv ") for _ in range(70))) for i in range(400)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_bytes(df, 50).collect()}
+    crowded = repeats.remove_repeats(df, repeats.Unit("bytes", 50, 24, crowd=3), suffix_dedup.equal_prefixes)
+    assert got == {r.doc_id: r.n_removed for r in crowded.collect()}
     for i, text in texts:
         best = [False] * len(text)
         for a in range(len(text) - 49):
