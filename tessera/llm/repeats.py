@@ -80,15 +80,24 @@ def symbols(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> Symbols:
 def _gram_hashes(unit: Unit, values: np.ndarray) -> np.ndarray:
     if unit.kind == "words":
         return window_hashes(values, unit.gram)
-    wide = values.astype(np.uint64)
-    for step in (1, 2, 4):  # eight bytes from each place on
-        wide = wide[:-step] | (wide[step:] << np.uint64(8 * step))
+    # eight bytes from each place on, as one number
+    padded = np.zeros(len(values) + 8, np.uint8)
+    padded[: len(values)] = values
+    wide = np.empty(len(values) + 1, np.uint64)
+    for k in range(8):
+        part = padded[k : k + (len(wide) - k + 7) // 8 * 8]
+        own = part[: len(part) // 8 * 8].view("<u8")
+        wide[k::8] = own[: len(wide[k::8])]
     n = len(values) - unit.gram + 1
-    out = wide[:n] * np.uint64(0x9FB21C651E98DF25)
-    for at in sorted({*range(8, unit.gram - 8, 8), unit.gram - 8}):
-        out += wide[at : at + n] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * at)
-        out ^= out >> np.uint64(29)
-    return mix(out)
+    out, more = wide[:n] * np.uint64(0x9FB21C651E98DF25), np.empty(n, np.uint64)
+    for at in sorted({*range(8, unit.gram - 8, 8), unit.gram - 8} - {0}):
+        np.multiply(wide[at : at + n], np.uint64(0xC2B2AE3D27D4EB4F + 2 * at), out=more)
+        out += more
+    for _ in range(2):
+        np.right_shift(out, np.uint64(32), out=more)
+        out ^= more
+        out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
 
 
 def _sums(unit: Unit, values: np.ndarray) -> np.ndarray:
