@@ -73,11 +73,11 @@ def doc12(t):
     return _pages(t).where((F.trim("words") != "") & ~F.col("words").rlike(r"^\s*(?:#|\||[-*+]\s|---|>)")).select("component_id", D.description(F.col("body")).alias("description"))
 
 
-@query("doc14_overrides", "SELECT CAST(doc_id AS VARCHAR) AS component_id, CASE WHEN doc_id % 10 = 0 THEN 'Edited' ELSE substr(text, 1, 40) END AS title, lang AS type FROM documents")
+@query("doc14_overrides", "SELECT CAST(doc_id AS VARCHAR) AS component_id, CASE WHEN lang = 'fr' THEN 'Edited' ELSE substr(text, 1, 40) END AS title, lang AS type FROM documents")
 def doc14(t):
     p = S.pages(t).select("component_id", "title", "type", "body")
     none = F.lit(None).cast("string")
-    edits = t.documents.where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("component_id"), F.lit("Edited").alias("title"), none.alias("type"), none.alias("body"))
+    edits = t.documents.where("lang = 'fr'").select(F.col("doc_id").cast("string").alias("component_id"), F.lit("Edited").alias("title"), none.alias("type"), none.alias("body"))
     return D.override(p, edits).select("component_id", "title", "type")
 
 
@@ -99,9 +99,9 @@ def doc24(t):
     return S.components(t).select("component_id", D.okf_type(F.col("path")).alias("type"))
 
 
-@query("qua1_spec_score", "SELECT source, floor((0.45 * len(list_filter(['en', 'de'], lambda x: list_contains(list(DISTINCT lang), x))) / 2 + 0.35 + 0.2) * 1000 + 0.5) / 1000 AS score FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL")
+@query("qua1_spec_score", "SELECT source, floor((0.45 * len(list_filter(['en', 'de'], lambda x: list_contains(list(DISTINCT lang), x))) / 2 + 0.35 + 0.2) * 1000 + 0.5) / 1000 AS score FROM documents GROUP BY ALL")
 def qua1(t):
-    have = t.documents.where("doc_id % 3 = 0").groupBy("source").agg(F.collect_set("lang").alias("have"))
+    have = t.documents.groupBy("source").agg(F.collect_set("lang").alias("have"))
     none = F.array().cast("array<string>")
     score = D.spec_score(F.col("have"), F.array(F.lit("en"), F.lit("de")), none, none, F.lit("x"))
     return have.select("source", (F.floor(score * 1000 + 0.5) / 1000).alias("score"))

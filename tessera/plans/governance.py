@@ -111,10 +111,10 @@ def snp2(t):
     return G.build_plan(R.full_diff(*_versions(t), "doc_id", "hash"))
 
 
-@query("snp1_correction_drift", f"WITH {V1}, {V2} SELECT v1.doc_id FROM v1 LEFT JOIN v2 USING (doc_id) WHERE v1.doc_id % 3 = 0 AND v1.hash IS DISTINCT FROM v2.hash")
+@query("snp1_correction_drift", f"WITH {V1}, {V2} SELECT v1.doc_id FROM v1 LEFT JOIN v2 USING (doc_id) JOIN documents d ON d.doc_id = v1.doc_id WHERE lang = 'en' AND v1.hash IS DISTINCT FROM v2.hash")
 def snp1(t):
     v1, v2 = _versions(t)
-    corrections = v1.where("doc_id % 3 = 0").select("doc_id", F.col("doc_id").cast("string").alias("source_path"), F.col("hash").alias("bound_source_hash"), F.lit("active").alias("state"))
+    corrections = v1.join(t.documents.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("doc_id").cast("string").alias("source_path"), F.col("hash").alias("bound_source_hash"), F.lit("active").alias("state"))
     return G.drifted(corrections, v2.select(F.col("doc_id").cast("string").alias("path"), "hash")).select("doc_id")
 
 
@@ -202,10 +202,10 @@ def _issues(t):
     return t.documents.select("doc_id", "source", pick(domains, 6).alias("domain"), pick(["blocking", "warning", "info"], 3).alias("severity"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).alias("component_id"))
 
 
-@query("lin3_lint_score", f"WITH {LINT} SELECT source, floor((1 - least(1e0, 2e-1 * count(*) FILTER (severity = 'blocking') + 3.5e-2 * count(*) FILTER (severity = 'warning') + 1e-2 * count(*) FILTER (severity = 'info'))) * 100 + 0.5) / 100 AS score FROM issues WHERE doc_id % 50 < 5 GROUP BY ALL")
+@query("lin3_lint_score", f"WITH {LINT} SELECT doc_id, floor((1 - least(1e0, 2e-1 * count(*) FILTER (severity = 'blocking') + 3.5e-2 * count(*) FILTER (severity = 'warning') + 1e-2 * count(*) FILTER (severity = 'info'))) * 100 + 0.5) / 100 AS score FROM issues GROUP BY ALL")
 def lin3(t):
     n = lambda s: F.count_if(F.col("severity") == s)
-    return _issues(t).where("doc_id % 50 < 5").groupBy("source").agg(G.lint_score(n("blocking"), n("warning"), n("info")).alias("score"))
+    return _issues(t).groupBy("doc_id").agg(G.lint_score(n("blocking"), n("warning"), n("info")).alias("score"))
 
 
 @query("lin4_fallback_action", f"""WITH {LINT} SELECT doc_id, CASE WHEN domain = 'links' AND severity <> 'blocking' THEN 'auto_remediation' WHEN domain = 'table_dependencies' AND component_id IS NOT NULL THEN 'auto_remediation'
@@ -238,7 +238,8 @@ def str4(t):
 
 @query("str5_cluster_keys")
 def str5(t):
-    vectors = t.embeddings.select((F.col("vec_id") % 500).alias("slot"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")).where("vec_id < 500")
+    v = t.embeddings.select((F.col("vec_id") % 500).alias("slot"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    vectors = v.groupBy("slot").agg(F.min_by("v", "vec_id").alias("vector"))
     return G.cluster_keys(_feedback(t).withColumn("slot", F.pmod(F.xxhash64("query"), F.lit(500))).join(vectors, "slot", "left").drop("slot")).select("event_id", "cluster_key")
 
 
@@ -308,18 +309,18 @@ def att1(t):
     return kinds.select("conv_id", "turn", "class", G.needs_writeback(F.col("class"), F.col("e")).alias("writeback"))
 
 
-@query("cor2_target_resolution", f"""WITH {S.COMPONENTS_SQL}, w AS (SELECT doc_id AS request, CASE doc_id % 3 WHEN 0 THEN component_id WHEN 1 THEN path ELSE upper(path) END AS target FROM components WHERE doc_id % 10 = 0)
+@query("cor2_target_resolution", f"""WITH {S.COMPONENTS_SQL}, w AS (SELECT doc_id AS request, CASE doc_id % 3 WHEN 0 THEN component_id WHEN 1 THEN path ELSE upper(path) END AS target FROM components)
 SELECT request, CAST(request AS VARCHAR) AS component_id, CAST(CASE request % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INT) AS step FROM w""")
 def cor2(t):
     c = S.components(t)
-    wanted = c.where("doc_id % 10 = 0").select(F.col("doc_id").alias("request"), F.when(F.col("doc_id") % 3 == 0, F.col("component_id")).when(F.col("doc_id") % 3 == 1, F.col("path")).otherwise(F.upper("path")).alias("target"))
+    wanted = c.select(F.col("doc_id").alias("request"), F.when(F.col("doc_id") % 3 == 0, F.col("component_id")).when(F.col("doc_id") % 3 == 1, F.col("path")).otherwise(F.upper("path")).alias("target"))
     return G.resolve_target(c.select("component_id", "path"), wanted)
 
 
-@query("cor1_submit_correction", """WITH old AS (SELECT doc_id AS correction_id, 'active' AS state FROM documents WHERE doc_id % 2 = 0), fresh AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND NOT (doc_id % 2 = 0 AND doc_id % 4 = 0))
+@query("cor1_submit_correction", """WITH old AS (SELECT doc_id AS correction_id, 'active' AS state FROM documents WHERE n_chars < 2000), fresh AS (SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE NOT (n_chars < 2000 AND toxic = 0))
 SELECT correction_id, CASE WHEN correction_id IN (SELECT doc_id FROM fresh) THEN 'retired' ELSE state END AS state FROM old UNION ALL SELECT doc_id + 1000000000, 'pending_review' FROM fresh""")
 def cor1(t):
     row = lambda df, shift, mark: df.select((F.col("doc_id") + shift).alias("correction_id"), F.lit("p1").alias("project_id"), F.col("source").alias("source_path"), F.col("doc_id").cast("string").alias("rule_id"), F.lit("k").alias("fact_key"), mark.alias("fingerprint"), F.lit("active").alias("state"), F.lit(NOW).cast("timestamp").alias("created_at"))
-    old = row(t.documents.where("doc_id % 2 = 0"), 0, F.lit("a"))
-    new = row(t.documents.where("doc_id % 3 = 0"), 1000000000, F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b"))
+    old = row(t.documents.where("n_chars < 2000"), 0, F.lit("a"))
+    new = row(t.documents.join(t.labels, "doc_id"), 1000000000, F.when(F.col("toxic") == 0, "a").otherwise("b"))
     return G.submit_correction(old, new).select("correction_id", "state")

@@ -151,9 +151,9 @@ def flt10(t):
 
 @query("ret17_fallback_score", f"""WITH {PAGES}, {TERMS},
 tokens AS (SELECT DISTINCT component_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM pages_)
-SELECT query_id, component_id, CAST(count(*) AS DOUBLE) AS score FROM tokens JOIN terms USING (term) GROUP BY ALL HAVING count(*) >= 4""")
+SELECT query_id, component_id, CAST(count(*) AS DOUBLE) AS score FROM tokens JOIN terms USING (term) GROUP BY ALL""")
 def ret17(t):
-    return R.fallback_scores(S.pages(t), R.query_terms(S.queries(t))).where("score >= 4")
+    return R.fallback_scores(S.pages(t), R.query_terms(S.queries(t)))
 
 
 @query("ret18_match_class", f"""WITH {LEXICAL}, core AS (SELECT query_id, count(*) AS core FROM terms GROUP BY ALL),

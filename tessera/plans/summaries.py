@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import dashboards as B
@@ -12,11 +13,11 @@ from tessera.plans.governance import FEEDBACK, TRUST, _feedback, _trust
 from tessera.plans.relational import V1, V2, _versions
 from tessera.plans.retrieval import LEXICAL, _lexical
 
-SPEC = "p AS (SELECT source AS component_id, list(DISTINCT lang) AS have, min(CASE WHEN doc_id % 9 = 0 THEN '' ELSE 's' END) AS src FROM documents WHERE doc_id % 4 = 0 GROUP BY ALL)"
+SPEC = "p AS (SELECT source AS component_id, list(DISTINCT lang) AS have, min(CASE WHEN doc_id % 9 = 0 THEN '' ELSE 's' END) AS src FROM documents GROUP BY ALL)"
 
 
 def _spec_findings(t):
-    p = t.documents.where("doc_id % 4 = 0").groupBy(F.col("source").alias("component_id")).agg(F.collect_set("lang").alias("headings"), F.min(F.when(F.col("doc_id") % 9 == 0, "").otherwise("s")).alias("source"))
+    p = t.documents.groupBy(F.col("source").alias("component_id")).agg(F.collect_set("lang").alias("headings"), F.min(F.when(F.col("doc_id") % 9 == 0, "").otherwise("s")).alias("source"))
     p = p.withColumns({"type": F.lit("system"), "facts": F.col("headings")})
     specs = t.spark.createDataFrame([("system", ["en", "es", "xx"], ["de"])], "type string, sections array<string>, fact_names array<string>")
     return Q.spec_findings(p, specs)
@@ -39,10 +40,10 @@ def qua4(t):
     return Q.without_dismissed(_spec_findings(t), gone).select("component_id", "rule")
 
 
-@query("qua5_known_sources", "SELECT doc_id FROM documents WHERE doc_id % 10 NOT IN (0, 1)")
+@query("qua5_known_sources", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def qua5(t):
     pages = t.documents.select("doc_id", F.concat(F.lit("parsed/Doc"), "doc_id", F.lit(".md")).alias("source"))
-    known = t.documents.where("doc_id % 10 IN (0, 1)").select(F.concat(F.lit("gamedocs/x/doc"), "doc_id", F.lit(".docx")).alias("path"))
+    known = t.labels.select(F.concat(F.lit("gamedocs/x/doc"), "doc_id", F.lit(".docx")).alias("path"))
     return Q.known_sources(pages, known).select("doc_id")
 
 
@@ -82,12 +83,12 @@ def lin5(t):
     return t.documents.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("lin6_alias_fixes", "SELECT 'a' || doc_id AS alias, source AS canonical FROM documents WHERE (doc_id % 100) / 100.0 >= 0.85 AND source <> 'src1' AND doc_id % 3 <> 0")
+@query("lin6_alias_fixes", "SELECT 'a' || doc_id AS alias, source AS canonical FROM documents WHERE (doc_id % 100) / 100.0 >= 0.85 AND source <> 'src1' AND lang <> 'en'")
 def lin6(t):
     alias = F.concat(F.lit("a"), "doc_id")
     proposals = t.documents.select(alias.alias("alias"), F.col("source").alias("canonical"), ((F.col("doc_id") % 100) / 100.0).alias("confidence"))
     tables = t.documents.where("source <> 'src1'").select(F.col("source").alias("table")).distinct()
-    return Q.valid_alias_fixes(proposals, tables, t.documents.where("doc_id % 3 = 0").select(alias.alias("alias"))).select("alias", "canonical")
+    return Q.valid_alias_fixes(proposals, tables, t.documents.where("lang = 'en'").select(alias.alias("alias"))).select("alias", "canonical")
 
 
 @query("rel5_auto_fixed_blockers", "SELECT doc_id AS task_id FROM labels WHERE toxic = 1 AND NOT (quality = 1 AND doc_id % 2 = 0)")
@@ -135,17 +136,16 @@ def hlt7(t):
     return B.workbench(t.documents.select(F.col("lang").alias("kind"), F.col("doc_id").alias("key"), F.col("n_chars").alias("weight")), ["de", "en", "fr"])
 
 
-@query("cor3_rebind", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE md5(text) END AS bound_source_hash, CASE WHEN doc_id % 3 = 0 THEN 'retired' ELSE 'active' END AS state FROM documents WHERE doc_id % 5 < 3""")
+@query("cor3_rebind", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE md5(text) END AS bound_source_hash, CASE WHEN doc_id % 3 = 0 THEN 'retired' ELSE 'active' END AS state FROM documents""")
 def cor3(t):
-    rows = t.documents.where("doc_id % 5 < 3")
-    c = rows.select("doc_id", F.col("doc_id").cast("string").alias("source_path"), F.lit("old").alias("bound_source_hash"), F.when(F.col("doc_id") % 3 == 0, "retired").otherwise("pending_review").alias("state"))
+    c = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("source_path"), F.lit("old").alias("bound_source_hash"), F.when(F.col("doc_id") % 3 == 0, "retired").otherwise("pending_review").alias("state"))
     return B.rebind(c, t.documents.select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("hash"))).select("doc_id", "bound_source_hash", "state")
 
 
-@query("cor4_list_order", "SELECT doc_id FROM documents ORDER BY CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END, doc_id LIMIT 100")
+@query("cor4_list_order", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END, doc_id) AS INT) AS position FROM documents")
 def cor4(t):
     state = F.when(F.col("doc_id") % 3 == 0, "retired").when(F.col("doc_id") % 3 == 1, "pending_review").otherwise("active")
-    return t.documents.orderBy(B.correction_order(state), "doc_id").limit(100).select("doc_id")
+    return t.documents.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(B.correction_order(state), "doc_id")).alias("position"))
 
 
 @query("cor5_lifecycle", "SELECT event_id FROM events WHERE user_id = 7 OR json_extract_string(props, '$.k') = '7'")
@@ -182,11 +182,11 @@ def doc10(t):
     return t.documents.groupBy(B.unresolved_kind(hint).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("doc17_frozen_pages", "SELECT doc_id AS artifact_id, doc_id % 10 = 3 AS frozen, md5(CASE WHEN doc_id % 10 = 3 THEN text ELSE text || '!' END) AS body FROM documents")
+@query("doc17_frozen_pages", "SELECT doc_id AS artifact_id, coalesce(toxic = 1, false) AS frozen, md5(CASE WHEN toxic = 1 THEN text ELSE text || '!' END) AS body FROM documents LEFT JOIN labels USING (doc_id)")
 def doc17(t):
     new = t.documents.select(F.col("doc_id").alias("artifact_id"), F.concat("text", F.lit("!")).alias("body"))
     released = t.documents.select(F.col("doc_id").alias("artifact_id"), F.col("text").alias("body"))
-    return B.frozen_pages(new, released, t.documents.where("doc_id % 10 = 3").select(F.col("doc_id").alias("artifact_id"))).select("artifact_id", "frozen", F.md5("body").alias("body"))
+    return B.frozen_pages(new, released, t.labels.where("toxic = 1").select(F.col("doc_id").alias("artifact_id"))).select("artifact_id", "frozen", F.md5("body").alias("body"))
 
 
 @query("doc18_extract_cache", f"WITH {V1}, {V2} SELECT v2.doc_id, v1.hash IS NOT NULL AND v1.hash = v2.hash AS reuse FROM v2 LEFT JOIN v1 USING (doc_id)")

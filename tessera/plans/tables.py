@@ -27,11 +27,11 @@ def tab9(t):
     return T.infer_foreign_keys(_fields(t), ["nId", "rId"])
 
 
-@query("tab7_missing_fields", """WITH a AS (SELECT source AS t, list(DISTINCT lang) AS fields FROM documents WHERE doc_id % 7 = 0 GROUP BY ALL), b AS (SELECT source AS t, list(DISTINCT lang) AS names FROM documents WHERE doc_id % 5 = 0 GROUP BY ALL)
+@query("tab7_missing_fields", """WITH a AS (SELECT source AS t, list(DISTINCT lang) AS fields FROM documents WHERE n_chars < 300 GROUP BY ALL), b AS (SELECT source AS t, list(DISTINCT lang) AS names FROM documents WHERE n_chars > 6000 GROUP BY ALL)
 SELECT t AS "table", array_to_string(list_sort(list_filter(coalesce(fields, []), lambda x: NOT list_contains(coalesce(names, []), x))), ',') AS missing, array_to_string(list_sort(list_filter(coalesce(names, []), lambda x: NOT list_contains(coalesce(fields, []), x))), ',') AS unmapped FROM a FULL JOIN b USING (t)""")
 def tab7(t):
     d = t.documents
-    out = T.missing_fields(d.where("doc_id % 7 = 0").select(F.col("source").alias("table"), F.col("lang").alias("field")), d.where("doc_id % 5 = 0").select(F.col("source").alias("table"), F.col("lang").alias("name")))
+    out = T.missing_fields(d.where("n_chars < 300").select(F.col("source").alias("table"), F.col("lang").alias("field")), d.where("n_chars > 6000").select(F.col("source").alias("table"), F.col("lang").alias("name")))
     return out.select("table", F.array_join("missing", ",").alias("missing"), F.array_join("unmapped", ",").alias("unmapped"))
 
 
@@ -72,14 +72,14 @@ def tab2(t):
 
 NODES = "nodes AS (SELECT 'nation:' || n_nationkey AS id, n_name AS label, 'system' AS type FROM nation UNION ALL SELECT 'region:' || r_regionkey, r_name, 'concept' FROM region)"
 EDGES = """edges AS (SELECT 'nation:' || n_nationkey AS source, 'belongs_to' AS relation, 'region:' || n_regionkey AS target, n_nationkey AS seq FROM nation
-UNION ALL SELECT 'nation:' || c_nationkey, 'sells_to', 'nation:' || (c_custkey % 40), c_custkey FROM customer WHERE c_custkey % 10 = 0)"""
+UNION ALL SELECT 'nation:' || c_nationkey, 'sells_to', 'nation:' || (c_custkey % 40), c_custkey FROM customer)"""
 
 
 def _graph(t):
     n = t.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("system").alias("type"), F.lit(None).cast("string").alias("wiki_page"))
     r = t.region.select(F.concat(F.lit("region:"), "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit("concept").alias("type"), F.lit(None).cast("string").alias("wiki_page"))
     e1 = t.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("source"), F.lit("belongs_to").alias("relation"), F.concat(F.lit("region:"), "n_regionkey").alias("target"), F.col("n_nationkey").cast("long").alias("seq"))
-    e2 = t.customer.where("c_custkey % 10 = 0").select(F.concat(F.lit("nation:"), "c_nationkey").alias("source"), F.lit("sells_to").alias("relation"), F.concat(F.lit("nation:"), F.col("c_custkey") % 40).alias("target"), F.col("c_custkey").alias("seq"))
+    e2 = t.customer.select(F.concat(F.lit("nation:"), "c_nationkey").alias("source"), F.lit("sells_to").alias("relation"), F.concat(F.lit("nation:"), F.col("c_custkey") % 40).alias("target"), F.col("c_custkey").alias("seq"))
     return T.build_nodes([n, r]), e1.union(e2)
 
 
@@ -167,9 +167,9 @@ def val5(t):
     return T.polymorphic(refs, "kind", "ref", {"part": (t.part.where("p_size > 3"), "p_partkey"), "supplier": (t.supplier.where("s_acctbal > 0"), "s_suppkey")}, "ref")
 
 
-@query("val7_id_family", "WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(c_name, '[0-9]+')) AS v FROM customer) SELECT 'ids' AS rule, v AS key FROM f WHERE v NOT IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') FROM customer WHERE c_custkey % 3 <> 0)")
+@query("val7_id_family", "WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(c_name, '[0-9]+')) AS v FROM customer) SELECT 'ids' AS rule, v AS key FROM f WHERE v NOT IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') FROM customer WHERE c_acctbal > 0)")
 def val7(t):
-    known = t.customer.where("c_custkey % 3 <> 0").select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("id"))
+    known = t.customer.where("c_acctbal > 0").select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("id"))
     return T.unknown_ids(t.customer, "c_name", "[0-9]+", known, "id", "ids")
 
 
