@@ -108,99 +108,162 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return out.select(real_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("component_id"))
 
 
-#: Wide fingerprints: four times 64 bits over the same shingles.
-WIDE = tuple((0x9E3779B97F4A7C15 * (k + 1)) % 2**64 for k in range(4))
-#: Blocks of a wide fingerprint: this many choices of this many of its 256 bits.
-TABLES, TABLE_BITS = 48, 22
-#: Fingerprints of a block value that are compared all with all; more are compared in parts.
-LARGEST = 16384
+#: Prefix tokens that more shingle sets share come last in the order of tokens, the most shared ones at the end.
+HOT, MOST_HOT = 32, 100_000
+#: Sets of one token that a task compares all with all; longer lists are cut, and every part meets every other.
+PART = 4096
+#: Rounds that link each set to a few of a list before all pairs that are still in different groups are compared.
+STAR_ROUNDS = 3
 
 
-def _wide_fingerprints(width: int):
+def _unique_shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    w = words(*flat_bytes(batch["text"]), lower=True)
+    cuts = np.searchsorted(w.doc, np.arange(batch.num_rows + 1)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield np.unique(window_hashes(w.hash[a:b], max(1, min(width, b - a))))
+
+
+def _set_name(shingles: np.ndarray) -> int:
+    """A 64-bit hash of a whole set of shingles."""
+    return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
+
+
+def _prefixes(width: int, similarity: float, hot: np.ndarray):
+    """The name and size of each text's shingle set, and the first tokens in the order of tokens: sets
+    at ``similarity`` or more always share one of those. ``hot`` tokens come last, in their order."""
+    at_hash = np.argsort(hot)
+    sorted_hot = hot[at_hash]
+
+    def prefix(shingles: np.ndarray) -> np.ndarray:
+        size = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
+        if not len(hot):
+            return shingles[:size]
+        at = np.searchsorted(sorted_hot, shingles).clip(0, len(hot) - 1)
+        rank = np.where(sorted_hot[at] == shingles, at_hash[at], -1)
+        return shingles[np.lexsort((shingles, rank))[:size]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
-            w = words(*flat_bytes(batch["text"]), lower=True)
-            cuts = np.searchsorted(w.doc, np.arange(batch.num_rows + 1))
-            out = np.zeros((batch.num_rows, 4), np.uint64)
-            for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if b > a:
-                    shingles = window_hashes(w.hash[a:b], min(width, b - a))
-                    out[i] = [simhash(mix(shingles ^ np.uint64(k))) for k in WIDE]
-            parts = out.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(parts[:, k]) for k in range(4))], names=["doc_id", "f0", "f1", "f2", "f3"])
+            sets = list(_unique_shingles(batch, width))
+            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "node", "size", "prefix"])
 
     return run
 
 
-def _block_values(tables: int, bits: int):
-    """A row for each block of each fingerprint: the block's number and bits as one key."""
-    rng = np.random.default_rng(7)
-    chosen = np.array([rng.choice(256, bits, replace=False) for _ in range(tables)])
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens, offsets = flat_bytes(batch["prefix"].cast(pa.large_binary()))
+        each = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), batch["node"].take(each), batch["size"].take(each)], names=["token", "node", "size"])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of sorted rows and where runs of equal keys start; a run is never cut."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        at = [batch.schema.get_field_index(k) for k in keys]
+        cuts = np.flatnonzero(np.any([columns[i][1:] != columns[i][:-1] for i in at], axis=0)) + 1
+        if held and any(held[-1][i][-1] != columns[i][0] for i in at):
+            cuts = np.r_[0, cuts]
+        if len(cuts):
+            full = [np.concatenate([*(h[i] for h in held), c[: cuts[-1]]]) for i, c in enumerate(columns)]
+            held = []
+            columns = [c[cuts[-1] :] for c in columns]
+            if len(full[0]):
+                yield full, np.flatnonzero(np.r_[True, np.any([full[i][1:] != full[i][:-1] for i in at], axis=0)])
+        held.append(columns)
+    if held:
+        yield [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))], np.zeros(1, np.int64)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token those whose token is in several sets, with place in and length of its list."""
+    for (token, node, size), starts in _whole_runs(batches, ["token"]):
+        lengths = np.diff(np.r_[starts, len(token)])
+        length = np.repeat(lengths, lengths)
+        place, more = np.arange(len(token)) - np.repeat(starts, lengths), length > 1
+        names = ["token", "node", "size", "place", "length"]
+        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (token, node, size, place, length)], names=names)
+
+
+def _pair_rows(node: np.ndarray, size: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different groups whose sizes allow the similarity, smaller node first."""
+    fine = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+    a, b = node[i[fine]], node[j[fine]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    pairs = np.concatenate([np.stack(f, 1) for f in found]) if found else np.zeros((0, 2), np.int64)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.r_[True, np.any(pairs[1:] != pairs[:-1], axis=1)]] if len(pairs) else pairs
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _stars(similarity: float):
+    """Each set of a list with the one before it, the first one and the first of its 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.stack([batch[f"f{k}"].to_numpy() for k in range(4)], 1)
-            flags = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), 32), axis=1, bitorder="little")
-            keys = (flags[:, chosen].astype(np.int64) << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
-            each = pa.array(np.repeat(np.arange(len(f)), tables))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch[c].take(each) for c in ("node", "f0", "f1", "f2", "f3"))], names=["key", "node", "f0", "f1", "f2", "f3"])
+            token, node, size, group = (batch[c].to_numpy() for c in ("token", "node", "size", "grp"))
+            if not len(token):
+                continue
+            at = np.arange(len(token))
+            start = np.maximum.accumulate(np.where(np.r_[True, token[1:] != token[:-1]], at, 0))
+            others = (np.maximum(at - 1, start), start, at - (at - start) % 64)
+            yield _pair_batch([_pair_rows(node, size, group, at, o, similarity) for o in others])
 
     return run
 
 
-def _forest(radius: int):
-    """Rows sorted by block value: links that connect what is within ``radius`` bits in a block."""
-
-    def links(nodes: np.ndarray, f: np.ndarray) -> list[tuple[int, int]]:
-        """Each fingerprint with the nearest one of every group before it that it comes near to."""
-        out, label = [], np.arange(len(nodes))
-        for i in range(1, len(nodes)):
-            away = np.bitwise_count(f[:i] ^ f[i]).sum(1)
-            near = np.flatnonzero(away <= radius)
-            if len(near):
-                near = near[np.argsort(away[near], kind="stable")]
-                out += [(int(nodes[j]), int(nodes[i])) for j in near[np.unique(label[near], return_index=True)[1]].tolist()]
-                label[i] = label[near[0]]
-                label[np.isin(label, label[near])] = label[i]
-        return out
+def _part_pairs(rows: int):
+    """Every row once for each part of its list that its own part meets, itself included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nodes, f = None, np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
         for batch in batches:
-            keys = batch["key"].to_numpy()
-            new_nodes = batch["node"].to_numpy()
-            new_f = np.stack([batch[f"f{k}"].to_numpy() for k in range(4)], 1).view(np.uint64)
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
-            out = []
-            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                if keys[a] == last and len(nodes) < LARGEST:
-                    nodes, f = np.r_[nodes, new_nodes[a:b]], np.r_[f, new_f[a:b]]
-                else:
-                    if len(nodes) > 1:
-                        out += links(nodes, f)
-                    last, nodes, f = keys[a], new_nodes[a:b], new_f[a:b]
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a, b = zip(*found, strict=True) if len(nodes) > 1 and (found := links(nodes, f)) else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            part, parts = batch["place"].to_numpy() // rows, -(-batch["length"].to_numpy() // rows)
+            each = np.repeat(np.arange(batch.num_rows), parts)
+            other, own = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts), part[each]
+            columns = [batch[c].take(pa.array(each)) for c in ("token", "node", "size", "grp")]
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(low), pa.array(high), pa.array(own)], names=["token", "node", "size", "grp", "low", "high", "own"])
 
     return run
 
 
-def radius_for(similarity: float, bits: int = 256, deviations: float = 2.0) -> int:
-    """Bits that differ at a Jaccard similarity of two sets of equal size: as expected and so many
-    standard deviations more."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
+def _all_pairs(similarity: float):
+    """All pairs of different groups in a list, or of two parts of a long one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, node, size, group, low, high, own), starts in _whole_runs(batches, ["token", "low", "high"]):
+            lengths = np.diff(np.r_[starts, len(node)])
+            after = np.repeat(starts + lengths, lengths) - np.arange(len(node)) - 1
+            i, found, total = np.flatnonzero(after > 0), [], 0
+            step = 1
+            while len(i):
+                met = i[(low[i] == high[i]) | (own[i] != own[i + step])]
+                found.append(_pair_rows(node, size, group, met, met + step, similarity))
+                total += len(found[-1][0])
+                if total > 1 << 18:
+                    yield _pair_batch(found)
+                    found, total = [], 0
+                step += 1
+                i = i[after[i] >= step]
+            yield _pair_batch(found)
+
+    return run
 
 
 def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
-            w = words(*flat_bytes(batch["text"]), lower=True)
-            cuts = np.searchsorted(w.doc, np.arange(batch.num_rows + 1)).tolist()
-            sets = [np.unique(window_hashes(w.hash[a:b], max(1, min(width, b - a))) >> np.uint64(32)).astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = list(_unique_shingles(batch, width))
+            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
     return run
 
@@ -209,8 +272,8 @@ def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = []
-            for a, b in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
-                x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+            for a, b in zip(batch["sa"], batch["sb"], strict=True):
+                x, y = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 total = len(x) + len(y) - shared
                 fine.append(total == 0 or shared >= similarity * total - 1e-9)
@@ -219,31 +282,81 @@ def _alike(similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot_from: int = HOT, part: int = PART, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(doc_id, component_id) of documents linked, through others or directly, by a Jaccard similarity of
     ``similarity`` or more of their sets of ``width``-word shingles.
 
-    Candidates are pairs of 256-bit SimHash fingerprints within a radius two deviations beyond
-    what the similarity leads to expect. At such radii no exact block scheme prunes, so blocks are
-    random choices of bits: a pair at similarity 0.8, 0.85 or 0.9 shares one of them with
-    probability 0.75, 0.9 or 0.99. Equal texts have equal fingerprints and are always found.
-    In a block each fingerprint brings its nearest one of every group so far, not all pairs;
-    the shingle sets of the candidates then decide."""
+    Equal sets are one node, named by a hash of the whole set. Candidates come from a prefix filter,
+    which loses no pair: in any one order of tokens, sets so similar share one of their first tokens.
+    Tokens of many sets come last in that order. A few rounds link the sets of a token's list to some
+    of it; then all pairs that are still in different groups are compared, long lists part by part.
+    Groups are made of verified links only, so a pair left out is one that links connect already."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = with_ids(docs, F.col("text").cast("string").alias("text"))
-    four = ["f0", "f1", "f2", "f3"]
-    prints = keep(texts.mapInArrow(_wide_fingerprints(width), "doc_id long, f0 long, f1 long, f2 long, f3 long"), "fingerprints")
-    nodes = keep(prints.groupBy(*four).agg(F.min("doc_id").alias("node")), "nodes")
-    keyed = nodes.mapInArrow(_block_values(TABLES, TABLE_BITS), "key long, node long, f0 long, f1 long, f2 long, f3 long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
-    near = keep(blocks.mapInArrow(_forest(radius_for(similarity)), "a long, b long").distinct(), "links")
-    linked = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = keep(texts.join(linked, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), "node long, shingles binary"), "shingle-sets")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long").distinct()
-    found = components(links)
-    of = nodes.join(found, "node", "left").select(*four, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, four).select(real_id(), real_id("component_id"))
+    prefixed = "doc_id long, node long, size int, prefix binary"
+    prints = keep(texts.mapInArrow(_prefixes(width, similarity, np.zeros(0, np.uint64)), prefixed), "shingle-prefixes")
+    nodes = keep(prints.groupBy("node").agg(F.min(F.struct("doc_id", "size", "prefix")).alias("first")).select("node", "first.*"), "nodes")
+
+    def lists_of(prefixes: DataFrame) -> DataFrame:
+        tokens = prefixes.select("node", "size", "prefix").mapInArrow(_tokens, "token long, node long, size int")
+        tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "size", "node")
+        return keep(tokens.mapInArrow(_shared, "token long, node long, size int, place long, length long"), "token-lists")
+
+    def texts_of(members: DataFrame) -> DataFrame:
+        wanted = nodes.join(members, "node", "left_semi").select("doc_id").distinct()
+        return texts.join(wanted, "doc_id", "left_semi")
+
+    lists = lists_of(nodes)
+    hot = lists.where((F.col("place") == 0) & (F.col("length") > hot_from)).orderBy(F.desc("length"), "token").select("token").limit(MOST_HOT)
+    hot = np.array([r.token for r in hot.collect()], np.int64)[::-1].view(np.uint64)  # MOST_HOT at most
+    if len(hot):
+        marked = F.broadcast(spark.createDataFrame(pa.table({"token": hot.view(np.int64)})))
+        moved = keep(lists.join(marked, "token", "left_semi").select("node").distinct(), "moved")
+        again = texts_of(moved).mapInArrow(_prefixes(width, similarity, hot), prefixed).select("node", "size", "prefix")
+        again = again.join(moved, "node", "left_semi").dropDuplicates(["node"])
+        lists = lists_of(nodes.join(moved, "node", "left_anti").select("node", "size", "prefix").union(again))
+
+    sets = keep(texts_of(lists.select("node").distinct()).mapInArrow(_shingle_sets(width), "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        return keep(both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"), "links")
+
+    links, found, turn = None, None, 0
+    open_lists = lists.withColumn("grp", F.col("node"))
+    while True:
+        compared = open_lists.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if not compared["n"]:
+            break
+        last = compared["pairs"] <= 2 * compared["n"] or turn >= star_rounds
+        if last:
+            cut = open_lists.mapInArrow(_part_pairs(part), "token long, node long, size int, grp long, low long, high long, own long")
+            pairs = cut.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "own").mapInArrow(_all_pairs(similarity), "a long, b long")
+        else:
+            order = ["size", "node"] if not turn else [F.xxhash64("node", F.lit(turn))]
+            pairs = open_lists.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_stars(similarity), "a long, b long")
+        new = verified(pairs)
+        links = new if links is None else links.union(new)
+        found = components(links)
+        if last:
+            break
+        turn += 1
+        named = lists.join(found.withColumnRenamed("component", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+        named = keep(named.select("token", "node", "size", "place", "length", "grp"), "grouped-lists")
+        mixed = named.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
+        open_lists = keep(named.join(mixed, "token", "left_semi"), "open-lists")
+
+    grouped = nodes.select("node", "doc_id")
+    if found is not None:
+        grouped = grouped.join(found, "node", "left")
+        grouped = grouped.withColumn("component", F.coalesce("component", "node"))
+    else:
+        grouped = grouped.withColumn("component", F.col("node"))
+    grouped = keep(grouped, "grouped")
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = grouped.join(least, "component").select("node", "component_id")
+    return prints.select("doc_id", "node").join(of, "node").select(real_id(), real_id("component_id"))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

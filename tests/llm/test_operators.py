@@ -247,6 +247,32 @@ def test_similar_groups(spark, docs, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+def test_similar_groups_lose_no_link(spark):
+    """Links at hardly more than 0.8, a group of many near copies and a shared passage, against brute force."""
+    rng = random.Random(11)
+    filler = lambda n: [f"f{rng.randint(0, 10**6)}" for _ in range(n)]
+    table = []
+    for _ in range(100):
+        words = filler(rng.randint(180, 220))
+        table += [words, words[: int(len(words) * 0.895) + 1] + filler(len(words) - int(len(words) * 0.895) - 1)]
+    center, passage = filler(100), filler(30)
+    for _ in range(60):
+        copy = list(center)
+        for at in rng.sample(range(100), rng.randint(1, 3)):
+            copy[at] = f"e{rng.randint(0, 10**6)}"
+        table.append(copy)
+    table += [passage + filler(rng.randint(5, 40)) for _ in range(40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in table]
+    label = list(range(len(table)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and label[i] != label[j]:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(table)], "doc_id long, text string").repartition(4)
+    for options in ({}, {"hot_from": 4, "part": 7, "star_rounds": 0}, {"hot_from": 4, "part": 7, "star_rounds": 2}):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, **options).collect()} == dict(enumerate(label)), options
+
+
 def test_components_of_random_graphs(spark):
     for seed in range(3):
         rng = random.Random(seed)
