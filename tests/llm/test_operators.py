@@ -273,6 +273,16 @@ def test_similar_groups_lose_no_link(spark):
         assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, **options).collect()} == dict(enumerate(label)), options
 
 
+def test_similar_groups_of_repeated_lines(spark):
+    """Repeats of a line neither part documents of nearly equal shingle sets nor merge documents that differ."""
+    rng = random.Random(12)
+    filler = lambda n: [f"f{rng.randint(0, 10**6)}" for _ in range(n)]
+    line, body = filler(13), filler(200)
+    table = [(1, body + line * 2), (2, body + line * 100), (3, line * 101 + filler(80)), (4, line * 101 + filler(80))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in table], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_components_of_random_graphs(spark):
     for seed in range(3):
         rng = random.Random(seed)
