@@ -1,8 +1,9 @@
 """WARC archives: a writer that stores equal payloads once and a reader that salvages.
 
 The writer turns pages into WARC/1.1 records, response or revisit, and writes them through
-Spark's text writer: its line separator is the blank line that ends a record, so any file
-system that Spark writes to holds plain archives. The reader checks each record (version line,
+Spark's text writer, so any file system that Spark writes to holds archives. Each record is a
+gzip member of its own; the writer's line separator is an empty member, or in plain archives the
+blank line that ends a record. The reader checks each record (version line,
 headers, length, closing blank line, payload digest). After a failed check it searches for the
 next gzip member or version line, goes on from there, and logs the bytes between as a gap.
 
@@ -13,6 +14,7 @@ columns play no part; an empty table gives no records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import NULL_ID, real_id, scratch_path, with_ids
 
 END = "\r\n\r\n"
+MEMBER = b"\x1f\x8b\x08"
+#: A gzip member without content.
+NOTHING = gzip.compress(b"", mtime=0)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -43,9 +48,15 @@ def with_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [gzip.compress(r.as_buffer().to_pybytes() + END.encode(), 6, mtime=0) for r in batch["value"]]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+
+
 def write_warc(records: DataFrame, path: str, per_file: int = 4000, compression: str = "gzip") -> None:
     """Write the rows of :func:`with_records` as archives of ``per_file`` records at most, each
-    one gzip member, or plain with ``compression="none"``."""
+    record one gzip member, or plain with ``compression="none"``."""
     crlf = F.lit("\r\n")
     # nothing in a header may end its line
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -67,8 +78,11 @@ def write_warc(records: DataFrame, path: str, per_file: int = 4000, compression:
         crlf,
     )
     block = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
-    record = F.concat(head.cast("binary"), http.cast("binary"), block).cast("string").alias("value")
-    records.select(record).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+    rows, separator = records.select(F.concat(head.cast("binary"), http.cast("binary"), block).alias("value")), END
+    if compression == "gzip":
+        rows, separator = rows.mapInArrow(_members, "value binary"), NOTHING.decode("latin-1")
+    writer = rows.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", per_file).option("compression", "none")
+    writer.option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)  # the encoding is the separator's alone
 
 
 def _headers(data: bytes) -> dict[str, str]:
@@ -119,6 +133,25 @@ def salvage_plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
         yield bad, len(data), None, why
 
 
+def _before_error(data: bytes, start: int, part: int) -> bytes:
+    """What the 64 KB from ``part`` on of the member at ``start`` give before they can't be inflated."""
+    unzip, out = zlib.decompressobj(31), []
+    for at in range(start, part, 65536):
+        unzip.decompress(data[at : min(at + 65536, part)])
+    try:
+        for at in range(part, min(part + 65536, len(data))):
+            out.append(unzip.decompress(data[at : at + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _is_gzip(data: bytes, path: str) -> bool:
+    """By name or by what comes first in the file, so that a damaged start does not hide the members."""
+    member, version = data.find(MEMBER), VERSION_LINE.search(data)
+    return path.endswith(".gz") or data[:2] == MEMBER[:2] or member >= 0 and not (version and version.start() < member)
+
+
 def salvage_gzip(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """As :func:`salvage_plain` for gzip archives; places are those of members in the file."""
     at, bad, why = 0, None, ""
@@ -131,6 +164,7 @@ def salvage_gzip(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
             reason = "" if unzip.eof else "member doesn't end"
         except zlib.error as e:
             reason = f"member: {e}"
+            parts.append(_before_error(data, at, end))
         if reason:
             text = b"".join(parts)
             stop = max((e for _, e, r, _ in salvage_plain(text) if r is not None), default=0)
@@ -140,7 +174,7 @@ def salvage_gzip(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
                     bad = None
                 yield at, at, record, wrong
             bad, why = (at, reason) if bad is None else (bad, why)
-            following = data.find(b"\x1f\x8b\x08", at + 1)
+            following = data.find(MEMBER, at + 1)
             at = following if following >= 0 else len(data)
             continue
         if bad is not None:
@@ -169,7 +203,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
             data, rows = content.as_buffer().to_pybytes(), []
-            salvage = salvage_gzip if data[:2] == b"\x1f\x8b" or path.endswith(".gz") else salvage_plain
+            salvage = salvage_gzip if _is_gzip(data, path) else salvage_plain
             for start, end, r, reason in salvage(data):
                 if r is None:
                     rows.append((None, None, None, None, None, None, None, path, start, end, True, reason))

@@ -388,6 +388,29 @@ def test_salvage():
     assert list(warc.salvage_plain(b"")) == []
 
 
+def test_salvage_of_written_archives(spark, tmp_path):
+    """A damaged byte costs one record of a file that write_warc wrote, wherever it is."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "u", "".join(rng.choices("abcdefgh é", k=600))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.with_records(df).coalesce(1), f"file://{tmp_path}/whole")
+    (file,) = tmp_path.glob("whole/part-*")
+    data = file.read_bytes()
+    assert gzip.decompress(data).count(b"WARC/1.1") == 60
+    for n, at in enumerate([0, len(data) // 2, len(data) - 60]):
+        (tmp_path / f"hurt{n}").mkdir()
+        (tmp_path / f"hurt{n}" / file.name).write_bytes(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :])
+        back = warc.read_warc(spark, f"file://{tmp_path}/hurt{n}").collect()
+        assert len({r.page_id for r in back if not r.gap}) >= 59 and any(r.gap for r in back)
+
+
+def test_salvage_before_damage_in_a_slice():
+    good = [record(i, random.randbytes(300)) for i in range(40)]
+    data = bytearray(gzip.compress(b"".join(good)))
+    data[len(data) - 4000 : len(data) - 3980] = bytes(20)
+    found = list(warc.salvage_gzip(bytes(data)))
+    assert len(data) < 65536 and any(r is None for _, _, r, _ in found) and sum(r is not None for _, _, r, _ in found) > 20
+
+
 # decontamination -------------------------------------------------------------------------------
 def test_decontamination(spark, docs):
     filler = lambda n: " ".join(random.choice(WORDS) + str(random.randint(0, 99999)) for _ in range(n))
