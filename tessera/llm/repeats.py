@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import flat_bytes, keep, real_id, slices, with_ids
-from tessera.llm.textarrays import _BYTES, mix, powers, rolling_min, window_hashes, words
+from tessera.llm.textarrays import eight_bytes, mix, powers, rolling_min, window_hashes, words
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
@@ -80,14 +80,7 @@ def symbols(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> Symbols:
 def _gram_hashes(unit: Unit, values: np.ndarray) -> np.ndarray:
     if unit.kind == "words":
         return window_hashes(values, unit.gram)
-    # eight bytes from each place on, as one number
-    padded = np.zeros(len(values) + 8, np.uint8)
-    padded[: len(values)] = values
-    wide = np.empty(len(values) + 1, np.uint64)
-    for k in range(8):
-        part = padded[k : k + (len(wide) - k + 7) // 8 * 8]
-        own = part[: len(part) // 8 * 8].view("<u8")
-        wide[k::8] = own[: len(wide[k::8])]
+    wide = np.ascontiguousarray(eight_bytes(values))
     n = len(values) - unit.gram + 1
     out, more = wide[:n] * np.uint64(0x9FB21C651E98DF25), np.empty(n, np.uint64)
     for at in sorted({*range(8, unit.gram - 8, 8), unit.gram - 8} - {0}):
@@ -100,12 +93,23 @@ def _gram_hashes(unit: Unit, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(unit: Unit, values: np.ndarray) -> np.ndarray:
-    """Prefix sums of units times powers: the difference of two, times an inverse power, hashes a run."""
-    up, _ = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((_BYTES[values] if unit.kind == "bytes" else values) * up[: len(values)], out=sums[1:])
-    return sums
+class Runs:
+    """Hashes of runs of units: the difference of two prefix sums, times an inverse power. Bytes are summed as mixed
+    groups of eight, so the sums are of no single symbol and alternating patterns don't cancel out."""
+
+    def __init__(self, unit: Unit, values: np.ndarray):
+        self.tail = 7 if unit.kind == "bytes" else 0
+        if self.tail:
+            values = eight_bytes(values)[: max(0, len(values) - 7)] * np.uint64(0x9FB21C651E98DF25)
+            values ^= values >> np.uint64(32)
+            values *= np.uint64(0xD6E8FEB86659FD93)
+            values ^= values >> np.uint64(29)
+        up, self.down = powers(len(values) + self.tail + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def hash(self, first: np.ndarray, units: np.ndarray | int) -> np.ndarray:
+        return mix((self.sums[first + units - self.tail] - self.sums[first]) * self.down[first] + np.asarray(units).astype(np.uint64))
 
 
 def super_windows(unit: Unit, s: Symbols) -> SuperWindows:
@@ -128,10 +132,8 @@ def super_windows(unit: Unit, s: Symbols) -> SuperWindows:
         stop = np.r_[edge[1:], n]
         fine = whole[edge]
         first, count = edge[fine], (stop - edge)[fine]
-        _, down = powers(len(values) + 1)
-        sums = _sums(unit, values)
-        content = (sums[first + count + unit.length - 1] - sums[first]) * down[first] + count.astype(np.uint64)
-        parts.append((first + at, count, doc[first], mix(grams[place[first].astype(np.int64)] ^ np.uint64(0x5851F42D4C957F2D)), mix(content)))
+        content = Runs(unit, values).hash(first, count + unit.length - 1)
+        parts.append((first + at, count, doc[first], mix(grams[place[first].astype(np.int64)] ^ np.uint64(0x5851F42D4C957F2D)), content))
     if not parts:
         none = np.zeros(0, np.int64)
         return SuperWindows(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
@@ -167,9 +169,7 @@ def crowded_windows(unit: Unit, s: Symbols, w: SuperWindows, d: Distinct, at: np
     count = w.count[own]
     start = np.repeat(w.first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     doc = ids[np.repeat(w.doc[own], count)]
-    _, down = powers(len(s.values) + 1)
-    sums = _sums(unit, s.values)
-    hashes, sample, place = np.unique(mix((sums[start + unit.length] - sums[start]) * down[start]), return_index=True, return_inverse=True)
+    hashes, sample, place = np.unique(Runs(unit, s.values).hash(start, unit.length), return_index=True, return_inverse=True)
     least = np.full(len(hashes), np.iinfo(np.int64).max)
     np.minimum.at(least, place, doc)
     return Windows(start, doc, place, hashes, start[sample], least)

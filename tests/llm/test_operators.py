@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, common, decontaminate, line_dedup, mtree, packing, repeats, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from tessera.llm import chat_format, common, decontaminate, line_dedup, mtree, packing, repeats, simhash, substring_dedup, suffix_dedup, textarrays, toxicity, warc
 from tests.compare import connect, rows
 
 random.seed(5)
@@ -163,6 +165,20 @@ def test_word_dedup(docs, empty, length):
     assert multiset(crowded, "doc_id", "n_units", "n_removed", "n_spans", F.sha2("kept", 256)) == got
 
 
+def test_unequal_words_and_bytes_that_cancel_out_in_polynomials(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 in any base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_words(df).collect()} == {1: 0, 2: 0, 3: 13}
+    data = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    assert len(set(textarrays.word_hashes(data, np.array([0, 1025]), np.array([1024, 2049])).tolist())) == 2
+    short = [w.encode() for w in ("a", "ab", "abc", "b", "ba", "abcdefgh", "abcdefgi", "abcdefgha", "abcdefgh\x00")]
+    ends = np.cumsum([len(w) for w in short])
+    assert len(set(textarrays.word_hashes(np.frombuffer(b"".join(short), np.uint8), ends - [len(w) for w in short], ends).tolist())) == len(short)
+
+
 def test_many_contexts_of_one_passage(spark):
     passage = "".join(random.choice("abcdefghij ") for _ in range(90))
     texts = [(i, "".join(random.choice("klmnop ") for _ in range(70)) + passage[: 90 - i % 20] + "".join(random.choice("qrstuv ") for _ in range(70))) for i in range(400)]
@@ -301,42 +317,53 @@ def test_top_k_is_exact(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 8))
     vectors = [(i, (base[i % 6] + rng.normal(size=8) * 0.2).tolist()) for i in range(400)]
-    vectors += [(1000 + i, vectors[7][1]) for i in range(300)] + [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 8), (2003, [0.5, 0.25]), (2050, []), (None, [1.0] * 8), (0, vectors[0][1]), (2100, [1e300] * 8)]
+    vectors += [(1000 + i, vectors[7][1]) for i in range(300)] + [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 8), (2003, [0.5, 0.25]), (2050, []), (None, [1.0] * 8), (0, vectors[0][1])]
+    vectors += [(2100, [1e300] * 8), (2101, [-1e300, 1e-300, 5.0]), (2150, [1.0, 70000.0]), (2151, [70000.0, -3e9]), (2200, [float("inf"), 1.0]), (2201, [1.7e308] * 8), (2250, [0.0] * 8)]
     df = spark.createDataFrame([(i, v, "c") for i, v in vectors], "vec_id long, embedding array<double>, v string")
     clean = {}
     for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(256 * x) < mtree.LIMIT for x in v):
-            clean[i] = np.array([*(int(np.floor(256 * x)) for x in v), *[0] * (8 - len(v))])
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            clean[i] = [*(math.floor(Fraction(x) * 256) for x in v), *[0] * (8 - len(v))]
     want = set()
     for q, v in clean.items():
         if q % 50 == 0:
-            best = sorted((-int(v @ c), i) for i, c in clean.items() if i != q)[:5]
-            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+            best = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in clean.items() if i != q)[:5]
+            want |= {(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)}
     got = mtree.top_k(df, k=5, every=50, sample=64, nodes=7)
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
     assert mtree.top_k(df.limit(0)).count() == 0
 
 
+def test_sort_keys_order_as_numbers():
+    numbers = [0, 1, -1, 255, -256, 2**63, -(2**63), 10**40, -(10**40), 10**600, -(10**600)] + [random.randint(-(2**70), 2**70) for _ in range(200)]
+    assert [n for _, n in sorted((mtree.sort_key(n), n) for n in numbers)] == sorted(numbers)
+    assert all(int.from_bytes(mtree.sort_key(n)[5:], "big", signed=True) == n for n in numbers)
+
+
 def test_search_skips_what_bounds_exclude():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16)) * 300
-    v = np.vstack([c + rng.normal(size=(100, 16)) * 4 for c in centres]).astype(np.int64)
-    top = float((v * v).sum(1).max())
-    pages = []
-    lifted = mtree._lift(v, top)
-    pivots = np.array([lifted[i * 100 : i * 100 + 100].mean(0) for i in range(20)])
+    v = np.floor(np.vstack([c + rng.normal(size=(100, 16)) * 4 for c in centres])) / 256
+    top = float(((v * 2.0**-5) ** 2).sum(1).max())
+    tree = mtree.Tree(16, 256, {0: top}, 0, {0: (list(range(0, 2000, 7)), v[::7])}, 20)
+    lifted = tree.lift(v, 0)
+    node = ((lifted[:, None] - tree.pivots[None]) ** 2).sum(2).argmin(1)
+    searches = []
     for n in range(20):
-        own = lifted[n * 100 : n * 100 + 100]
+        at = np.flatnonzero(node == n)
+        own = lifted[at]
         distances = np.sqrt(((own - own[0]) ** 2).sum(1))
-        pages.append({"node": n, "radius": distances.max(), "parent_distance": float(np.sqrt(((own[0] - pivots[n]) ** 2).sum())), "centre": own[0].tobytes(), "ids": np.arange(n * 100, n * 100 + 100).tobytes(), "rows": v[n * 100 : n * 100 + 100].astype("<i4").tobytes(), "distances": distances.tobytes()})
-    tree = mtree.Search(pages, pivots, 16, top)
+        searches.append(mtree.Search([{"node": n, "radius": distances.max(), "parent_distance": float(np.sqrt(((own[0] - tree.pivots[n]) ** 2).sum())), "centre": own[0].tobytes(), "ids": at.tobytes(), "rows": v[at].tobytes(), "distances": distances.tobytes()}], tree))
     for q in range(0, 2000, 97):
-        ids, scores = tree.top_k(q, v[q], 5, None)
-        every = v @ v[q]
+        found, floor = [], None
+        for search in searches:
+            found = mtree.best(found + search.top_k(q, v[q], 5, floor), 5)
+            floor = found[-1][0] if len(found) == 5 else None
+        every = np.rint((v * 256) @ (v[q] * 256)).astype(np.int64)
         every[q] = -(2**62)
         order = np.lexsort((np.arange(2000), -every))[:5]
-        assert ids.tolist() == order.tolist()
-    assert tree.scored < 0.6 * 2000 * len(range(0, 2000, 97))
+        assert [i for _, i in found] == order.tolist()
+    assert sum(s.scored for s in searches) < 0.6 * 2000 * len(range(0, 2000, 97))
 
 
 # archives --------------------------------------------------------------------------------------
