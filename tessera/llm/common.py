@@ -17,10 +17,12 @@ NULL_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is ``spark.checkpoint.dir``; only
-    where that is unset (tests, a single machine) a temporary one is made and set."""
+    """The folder that driver and executors share. It is ``spark.checkpoint.dir``; only where that
+    is unset on a single machine (tests) a temporary one is made and set. A cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")

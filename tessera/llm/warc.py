@@ -9,13 +9,15 @@ next gzip member or version line, goes on from there, and logs the bytes between
 
 Defined results: a null html is an empty payload, a null url an empty one; rows that share the
 smallest page_id of a payload are all responses; a null page_id counts as smallest; extra
-columns play no part; an empty table gives no records.
+columns play no part; an empty table gives no files and no records. A payload of any length that a
+string holds is one record; a file longer than ``file_bytes`` holds one such record last.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, real_id, scratch_path, with_ids
+from tessera.llm.common import NULL_ID, keep, real_id, scratch_path, with_ids
 
+LOG = logging.getLogger(__name__)
 END = "\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
 #: A gzip member without content.
@@ -48,15 +51,27 @@ def with_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [gzip.compress(r.as_buffer().to_pybytes() + END.encode(), 6, mtime=0) for r in batch["value"]]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+def _archives(zipped: bool, file_bytes: int):
+    """The records of a task joined to the contents of files: ``file_bytes`` or a record more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        rows = (r.as_buffer().to_pybytes() for batch in batches for r in batch["value"])
+        for row in rows:
+            held.append(gzip.compress(row + END.encode(), 6, mtime=0) if zipped else row)
+            size += len(held[-1])
+            if size >= file_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([(b"" if zipped else END.encode()).join(held)], pa.binary())], names=["value"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([(b"" if zipped else END.encode()).join(held)], pa.binary())], names=["value"])
+
+    return run
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 4000, compression: str = "gzip") -> None:
-    """Write the rows of :func:`with_records` as archives of ``per_file`` records at most, each
-    record one gzip member, or plain with ``compression="none"``."""
+def write_warc(records: DataFrame, path: str, file_bytes: int = 32 << 20, compression: str = "gzip") -> None:
+    """Write the rows of :func:`with_records` as archives that end with the record that takes them to
+    ``file_bytes``. Each record is one gzip member, or plain with ``compression="none"``."""
     crlf = F.lit("\r\n")
     # nothing in a header may end its line
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -78,10 +93,11 @@ def write_warc(records: DataFrame, path: str, per_file: int = 4000, compression:
         crlf,
     )
     block = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
-    rows, separator = records.select(F.concat(head.cast("binary"), http.cast("binary"), block).alias("value")), END
-    if compression == "gzip":
-        rows, separator = rows.mapInArrow(_members, "value binary"), NOTHING.decode("latin-1")
-    writer = rows.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", per_file).option("compression", "none")
+    rows = records.select(F.concat(head.cast("binary"), http.cast("binary"), block).alias("value"))
+    rows = rows.mapInArrow(_archives(compression == "gzip", file_bytes), "value binary")
+    separator = NOTHING.decode("latin-1") if compression == "gzip" else END
+    # a row holds a whole file by now
+    writer = rows.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none")
     writer.option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)  # the encoding is the separator's alone
 
 
@@ -108,10 +124,14 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     split = block.find(b"\r\n\r\n")
     http = fields.get("content-type", "").startswith("application/http")
     payload = block[split + 4 :] if http and split >= 0 else block
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    if fields.get("warc-type") != "revisit" and digest and hashlib.sha256(payload).hexdigest() != digest:
-        return None, at, "wrong digest"
-    return fields | {"payload": payload, "digest": digest}, stop + 4, ""
+    digest, size = fields.get("warc-payload-digest", "").removeprefix("sha256:"), fields.get("warc-payload-length", "")
+    if fields.get("warc-type") != "revisit":
+        own = hashlib.sha256(payload).hexdigest()
+        if digest and own != digest:
+            return None, at, "wrong digest"
+        digest, size = own, str(len(payload))
+    # a revisit's payload is elsewhere: its headers tell digest and length
+    return fields | {"payload": payload, "digest": digest, "size": int(size) if size.isdigit() else None}, stop + 4, ""
 
 
 def salvage_plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
@@ -208,7 +228,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if r is None:
                     rows.append((None, None, None, None, None, None, None, path, start, end, True, reason))
                 else:
-                    rows.append((_id(r.get("warc-record-id")), int(r.get("warc-payload-length", len(r["payload"]))), r["digest"], r.get("warc-type"), _id(r.get("warc-refers-to")), r.get("warc-target-uri"), r["payload"], path, start, end, False, None))
+                    rows.append((_id(r.get("warc-record-id")), r["size"], r["digest"], r.get("warc-type"), _id(r.get("warc-refers-to")), r.get("warc-target-uri"), r["payload"], path, start, end, False, None))
                 if len(rows) >= 2000:
                     yield table(rows)
                     rows = []
@@ -224,7 +244,10 @@ def read_warc(spark, path: str) -> DataFrame:
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(with_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    records = read_warc(spark, path).where("NOT gap")
+    found = keep(read_warc(spark, path).drop("payload", "url"), "warc-records")
+    for row in found.where("gap").groupBy("reason").agg(F.count("*").alias("gaps"), F.sum(F.col("end") - F.col("start")).alias("size")).limit(100).collect():
+        LOG.warning("%d gaps, %d bytes quarantined: %s", row["gaps"], row["size"], row["reason"])
+    records = found.where("NOT gap")
     refers = F.when(F.col("refers_to") != NULL_ID, F.col("refers_to")).alias("refers_to")
     return records.select(real_id("page_id"), "payload_bytes", "payload_digest", "record_type", refers)
 

@@ -373,7 +373,7 @@ def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(*p, "clash", 3) for p in pages], "page_id long, url string, html string, payload string, first int")
     for codec in ("gzip", "none"):
         path = f"file://{tmp_path}/{codec}"
-        warc.write_warc(warc.with_records(df), path, per_file=3, compression=codec)
+        warc.write_warc(warc.with_records(df), path, file_bytes=400, compression=codec)
         back = warc.read_warc(spark, path)
         assert back.where("gap").count() == 0
         got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in back.collect())
@@ -383,7 +383,10 @@ def test_warc_round_trip(spark, tmp_path):
             again = html == big and i == 3
             want[key(i), len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", 1 if again else None, b"" if again else data] += 1
         assert got == want
+        assert len(list(tmp_path.glob(f"{codec}/part-*"))) > 2
     assert warc.with_records(df.limit(0)).count() == 0
+    warc.write_warc(warc.with_records(df.limit(0)), f"file://{tmp_path}/empty")
+    assert warc.read_warc(spark, f"file://{tmp_path}/empty").count() == 0
 
 
 def record(n, body=b"payload"):
