@@ -1,18 +1,19 @@
 """Benchmark decontamination with SimHash windows.
 
-Every window of an item's number of words is a candidate for that item. First, an exact bound:
-a window alike enough holds at least so many of the item's shingles, so others are left out
-by counting. Fingerprints of the rest are looked up in a multi-index: of four 16-bit blocks,
-one at least differs in no more than a quarter of ``radius`` bits, so every item within
-``radius`` is found. The weighted Jaccard similarity of the shingles then decides exactly.
+Every window of an item's number of words that shares a shingle with an item of that size is
+fingerprinted by running counts of bits (a window that shares none has similarity zero). The
+fingerprints are looked up in a multi-index: of five blocks one at least differs in no more than
+a fifth of ``radius`` bits, so every item within ``radius`` is found. The weighted Jaccard
+similarity of the shingles then decides exactly.
 
-Items go to the tasks in chunks of a fixed number of shingles, one pass over the documents a
+Items go to the tasks in chunks of a fixed number of bytes, one pass over the documents a
 chunk; nothing that grows without bound is broadcast.
 
 Defined results: a null or empty text or item has no words and matches nothing; an item of
 fewer words than a shingle is one shingle of all its words; a document shorter than an item
-is one window; a null doc_id comes back as null; equal rows of documents give equal rows,
-equal item_ids with different texts are items of their own; extra columns play no part.
+is one window, a document of any length is searched whole; a null doc_id comes back as null;
+equal rows of documents give equal rows, equal item_ids with different texts are items of their
+own, equal items are one; extra columns play no part; an empty table of either gives no rows.
 """
 
 from __future__ import annotations
@@ -29,27 +30,49 @@ from tessera.llm.simhash import simhash
 from tessera.llm.textarrays import window_hashes, words
 
 FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
-#: Shingles of items that a pass over the documents takes along, 8 bytes each.
-CHUNK_SHINGLES = 2_000_000
+#: Bytes of items' texts that a pass over the documents takes along.
+CHUNK_BYTES = 16 << 20
+#: Windows fingerprinted at a time.
+RUN = 1 << 15
 FILTER_BITS = 22
 
 
 class HammingIndex:
-    """Fingerprints by their 16-bit blocks; all within ``radius`` of a query are found."""
+    """A multi-index of fingerprints: five blocks of 13 or 12 bits, each with a table from block value to
+    the fingerprints (a bit mask) that differ from it in a fifth of ``radius`` bits at most. Of two
+    fingerprints within ``radius`` one block at least does, so a lookup in every table finds all."""
+
+    WIDTHS = (13, 13, 13, 13, 12)
 
     def __init__(self, fingerprints: np.ndarray, radius: int):
         self.fingerprints, self.radius = fingerprints.astype(np.uint64), radius
-        blocks = self.fingerprints.view(np.uint16).reshape(-1, 4)
-        self.tables = [np.unique(blocks[:, b], return_inverse=True) for b in range(4)]
-
-    def within(self, fingerprint: int) -> np.ndarray:
-        """Places of the fingerprints at ``radius`` differing bits or fewer."""
-        query = np.array([fingerprint], np.uint64)
-        near = np.zeros(len(self.fingerprints), bool)
-        for value, (values, place) in zip(query.view(np.uint16), self.tables, strict=True):
-            near |= (np.bitwise_count(values ^ value) <= self.radius // 4)[place]
-        found = np.flatnonzero(near)
-        return found[np.bitwise_count(self.fingerprints[found] ^ query[0]) <= self.radius]
+        self.tables = []
+        for shift, width in zip(np.cumsum((0, *self.WIDTHS[:-1])).tolist(), self.WIDTHS, strict=True):
+            values, low = np.arange(1 << width, dtype=np.uint64), np.uint64((1 << width) - 1)
+            table = np.zeros((1 << width, -(-len(fingerprints) // 64)), np.uint64)
+            for i, f in enumerate(self.fingerprints):
+                near = np.bitwise_count(values ^ ((f >> np.uint64(shift)) & low)) <= radius // 5
+                table[near, i // 64] |= np.uint64(1) << np.uint64(i % 64)
+            self.tables.append((np.uint64(shift), low, table))
+
+    def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries and of the fingerprints at ``radius`` differing bits or fewer from them."""
+        masks = np.zeros((len(queries), self.tables[0][2].shape[1]), np.uint64)
+        for shift, low, table in self.tables:
+            masks |= table[((queries >> shift) & low).astype(np.int64)]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(len(self.fingerprints)):
+            at = np.flatnonzero((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1))
+            at = at[np.bitwise_count(queries[at] ^ self.fingerprints[i]) <= self.radius]
+            found.append((at, np.full(len(at), i)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def rolling_fingerprints(hashes: np.ndarray, inside: int) -> np.ndarray:
+    """The SimHash of every run of ``inside`` shingle hashes, from running counts of their bits."""
+    counts = np.zeros((len(hashes) + 1, 64), np.int32)
+    np.cumsum(np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, out=counts[1:])
+    return np.packbits((counts[inside:] - counts[:-inside]) * 2 > inside, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -73,50 +96,58 @@ class Items:
                 self.ids.append(ids[i])
                 self.sizes.append(int(b - a))
                 self.shingles.append(window_hashes(w.hash[a:b], min(width, int(b - a))))
+        self.radius = radius
         self.fingerprints = np.array([simhash(s) for s in self.shingles], np.uint64)
-        # by size: an index of fingerprints and the items' places
-        self.index = {n: (np.flatnonzero(np.array(self.sizes) == n)) for n in set(self.sizes)}
-        self.hamming = {n: HammingIndex(self.fingerprints[at], radius) for n, at in self.index.items()}
-        owners = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.shingles]) if self.ids else np.zeros(0, int)
+        # by size: the items' places; their index is built in the task
+        self.of_size = {n: np.flatnonzero(np.array(self.sizes) == n) for n in set(self.sizes)}
+        self.hamming: dict[int, HammingIndex] = {}
+        sizes = np.repeat(np.array(self.sizes, np.int64), [len(s) for s in self.shingles]) if self.ids else np.zeros(0, np.int64)
         every = np.concatenate(self.shingles) if self.ids else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.sorted, self.owners = every[order], owners[order]
+        order = np.lexsort((sizes, every))
+        every, sizes = every[order], sizes[order]
+        new = np.r_[True, (every[1:] != every[:-1]) | (sizes[1:] != sizes[:-1])] if len(every) else np.zeros(0, bool)
+        #: Each shingle with the sizes of the items that hold it.
+        self.sorted, self.held_by = every[new], sizes[new]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[every >> np.uint64(64 - FILTER_BITS)] = True
         self.widths = sorted({min(width, n) for n in self.sizes})
 
-    def _candidates(self, hashes: np.ndarray) -> dict[int, int]:
-        """Items that share shingles with a text, and how many of the text's shingles they hold."""
-        lo, hi = np.searchsorted(self.sorted, hashes, "left"), np.searchsorted(self.sorted, hashes, "right")
-        counts: dict[int, int] = {}
-        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-            for item in set(self.owners[a:b].tolist()):
-                counts[item] = counts.get(item, 0) + 1
-        return counts
+    def _index(self, size: int) -> HammingIndex:
+        if size not in self.hamming:
+            self.hamming[size] = HammingIndex(self.fingerprints[self.of_size[size]], self.radius)
+        return self.hamming[size]
 
     def search(self, word_hashes: np.ndarray, width: int, hits: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of one document, for items of shingle ``width``."""
+        """(item, similarity, first word, words) of one document, for items of shingle ``width``. ``hits``:
+        places of shingles that some item holds. A window without one has similarity zero; every other
+        window of an item's size is fingerprinted and looked up."""
         every = window_hashes(word_hashes, width)
-        for item, shared in self._candidates(every[hits]).items():
-            size, own = self.sizes[item], self.shingles[item]
+        lo, hi = np.searchsorted(self.sorted, every[hits], "left"), np.searchsorted(self.sorted, every[hits], "right")
+        place = np.repeat(hits, hi - lo)
+        size_of = self.held_by[np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(len(place))]
+        for size in np.unique(size_of).tolist():
             if min(self.width, size) != width:
                 continue
             n = min(size, len(word_hashes))
             inside = n - width + 1
-            least = self.similarity / (1 + self.similarity) * (inside + len(own)) - 1e-9
-            if shared < least:
-                continue
-            held = np.r_[0, np.cumsum(np.isin(every, own))]
-            best = None
-            for at in np.flatnonzero(held[inside:] - held[:-inside] >= least).tolist():
-                window = every[at : at + inside]
-                if item not in self.index[size][self.hamming[size].within(simhash(window))]:
-                    continue
-                value = weighted_similarity(window, own)
-                if value >= self.similarity - 1e-12 and (best is None or value > best[0]):
-                    best = (value, at)
-            if best is not None:
-                yield item, best[0], best[1], n
+            marks = np.zeros(len(every) + 2, np.int32)
+            at = place[size_of == size]
+            np.add.at(marks, np.maximum(at - inside + 1, 0), 1)
+            np.add.at(marks, at + 1, -1)
+            wanted = np.cumsum(marks)[: len(every) - inside + 1] > 0
+            edges = np.flatnonzero(np.diff(np.r_[False, wanted, False].astype(np.int8)))
+            best: dict[int, tuple[float, int]] = {}
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                for first in range(a, b, RUN):
+                    last = min(first + RUN, b)
+                    prints = rolling_fingerprints(every[first : last + inside - 1], inside)
+                    for start, item in zip(*(x.tolist() for x in self._index(size).within(prints)), strict=True):
+                        item = int(self.of_size[size][item])
+                        value = weighted_similarity(every[first + start : first + start + inside], self.shingles[item])
+                        if value >= self.similarity - 1e-12 and (item not in best or value > best[item][0]):
+                            best[item] = (value, first + start)
+            for item, (value, start) in sorted(best.items()):
+                yield item, value, start, n
 
 
 def _search(items: Items):
@@ -147,8 +178,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, similar
     window. ``radius``: of 64 bits; at similarity 0.8 about 10 differ, with a deviation of 3."""
     texts = with_ids(docs, F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    chunks = total // CHUNK_SHINGLES + 1
+    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    chunks = total // CHUNK_BYTES + 1
     found = None
     for c in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).orderBy("item_id", "text").collect()

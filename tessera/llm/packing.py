@@ -6,8 +6,9 @@ more than the histogram of lengths: at most ``max_tokens`` numbers reach the dri
 the input. The resulting plan says which ranks of each length go where; ranks are given out
 in parallel, with frequent lengths dealt over many buckets.
 
-Defined results: a null or empty text is the end token alone; equal rows are packed each; a
-null doc_id stays null; extra columns play no part; no rows give no sequences.
+Defined results: a null or empty text is the end token alone; a text of any length is cut into
+pieces, the first of which may be shorter; equal rows are packed each; a null doc_id stays null;
+extra columns play no part; no rows give no sequences.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ from tessera.llm.common import keep, real_id, slices, with_ids
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length that one task ranks.
 BUCKET_ROWS = 1024
+#: Tokens decide; among bins with as many left, the one with fewer documents and less attention left.
+WEIGHTS = (1.0, 1e-7, 1e-7)
+#: Residual vectors told apart; beyond this those of equal tokens are merged.
+MAX_STATES = 20_000
+#: Rows of a plan that are broadcast, 48 bytes each; a longer plan is joined by shuffle.
+BROADCAST_ROWS = 200_000
 _encoders: dict = {}
 
 
@@ -51,6 +58,12 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+    def check(self, text: str) -> None:
+        """Both files give one text the same ids; tried on a short one of every MB."""
+        if self.exact.encode(text[:4096], add_special_tokens=False).ids != self.ids(text[:4096]):
+            raise ValueError("the rank file and the JSON file give different ids")
+
+
 def encoder(json_path: str, ranks_path: str) -> Encoder:
     """One encoder for each worker process."""
     if (json_path, ranks_path) not in _encoders:
@@ -63,7 +76,9 @@ def _pieces(json_path: str, ranks_path: str, max_tokens: int, end_id: int):
         e = encoder(json_path, ranks_path)
         for batch in (part for b in batches for part in slices(b, "text")):
             rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            texts = batch["text"].to_pylist()
+            e.check(min((t for t in texts if t), key=len, default=""))
+            for doc, text in zip(batch["doc_id"].to_pylist(), texts, strict=True):
                 ids = np.array([*e.ids(text or ""), end_id], "<u4")
                 cuts = [0, *range(len(ids) % max_tokens or max_tokens, len(ids), max_tokens), len(ids)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -82,30 +97,48 @@ def tokenized_pieces(docs: DataFrame, max_tokens: int = 1024, end_id: int = 2, j
     return texts.mapInArrow(_pieces(json_path, ranks_path, max_tokens, end_id), PIECES)
 
 
-def best_fit_plan(
-    counts: dict[int, int],
-    max_tokens: int,
-    max_docs: int | None = None,
-    max_attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
-    score: str = "norm",
-) -> list[tuple[int, int, int, int, int, int]]:
-    """Vector best-fit-decreasing over a histogram of lengths. Each row of the plan, (length,
-    first rank, items, first bin, items per bin, offset), places consecutive ranks of a length
-    in consecutive bins. ``score``: "norm" takes the bin whose weighted residual norm is
-    smallest after placing, "dot" the one whose residual has the largest weighted dot-product
-    with the item. Bins with equal residuals are handled together, item by item in effect.
-    Capacities that the tokens alone already enforce are left out."""
-    docs_cap = max_docs if max_docs is not None and max_docs < max_tokens else None
-    cost_cap = max_attention if max_attention is not None and max_attention < max_tokens**2 else None
-    dims = [0] + [1] * (docs_cap is not None) + [2] * (cost_cap is not None)
-    full = np.array([max_tokens, docs_cap or 0, cost_cap or 0], np.int64)[dims]
-    scale = np.array(weights, float)[dims] / np.maximum(full, 1) ** 2
-    groups: dict[tuple, list[list[int]]] = {}  # residual: runs of (first bin, bins)
-    plan, bins = [], 0
-
-    def take(residual: tuple, want: int) -> list[tuple[int, int]]:
-        runs, out = groups[residual], []
+class _Bins:
+    """Runs of bins by residual vector, in arrays that grow, so that the best one is a vector operation away."""
+
+    def __init__(self, dims: int):
+        self.residual, self.alive, self.n = np.zeros((1024, dims), np.int64), np.zeros(1024, bool), 0
+        self.at: dict[tuple, int] = {}
+        self.runs: list[list[list[int]]] = []
+
+    def add(self, residual: tuple, first: int, bins: int) -> None:
+        if residual not in self.at:
+            if self.n == len(self.alive):
+                self.compact()
+            if self.n == len(self.alive):
+                self.residual = np.concatenate([self.residual, np.zeros_like(self.residual)])
+                self.alive = np.concatenate([self.alive, np.zeros_like(self.alive)])
+            self.residual[self.n], self.alive[self.n], self.at[residual] = residual, True, self.n
+            self.runs.append([])
+            self.n += 1
+        self.runs[self.at[residual]].append([first, bins])
+
+    def compact(self) -> None:
+        old = [(r, self.runs[i]) for r, i in self.at.items()]
+        self.alive[:], self.n, self.at, self.runs = False, 0, {}, []
+        for residual, runs in old:
+            self.residual[self.n], self.alive[self.n], self.at[residual] = residual, True, self.n
+            self.runs.append(runs)
+            self.n += 1
+
+    def merge(self) -> None:
+        """One state for each token residual, with the smallest of the other residuals: still within every capacity."""
+        old = [(r, self.runs[i]) for r, i in self.at.items()]
+        least: dict[int, tuple] = {}
+        for residual, _ in old:
+            least[residual[0]] = tuple(min(x) for x in zip(residual, least.get(residual[0], residual), strict=True))
+        self.alive[:], self.n, self.at, self.runs = False, 0, {}, []
+        for residual, runs in old:
+            for first, bins in runs:
+                self.add(least[residual[0]], first, bins)
+
+    def take(self, residual: tuple, want: int) -> list[tuple[int, int]]:
+        at, out = self.at[residual], []
+        runs = self.runs[at]
         while want and runs:
             first, n = runs.pop()
             if n > want:
@@ -114,43 +147,70 @@ def best_fit_plan(
             out.append((first, n))
             want -= n
         if not runs:
-            del groups[residual]
+            self.alive[at] = False
+            del self.at[residual]
         return out
 
+    def best(self, item: np.ndarray, scale: np.ndarray, score: str) -> tuple | None:
+        r = self.residual[: self.n]
+        fits = np.flatnonzero(self.alive[: self.n] & (r >= item).all(1))
+        if not len(fits):
+            return None
+        r = r[fits]
+        value = (scale * (r - item) ** 2).sum(1) if score == "norm" else -(scale * r * item).sum(1)
+        return tuple(int(x) for x in r[int(np.argmin(value))])
+
+
+def best_fit_plan(
+    counts: dict[int, int],
+    max_tokens: int,
+    max_docs: int | None = None,
+    max_attention: int | None = None,
+    weights: tuple[float, float, float] = WEIGHTS,
+    score: str = "norm",
+    max_states: int = MAX_STATES,
+) -> list[tuple[int, int, int, int, int, int]]:
+    """Vector best-fit-decreasing over a histogram of lengths. Each row of the plan, (length,
+    first rank, items, first bin, items per bin, offset), places consecutive ranks of a length
+    in consecutive bins. A bin's residual vector is of tokens, documents and attention cost (the
+    sum of squared lengths); an item goes only where all three are left. ``score``: "norm" takes the
+    bin whose weighted residual norm is smallest after placing, "dot" the one whose residual has the
+    largest weighted dot-product with the item.
+
+    Bins with equal residuals are handled together, item by item in effect: with "norm" the chosen
+    bin stays best until it is full, with "dot" all bins of the residual come before any other, and a
+    new bin is filled as far as the item fits. Beyond ``max_states`` residuals those of equal tokens
+    are merged into the tightest of them, which bounds the work whatever the input."""
+    full = np.array([max_tokens, max_docs or max_tokens, max_attention or max_tokens**2], np.int64)
+    scale = np.array(weights, float) / full.astype(float) ** 2
+    bins, plan, opened = _Bins(3), [], 0
     for length in sorted(counts, reverse=True):
-        item = np.array([length, 1, length * length], np.int64)[dims]
+        item = np.array([length, 1, length * length], np.int64)
         if (item > full).any():
             raise ValueError(f"a piece of {length} tokens fits no sequence")
         left, rank = counts[length], 0
         while left:
-            best = None
-            if groups:
-                residuals = np.array(list(groups), np.int64).reshape(len(groups), -1)
-                fits = np.flatnonzero((residuals >= item).all(1))
-                if len(fits):
-                    r = residuals[fits]
-                    value = (scale * (r - item) ** 2).sum(1) if score == "norm" else -(scale * r * item).sum(1)
-                    best = tuple(int(x) for x in r[int(np.argmin(value))])
-            residual = best if best is not None else tuple(int(x) for x in full)
-            most = int((np.array(residual) // item).min())
-            per = min(most, left) if score == "norm" else 1
-            want = max(1, left // per)
-            if best is not None:
-                runs = take(best, want)
+            if len(bins.at) > max_states:
+                bins.merge()
+            residual = bins.best(item, scale, score)
+            if residual is None:
+                residual = tuple(int(x) for x in full)
+                per = min(int((full // item).min()), left)
+                runs = [(opened, left // per)]
+                opened += left // per
             else:
-                # with "dot" an opened bin beats opening another, so one is opened at a time
-                want = want if score == "norm" else 1
-                per = per if score == "norm" else min(most, left)
-                runs, bins = [(bins, want)], bins + want
+                per = min(int((np.array(residual) // item).min()), left) if score == "norm" else 1
+                runs = bins.take(residual, left // per)
             after = tuple(int(x) for x in np.array(residual) - per * item)
             for first, n in runs:
                 plan.append((length, rank, n * per, first, per, max_tokens - residual[0]))
                 rank, left = rank + n * per, left - n * per
-                groups.setdefault(after, []).append([first, n])
+                if after[0] and after[1]:
+                    bins.add(after, first, n)
     return plan
 
 
-def pack(docs: DataFrame, max_tokens: int = 1024, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm", **tokenizer) -> DataFrame:
+def pack(docs: DataFrame, max_tokens: int = 1024, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm", **tokenizer) -> DataFrame:
     """Every piece with its sequence_id and its gapless offset there. Pieces are no longer than
     ``max_tokens`` and than what ``max_attention`` leaves for one document."""
     spark = docs.sparkSession
@@ -160,14 +220,17 @@ def pack(docs: DataFrame, max_tokens: int = 1024, max_docs: int | None = None, m
     plan = best_fit_plan(counts, max_tokens, max_docs, max_attention, weights, score)
     dealt = spark.createDataFrame([(k, n // BUCKET_ROWS + 1) for k, n in counts.items()], "length long, buckets long")
     rows = spark.createDataFrame(plan, "length long, first_rank long, items long, first_bin long, per_bin long, base long")
-    # both tables have a bounded number of rows: lengths, and a few for each length
+    rows = rows.withColumnRenamed("length", "plan_length")
+    if len(plan) <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    # at most max_tokens rows
     bucketed = pieces.join(F.broadcast(dealt), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets"))
     sizes = bucketed.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     local = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = bucketed.withColumn("local", F.row_number().over(local)).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("local") - 1)
-    placed = ranked.join(F.broadcast(rows.withColumnRenamed("length", "plan_length")), (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("items")))
+    placed = ranked.join(rows, (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("items")))
     nth = F.col("rank") - F.col("first_rank")
     return placed.select(
         real_id(), "piece", "start", "length", "ids_crc32",
@@ -177,5 +240,5 @@ def pack(docs: DataFrame, max_tokens: int = 1024, max_docs: int | None = None, m
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    # at most 1024 documents and 1024 x 1024 attention pairs fit 1024 tokens: no further limit
+    # the contract limits tokens alone: the other capacities are as large as 1024 tokens can need
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_tokens=1024, max_docs=1024, max_attention=1024 * 1024)

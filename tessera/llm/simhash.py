@@ -1,15 +1,15 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming links, components.
 
 Fingerprints are computed once per document and reduced to distinct ones before any join, so a
-group of copies is one fingerprint however large it is. Blocks: fingerprints within ``radius``
-bits agree on at least ``blocks - radius`` of the blocks; those that share no such block value
-with another fingerprint are out. The others are verified without forming pairs of a group:
-two fingerprints within 2 bits have a common neighbour within 1 bit of both, and no more than
-65 fingerprints share such a neighbour.
-
-Defined results: a null text is empty; no words give fingerprint zero, linked like any other;
-rows of one doc_id get one row each and are linked through it; a null doc_id is smallest and
-comes back as null; extra columns play no part.
+group of copies is one fingerprint however large it is. Blocks: fingerprints within two bits
+agree on all but two of the blocks; a join on those finds the candidates and the Hamming distance
+verifies them. Keys that many fingerprints share are linked through common neighbours instead.
+
+Defined results: a null text is empty; no words give fingerprint zero, linked like any other; a
+text of any length is one fingerprint of all its shingles; rows of one doc_id get one row each,
+with a fingerprint each, and are linked through their fingerprints only, so that rows of one
+doc_id with unlike texts may be in different components; a null doc_id is smallest and comes back
+as null; extra columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +20,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, flat_bytes, keep, real_id, slices, with_ids
+from tessera.llm.repeats import _runs, pack, short, unpack, wide
 from tessera.llm.textarrays import mix, window_hashes, words
 
 SEED = 42
+#: Fingerprints of one block key that the join compares with each other; more go by common neighbours.
+DENSE = 64
+#: Distinct fingerprints from which five blocks make longer keys than four.
+MANY = 1 << 28
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -83,28 +88,37 @@ def block_keys(fp: Column, radius: int = 2, blocks: int = 4) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)))
 
 
-def hamming_links(fps: DataFrame) -> DataFrame:
+def hamming_links(fps: DataFrame, blocks: int = 4, dense: int = DENSE) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp``, each at 2 differing bits or fewer, that
-    connect all fingerprints which such links connect."""
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = keep(keyed.join(shared, "key", "left_semi").select("fp").distinct(), "near")
+    connect all fingerprints which such links connect.
+
+    Fingerprints within 2 bits agree on ``blocks - 2`` of the blocks at least: a join on those finds
+    every close pair, and the Hamming distance verifies it. Where more than ``dense`` fingerprints share
+    a key, no pairs are formed: two of them within 2 bits have a common neighbour within 1 bit of both,
+    and no more than 65 fingerprints share such a neighbour, so stars around it link the same."""
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
+    keyed = keep(fps.select("fp", F.explode(block_keys(F.col("fp"), 2, blocks)).alias("key")).select("fp", "key.choice", "key.bits"), "blocks")
+    shared = keep(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1"), "shared-blocks")
+    few = shared.where(F.col("n") <= dense).select("choice", "bits")
+    members = keyed.join(few, ["choice", "bits"], "left_semi")
+    other = members.select("choice", "bits", F.col("fp").alias("b"))
+    joined = members.withColumnRenamed("fp", "a").join(other, ["choice", "bits"]).where((F.col("a") < F.col("b")) & close(F.col("a"), F.col("b"))).select("a", "b")
+    crowd = keyed.join(shared.where(F.col("n") > dense).select("choice", "bits"), ["choice", "bits"], "left_semi").select("fp").distinct()
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long")) for b in range(64)))
-    spread = near.select("fp", F.explode(flips).alias("middle"))
-    stars = spread.groupBy("middle").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    stars = crowd.select("fp", F.explode(flips).alias("middle")).groupBy("middle").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    around = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    return joined.union(around.where(close(F.col("a"), F.col("b")))).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """Each document: doc_id, fingerprint, component_id."""
     prints = keep(fingerprints(docs, width), "fingerprints")
-    nodes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    links = keep(hamming_links(nodes.select("fp")), "links")
-    named = links.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-    found = components(named.select("x", "y"), "x", "y")
-    of = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(of, "fp")
+    nodes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    links = keep(hamming_links(nodes.select("fp"), 4 if nodes.count() < MANY else 5), "links")
+    found = components(links)
+    grouped = keep(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "first"), "grouped")
+    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    out = prints.join(grouped.join(least, "component").select("fp", "component_id"), "fp")
     return out.select(real_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("component_id"))
 
 
@@ -114,6 +128,11 @@ HOT, MOST_HOT = 32, 100_000
 PART = 4096
 #: Rounds that link each set to a few of a list before all pairs that are still in different groups are compared.
 STAR_ROUNDS = 3
+#: Tokens that a task packs together, tokens of a bucket, and sets from which a token's list is dealt over many tasks.
+FLUSH, BUCKET_TOKENS, SPLIT = 1 << 18, 1 << 20, 1 << 16
+#: Tasks that share such a list.
+SPREAD = 256
+SENT = "bucket long, token long, node long, size int, payload binary"
 
 
 def _unique_shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -128,34 +147,130 @@ def _set_name(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
-def _prefixes(width: int, similarity: float, hot: np.ndarray):
-    """The name and size of each text's shingle set, and the first tokens in the order of tokens: sets
-    at ``similarity`` or more always share one of those. ``hot`` tokens come last, in their order."""
+def _names(width: int):
+    """The name of each text's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, "text")):
+            sets = list(_unique_shingles(batch, width))
+            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "node", "size"])
+
+    return run
+
+
+def _cut(shingles: np.ndarray) -> np.ndarray:
+    """48 bits of a shingle name its token."""
+    return shingles >> np.uint64(16)
+
+
+def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, count: bool, split: np.ndarray):
+    """Packed tokens of each text's prefix, by bucket: sets at ``similarity`` or more always share one of their
+    first tokens in one order of tokens, in which ``hot`` ones come last. With ``count`` tokens and numbers of
+    texts, else tokens with the names and sizes of their sets; ``split`` tokens go as rows of their own."""
     at_hash = np.argsort(hot)
     sorted_hot = hot[at_hash]
 
     def prefix(shingles: np.ndarray) -> np.ndarray:
         size = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
         if not len(hot):
-            return shingles[:size]
-        at = np.searchsorted(sorted_hot, shingles).clip(0, len(hot) - 1)
-        rank = np.where(sorted_hot[at] == shingles, at_hash[at], -1)
-        return shingles[np.lexsort((shingles, rank))[:size]]
+            return np.unique(_cut(shingles[:size]))
+        tokens = _cut(shingles)
+        at = np.searchsorted(sorted_hot, tokens).clip(0, len(hot) - 1)
+        rank = np.where(sorted_hot[at] == tokens, at_hash[at], -1)
+        return np.unique(tokens[np.lexsort((shingles, rank))[:size]])
+
+    def packed(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        tokens = np.concatenate([t for _, _, t in held])
+        who = np.repeat(np.arange(len(held)), [len(t) for _, _, t in held])
+        nodes, sizes = np.array([n for n, _, _ in held], np.int64), np.array([s for _, s, _ in held], np.int32)
+        alone = np.isin(tokens, split)
+        rows = (buckets + who[alone] % SPREAD, tokens[alone].view(np.int64), nodes[who[alone]], sizes[who[alone]])
+        order = np.argsort(tokens[~alone], kind="stable")
+        tokens, who = tokens[~alone][order], who[~alone][order]
+        if count:
+            tokens, times = np.unique(tokens, return_counts=True)
+        bucket = (tokens * np.uint64(buckets) >> np.uint64(48)).astype(np.int64)
+        keys, payloads = [], []
+        for a, b in _runs(bucket):
+            keys.append(int(bucket[a]))
+            if count:
+                payloads.append(pack(short(tokens[a:b], 6), times[a:b].astype("<u4")))
+            else:
+                own, place = np.unique(who[a:b], return_inverse=True)
+                payloads.append(pack(short(tokens[a:b], 6), place.astype("<u2" if len(own) < 65536 else "<u4"), nodes[own], sizes[own]))
+        zeros = np.zeros(len(keys), np.int64)
+        columns = [np.r_[np.array(keys, np.int64), rows[0]], np.r_[zeros, rows[1]], np.r_[zeros, rows[2]], np.r_[zeros.astype(np.int32), rows[3]]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(payloads + [None] * len(rows[0]), pa.binary())], names=["bucket", "token", "node", "size", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in (part for b in batches for part in slices(b, "text")):
-            sets = list(_unique_shingles(batch, width))
-            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "node", "size", "prefix"])
+            for shingles in _unique_shingles(batch, width):
+                held.append((_set_name(shingles), len(shingles), prefix(shingles)))
+                n += len(held[-1][2])
+            if n >= FLUSH:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[np.ndarray]] | pa.RecordBatch]:
+    """The unpacked payloads of each bucket, and rows without a payload as they come."""
+    bucket, held = None, []
     for batch in batches:
-        tokens, offsets = flat_bytes(batch["prefix"].cast(pa.large_binary()))
-        each = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8))
-        yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), batch["node"].take(each), batch["size"].take(each)], names=["token", "node", "size"])
+        plain = batch.filter(batch["payload"].is_null())
+        if plain.num_rows:
+            yield plain
+        for key, payload in zip(batch["bucket"].to_pylist(), batch["payload"].to_pylist(), strict=True):
+            if payload is None:
+                continue
+            if key != bucket:
+                if held:
+                    yield held
+                bucket, held = key, []
+            held.append(unpack(payload))
+    if held:
+        yield held
+
+
+def _totals(least: int):
+    """Tokens of more than ``least`` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_bucket(batches):
+            tokens, place = np.unique(np.concatenate([wide(t, 6) for t, _ in held]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[total > least].view(np.int64)), pa.array(total[total > least])], names=["token", "length"])
+
+    return run
+
+
+LISTS = "token long, node long, size int, place long, length long, part long"
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of several sets, with place in and length of their lists, sets ordered by size; those of
+    rows of their own get both later."""
+    names = [x.split()[0] for x in LISTS.split(", ")]
+    for held in _by_bucket(batches):
+        if isinstance(held, pa.RecordBatch):
+            none = pa.nulls(held.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([held["token"], held["node"], held["size"], none, none, held["bucket"]], names=names)
+            continue
+        token, node, size = (np.concatenate(c) for c in zip(*((wide(t, 6), nodes[who], sizes[who]) for t, who, nodes, sizes in held), strict=True))
+        order = np.lexsort((node, size, token))
+        token, node, size = token[order], node[order], size[order]
+        new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # repeated rows of one document
+        token, node, size = token[new], node[new], size[new]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        lengths = np.diff(np.r_[starts, len(token)])
+        length = np.repeat(lengths, lengths)
+        place, more = np.arange(len(token)) - np.repeat(starts, lengths), length > 1
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[more]) for c in (token.view(np.int64), node, size, place, length)), pa.nulls(int(more.sum()), pa.int64())], names=names)
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -180,16 +295,6 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))], np.zeros(1, np.int64)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token those whose token is in several sets, with place in and length of its list."""
-    for (token, node, size), starts in _whole_runs(batches, ["token"]):
-        lengths = np.diff(np.r_[starts, len(token)])
-        length = np.repeat(lengths, lengths)
-        place, more = np.arange(len(token)) - np.repeat(starts, lengths), length > 1
-        names = ["token", "node", "size", "place", "length"]
-        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (token, node, size, place, length)], names=names)
-
-
 def _pair_rows(node: np.ndarray, size: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different groups whose sizes allow the similarity, smaller node first."""
     fine = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
@@ -258,12 +363,34 @@ def _all_pairs(similarity: float):
     return run
 
 
+def _classes(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of 64 classes, a byte each or four."""
+    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=64)
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
+
+
+def _may_be_alike(similarity: float):
+    """Pairs that the counts by class leave: two sets share no more of a class than the smaller has of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = lambda x: np.frombuffer(x, np.uint8 if len(x) == 64 else "<u4").astype(np.int64)
+        for batch in batches:
+            fine = []
+            for x, y in zip(batch["ca"].to_pylist(), batch["cb"].to_pylist(), strict=True):
+                x, y = counts(x), counts(y)
+                shared = np.minimum(x, y).sum()
+                fine.append(shared >= similarity * (x.sum() + y.sum() - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return run
+
+
 def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
             sets = list(_unique_shingles(batch, width))
-            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([_classes(s) for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "classes", "shingles"])
 
     return run
 
@@ -282,7 +409,7 @@ def _alike(similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot_from: int = HOT, part: int = PART, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot_from: int = HOT, part: int = PART, star_rounds: int = STAR_ROUNDS, split_from: int = SPLIT) -> DataFrame:
     """(doc_id, component_id) of documents linked, through others or directly, by a Jaccard similarity of
     ``similarity`` or more of their sets of ``width``-word shingles.
 
@@ -294,33 +421,47 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = with_ids(docs, F.col("text").cast("string").alias("text"))
-    prefixed = "doc_id long, node long, size int, prefix binary"
-    prints = keep(texts.mapInArrow(_prefixes(width, similarity, np.zeros(0, np.uint64)), prefixed), "shingle-prefixes")
-    nodes = keep(prints.groupBy("node").agg(F.min(F.struct("doc_id", "size", "prefix")).alias("first")).select("node", "first.*"), "nodes")
-
-    def lists_of(prefixes: DataFrame) -> DataFrame:
-        tokens = prefixes.select("node", "size", "prefix").mapInArrow(_tokens, "token long, node long, size int")
-        tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "size", "node")
-        return keep(tokens.mapInArrow(_shared, "token long, node long, size int, place long, length long"), "token-lists")
+    prints = keep(texts.mapInArrow(_names(width), "doc_id long, node long, size long"), "shingle-sets-named")
+    nodes = keep(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")), "nodes")
+    tokens = nodes.agg(F.sum("size")).first()[0] or 0
+    buckets = int(tokens * (1 - similarity) // BUCKET_TOKENS) + 1
 
     def texts_of(members: DataFrame) -> DataFrame:
-        wanted = nodes.join(members, "node", "left_semi").select("doc_id").distinct()
-        return texts.join(wanted, "doc_id", "left_semi")
-
-    lists = lists_of(nodes)
-    hot = lists.where((F.col("place") == 0) & (F.col("length") > hot_from)).orderBy(F.desc("length"), "token").select("token").limit(MOST_HOT)
-    hot = np.array([r.token for r in hot.collect()], np.int64)[::-1].view(np.uint64)  # MOST_HOT at most
-    if len(hot):
-        marked = F.broadcast(spark.createDataFrame(pa.table({"token": hot.view(np.int64)})))
-        moved = keep(lists.join(marked, "token", "left_semi").select("node").distinct(), "moved")
-        again = texts_of(moved).mapInArrow(_prefixes(width, similarity, hot), prefixed).select("node", "size", "prefix")
-        again = again.join(moved, "node", "left_semi").dropDuplicates(["node"])
-        lists = lists_of(nodes.join(moved, "node", "left_anti").select("node", "size", "prefix").union(again))
-
-    sets = keep(texts_of(lists.select("node").distinct()).mapInArrow(_shingle_sets(width), "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+        return texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def sent(hot: np.ndarray, count: bool, split: np.ndarray) -> DataFrame:
+        rows = texts_of(nodes).mapInArrow(_prefixes(width, similarity, hot, buckets, count, split), SENT)
+        return rows.repartition(max(parts, buckets), "bucket").sortWithinPartitions("bucket")
+
+    none = np.zeros(0, np.uint64)
+    counted = sent(none, True, none).mapInArrow(_totals(hot_from), "token long, length long")
+    top = counted.orderBy(F.desc("length"), "token").limit(MOST_HOT).collect()  # MOST_HOT rows at most
+    hot = np.array([r["token"] for r in top], np.int64)[::-1].view(np.uint64)
+    split = np.array([r["token"] for r in top if r["length"] > split_from], np.int64).view(np.uint64)
+    lists = keep(sent(hot, False, split).mapInArrow(_shared, LISTS), "token-lists")
+    if len(split):
+        long = lists.where("place IS NULL").dropDuplicates(["token", "node"])
+        sizes = long.groupBy("token", "part").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("token").orderBy("part")
+        offsets = sizes.select("token", "part", (F.sum("n").over(before) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy("token")).alias("all"))
+        local = F.row_number().over(Window.partitionBy("token", "part").orderBy("size", "node")) - 1
+        placed = long.withColumn("local", local).join(offsets, ["token", "part"])
+        lists = lists.where("place IS NOT NULL").unionByName(placed.select("token", "node", "size", (F.col("local") + F.col("offset")).alias("place"), F.col("all").alias("length"), "part"))
+        lists = keep(lists.where("length > 1"), "placed-lists")
+    lists = lists.drop("part")
+
+    members = keep(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "members")
+    own = texts_of(members).mapInArrow(_shingle_sets(width), "node long, classes binary, shingles binary")
+    sets = keep(own.dropDuplicates(["node"]), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        """A small bound first, then the sets themselves for what it leaves."""
+        side = lambda column, name, end: sets.select(F.col("node").alias(end), F.col(column).alias(name))
+        both = keep(pairs.distinct(), "pairs").join(side("classes", "ca", "a"), "a").join(side("classes", "cb", "b"), "b")
+        left = keep(both.select("a", "b", "ca", "cb").mapInArrow(_may_be_alike(similarity), "a long, b long"), "bounded-pairs")
+        ends = keep(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "ends")
+        wanted = sets.select("node", "shingles").join(ends, "node", "left_semi")
+        both = left.join(wanted.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(wanted.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         return keep(both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"), "links")
 
     links, found, turn = None, None, 0
@@ -343,9 +484,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
             break
         turn += 1
         named = lists.join(found.withColumnRenamed("component", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-        named = keep(named.select("token", "node", "size", "place", "length", "grp"), "grouped-lists")
         mixed = named.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
-        open_lists = keep(named.join(mixed, "token", "left_semi"), "open-lists")
+        mixed = keep(mixed, "mixed")
+        open_lists = keep(named.join(mixed, "token", "left_semi").select("token", "node", "size", "place", "length", "grp"), "open-lists")
 
     grouped = nodes.select("node", "doc_id")
     if found is not None:

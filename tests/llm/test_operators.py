@@ -67,12 +67,46 @@ def test_plan_respects_every_capacity(score, limits):
             used[b] += length
             docs[b] += 1
             cost[b] += length**2
-    assert seen == counts and max(used.values()) <= 40
+    assert seen == counts and max(used.values()) <= 40 and sorted(used) == list(range(len(used)))
     assert max(docs.values()) <= limits.get("max_docs", 10**9) and max(cost.values()) <= limits.get("max_attention", 10**9)
     if score == "norm" and not limits:
         assert len(used) <= sum(k * n for k, n in counts.items()) / 40 * 1.05 + 1
 
 
+def item_by_item(counts, full, weights, score):
+    """Vector best-fit-decreasing on items: the sequences it takes."""
+    bins = []
+    for length in sorted(counts, reverse=True):
+        item = (length, 1, length * length)
+        for _ in range(counts[length]):
+            fits = [b for b in bins if all(r >= x for r, x in zip(b, item))]
+            norm = lambda b: sum(w * (r - x) ** 2 / f**2 for w, r, x, f in zip(weights, b, item, full))  # noqa: E731, B023
+            dot = lambda b: -sum(w * r * x / f**2 for w, r, x, f in zip(weights, b, item, full))  # noqa: E731, B023
+            if fits:
+                chosen = min(fits, key=norm if score == "norm" else dot)
+            else:
+                chosen = list(full)
+                bins.append(chosen)
+            for d in range(3):
+                chosen[d] -= item[d]
+    return len(bins)
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("full", [(40, 40, 1600), (40, 3, 900)])
+def test_plan_takes_as_many_sequences_as_item_by_item(score, full):
+    rng = random.Random(3)
+    for seed in range(5):
+        counts, weights = Counter(rng.randint(1, 30) for _ in range(300)), [(1.0, 0.2, 0.3), packing.WEIGHTS][seed % 2]
+        plan = packing.best_fit_plan(counts, *full, weights, score)
+        opened = max(first + -(-n // per) for _, _, n, first, per, _ in plan)
+        assert abs(opened - item_by_item(counts, full, weights, score)) <= 1  # ties may fall either way
+        if full[1] == 40 and weights == packing.WEIGHTS:
+            assert opened <= -(-sum(k * n for k, n in counts.items()) // 40) + 1
+        packed = packing.best_fit_plan(counts, *full, weights, score, max_states=5)
+        assert sum(n for _, _, n, _, _, _ in packed) == 300
+
+
 def test_packing_is_gapless_and_whole(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -249,8 +283,16 @@ def test_links_of_a_dense_group(spark):
     ball = [0x5555555555555555 ^ (1 << b) for b in range(63)]
     far = [0x00FF00FF00FF00FF, 0x00FF00FF00FF00F8]
     df = spark.createDataFrame([(x,) for x in [*chain, *ball, *far]], "fp long")
-    found = {r.node: r.component for r in common.components(simhash.hamming_links(df)).collect()}
-    assert {found[x] for x in chain} == {0} and len({found[x] for x in ball}) == 1 and not set(far) & set(found)
+    for blocks, dense in ((4, 64), (4, 2), (5, 3)):
+        found = {r.node: r.component for r in common.components(simhash.hamming_links(df, blocks, dense)).collect()}
+        assert {found[x] for x in chain} == {0} and len({found[x] for x in ball}) == 1 and not set(far) & set(found)
+
+
+def test_rows_of_one_document(spark):
+    """Rows of one doc_id with unlike texts have a component each."""
+    one, two = (" ".join(f"{c}{random.randint(0, 10**6)}" for _ in range(50)) for c in "ab")
+    df = spark.createDataFrame([(5, one), (18, one), (18, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(5, 5), (18, 5), (18, 18)]
 
 
 def test_similar_groups(spark, docs, empty):
@@ -285,7 +327,7 @@ def test_similar_groups_lose_no_link(spark):
             if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and label[i] != label[j]:
                 label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(table)], "doc_id long, text string").repartition(4)
-    for options in ({}, {"hot_from": 4, "part": 7, "star_rounds": 0}, {"hot_from": 4, "part": 7, "star_rounds": 2}):
+    for options in ({}, {"hot_from": 4, "part": 7, "star_rounds": 0}, {"hot_from": 4, "part": 7, "star_rounds": 2, "split_from": 10}):
         assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, **options).collect()} == dict(enumerate(label)), options
 
 
@@ -477,10 +519,15 @@ def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 2**63, 300, dtype=np.uint64)
     index = decontaminate.HammingIndex(fps, 24)
-    for _ in range(50):
-        q = int(fps[rng.integers(300)]) ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 30)), replace=False))
-        want = [i for i, f in enumerate(fps.tolist()) if (f ^ q).bit_count() <= 24]
-        assert index.within(q).tolist() == want
+    queries = np.array([int(fps[rng.integers(300)]) ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 30)), replace=False)) for _ in range(50)], np.uint64)
+    want = {(q, i) for q, f in enumerate(queries.tolist()) for i, g in enumerate(fps.tolist()) if (f ^ g).bit_count() <= 24}
+    assert set(zip(*(x.tolist() for x in index.within(queries)))) == want
+
+
+def test_rolling_fingerprints():
+    hashes = np.random.default_rng(3).integers(0, 2**63, 200, dtype=np.uint64)
+    for inside in (1, 2, 33, 200):
+        assert decontaminate.rolling_fingerprints(hashes, inside).tolist() == [simhash.simhash(hashes[i : i + inside]) for i in range(201 - inside)]
 
 
 # toxicity --------------------------------------------------------------------------------------
