@@ -132,7 +132,7 @@ STAR_ROUNDS = 3
 FLUSH, BUCKET_TOKENS, SPLIT = 1 << 18, 1 << 20, 1 << 16
 #: Tasks that share such a list.
 SPREAD = 256
-SENT = "bucket long, token long, node long, size int, payload binary"
+SENT = "bucket long, token long, node long, size int, before int, payload binary"
 
 
 def _unique_shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -159,6 +159,13 @@ def _names(width: int):
     return run
 
 
+def _parities(shingles: np.ndarray) -> bytes:
+    """For each of some 1.25 to 2.5 classes a shingle, whether an odd number of shingles falls into it."""
+    bits = max(64, 1 << max(0, int(1.25 * len(shingles))).bit_length())
+    odd = np.bincount((shingles >> np.uint64(16)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def _cut(shingles: np.ndarray) -> np.ndarray:
     """48 bits of a shingle name its token."""
     return shingles >> np.uint64(16)
@@ -171,23 +178,27 @@ def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, coun
     at_hash = np.argsort(hot)
     sorted_hot = hot[at_hash]
 
-    def prefix(shingles: np.ndarray) -> np.ndarray:
+    def first_places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tokens, at = np.unique(tokens, return_index=True)
+        return tokens, at.astype(np.int32)
+
+    def prefix(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
         if not len(hot):
-            return np.unique(_cut(shingles[:size]))
+            return first_places(_cut(shingles[:size]))
         tokens = _cut(shingles)
         at = np.searchsorted(sorted_hot, tokens).clip(0, len(hot) - 1)
         rank = np.where(sorted_hot[at] == tokens, at_hash[at], -1)
-        return np.unique(tokens[np.lexsort((shingles, rank))[:size]])
+        return first_places(tokens[np.lexsort((shingles, rank))[:size]])
 
-    def packed(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        tokens = np.concatenate([t for _, _, t in held])
-        who = np.repeat(np.arange(len(held)), [len(t) for _, _, t in held])
-        nodes, sizes = np.array([n for n, _, _ in held], np.int64), np.array([s for _, s, _ in held], np.int32)
+    def packed(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        tokens, before = (np.concatenate([h[i] for h in held]) for i in (2, 3))
+        who = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+        nodes, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int32)
         alone = np.isin(tokens, split)
-        rows = (buckets + who[alone] % SPREAD, tokens[alone].view(np.int64), nodes[who[alone]], sizes[who[alone]])
-        order = np.argsort(tokens[~alone], kind="stable")
-        tokens, who = tokens[~alone][order], who[~alone][order]
+        rows = (buckets + who[alone] % SPREAD, tokens[alone].view(np.int64), nodes[who[alone]], sizes[who[alone]], before[alone])
+        order = np.flatnonzero(~alone)[np.argsort(tokens[~alone], kind="stable")]
+        tokens, who, before = tokens[order], who[order], before[order]
         if count:
             tokens, times = np.unique(tokens, return_counts=True)
         bucket = (tokens * np.uint64(buckets) >> np.uint64(48)).astype(np.int64)
@@ -198,16 +209,16 @@ def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, coun
                 payloads.append(pack(short(tokens[a:b], 6), times[a:b].astype("<u4")))
             else:
                 own, place = np.unique(who[a:b], return_inverse=True)
-                payloads.append(pack(short(tokens[a:b], 6), place.astype("<u2" if len(own) < 65536 else "<u4"), nodes[own], sizes[own]))
+                payloads.append(pack(short(tokens[a:b], 6), place.astype("<u2" if len(own) < 65536 else "<u4"), nodes[own], sizes[own], before[a:b]))
         zeros = np.zeros(len(keys), np.int64)
-        columns = [np.r_[np.array(keys, np.int64), rows[0]], np.r_[zeros, rows[1]], np.r_[zeros, rows[2]], np.r_[zeros.astype(np.int32), rows[3]]]
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(payloads + [None] * len(rows[0]), pa.binary())], names=["bucket", "token", "node", "size", "payload"])
+        columns = [np.r_[zero.astype(row.dtype), row] for zero, row in zip((np.array(keys, np.int64), *[zeros] * 4), rows, strict=True)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(payloads + [None] * len(rows[0]), pa.binary())], names=["bucket", "token", "node", "size", "before", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in (part for b in batches for part in slices(b, "text")):
             for shingles in _unique_shingles(batch, width):
-                held.append((_set_name(shingles), len(shingles), prefix(shingles)))
+                held.append((_set_name(shingles), len(shingles), *prefix(shingles)))
                 n += len(held[-1][2])
             if n >= FLUSH:
                 yield packed(held)
@@ -249,28 +260,30 @@ def _totals(least: int):
     return run
 
 
-LISTS = "token long, node long, size int, place long, length long, part long"
+LISTS = "token long, node long, size int, before int, place long, length long, part long, alike long"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of several sets, with place in and length of their lists, sets ordered by size; those of
-    rows of their own get both later."""
+    """Tokens of several sets, with place in and length of their lists, sets ordered by size, and a hash of the
+    whole list; rows of their own get place and length later."""
     names = [x.split()[0] for x in LISTS.split(", ")]
     for held in _by_bucket(batches):
         if isinstance(held, pa.RecordBatch):
             none = pa.nulls(held.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([held["token"], held["node"], held["size"], none, none, held["bucket"]], names=names)
+            yield pa.RecordBatch.from_arrays([held["token"], held["node"], held["size"], held["before"], none, none, held["bucket"], none], names=names)
             continue
-        token, node, size = (np.concatenate(c) for c in zip(*((wide(t, 6), nodes[who], sizes[who]) for t, who, nodes, sizes in held), strict=True))
+        columns = ((wide(t, 6), nodes[who], sizes[who], before) for t, who, nodes, sizes, before in held)
+        token, node, size, before = (np.concatenate(c) for c in zip(*columns, strict=True))
         order = np.lexsort((node, size, token))
-        token, node, size = token[order], node[order], size[order]
-        new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # repeated rows of one document
-        token, node, size = token[new], node[new], size[new]
+        new = np.r_[True, (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1])]  # repeated rows of one document
+        token, node, size, before = (c[order[new]] for c in (token, node, size, before))
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         lengths = np.diff(np.r_[starts, len(token)])
         length = np.repeat(lengths, lengths)
+        alike = np.repeat(np.add.reduceat(mix(node.view(np.uint64)), starts), lengths).view(np.int64)
         place, more = np.arange(len(token)) - np.repeat(starts, lengths), length > 1
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[more]) for c in (token.view(np.int64), node, size, place, length)), pa.nulls(int(more.sum()), pa.int64())], names=names)
+        numbers = [pa.array(c[more]) for c in (token.view(np.int64), node, size, before, place, length)]
+        yield pa.RecordBatch.from_arrays([*numbers, pa.nulls(int(more.sum()), pa.int64()), pa.array(alike[more])], names=names)
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -279,7 +292,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         at = [batch.schema.get_field_index(k) for k in keys]
         cuts = np.flatnonzero(np.any([columns[i][1:] != columns[i][:-1] for i in at], axis=0)) + 1
         if held and any(held[-1][i][-1] != columns[i][0] for i in at):
@@ -295,11 +308,50 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))], np.zeros(1, np.int64)
 
 
-def _pair_rows(node: np.ndarray, size: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different groups whose sizes allow the similarity, smaller node first."""
-    fine = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
-    a, b = node[i[fine]], node[j[fine]]
-    return np.minimum(a, b), np.maximum(a, b)
+class _Members:
+    """Sets of token lists as arrays."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, before: np.ndarray, group: np.ndarray, parities: np.ndarray | None = None):
+        self.node, self.size, self.before, self.group, self.signed = node, size, before, group, parities is not None
+        if not self.signed:
+            return
+        self.bytes = np.fromiter(map(len, parities), np.int64, len(parities))
+        self.row, self.whole, self.folded = np.empty(len(node), np.int64), {}, {}
+        for n in np.unique(self.bytes).tolist():
+            own = np.flatnonzero(self.bytes == n)
+            self.row[own] = np.arange(len(own))
+            self.whole[n] = np.frombuffer(b"".join(parities[own]), np.uint64).reshape(len(own), -1)
+            # classes by the low bits: the two halves together are the parities of half as many classes
+            half = self.whole[n].shape[1] // 2
+            self.folded[n] = self.whole[n][:, :half] ^ self.whole[n][:, half:] if half else None
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many shingles two sets differ at least: one for each class of unequal parity."""
+        out = np.zeros(len(i), np.int64)
+        low, high = np.minimum(self.bytes[i], self.bytes[j]), np.maximum(self.bytes[i], self.bytes[j])
+        smaller, larger = np.where(self.bytes[i] <= self.bytes[j], i, j), np.where(self.bytes[i] <= self.bytes[j], j, i)
+        for n in np.unique(low).tolist():
+            for table, at in ((self.whole.get(n), np.flatnonzero((low == n) & (high == n))), (self.folded.get(2 * n), np.flatnonzero((low == n) & (high == 2 * n)))):
+                for a in range(0, len(at), 1 << 16):
+                    own = at[a : a + (1 << 16)]
+                    out[own] = np.bitwise_count(self.whole[n][self.row[smaller[own]]] ^ table[self.row[larger[own]]]).sum(1, dtype=np.int64)
+        return out
+
+    def pairs(self, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different groups, smaller node first, that may reach the similarity: by their parities, and, if
+        this is the first token they share, by what follows it in either set, which is all they can have in
+        common. A pair that is as similar passes at the first token it shares."""
+        least = similarity / (1 + similarity) * (self.size[i] + self.size[j]) - 1e-6
+        fine = (np.minimum(self.size[i] - self.before[i], self.size[j] - self.before[j]) >= least) & (self.group[i] != self.group[j])
+        i, j, least = i[fine], j[fine], least[fine]
+        if self.signed:
+            fine = self.apart(i, j) <= self.size[i] + self.size[j] - 2 * least
+            i, j = i[fine], j[fine]
+        a, b = self.node[i], self.node[j]
+        return np.minimum(a, b), np.maximum(a, b)
+
+
+MEMBERS = ["node", "size", "before", "grp"]
 
 
 def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -314,13 +366,14 @@ def _stars(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, node, size, group = (batch[c].to_numpy() for c in ("token", "node", "size", "grp"))
+            token = batch["token"].to_numpy()
             if not len(token):
                 continue
+            members = _Members(*(batch[c].to_numpy(zero_copy_only=False) for c in MEMBERS))
             at = np.arange(len(token))
             start = np.maximum.accumulate(np.where(np.r_[True, token[1:] != token[:-1]], at, 0))
             others = (np.maximum(at - 1, start), start, at - (at - start) % 64)
-            yield _pair_batch([_pair_rows(node, size, group, at, o, similarity) for o in others])
+            yield _pair_batch([members.pairs(at, o, similarity) for o in others])
 
     return run
 
@@ -333,9 +386,9 @@ def _part_pairs(rows: int):
             part, parts = batch["place"].to_numpy() // rows, -(-batch["length"].to_numpy() // rows)
             each = np.repeat(np.arange(batch.num_rows), parts)
             other, own = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts), part[each]
-            columns = [batch[c].take(pa.array(each)) for c in ("token", "node", "size", "grp")]
+            columns = [batch[c].take(pa.array(each)) for c in ("token", *MEMBERS, "parities")]
             low, high = np.minimum(own, other), np.maximum(own, other)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(low), pa.array(high), pa.array(own)], names=["token", "node", "size", "grp", "low", "high", "own"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(low), pa.array(high), pa.array(own)], names=["token", *MEMBERS, "parities", "low", "high", "own"])
 
     return run
 
@@ -344,14 +397,14 @@ def _all_pairs(similarity: float):
     """All pairs of different groups in a list, or of two parts of a long one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, node, size, group, low, high, own), starts in _whole_runs(batches, ["token", "low", "high"]):
-            lengths = np.diff(np.r_[starts, len(node)])
-            after = np.repeat(starts + lengths, lengths) - np.arange(len(node)) - 1
+        for (token, *columns, low, high, own), starts in _whole_runs(batches, ["token", "low", "high"]):
+            lengths, members = np.diff(np.r_[starts, len(token)]), _Members(*columns)
+            after = np.repeat(starts + lengths, lengths) - np.arange(len(token)) - 1
             i, found, total = np.flatnonzero(after > 0), [], 0
             step = 1
             while len(i):
                 met = i[(low[i] == high[i]) | (own[i] != own[i + step])]
-                found.append(_pair_rows(node, size, group, met, met + step, similarity))
+                found.append(members.pairs(met, met + step, similarity))
                 total += len(found[-1][0])
                 if total > 1 << 18:
                     yield _pair_batch(found)
@@ -363,24 +416,18 @@ def _all_pairs(similarity: float):
     return run
 
 
-def _classes(shingles: np.ndarray) -> bytes:
-    """How many of a set's shingles fall into each of 64 classes, a byte each or four."""
-    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=64)
-    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
-
-
 def _may_be_alike(similarity: float):
-    """Pairs that the counts by class leave: two sets share no more of a class than the smaller has of it."""
+    """Pairs that the parities of their sets leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = lambda x: np.frombuffer(x, np.uint8 if len(x) == 64 else "<u4").astype(np.int64)
         for batch in batches:
-            fine = []
-            for x, y in zip(batch["ca"].to_pylist(), batch["cb"].to_pylist(), strict=True):
-                x, y = counts(x), counts(y)
-                shared = np.minimum(x, y).sum()
-                fine.append(shared >= similarity * (x.sum() + y.sum() - shared) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+            n = batch.num_rows
+            if not n:
+                continue
+            ends = [np.concatenate([batch[x].to_numpy(zero_copy_only=False), batch[y].to_numpy(zero_copy_only=False)]) for x, y in (("a", "b"), ("na", "nb"), ("pa", "pb"))]
+            zero = np.zeros(2 * n, np.int64)
+            a, b = _Members(ends[0], ends[1], zero, np.arange(2 * n), ends[2]).pairs(np.arange(n), np.arange(n, 2 * n), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -389,8 +436,9 @@ def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
             sets = list(_unique_shingles(batch, width))
-            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([_classes(s) for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "classes", "shingles"])
+            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())]
+            columns += [pa.array([_parities(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "parities", "n"])
 
     return run
 
@@ -446,23 +494,29 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
         offsets = sizes.select("token", "part", (F.sum("n").over(before) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy("token")).alias("all"))
         local = F.row_number().over(Window.partitionBy("token", "part").orderBy("size", "node")) - 1
         placed = long.withColumn("local", local).join(offsets, ["token", "part"])
-        lists = lists.where("place IS NOT NULL").unionByName(placed.select("token", "node", "size", (F.col("local") + F.col("offset")).alias("place"), F.col("all").alias("length"), "part"))
+        lists = lists.where("place IS NOT NULL").unionByName(placed.select("token", "node", "size", "before", (F.col("local") + F.col("offset")).alias("place"), F.col("all").alias("length"), "part", "token").toDF(*[x.split()[0] for x in LISTS.split(", ")]))
         lists = keep(lists.where("length > 1"), "placed-lists")
-    lists = lists.drop("part")
+    # tokens with the same list are one: the first in the order of tokens is the first that any two of it share
+    firsts = lists.where("place = 0").groupBy("alike", "length").agg(F.min_by("token", F.struct("before", "token")).alias("token"))
+    lists = keep(lists.drop("part", "alike").join(firsts.select("token"), "token", "left_semi"), "lists")
 
     members = keep(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "members")
-    own = texts_of(members).mapInArrow(_shingle_sets(width), "node long, classes binary, shingles binary")
-    sets = keep(own.dropDuplicates(["node"]), "shingle-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """A small bound first, then the sets themselves for what it leaves."""
-        side = lambda column, name, end: sets.select(F.col("node").alias(end), F.col(column).alias(name))
-        both = keep(pairs.distinct(), "pairs").join(side("classes", "ca", "a"), "a").join(side("classes", "cb", "b"), "b")
-        left = keep(both.select("a", "b", "ca", "cb").mapInArrow(_may_be_alike(similarity), "a long, b long"), "bounded-pairs")
-        ends = keep(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "ends")
+    sets = texts_of(members).mapInArrow(_shingle_sets(width), "node long, shingles binary, parities binary, n long")
+    sets = keep(sets.dropDuplicates(["node"]), "shingle-sets")
+
+    def both(pairs: DataFrame, tables: DataFrame, **columns: str) -> DataFrame:
+        """Pairs with columns of either set."""
+        for end in "ab":
+            pairs = pairs.join(tables.select(F.col("node").alias(end), *(F.col(c).alias(name + end) for name, c in columns.items())), end)
+        return pairs.select("a", "b", *(name + end for end in "ab" for name in columns))
+
+    def verified(pairs: DataFrame, bounded: bool) -> DataFrame:
+        pairs = keep(pairs.distinct(), "pairs")
+        if not bounded:
+            pairs = keep(both(pairs, sets, p="parities", n="n").mapInArrow(_may_be_alike(similarity), "a long, b long"), "bounded-pairs")
+        ends = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
         wanted = sets.select("node", "shingles").join(ends, "node", "left_semi")
-        both = left.join(wanted.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(wanted.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        return keep(both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"), "links")
+        return keep(both(pairs, wanted, s="shingles").mapInArrow(_alike(similarity), "a long, b long"), "links")
 
     links, found, turn = None, None, 0
     open_lists = lists.withColumn("grp", F.col("node"))
@@ -472,12 +526,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
             break
         last = compared["pairs"] <= 2 * compared["n"] or turn >= star_rounds
         if last:
-            cut = open_lists.mapInArrow(_part_pairs(part), "token long, node long, size int, grp long, low long, high long, own long")
+            signed = open_lists.join(sets.select("node", "parities"), "node").select("token", *MEMBERS, "parities", "place", "length")
+            cut = signed.mapInArrow(_part_pairs(part), "token long, node long, size int, before int, grp long, parities binary, low long, high long, own long")
             pairs = cut.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "own").mapInArrow(_all_pairs(similarity), "a long, b long")
         else:
             order = ["size", "node"] if not turn else [F.xxhash64("node", F.lit(turn))]
             pairs = open_lists.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_stars(similarity), "a long, b long")
-        new = verified(pairs)
+        new = verified(pairs, bounded=last)
         links = new if links is None else links.union(new)
         found = components(links)
         if last:
@@ -486,7 +541,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
         named = lists.join(found.withColumnRenamed("component", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
         mixed = named.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
         mixed = keep(mixed, "mixed")
-        open_lists = keep(named.join(mixed, "token", "left_semi").select("token", "node", "size", "place", "length", "grp"), "open-lists")
+        open_lists = keep(named.join(mixed, "token", "left_semi").select("token", *MEMBERS, "place", "length"), "open-lists")
 
     grouped = nodes.select("node", "doc_id")
     if found is not None:
