@@ -126,8 +126,9 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 HOT, MOST_HOT = 32, 100_000
 #: Sets of one token that a task compares all with all; longer lists are cut, and every part meets every other.
 PART = 4096
-#: Rounds that link each set to a few of a list before all pairs that are still in different groups are compared.
-STAR_ROUNDS = 3
+#: Rounds at most that link each set to a few of a list before all pairs that are still in different groups are
+#: compared; they end once a round adds less than half a percent of the links.
+STAR_ROUNDS = 8
 #: Tokens that a task packs together, tokens of a bucket, and sets from which a token's list is dealt over many tasks.
 FLUSH, BUCKET_TOKENS, SPLIT = 1 << 18, 1 << 20, 1 << 16
 #: Tasks that share such a list.
@@ -148,13 +149,13 @@ def _set_name(shingles: np.ndarray) -> int:
 
 
 def _names(width: int):
-    """The name of each text's shingle set."""
+    """The name, size and parities of each text's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
             sets = list(_unique_shingles(batch, width))
-            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "node", "size"])
+            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parities(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "node", "size", "parities"])
 
     return run
 
@@ -215,16 +216,19 @@ def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, coun
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(payloads + [None] * len(rows[0]), pa.binary())], names=["bucket", "token", "node", "size", "before", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: dict[int, tuple] = {}  # equal sets once
+        n = 0
         for batch in (part for b in batches for part in slices(b, "text")):
             for shingles in _unique_shingles(batch, width):
-                held.append((_set_name(shingles), len(shingles), *prefix(shingles)))
-                n += len(held[-1][2])
+                name = _set_name(shingles)
+                if name not in held:
+                    held[name] = (name, len(shingles), *prefix(shingles))
+                    n += len(held[name][2])
             if n >= FLUSH:
-                yield packed(held)
-                held, n = [], 0
+                yield packed(list(held.values()))
+                held, n = {}, 0
         if held:
-            yield packed(held)
+            yield packed(list(held.values()))
 
     return run
 
@@ -437,8 +441,7 @@ def _shingle_sets(width: int):
         for batch in (part for b in batches for part in slices(b, "text")):
             sets = list(_unique_shingles(batch, width))
             columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())]
-            columns += [pa.array([_parities(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "parities", "n"])
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
     return run
 
@@ -469,16 +472,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = with_ids(docs, F.col("text").cast("string").alias("text"))
-    prints = keep(texts.mapInArrow(_names(width), "doc_id long, node long, size long"), "shingle-sets-named")
-    nodes = keep(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")), "nodes")
-    tokens = nodes.agg(F.sum("size")).first()[0] or 0
+    prints = keep(texts.mapInArrow(_names(width), "doc_id long, node long, size long, parities binary"), "shingle-sets-named")
+    nodes = keep(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("n"), F.first("parities").alias("parities")), "nodes")
+    tokens = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = int(tokens * (1 - similarity) // BUCKET_TOKENS) + 1
 
-    def texts_of(members: DataFrame) -> DataFrame:
-        return texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-
     def sent(hot: np.ndarray, count: bool, split: np.ndarray) -> DataFrame:
-        rows = texts_of(nodes).mapInArrow(_prefixes(width, similarity, hot, buckets, count, split), SENT)
+        rows = texts.mapInArrow(_prefixes(width, similarity, hot, buckets, count, split), SENT)
         return rows.repartition(max(parts, buckets), "bucket").sortWithinPartitions("bucket")
 
     none = np.zeros(0, np.uint64)
@@ -500,10 +500,6 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
     firsts = lists.where("place = 0").groupBy("alike", "length").agg(F.min_by("token", F.struct("before", "token")).alias("token"))
     lists = keep(lists.drop("part", "alike").join(firsts.select("token"), "token", "left_semi"), "lists")
 
-    members = keep(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "members")
-    sets = texts_of(members).mapInArrow(_shingle_sets(width), "node long, shingles binary, parities binary, n long")
-    sets = keep(sets.dropDuplicates(["node"]), "shingle-sets")
-
     def both(pairs: DataFrame, tables: DataFrame, **columns: str) -> DataFrame:
         """Pairs with columns of either set."""
         for end in "ab":
@@ -511,28 +507,33 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
         return pairs.select("a", "b", *(name + end for end in "ab" for name in columns))
 
     def verified(pairs: DataFrame, bounded: bool) -> DataFrame:
+        """A bound from the parities first; whole sets are made again for what it leaves."""
         pairs = keep(pairs.distinct(), "pairs")
         if not bounded:
-            pairs = keep(both(pairs, sets, p="parities", n="n").mapInArrow(_may_be_alike(similarity), "a long, b long"), "bounded-pairs")
-        ends = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-        wanted = sets.select("node", "shingles").join(ends, "node", "left_semi")
-        return keep(both(pairs, wanted, s="shingles").mapInArrow(_alike(similarity), "a long, b long"), "links")
-
-    links, found, turn = None, None, 0
+            pairs = keep(both(pairs, nodes, p="parities", n="n").mapInArrow(_may_be_alike(similarity), "a long, b long"), "bounded-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
+        ends = keep(ends, "ends")
+        own = texts.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(width), "node long, shingles binary")
+        sets = keep(own.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+        return keep(both(pairs, sets, s="shingles").mapInArrow(_alike(similarity), "a long, b long"), "links")
+
+    links, found, turn, total, more = None, None, 0, 0, 1
     open_lists = lists.withColumn("grp", F.col("node"))
     while True:
         compared = open_lists.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
         if not compared["n"]:
             break
-        last = compared["pairs"] <= 2 * compared["n"] or turn >= star_rounds
+        last = compared["pairs"] <= 2 * compared["n"] or turn >= star_rounds or turn >= 1 and more * 200 < total
         if last:
-            signed = open_lists.join(sets.select("node", "parities"), "node").select("token", *MEMBERS, "parities", "place", "length")
+            signed = open_lists.join(nodes.select("node", "parities"), "node").select("token", *MEMBERS, "parities", "place", "length")
             cut = signed.mapInArrow(_part_pairs(part), "token long, node long, size int, before int, grp long, parities binary, low long, high long, own long")
             pairs = cut.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "own").mapInArrow(_all_pairs(similarity), "a long, b long")
         else:
             order = ["size", "node"] if not turn else [F.xxhash64("node", F.lit(turn))]
             pairs = open_lists.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_stars(similarity), "a long, b long")
         new = verified(pairs, bounded=last)
+        more = new.count()
+        total += more
         links = new if links is None else links.union(new)
         found = components(links)
         if last:
