@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 # filters ---------------------------------------------------------------------------------------
@@ -40,22 +43,48 @@ def bounded_limit(value, default: int, most: int) -> int:
     return default if n <= 0 else min(n, most)
 
 
+def sampled_groups(df: DataFrame, keys: list[str], value: str, n: int = 20) -> DataFrame:
+    """(keys, count, sample, truncated): like :func:`sample_array` of each group, of which no more than the first
+    ``n`` values are ever collected."""
+    counts = df.groupBy(*keys).agg(F.count(value).cast("int").alias("count"))
+    few = first_n(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)], n).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("sample"))
+    return counts.join(few, keys, "left").select(*keys, "count", "sample", (F.col("count") > n).alias("truncated"))
+
+
 def sample_array(values: Column, n: int = 20) -> Column:
     """An array as its count, its first ``n`` and whether that cuts it."""
     return F.struct(F.size(values).alias("count"), F.slice(values, 1, n).alias("sample"), (F.size(values) > n).alias("truncated"))
 
 
-SENSITIVE = r"(?i)\"([^\"]*(?:token|secret|password|authorization|api_?key)[^\"]*)\"\s*:\s*(\"[^\"]*\"|[^,}\s]+)"
+#: Keys whose values are never shown, besides every key that holds "apikey".
+SENSITIVE = {"apikey", "api_key", "authorization", "password", "token", "jwttoken", "secret"}
+
+
+def _redacted(value):
+    if isinstance(value, list):
+        return [_redacted(v) for v in value]
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if k.lower() in SENSITIVE or "apikey" in k.lower() else _redacted(v) for k, v in value.items()}
+    return value
+
+
+@F.pandas_udf(StringType())
+def redact(json_text: pd.Series) -> pd.Series:
+    """JSON text with the values of sensitive keys replaced, at any depth; other text as it is."""
 
+    def one(text):
+        try:
+            return text if text is None else json.dumps(_redacted(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return text
 
-def redact(json_text: Column) -> Column:
-    """JSON text with the values of sensitive keys replaced, at any depth."""
-    return F.regexp_replace(json_text, SENSITIVE, '"$1":"[redacted]"')
+    return json_text.map(one)
 
 
 def path_matches(path: Column, only: Column) -> Column:
-    """A path equals ``only``, ends with it, or is its parsed form."""
-    return (path == only) | F.endswith(path, F.concat(F.lit("/"), only)) | (path == F.concat(F.lit("parsed/"), only))
+    """A path equals ``only``, is it below ``processed/parsed/``, or has it as file name or last part."""
+    base = F.regexp_extract(path, r"([^/]*)$", 1)
+    return (path == only) | (F.concat(F.lit("processed/parsed/"), path) == only) | (base == only) | F.endswith(path, F.concat(F.lit("/"), only))
 
 
 # joins -----------------------------------------------------------------------------------------
@@ -74,10 +103,14 @@ def full_diff(old: DataFrame, new: DataFrame, key: str, fingerprint: str) -> Dat
 
 
 def path_spellings(path: Column) -> Column:
-    """The ways one source path is written: with and without its roots, with either slash."""
-    p = F.regexp_replace(path, r"\\", "/")
-    bare = F.regexp_replace(p, r"^(?:parsed|gamedocs|gamedata)/", "")
-    return F.array_distinct(F.array(path, p, bare, F.concat(F.lit("gamedocs/"), bare), F.concat(F.lit("gamedata/"), bare), F.concat(F.lit("parsed/"), bare), F.lower(bare)))
+    """The ways one source path is written: with and without its roots, as the source file and as the
+    markdown made of it."""
+    p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^/+", "")
+    parsed = F.regexp_replace(p, r"^processed/parsed/", "")
+    bare = F.regexp_replace(parsed, r"^gamedocs/", "")
+    page = F.regexp_replace(bare, r"\.[^.]+$", ".md")
+    under = lambda root, x: F.concat(F.lit(root), x)
+    return F.array_distinct(F.filter(F.array(p, parsed, bare, page, under("gamedocs/", bare), under("gamedocs/", page), under("processed/parsed/", page)), lambda x: x != ""))
 
 
 def equivalent_paths(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:

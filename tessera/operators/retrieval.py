@@ -71,7 +71,10 @@ def anchor_matches(posts: DataFrame, anchors: DataFrame) -> DataFrame:
     a token: containment is tested on the distinct tokens, and pages follow by an equi-join."""
     vocabulary = posts.where("field <> 'citations'").select("term").distinct()
     wanted = anchors.select("anchor").distinct()
-    holding = vocabulary.join(wanted, F.contains(F.col("term"), F.col("anchor")))
+    # a token that contains an anchor has the anchor's first three characters at some place
+    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("term") - 2, F.lit(1))), lambda i: F.substr(F.col("term"), i, F.lit(3)))
+    grams = vocabulary.select("term", F.explode(F.array_distinct(gram)).alias("gram"))
+    holding = grams.join(wanted.withColumn("gram", F.substring("anchor", 1, 3)), "gram").where(F.contains("term", F.col("anchor"))).select("term", "anchor")
     places = posts.where("field <> 'citations'").select("component_id", "term", F.col("field").isin("title", "path").alias("top"))
     held = places.join(holding, "term").groupBy("component_id", "anchor").agg(F.max("top").alias("top"))
     return held.join(anchors, "anchor").groupBy("query_id", "component_id").agg(F.count("*").alias("in_text"), F.count_if("top").alias("in_title"))

@@ -6,25 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TECHNICAL = r"^[A-Za-z_][A-Za-z0-9_]*$"
-META = r"(?i)^(int|integer|long|float|double|string|bool|boolean|enum|array|list|key|pk|fk|index|unique|server|client|both|c|s|cs|\d+)$"
+#: What a row of types and uses consists of.
+META = r"(?i)^\s*(?:int|long|float|double|number|string|string\(intern\)|bool|boolean|json|array|primary|none|null|client|server|all|both)\s*$"
+NUMERIC = r"^\s*[-+]?\d+(?:\.\d+)?\s*$"
 SCAN_ROWS = 12
 
 
 # headers ---------------------------------------------------------------------------------------
 def header_row(cells: DataFrame) -> DataFrame:
-    """(table, row_idx, kind): the header row of each grid. ``cells``: (table, row_idx, col_idx, value).
-    Of the first twelve rows, the first with two technical names or more, a share of technical
-    names of 0.45 or more and a share of type and key marks under 0.6; else the first row with
-    a label; else the first row."""
-    few = cells.where((F.col("row_idx") < SCAN_ROWS) & (F.trim("value") != ""))
+    """(table, row_idx, kind): the last header row of each grid. ``cells``: (table, row_idx, col_idx, value).
+    Of the first twelve rows, technical ones have two technical names or more, a share of them of 0.45 or
+    more and a share of type marks under 0.6; the last of these closes the header. Without any, the row
+    of labels with the best score (labels less numbers and marks); else the first row."""
+    value = F.trim("value")
+    few = cells.where((F.col("row_idx") < SCAN_ROWS) & (value != ""))
+    meta, number = value.rlike(META), value.rlike(NUMERIC)
     rows = few.groupBy("table", "row_idx").agg(
-        F.count("*").alias("filled"), F.count_if(F.col("value").rlike(TECHNICAL) & ~F.col("value").rlike(META)).alias("names"),
-        F.count_if(F.col("value").rlike(META)).alias("meta"), F.count_if(~F.col("value").rlike(r"^[\d.\-]+$")).alias("labels"),
+        F.count("*").alias("filled"), F.count_if(value.rlike(TECHNICAL) & ~meta & ~number).alias("names"), F.count_if(meta).alias("meta"), F.count_if(number).alias("numbers"),
+        F.count_if(~meta & ~number & (F.char_length(value) <= 80) & ~value.rlike("[=;{}<>]")).alias("labels"),
     )
-    technical = (F.col("names") >= 2) & (F.col("names") / F.col("filled") >= 0.45) & (F.col("meta") / F.col("filled") < 0.6)
-    label = (F.col("labels") > 0) & (F.col("meta") / F.col("filled") < 0.6)
-    ranked = rows.withColumn("step", F.when(technical, 1).when(label, 2).otherwise(3))
-    best = ranked.groupBy("table").agg(F.min(F.struct("step", "row_idx")).alias("b"))
+    share = lambda c: F.col(c) / F.col("filled")
+    technical = (F.col("names") >= 2) & (share("names") >= 0.45) & (share("meta") < 0.6)
+    label = (F.col("labels") >= 2) & (share("numbers") < 0.5) & (share("meta") < 0.5)
+    score = F.when(technical, F.col("row_idx")).when(label, F.col("labels") - F.col("numbers") - F.col("meta")).otherwise(F.lit(0)).cast("long")
+    ranked = rows.select("table", "row_idx", F.when(technical, 1).when(label, 2).otherwise(3).alias("step"), (-score).alias("after"))
+    best = ranked.groupBy("table").agg(F.min(F.struct("step", "after", "row_idx")).alias("b"))
     kind = F.element_at(F.array(F.lit("technical"), F.lit("label"), F.lit("first")), F.col("b.step"))
     return best.select("table", F.col("b.row_idx").alias("row_idx"), kind.alias("kind"))
 
@@ -43,6 +49,14 @@ def query_header_row(cells: DataFrame, fields: DataFrame) -> DataFrame:
     return best.select("table", "b.row_idx", "b.score")
 
 
+def raw_grid(cells: DataFrame, header_rows: int = 0) -> DataFrame:
+    """(table, total_rows, columns, header): a grid's size and the cells of its first ``header_rows`` rows; the
+    other rows stay long, as (table, row_idx, col_idx, value)."""
+    first = F.sort_array(F.collect_list(F.when(F.col("row_idx") < header_rows, F.struct("row_idx", "col_idx", "value"))))
+    size = lambda c: (F.max(c) + 1).cast("int")
+    return cells.groupBy("table").agg(size("row_idx").alias("total_rows"), size("col_idx").alias("columns"), F.transform(first, lambda x: x["value"]).alias("header"))
+
+
 def named_rows(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(table, row_idx, cells): rows below the header as maps from header names, repeated names with
     _2, _3 and so on; blank rows are left out."""

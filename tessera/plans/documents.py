@@ -13,11 +13,11 @@ from tessera.sources import sinks
 from tessera.streaming import feedback as ST
 
 #: Documents as markdown pages with two citations and a dependency.
-PAGES = """md AS (SELECT CAST(doc_id AS VARCHAR) AS component_id, doc_id, lang, source, n_chars, substr(replace(text, chr(10), ' '), 1, 200) AS words FROM documents)"""
+PAGES = """md AS (SELECT CAST(doc_id AS VARCHAR) AS component_id, doc_id, lang, source, n_chars, text AS words FROM documents)"""
 
 
 def _pages(t):
-    words = F.substring(F.regexp_replace("text", "\n", " "), 1, 200)
+    words = F.col("text")
     parts = [
         F.concat(F.lit("---\ntitle: Doc "), "doc_id", F.lit("\ntype: "), "lang", F.lit("\n---\n# Overview\n")), words,
         F.concat(F.lit("\n## Data Dependencies\n- "), "source", F.lit("\n- 无\n## Notes\nSee [home](pages/"), "doc_id", F.lit(".md) and [[Other]]\n# Citations\n1. First quote (ev-"), "doc_id", F.lit("; source s1; confidence 0.9)\n2. Second quote")),
@@ -35,7 +35,7 @@ def doc3(t):
     return D.sections(_pages(t)).select("component_id", "section", "level", "heading")
 
 
-@query("doc4_section_text", f"WITH {PAGES} SELECT component_id, md5(trim(trim(words) || chr(10) || '## Data Dependencies' || chr(10) || '- ' || source || chr(10) || '- 无' || chr(10) || '## Notes' || chr(10) || 'See [home](pages/' || doc_id || '.md) and [[Other]]')) AS text FROM md")
+@query("doc4_section_text", f"WITH {PAGES} SELECT component_id, md5(trim(trim(words, chr(10) || chr(13) || chr(9) || ' ') || chr(10) || '## Data Dependencies' || chr(10) || '- ' || source || chr(10) || '- 无' || chr(10) || '## Notes' || chr(10) || 'See [home](pages/' || doc_id || '.md) and [[Other]]')) AS text FROM md")
 def doc4(t):
     return D.section_text(D.sections(_pages(t)), "overview").select("component_id", F.md5("text").alias("text"))
 
@@ -68,9 +68,9 @@ def doc11(t):
     return _pages(t).select("component_id", F.explode(D.links(F.col("body"))).alias("link"))
 
 
-@query("doc12_description", f"WITH {PAGES} SELECT component_id, substr(words, 1, 60) AS description FROM md WHERE trim(words) <> '' AND NOT regexp_matches(words, '^\\s*(#|\\||[-*+]\\s|---|>)')")
+@query("doc12_description", f"WITH {PAGES} SELECT component_id, substr(list_filter(string_split(words, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(#|\\||[-*+]\\s|---|>)'))[1], 1, 60) AS description FROM md WHERE trim(words, chr(10) || ' ') <> ''")
 def doc12(t):
-    return _pages(t).where((F.trim("words") != "") & ~F.col("words").rlike(r"^\s*(?:#|\||[-*+]\s|---|>)")).select("component_id", D.description(F.col("body")).alias("description"))
+    return _pages(t).where(F.trim("words", F.lit("\n ")) != "").select("component_id", D.description(F.col("body")).alias("description"))
 
 
 @query("doc14_overrides", "SELECT CAST(doc_id AS VARCHAR) AS component_id, CASE WHEN lang = 'fr' THEN 'Edited' ELSE substr(text, 1, 40) END AS title, lang AS type FROM documents")
@@ -113,10 +113,12 @@ def snk3(t):
     return t.documents.select("doc_id", F.md5(page).alias("page"))
 
 
-@query("snk4_directory_index", "SELECT source, count(*) AS pages, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS listing FROM documents GROUP BY ALL")
+@query("snk4_directory_index", "SELECT source, doc_id // 1000 AS part, count(*) AS pages, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS listing FROM documents GROUP BY ALL")
 def snk4(t):
+    # a directory is listed in parts of a thousand numbers, so none is collected whole
     ids = F.array_sort(F.collect_list("doc_id"))
-    return t.documents.groupBy("source").agg(F.count("*").alias("pages"), F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("listing"))
+    part = F.floor(F.col("doc_id") / 1000).alias("part")
+    return t.documents.groupBy("source", part).agg(F.count("*").alias("pages"), F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("listing"))
 
 
 @query("snk8_bundle_hash", "SELECT sha256(string_agg(n_name || chr(0) || md5(n_name) || chr(0), '' ORDER BY n_name)) AS bundle_hash FROM nation")

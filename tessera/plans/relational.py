@@ -78,17 +78,17 @@ def flt11(t):
 @query("flt12_slim_projection", """WITH a AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id)
 SELECT user_id, CAST(len(ids) AS INT) AS n, array_to_string(ids[1:20], ',') AS sample, len(ids) > 20 AS truncated FROM a""")
 def flt12(t):
-    ids = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids")).select("user_id", R.sample_array(F.col("ids")).alias("s"))
-    return ids.select("user_id", F.col("s.count").alias("n"), F.array_join(F.transform("s.sample", lambda x: x.cast("string")), ",").alias("sample"), F.col("s.truncated").alias("truncated"))
+    ids = R.sampled_groups(t.events, ["user_id"], "event_id", 20)
+    return ids.select("user_id", F.col("count").alias("n"), F.array_join(F.transform("sample", lambda x: x.cast("string")), ",").alias("sample"), "truncated")
 
 
-@query("flt13_redaction", """SELECT event_id, '{"api_key":"[redacted]","k":' || json_extract_string(props, '$.k') || '}' AS payload FROM events""")
+@query("flt13_redaction", """SELECT event_id, '{"api_key":"[REDACTED]","a":[{"Token":"[REDACTED]","user_token":1}],"k":' || json_extract_string(props, '$.k') || '}' AS payload FROM events""")
 def flt13(t):
-    raw = F.concat(F.lit('{"api_key": "s'), "event_id", F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    raw = F.concat(F.lit('{"api_key": "s'), "event_id", F.lit('","a":[{"Token":{"x":[1]},"user_token":1}],"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
     return t.events.select("event_id", R.redact(raw).alias("payload"))
 
 
-@query("flt15_only_path", f"WITH {S.PAGES_SQL} SELECT component_id FROM pages_ WHERE path = 'src1/12.md' OR ends_with(path, '/12.md') OR path = 'parsed/12.md'")
+@query("flt15_only_path", f"WITH {S.PAGES_SQL} SELECT component_id FROM pages_ WHERE regexp_extract(path, '[^/]*$') = '12.md'")
 def flt15(t):
     return S.pages(t).where(R.path_matches(F.col("path"), F.lit("12.md"))).select("component_id")
 
@@ -200,11 +200,11 @@ def join15(t):
 
 
 @query("join18_path_equivalence", f"""WITH {S.PAGES_SQL}, l AS (SELECT component_id, path FROM pages_),
-r AS (SELECT 'gamedocs/' || path AS other FROM pages_ WHERE type = 'en')
-SELECT component_id, other FROM l JOIN r ON other = 'gamedocs/' || path""")
+r AS (SELECT 'gamedocs/' || replace(path, '.md', '.docx') AS other, path AS same FROM pages_ WHERE type = 'en')
+SELECT component_id, other FROM l JOIN r ON path = same""")
 def join18(t):
     p = S.pages(t)
-    r = p.where("type = 'en'").select(F.concat(F.lit("gamedocs/"), "path").alias("other"))
+    r = p.where("type = 'en'").select(F.concat(F.lit("gamedocs/"), F.regexp_replace("path", r"\.md$", ".docx")).alias("other"))
     return R.equivalent_paths(p.select("component_id", "path"), r, "path", "other").select("component_id", "other")
 
 

