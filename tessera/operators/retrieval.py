@@ -6,6 +6,8 @@ the term, so the work follows the matches, not queries times pages.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +137,34 @@ def dense_scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
     return pages.join(queries.withColumnRenamed("value", "q"), "idx").groupBy("query_id", "component_id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
 
 
+def _best_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each row of a block the best of another block with a smaller id; ties to smaller ids."""
+    schema = pa.schema([("id", pa.int64()), ("match", pa.int64()), ("score", pa.float64())])
+    if not left.num_rows or not right.num_rows:
+        return schema.empty_table()
+    right = right.sort_by("id")
+    a, b = left["id"].to_numpy(), right["id"].to_numpy()
+    scores = np.array(left["vector"].to_pylist()) @ np.array(right["vector"].to_pylist()).T
+    keys = np.where(b[None, :] < a[:, None], np.floor(scores * 1e9 + 0.5), -np.inf)
+    at = keys.argmax(1)
+    found = np.flatnonzero(keys[np.arange(len(a)), at] > -np.inf)
+    return pa.Table.from_arrays([pa.array(a[found]), pa.array(b[at[found]]), pa.array(scores[found, at[found]])], schema=schema)
+
+
+def best_earlier(rows: DataFrame, group: str, key: str, vector: str, block: int = 512) -> DataFrame:
+    """(key, match, score): for each row the best inner product with a row of its group and a smaller key. Blocks of a
+    group's rows meet blocks of the same group, and one row a block pair is left, so a group of any size is
+    spread over many tasks and no pairs are written."""
+    v = rows.select(F.col(group).alias("grp"), F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).where("vector IS NOT NULL")
+    counts = v.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = v.join(counts, "grp").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = dealt.select("grp", F.col("own").alias("a"), F.col("other").alias("b"), "id", "vector")
+    right = dealt.select(F.col("grp").alias("grp"), F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("vector").alias("vector"))
+    found = left.groupBy("grp", "a", "b").cogroup(right.groupBy("grp", "a", "b")).applyInArrow(_best_in_block, "id long, match long, score double")
+    order = F.struct(F.floor(F.col("score") * 1e9 + 0.5), -F.col("match"))
+    return found.groupBy("id").agg(F.max_by(F.struct("match", "score"), order).alias("b")).select(F.col("id").alias(key), "b.match", "b.score")
+
+
 def fuse(ranked: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, component_id, rank): fused scores."""
     every = ranked[0].select("query_id", "component_id", "rank")

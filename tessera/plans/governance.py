@@ -238,9 +238,12 @@ def str4(t):
 
 @query("str5_cluster_keys")
 def str5(t):
-    v = t.embeddings.select((F.col("vec_id") % 500).alias("slot"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    vectors = v.groupBy("slot").agg(F.min_by("v", "vec_id").alias("vector"))
-    return G.cluster_keys(_feedback(t).withColumn("slot", F.pmod(F.xxhash64("query"), F.lit(500))).join(vectors, "slot", "left").drop("slot")).select("event_id", "cluster_key")
+    # every query has a vector by its hash, out of all of them; users are dealt to projects
+    n = t.embeddings.agg((F.max("vec_id") + 1).alias("n"))
+    vectors = t.embeddings.groupBy(F.col("vec_id").alias("slot")).agg(F.first(F.transform("embedding", lambda x: x.cast("double"))).alias("vector"))
+    asked = _feedback(t).join(F.broadcast(n), F.lit(True)).withColumn("slot", F.pmod(F.xxhash64("query"), "n")).drop("n")
+    project = F.concat(F.lit("p"), F.pmod(F.split("query", ":")[0].cast("long"), F.lit(64)))
+    return G.cluster_keys(asked.withColumn("project_id", project).join(vectors, "slot", "left").drop("slot")).select("event_id", "cluster_key")
 
 
 @query("str6_gap_candidates", f"""WITH {FEEDBACK} SELECT query AS query_key, count(*) AS event_count, CASE WHEN count(*) >= 3 THEN 'dismissed' ELSE 'open' END AS status FROM feedback WHERE feedback_type = 'miss' GROUP BY query""")

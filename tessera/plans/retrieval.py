@@ -250,8 +250,5 @@ best AS (
 SELECT vec_id, match, floor(s * 1e6 + 0.5) / 1e6 AS similarity FROM best WHERE r = 1 AND s >= 0.85""")
 def join17(t):
     v = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    other = v.select(F.col("vec_id").alias("match"), "label", F.col("v").alias("w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = v.join(other, "label").where("match < vec_id").select("vec_id", "match", dot.alias("s"))
-    best = pairs.groupBy("vec_id").agg(F.max_by(F.struct("match", "s"), F.struct(F.floor(F.col("s") * 1e9 + 0.5), -F.col("match"))).alias("b"))
-    return best.where("b.s >= 0.85").select("vec_id", F.col("b.match").alias("match"), half_up(F.col("b.s"), 6).alias("similarity"))
+    best = R.best_earlier(v, "label", "vec_id", "v")
+    return best.where("score >= 0.85").select("vec_id", "match", half_up(F.col("score"), 6).alias("similarity"))

@@ -15,6 +15,7 @@ from tessera.functions.rounding import clamp01, half_up
 from tessera.operators import documents as D
 from tessera.operators import evaluation as E
 from tessera.operators import governance as G
+from tessera.operators import lookups as L
 from tessera.operators import relational as R
 from tessera.operators import retrieval as Q
 from tessera.operators import tables as T
@@ -227,3 +228,32 @@ def test_stream_equals_batch(spark):
             allowed += 1
         times[r.user_id] = kept
     assert got == {k: v for k, v in ((True, allowed), (False, len(rows) - allowed)) if v}
+
+
+def test_sweep_keeps_errors_apart():
+    def job(project):
+        if project == "b":
+            raise ValueError("no source")
+
+    assert L.sweep(["a", "b", "c"], job) == [("a", "done"), ("b", "failed: no source"), ("c", "done")]
+
+
+def test_best_earlier_over_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(90, 4)), 1)
+    df = spark.createDataFrame([(i, i % 2, v[i].tolist()) for i in range(90)] + [(95, 0, None)], "id long, g long, v array<double>")
+    got = {r.id: (r.match, round(r.score, 9)) for r in Q.best_earlier(df, "g", "id", "v", block=7).collect()}
+    want = {}
+    for i in range(2, 90):
+        s, j = min((-round(float(v[i] @ v[j]), 9), j) for j in range(i % 2, i, 2))
+        want[i] = (j, -s)
+    assert got == want
+    assert Q.best_earlier(df.limit(0), "g", "id", "v").count() == 0
+
+
+def test_sampled_groups(spark):
+    df = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 5), (3, None)], "u long, e long")
+    got = {r.u: (r["count"], r["sample"], r["truncated"]) for r in R.sampled_groups(df, ["u"], "e", 20).collect()}
+    assert got == {1: (30, list(range(20)), True), 2: (1, [5], False), 3: (0, None, False)}
