@@ -1,29 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one that adds text from toxic
-documents: the passages around byte sequences that many toxic and hardly any ordinary training
-documents hold. Every window of a text is compressed with either; how much shorter the toxic
-dictionary makes it, and in how many windows, is calibrated into a probability on the training
-documents. Scores use the text alone.
+Zstandard trains two dictionaries, one on ordinary text and one on the text of toxic documents that
+ordinary ones hardly share (byte sequences that are several times as frequent there). Every window
+of a text is compressed with either; how much shorter the toxic dictionary makes the best windows,
+and how many windows pass each of three thresholds, is calibrated into a probability on the
+training documents. Scores use the text alone.
 
-Bounds: ``per_class`` labelled documents of each class and ``max_windows`` windows of each (both
-chosen by hash) train the dictionaries and the calibration; scoring covers every whole text.
+Bound: ``per_class`` labelled documents of each class (chosen by hash) train the dictionaries and the
+calibration, with all their windows; scoring covers every whole text.
 
 Defined results: a null text is empty and scores like one; without training documents of both
 classes every score is 0; of several labels of one doc_id the largest counts, null labels
-count as none; a null doc_id is never held out nor trained on; extra columns play no part.
+count as none; a null doc_id is never held out nor trained on; a text of any length is scored
+by all its windows, repeated rows each; an empty table gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,15 +105,15 @@ def _counts(documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(seen), return_counts=True)
 
 
-def contrasting_passages(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float, least: int) -> Counter:
-    """Passages of toxic documents made of n-grams that are ``ratio`` times as frequent there as
-    in ordinary documents, with the number of times each occurs."""
+def contrasting_text(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float, least: int) -> list[bytes]:
+    """For each toxic document that has any, its text made of n-grams that are ``ratio`` times as frequent in toxic
+    documents as in ordinary ones."""
     gt, nt = _counts(toxic)
     go, no = _counts(ordinary)
     at = np.searchsorted(go, gt).clip(0, len(go) - 1)
     other = np.where(go[at] == gt, no[at], 0)
     marked = gt[(nt >= least) & ((nt + 0.5) / (other + 0.5) * len(ordinary) / len(toxic) >= ratio)]
-    passages: Counter = Counter()
+    out = []
     for document in toxic:
         grams, data, places = _grams(document)
         covered = np.zeros(len(data) + 1, bool)
@@ -122,21 +121,27 @@ def contrasting_passages(toxic: list[list[bytes]], ordinary: list[list[bytes]],
             covered[places[np.isin(grams, marked)] + k] = True
         edges = np.flatnonzero(np.diff(np.r_[False, covered].astype(np.int8)))
         text = data.tobytes()
-        passages.update(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-    return passages
+        passages = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        if passages:
+            out.append(b" ".join(passages))
+    return out
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = 32768, toxic_size: int = 2048, ratio: float = 20.0, least: int = 8) -> tuple[bytes, bytes]:
-    """Both dictionaries hold the ordinary one, so ordinary windows differ little; the toxic one
-    ends with what contrasts, most frequent passages last, where they are cheapest to refer to."""
-    plain = list(dict.fromkeys(w for d in ordinary for w in d))
+def _dictionary(size: int, samples: list[bytes]) -> bytes:
     try:
-        base = zstandard.train_dictionary(size, plain).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
-        base = b"".join(plain)[-size:]
+        return b" ".join(dict.fromkeys(samples))[-size:]
+
+
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = 32768, toxic_size: int = 2048, ratio: float = 20.0, least: int = 8) -> tuple[bytes, bytes]:
+    """Two dictionaries that zstandard trains: one on the windows of ordinary documents, one on what toxic documents
+    hold and ordinary ones hardly do. The toxic one is used after the ordinary one, so that what is
+    ordinary costs the same with either."""
+    plain = list(dict.fromkeys(w for d in ordinary for w in d))
     least = max(2, min(least, len(toxic) // 10))
-    passages = contrasting_passages(toxic, ordinary, ratio, least).most_common(toxic_size // 4)
-    return base, base + b"".join(p for p, _ in reversed(passages))[-toxic_size:]
+    base = _dictionary(size, plain)
+    return base, base + _dictionary(toxic_size, contrasting_text(toxic, ordinary, ratio, least))
 
 
 def calibrate(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,16 +159,10 @@ def calibrate(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, rid
     return mean, scale, w
 
 
-def _chosen_windows(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch["text"].to_pylist():
-                cut = windows(text or "")
-                out.append(cut if len(cut) <= most else sorted(cut, key=xxhash.xxh64_intdigest)[:most])
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(out, pa.list_(pa.binary()))], names=["toxic", "windows"])
-
-    return run
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [windows(text or "") for text in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(out, pa.list_(pa.binary()))], names=["toxic", "windows"])
 
 
 def _features(ordinary: bytes, toxic: bytes):
@@ -193,7 +192,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_windows: int = 200, toxic_weight: float = 2.0) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, toxic_weight: float = 2.0) -> Model | None:
     """A model from the labelled documents that are not held out; None without both classes.
     ``toxic_weight`` is how many times a toxic document counts against its share."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -204,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_windows:
     by_hash = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
     chosen = F.broadcast(by_hash[0].union(by_hash[1]))  # 2 x per_class rows at most
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text")
-    rows = texts.mapInArrow(_chosen_windows(max_windows), "toxic int, windows array<binary>").collect()
+    rows = texts.mapInArrow(_windows, "toxic int, windows array<binary>").collect()
     sides = [[[bytes(w) for w in r["windows"]] for r in rows if r["toxic"] == t] for t in (0, 1)]
     if not sides[0] or not sides[1]:
         return None
