@@ -243,7 +243,7 @@ def ret6(t):
 
 @query("ret8_explanations", f"""WITH {P.LEXICAL},
 hit AS (SELECT DISTINCT query_id, component_id, field, term FROM lexical_top JOIN posts USING (component_id) JOIN terms USING (query_id, term) WHERE rank <= 3),
-lines AS (SELECT query_id, component_id, field, field || ' 命中：' || array_to_string(list_sort(list(term))[1:6], ', ') AS line FROM hit GROUP BY ALL),
+lines AS (SELECT query_id, component_id, field, field || ' 命中：' || array_to_string(list_sort(list(term))[1:6], ', ') AS line FROM hit GROUP BY query_id, component_id, field),
 words AS (SELECT query_id, component_id, array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms FROM hit GROUP BY ALL),
 why AS (SELECT query_id, component_id, string_agg(field, ' ' ORDER BY field) AS fields, array_to_string(list_sort(list(line))[1:8], '; ') AS why FROM lines GROUP BY ALL)
 SELECT query_id, component_id, terms, fields, why FROM words JOIN why USING (query_id, component_id)""")
