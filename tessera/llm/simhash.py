@@ -133,7 +133,7 @@ STAR_ROUNDS = 8
 FLUSH, BUCKET_TOKENS, SPLIT = 1 << 18, 1 << 20, 1 << 16
 #: Tasks that share such a list.
 SPREAD = 256
-SENT = "bucket long, token long, node long, size int, before int, payload binary"
+SENT = "bucket long, token long, node long, size int, before int, p0 long, p1 long, payload binary"
 
 
 def _unique_shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -167,6 +167,12 @@ def _parities(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def _few_parities(shingles: np.ndarray) -> np.ndarray:
+    """Parities of 128 classes as two numbers, for lists; they tell small sets apart."""
+    odd = np.bincount((shingles >> np.uint64(16)).astype(np.int64) & 127, minlength=128) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _cut(shingles: np.ndarray) -> np.ndarray:
     """48 bits of a shingle name its token."""
     return shingles >> np.uint64(16)
@@ -192,12 +198,13 @@ def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, coun
         rank = np.where(sorted_hot[at] == tokens, at_hash[at], -1)
         return first_places(tokens[np.lexsort((shingles, rank))[:size]])
 
-    def packed(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def packed(held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         tokens, before = (np.concatenate([h[i] for h in held]) for i in (2, 3))
         who = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
         nodes, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int32)
+        few = np.stack([h[4] for h in held])
         alone = np.isin(tokens, split)
-        rows = (buckets + who[alone] % SPREAD, tokens[alone].view(np.int64), nodes[who[alone]], sizes[who[alone]], before[alone])
+        rows = (buckets + who[alone] % SPREAD, tokens[alone].view(np.int64), nodes[who[alone]], sizes[who[alone]], before[alone], *few[who[alone]].T)
         order = np.flatnonzero(~alone)[np.argsort(tokens[~alone], kind="stable")]
         tokens, who, before = tokens[order], who[order], before[order]
         if count:
@@ -210,10 +217,10 @@ def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, coun
                 payloads.append(pack(short(tokens[a:b], 6), times[a:b].astype("<u4")))
             else:
                 own, place = np.unique(who[a:b], return_inverse=True)
-                payloads.append(pack(short(tokens[a:b], 6), place.astype("<u2" if len(own) < 65536 else "<u4"), nodes[own], sizes[own], before[a:b]))
+                payloads.append(pack(short(tokens[a:b], 6), place.astype("<u2" if len(own) < 65536 else "<u4"), nodes[own], sizes[own], before[a:b], few[own].ravel()))
         zeros = np.zeros(len(keys), np.int64)
-        columns = [np.r_[zero.astype(row.dtype), row] for zero, row in zip((np.array(keys, np.int64), *[zeros] * 4), rows, strict=True)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(payloads + [None] * len(rows[0]), pa.binary())], names=["bucket", "token", "node", "size", "before", "payload"])
+        columns = [np.r_[zero.astype(row.dtype), row] for zero, row in zip((np.array(keys, np.int64), *[zeros] * 6), rows, strict=True)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(payloads + [None] * len(rows[0]), pa.binary())], names=["bucket", "token", "node", "size", "before", "p0", "p1", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}  # equal sets once
@@ -222,7 +229,7 @@ def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, coun
             for shingles in _unique_shingles(batch, width):
                 name = _set_name(shingles)
                 if name not in held:
-                    held[name] = (name, len(shingles), *prefix(shingles))
+                    held[name] = (name, len(shingles), *prefix(shingles), _few_parities(shingles))
                     n += len(held[name][2])
             if n >= FLUSH:
                 yield packed(list(held.values()))
@@ -264,7 +271,7 @@ def _totals(least: int):
     return run
 
 
-LISTS = "token long, node long, size int, before int, place long, length long, part long, alike long"
+LISTS = "token long, node long, size int, before int, p0 long, p1 long, place long, length long, part long, alike long"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,19 +281,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for held in _by_bucket(batches):
         if isinstance(held, pa.RecordBatch):
             none = pa.nulls(held.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([held["token"], held["node"], held["size"], held["before"], none, none, held["bucket"], none], names=names)
+            yield pa.RecordBatch.from_arrays([held["token"], held["node"], held["size"], held["before"], held["p0"], held["p1"], none, none, held["bucket"], none], names=names)
             continue
-        columns = ((wide(t, 6), nodes[who], sizes[who], before) for t, who, nodes, sizes, before in held)
-        token, node, size, before = (np.concatenate(c) for c in zip(*columns, strict=True))
+        columns = ((wide(t, 6), nodes[who], sizes[who], before, *few.reshape(-1, 2)[who].T) for t, who, nodes, sizes, before, few in held)
+        token, node, size, *rest = (np.concatenate(c) for c in zip(*columns, strict=True))
         order = np.lexsort((node, size, token))
         new = np.r_[True, (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1])]  # repeated rows of one document
-        token, node, size, before = (c[order[new]] for c in (token, node, size, before))
+        token, node, size, *rest = (c[order[new]] for c in (token, node, size, *rest))
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         lengths = np.diff(np.r_[starts, len(token)])
         length = np.repeat(lengths, lengths)
         alike = np.repeat(np.add.reduceat(mix(node.view(np.uint64)), starts), lengths).view(np.int64)
         place, more = np.arange(len(token)) - np.repeat(starts, lengths), length > 1
-        numbers = [pa.array(c[more]) for c in (token.view(np.int64), node, size, before, place, length)]
+        numbers = [pa.array(c[more]) for c in (token.view(np.int64), node, size, *rest, place, length)]
         yield pa.RecordBatch.from_arrays([*numbers, pa.nulls(int(more.sum()), pa.int64()), pa.array(alike[more])], names=names)
 
 
@@ -315,8 +322,9 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
 class _Members:
     """Sets of token lists as arrays."""
 
-    def __init__(self, node: np.ndarray, size: np.ndarray, before: np.ndarray, group: np.ndarray, parities: np.ndarray | None = None):
+    def __init__(self, node: np.ndarray, size: np.ndarray, before: np.ndarray, group: np.ndarray, p0: np.ndarray, p1: np.ndarray, parities: np.ndarray | None = None):
         self.node, self.size, self.before, self.group, self.signed = node, size, before, group, parities is not None
+        self.few = np.stack([p0, p1], 1).view(np.uint64)
         if not self.signed:
             return
         self.bytes = np.fromiter(map(len, parities), np.int64, len(parities))
@@ -348,6 +356,8 @@ class _Members:
         least = similarity / (1 + similarity) * (self.size[i] + self.size[j]) - 1e-6
         fine = (np.minimum(self.size[i] - self.before[i], self.size[j] - self.before[j]) >= least) & (self.group[i] != self.group[j])
         i, j, least = i[fine], j[fine], least[fine]
+        fine = np.bitwise_count(self.few[i] ^ self.few[j]).sum(1, dtype=np.int64) <= self.size[i] + self.size[j] - 2 * least
+        i, j, least = i[fine], j[fine], least[fine]
         if self.signed:
             fine = self.apart(i, j) <= self.size[i] + self.size[j] - 2 * least
             i, j = i[fine], j[fine]
@@ -355,7 +365,7 @@ class _Members:
         return np.minimum(a, b), np.maximum(a, b)
 
 
-MEMBERS = ["node", "size", "before", "grp"]
+MEMBERS = ["node", "size", "before", "grp", "p0", "p1"]
 
 
 def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -430,7 +440,7 @@ def _may_be_alike(similarity: float):
                 continue
             ends = [np.concatenate([batch[x].to_numpy(zero_copy_only=False), batch[y].to_numpy(zero_copy_only=False)]) for x, y in (("a", "b"), ("na", "nb"), ("pa", "pb"))]
             zero = np.zeros(2 * n, np.int64)
-            a, b = _Members(ends[0], ends[1], zero, np.arange(2 * n), ends[2]).pairs(np.arange(n), np.arange(n, 2 * n), similarity)
+            a, b = _Members(ends[0], ends[1], zero, np.arange(2 * n), zero, zero, ends[2]).pairs(np.arange(n), np.arange(n, 2 * n), similarity)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
@@ -494,7 +504,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
         offsets = sizes.select("token", "part", (F.sum("n").over(before) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy("token")).alias("all"))
         local = F.row_number().over(Window.partitionBy("token", "part").orderBy("size", "node")) - 1
         placed = long.withColumn("local", local).join(offsets, ["token", "part"])
-        lists = lists.where("place IS NOT NULL").unionByName(placed.select("token", "node", "size", "before", (F.col("local") + F.col("offset")).alias("place"), F.col("all").alias("length"), "part", "token").toDF(*[x.split()[0] for x in LISTS.split(", ")]))
+        lists = lists.where("place IS NOT NULL").unionByName(placed.select("token", "node", "size", "before", "p0", "p1", (F.col("local") + F.col("offset")).alias("place"), F.col("all").alias("length"), "part", "token").toDF(*[x.split()[0] for x in LISTS.split(", ")]))
         lists = keep(lists.where("length > 1"), "placed-lists")
     # tokens with the same list are one: the first in the order of tokens is the first that any two of it share
     firsts = lists.where("place = 0").groupBy("alike", "length").agg(F.min_by("token", F.struct("before", "token")).alias("token"))
@@ -526,7 +536,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
         last = compared["pairs"] <= 2 * compared["n"] or turn >= star_rounds or turn >= 1 and more * 200 < total
         if last:
             signed = open_lists.join(nodes.select("node", "parities"), "node").select("token", *MEMBERS, "parities", "place", "length")
-            cut = signed.mapInArrow(_part_pairs(part), "token long, node long, size int, before int, grp long, parities binary, low long, high long, own long")
+            cut = signed.mapInArrow(_part_pairs(part), "token long, node long, size int, before int, grp long, p0 long, p1 long, parities binary, low long, high long, own long")
             pairs = cut.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "own").mapInArrow(_all_pairs(similarity), "a long, b long")
         else:
             order = ["size", "node"] if not turn else [F.xxhash64("node", F.lit(turn))]
