@@ -77,19 +77,17 @@ def symbols(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> Symbols:
     return Symbols(w.hash, np.searchsorted(w.doc, np.arange(len(offsets))), w.start, w.end)
 
 
-def _gram_hashes(unit: Unit, values: np.ndarray) -> np.ndarray:
-    if unit.kind == "words":
+def _gram_hashes(unit: Unit, values: np.ndarray, wide: np.ndarray | None) -> np.ndarray:
+    if wide is None:
         return window_hashes(values, unit.gram)
-    wide = np.ascontiguousarray(eight_bytes(values))
     n = len(values) - unit.gram + 1
     out, more = wide[:n] * np.uint64(0x9FB21C651E98DF25), np.empty(n, np.uint64)
     for at in sorted({*range(8, unit.gram - 8, 8), unit.gram - 8} - {0}):
         np.multiply(wide[at : at + n], np.uint64(0xC2B2AE3D27D4EB4F + 2 * at), out=more)
         out += more
-    for _ in range(2):
-        np.right_shift(out, np.uint64(32), out=more)
-        out ^= more
-        out *= np.uint64(0xD6E8FEB86659FD93)
+    np.right_shift(out, np.uint64(32), out=more)
+    out ^= more
+    out *= np.uint64(0xD6E8FEB86659FD93)
     return out
 
 
@@ -97,16 +95,19 @@ class Runs:
     """Hashes of runs of units: the difference of two prefix sums, times an inverse power. Bytes are summed as mixed
     groups of eight, so the sums are of no single symbol and alternating patterns don't cancel out."""
 
-    def __init__(self, unit: Unit, values: np.ndarray):
+    def __init__(self, unit: Unit, values: np.ndarray, wide: np.ndarray | None = None):
         self.tail = 7 if unit.kind == "bytes" else 0
+        n = max(0, len(values) - self.tail)
+        up, self.down = powers(len(values) + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
         if self.tail:
-            values = eight_bytes(values)[: max(0, len(values) - 7)] * np.uint64(0x9FB21C651E98DF25)
-            values ^= values >> np.uint64(32)
-            values *= np.uint64(0xD6E8FEB86659FD93)
-            values ^= values >> np.uint64(29)
-        up, self.down = powers(len(values) + self.tail + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+            mixed = (eight_bytes(values) if wide is None else wide)[:n] * np.uint64(0x9FB21C651E98DF25)
+            np.right_shift(mixed, np.uint64(32), out=self.sums[1:])
+            mixed ^= self.sums[1:]
+            mixed *= up[:n]
+        else:
+            mixed = values * up[:n]
+        np.cumsum(mixed, out=self.sums[1:])
 
     def hash(self, first: np.ndarray, units: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[first + units - self.tail] - self.sums[first]) * self.down[first] + np.asarray(units).astype(np.uint64))
@@ -120,7 +121,8 @@ def super_windows(unit: Unit, s: Symbols) -> SuperWindows:
         n = len(values) - unit.length + 1
         if n <= 0:
             continue
-        grams = _gram_hashes(unit, values)
+        wide = np.ascontiguousarray(eight_bytes(values)) if unit.kind == "bytes" else None
+        grams = _gram_hashes(unit, values, wide)
         low = np.uint64((1 << 22) - 1)
         place = rolling_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), unit.length - unit.gram + 1)[:n] & low
         lo, hi = np.searchsorted(s.offsets, [at, at + n], "right")
@@ -132,7 +134,7 @@ def super_windows(unit: Unit, s: Symbols) -> SuperWindows:
         stop = np.r_[edge[1:], n]
         fine = whole[edge]
         first, count = edge[fine], (stop - edge)[fine]
-        content = Runs(unit, values).hash(first, count + unit.length - 1)
+        content = Runs(unit, values, wide).hash(first, count + unit.length - 1)
         parts.append((first + at, count, doc[first], mix(grams[place[first].astype(np.int64)] ^ np.uint64(0x5851F42D4C957F2D)), content))
     if not parts:
         none = np.zeros(0, np.int64)
