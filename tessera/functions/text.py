@@ -117,3 +117,26 @@ def loose_json(text: Column) -> Column:
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     checked = lambda x: F.when(F.try_parse_json(x).isNotNull() & (x != ""), x)
     return F.coalesce(checked(strip(text)), checked(strip(fence)), checked(inner))
+
+
+def iso_time(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def compact_time(ts: Column) -> Column:
+    return F.date_format(ts, "yyyyMMddHHmmss")
+
+
+def local_day(ts: Column, zone: str = "Asia/Shanghai") -> Column:
+    """The day of a time zone, dotted."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy.MM.dd")
+
+
+def local_day_start(ts: Column, zone: str = "Asia/Shanghai") -> Column:
+    """When the day of a time zone began."""
+    return F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(ts, zone)), zone)
+
+
+def is_stale(at: Column, now: Column, days: int) -> Column:
+    """Whether a time given as text is older than some days; what is missing or no time is."""
+    return F.coalesce(now - F.try_to_timestamp(at) > F.make_dt_interval(F.lit(days)), F.lit(True))

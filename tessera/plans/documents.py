@@ -162,7 +162,7 @@ def fn18(t):
     return t.events.select("event_id", F.date_format(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Shanghai"), "yyyy.MM.dd").alias("day"))
 
 
-@query("eva1_answer_scores", "SELECT conv_id || '-' || turn AS case_id, (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'tion') THEN 1 ELSE 0 END) / 2 AS score, CASE WHEN contains(lower(text), 'the') AND contains(lower(text), 'tion') THEN 'pass' WHEN contains(lower(text), 'the') OR contains(lower(text), 'tion') THEN 'partial' ELSE 'fail' END AS status FROM conversations")
+@query("eva1_answer_scores", "SELECT conv_id || '-' || turn AS case_id, (CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'tion') THEN 1 ELSE 0 END) / 2 AS score, CASE WHEN contains(text, 'the') AND contains(text, 'tion') THEN 'pass' WHEN contains(text, 'the') OR contains(text, 'tion') THEN 'partial' ELSE 'fail' END AS status FROM conversations")
 def eva1(t):
     return E.score_answers(t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.col("text").alias("answer"), F.array(F.lit("the"), F.lit("tion")).alias("key_facts")))
 

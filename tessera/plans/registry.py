@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import documents, governance, lookups, pages, relational, retrieval, summaries, tables  # noqa: F401
+from tessera.plans import documents, governance, lookups, pages, records, relational, retrieval, summaries, tables  # noqa: F401
 from tessera.plans.base import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -73,9 +73,9 @@ def workbook_cells(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(_workbooks, CELLS)
 
 
-def csv_cells(spark: SparkSession, root: str) -> DataFrame:
+def csv_cells(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """CSV files in the same long form, ragged rows as they are, a byte order mark removed."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root, wholetext=True)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     rows = text.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r"\r?\n$", ""), r"\r?\n")).alias("row_idx", "line"))
     # a comma counts where an even number of quotes follows it
     parts = rows.select("path", "row_idx", F.posexplode(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')).alias("col_idx", "raw"))
@@ -83,6 +83,22 @@ def csv_cells(spark: SparkSession, root: str) -> DataFrame:
     return parts.select("path", F.lit("Sheet1").alias("sheet"), "row_idx", "col_idx", value.alias("value"))
 
 
+def csv_problems(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, row_idx, problem, columns, expected): rows that have not as many columns as their file's first row,
+    and files that start with a byte order mark."""
+    width = csv_cells(spark, root, pattern).groupBy("path", "row_idx").agg((F.max("col_idx") + 1).alias("columns"))
+    ragged = width.join(width.where("row_idx = 0").select("path", F.col("columns").alias("expected")), "path").where("columns <> expected")
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
+    marked = text.where(F.startswith("value", F.lit("\ufeff"))).select(F.col("_metadata.file_path").alias("path"), F.lit(0), F.lit("byte_order_mark"), F.lit(None).cast("int"), F.lit(None).cast("int"))
+    return ragged.select("path", "row_idx", F.lit("column_count").alias("problem"), "columns", "expected").union(marked)
+
+
+def first_sheet(cells: DataFrame) -> DataFrame:
+    """Cells of each workbook's first sheet alone, blank rows kept. ``cells`` has the sheets' order in ``sheet_idx``."""
+    first = cells.groupBy("path").agg(F.min("sheet_idx").alias("sheet_idx"))
+    return cells.join(first, ["path", "sheet_idx"], "left_semi")
+
+
 def aliases(spark: SparkSession, path: str) -> DataFrame:
     """(table, alias) of a JSON file in any of its layouts: a list of records, a record with the list under
     ``aliases``, or a flat map from alias to table."""
@@ -150,6 +166,7 @@ def sheet_preview(cells: DataFrame, most: int = 12) -> DataFrame:
 
 
 def text_preview(texts: DataFrame, most: int = 60) -> DataFrame:
-    """(path, preview, truncated) of (path, text)."""
-    lines = F.split("text", r"\r?\n")
-    return texts.select("path", F.array_join(F.slice(lines, 1, most), "\n").alias("preview"), (F.size(lines) > most).alias("truncated"))
+    """(path, preview, truncated, notice) of (path, text); a text with a zero byte is no text, which the notice says."""
+    lines, binary = F.split("text", r"\r?\n"), F.contains("text", F.lit("\0"))
+    shown = F.when(~binary, F.array_join(F.slice(lines, 1, most), "\n"))
+    return texts.select("path", shown.alias("preview"), (~binary & (F.size(lines) > most)).alias("truncated"), F.when(binary, "binary").alias("notice"))

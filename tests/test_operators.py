@@ -257,3 +257,18 @@ def test_sampled_groups(spark):
     df = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 5), (3, None)], "u long, e long")
     got = {r.u: (r["count"], r["sample"], r["truncated"]) for r in R.sampled_groups(df, ["u"], "e", 20).collect()}
     assert got == {1: (30, list(range(20)), True), 2: (1, [5], False), 3: (0, None, False)}
+
+
+def test_answers_by_kind_of_fact(spark):
+    df = spark.createDataFrame([("a", "It costs 8-10 Gold", ["10", "Gold", "≈10.2", "gold"]), ("b", "", []), ("c", "x 104", ["10", "≈abc"])], "case_id string, answer string, key_facts array<string>")
+    got = {r.case_id: (r.score, r.status) for r in E.score_answers(df).collect()}
+    assert got == {"a": (0.75, "partial"), "b": (1.0, "pass"), "c": (0.0, "fail")}
+    row = one(spark, n=E.answer_numbers(F.lit("8-10, 3.5 至 4")), u=E.unknown_ids(F.lit("EM009 EM009 M040 MM001 M041"), {"M": (1, 40), "EM": (1, 8)}))
+    assert row.n == [8.0, -10.0, 3.5, 4.0, 8.0, 3.5, 10.0, 4.0] and row.u == ["EM009", "M041"]
+
+
+def test_stale_times(spark):
+    now = F.to_timestamp(F.lit("2024-01-10 00:00:00"))
+    stale = lambda at: X.is_stale(F.lit(at).cast("string"), now, 7)
+    row = one(spark, a=stale(None), b=stale("soon"), c=stale("2024-01-03 00:00:00"), d=stale("2024-01-02 23:59:59"))
+    assert tuple(row) == (True, True, False, True)
