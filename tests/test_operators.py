@@ -194,7 +194,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.sheet_markdown(odd).first().markdown.splitlines()[0] == "| a" + chr(92) + "|b" + chr(92) * 2 + "c |  |"
     assert (files.sheet_schemas(odd).first().sheets, files.sheet_schemas(odd).first().rows) == (["S"], 9)
     assert files.sheet_preview(odd, 1).count() == 1
-    assert files.text_preview(spark.createDataFrame([("p", "a\nb\nc")], "path string, text string"), 2).first()[1:] == ("a\nb", True)
+    assert files.text_preview(spark.createDataFrame([("p", "a\nb\nc")], "path string, text string"), 2).first()[1:] == ("a\nb", True, None)
+    assert files.text_preview(spark.createDataFrame([("p", "a\0b")], "path string, text string")).first()[1:] == (None, False, "binary")
     with zipfile.ZipFile(tmp_path / "src/gamedocs/d.docx", "w") as z:
         w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
         z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>a </w:t><w:drawing/><w:t>b</w:t></w:r></w:p></w:body></w:document>')
