@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontaminate, line_dedup, mtree, packing, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from tessera.llm import chat_format, decontaminate, divergence, line_dedup, manifest, mtree, packing, pii, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_pii": pii.op13_pii,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op7_warc": warc.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_merkle_manifest": manifest.ORACLE_SQL,
 }
