@@ -6,7 +6,7 @@ tell which conversations are prefixes of longer ones; anti-joins leave the maxim
 Defined results: turns are ordered by (turn, role, text), nulls first, and equal turn rows of
 a conversation count each; a null role or text is rendered as empty but differs from an empty
 one; a null conv_id is one conversation of its own. Of equal conversations the smallest
-conv_id stays. Extra columns play no part.
+conv_id stays. Texts of any length are taken whole; an empty table gives no rows. Extra columns play no part.
 """
 
 from __future__ import annotations

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import flat_bytes, real_id, slices, with_ids
 from tessera.llm.simhash import simhash
-from tessera.llm.textarrays import window_hashes, words
+from tessera.llm.textarrays import fresh_key, window_hashes, words
 
 FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 #: Bytes of items' texts that a pass over the documents takes along.
@@ -85,10 +85,10 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Items:
     """A chunk of benchmark items, ready to be looked for."""
 
-    def __init__(self, ids: list[int], texts: list[str], width: int, similarity: float, radius: int):
-        self.width, self.similarity = width, similarity
+    def __init__(self, ids: list[int], texts: list[str], width: int, similarity: float, radius: int, key: int = 0):
+        self.width, self.similarity, self.key = width, similarity, key
         data, offsets = flat_bytes(pa.array(texts, pa.string()))
-        w = words(data, offsets, lower=True)
+        w = words(data, offsets, lower=True, key=key)
         cuts = np.searchsorted(w.doc, np.arange(len(ids) + 1))
         self.ids, self.sizes, self.shingles = [], [], []
         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -154,7 +154,7 @@ def _search(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
             rows = []
-            w = words(*flat_bytes(batch["text"]), lower=True)
+            w = words(*flat_bytes(batch["text"]), lower=True, key=items.key)
             ids = batch["doc_id"].to_pylist()
             for width in items.widths:
                 hashes = window_hashes(w.hash, width)
@@ -180,10 +180,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, similar
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = total // CHUNK_BYTES + 1
-    found = None
+    found, key = None, fresh_key()
     for c in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).orderBy("item_id", "text").collect()
-        part = texts.mapInArrow(_search(Items([r["item_id"] for r in rows], [r["text"] for r in rows], width, similarity, radius)), FOUND)
+        part = texts.mapInArrow(_search(Items([r["item_id"] for r in rows], [r["text"] for r in rows], width, similarity, radius, key)), FOUND)
         found = part if found is None else found.union(part)
     return found.select(real_id(), "item_id", "similarity", "start_word", "n_words")
 

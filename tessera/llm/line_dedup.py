@@ -3,7 +3,7 @@ turned into one compressed keep bitmap per document.
 
 Defined results: a null or empty text is one empty line. Rows of one doc_id are one document,
 a null doc_id is a document smaller than all others; equal rows get equal bitmaps. Columns
-other than doc_id and text play no part.
+other than doc_id and text play no part. Texts of any length are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,16 +157,16 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_columns: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_columns: tuple[str, ...] = (), counts: bool = True) -> DataFrame:
     """Each row of ``docs``: doc_id, ``keep_columns``, its text without the dropped lines, and
-    the long columns n_lines (before) and n_dropped."""
+    the long columns n_lines (before) and n_dropped, unless ``counts`` is off."""
     named = with_ids(docs, F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep_columns)))
     maps = keep_bitmaps(docs, min_chars, min_docs).select("doc_id", "text_hash", "bitmap")
     joined = named.withColumn("text_hash", F.xxhash64("text")).join(maps, ["doc_id", "text_hash"], "left").drop("text_hash")
     extra = [f for f in joined.schema.fields if f.name.startswith("keep_")]
     schema = ", ".join(["doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in extra), "text string, n_lines long, n_dropped long"])
     out = joined.select("doc_id", *(f.name for f in extra), "text", "bitmap").mapInArrow(_apply, schema)
-    return out.select(real_id(), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep_columns)), "text", "n_lines", "n_dropped")
+    return out.select(real_id(), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep_columns)), "text", *(("n_lines", "n_dropped") if counts else ()))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

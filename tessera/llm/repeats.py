@@ -43,12 +43,13 @@ SETTLED, OPEN, RESOLVED, CROWDED, WINDOWS = range(5)
 
 class Unit(NamedTuple):
     """What windows are made of: their length, that of the grams a minimizer is taken from, and how many
-    contents around one minimizer are resolved together."""
+    contents around one minimizer are resolved together; ``key`` keys the hashes of words."""
 
     kind: str
     length: int
     gram: int
     crowd: int = 2048
+    key: int = 0
 
 
 class Symbols(NamedTuple):
@@ -73,7 +74,7 @@ class SuperWindows(NamedTuple):
 def symbols(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> Symbols:
     if unit.kind == "bytes":
         return Symbols(data, offsets)
-    w = words(data, offsets)
+    w = words(data, offsets, key=unit.key)
     return Symbols(w.hash, np.searchsorted(w.doc, np.arange(len(offsets))), w.start, w.end)
 
 

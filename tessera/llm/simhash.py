@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, flat_bytes, keep, real_id, slices, with_ids
 from tessera.llm.repeats import _runs, pack, short, unpack, wide
-from tessera.llm.textarrays import mix, window_hashes, words
+from tessera.llm.textarrays import fresh_key, mix, window_hashes, words
 
 SEED = 42
 #: Fingerprints of one block key that the join compares with each other; more go by common neighbours.
@@ -136,26 +137,41 @@ SPREAD = 256
 SENT = "bucket long, token long, node long, size int, before int, p0 long, p1 long, payload binary"
 
 
-def _unique_shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    w = words(*flat_bytes(batch["text"]), lower=True)
-    cuts = np.searchsorted(w.doc, np.arange(batch.num_rows + 1)).tolist()
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield np.unique(window_hashes(w.hash[a:b], max(1, min(width, b - a))))
+class Naming(NamedTuple):
+    """How sets are made and named: words a shingle, the key of the hashes, bits of a name, and names that stand for more
+    than one set, which take their second hash instead."""
 
+    width: int
+    key: int
+    bits: int = 64
+    clashing: frozenset[int] = frozenset()
 
-def _set_name(shingles: np.ndarray) -> int:
-    """A 64-bit hash of a whole set of shingles."""
-    return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
+    def sets(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The different shingles of each text."""
+        w = words(*flat_bytes(batch["text"]), lower=True, key=self.key)
+        cuts = np.searchsorted(w.doc, np.arange(batch.num_rows + 1)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield np.unique(window_hashes(w.hash[a:b], max(1, min(self.width, b - a))))
 
+    def hashes(self, shingles: np.ndarray) -> tuple[int, int]:
+        """Two hashes of a whole set, 64 bits each; ``bits`` of the first are its name."""
+        sums = [mix(mix(x).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))) for x in (shingles, shingles ^ np.uint64(0x9E3779B97F4A7C15))]
+        return int((sums[0] >> np.uint64(64 - self.bits)).view(np.int64)[0]), int(sums[1].view(np.int64)[0])
 
-def _names(width: int):
-    """The name, size and parities of each text's shingle set."""
+    def name(self, shingles: np.ndarray) -> int:
+        first, second = self.hashes(shingles)
+        return second if first in self.clashing else first
+
+
+def _names(naming: Naming):
+    """Two hashes, size and parities of each text's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
-            sets = list(_unique_shingles(batch, width))
-            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parities(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "node", "size", "parities"])
+            sets = list(naming.sets(batch))
+            names = np.array([naming.hashes(s) for s in sets], np.int64).reshape(-1, 2)
+            columns = [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parities(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "node", "second", "size", "parities"])
 
     return run
 
@@ -178,7 +194,7 @@ def _cut(shingles: np.ndarray) -> np.ndarray:
     return shingles >> np.uint64(16)
 
 
-def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, count: bool, split: np.ndarray):
+def _prefixes(naming: Naming, similarity: float, hot: np.ndarray, buckets: int, count: bool, split: np.ndarray):
     """Packed tokens of each text's prefix, by bucket: sets at ``similarity`` or more always share one of their
     first tokens in one order of tokens, in which ``hot`` ones come last. With ``count`` tokens and numbers of
     texts, else tokens with the names and sizes of their sets; ``split`` tokens go as rows of their own."""
@@ -226,8 +242,8 @@ def _prefixes(width: int, similarity: float, hot: np.ndarray, buckets: int, coun
         held: dict[int, tuple] = {}  # equal sets once
         n = 0
         for batch in (part for b in batches for part in slices(b, "text")):
-            for shingles in _unique_shingles(batch, width):
-                name = _set_name(shingles)
+            for shingles in naming.sets(batch):
+                name = naming.name(shingles)
                 if name not in held:
                     held[name] = (name, len(shingles), *prefix(shingles), _few_parities(shingles))
                     n += len(held[name][2])
@@ -446,11 +462,11 @@ def _may_be_alike(similarity: float):
     return run
 
 
-def _shingle_sets(width: int):
+def _shingle_sets(naming: Naming):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
-            sets = list(_unique_shingles(batch, width))
-            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())]
+            sets = list(naming.sets(batch))
+            columns = [pa.array([naming.name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
     return run
@@ -461,7 +477,7 @@ def _alike(similarity: float):
         for batch in batches:
             fine = []
             for a, b in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
+                x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 total = len(x) + len(y) - shared
                 fine.append(total == 0 or shared >= similarity * total - 1e-9)
@@ -470,11 +486,12 @@ def _alike(similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot_from: int = HOT, part: int = PART, star_rounds: int = STAR_ROUNDS, split_from: int = SPLIT) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot_from: int = HOT, part: int = PART, star_rounds: int = STAR_ROUNDS, split_from: int = SPLIT, name_bits: int = 64) -> DataFrame:
     """(doc_id, component_id) of documents linked, through others or directly, by a Jaccard similarity of
     ``similarity`` or more of their sets of ``width``-word shingles.
 
-    Equal sets are one node, named by a hash of the whole set. Candidates come from a prefix filter,
+    Equal sets are one node, told apart by two hashes of the whole set and named by the first, or by the
+    second where the first stands for several sets. Candidates come from a prefix filter,
     which loses no pair: in any one order of tokens, sets so similar share one of their first tokens.
     Tokens of many sets come last in that order. A few rounds link the sets of a token's list to some
     of it; then all pairs that are still in different groups are compared, long lists part by part.
@@ -482,13 +499,20 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = with_ids(docs, F.col("text").cast("string").alias("text"))
-    prints = keep(texts.mapInArrow(_names(width), "doc_id long, node long, size long, parities binary"), "shingle-sets-named")
+    naming = Naming(width, fresh_key(), name_bits)
+    prints = keep(texts.mapInArrow(_names(naming), "doc_id long, node long, second long, size long, parities binary"), "shingle-sets-named")
+    # as good as never any: of 10^10 sets two or three pairs share 64 bits
+    several = prints.groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select("node")
+    naming = naming._replace(clashing=frozenset(r["node"] for r in several.collect()))
+    if naming.clashing:
+        prints = prints.join(several.withColumn("clash", F.lit(True)), "node", "left").withColumn("node", F.when(F.col("clash"), F.col("second")).otherwise(F.col("node")))
+        prints = keep(prints.select("doc_id", "node", "size", "parities"), "shingle-sets-renamed")
     nodes = keep(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("n"), F.first("parities").alias("parities")), "nodes")
     tokens = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = int(tokens * (1 - similarity) // BUCKET_TOKENS) + 1
 
     def sent(hot: np.ndarray, count: bool, split: np.ndarray) -> DataFrame:
-        rows = texts.mapInArrow(_prefixes(width, similarity, hot, buckets, count, split), SENT)
+        rows = texts.mapInArrow(_prefixes(naming, similarity, hot, buckets, count, split), SENT)
         return rows.repartition(max(parts, buckets), "bucket").sortWithinPartitions("bucket")
 
     none = np.zeros(0, np.uint64)
@@ -523,7 +547,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot
             pairs = keep(both(pairs, nodes, p="parities", n="n").mapInArrow(_may_be_alike(similarity), "a long, b long"), "bounded-pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
         ends = keep(ends, "ends")
-        own = texts.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(width), "node long, shingles binary")
+        own = texts.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(naming), "node long, shingles binary")
         sets = keep(own.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
         return keep(both(pairs, sets, s="shingles").mapInArrow(_alike(similarity), "a long, b long"), "links")
 

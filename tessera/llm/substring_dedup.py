@@ -9,7 +9,8 @@ edges with the same first document are compacted again into spans, which are joi
 their sources.
 
 Defined results: a null or empty text has no words; equal doc_ids are one document; a null
-doc_id is smallest; kept words are joined by one space; extra columns play no part.
+doc_id is smallest; kept words are joined by one space; texts of any length are taken whole; an empty table
+gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.repeats import Unit, remove_repeats
-from tessera.llm.textarrays import window_hashes
+from tessera.llm.textarrays import fresh_key, window_hashes
 
 
 def shared_edges(unit: Unit, values: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -47,7 +48,7 @@ def shared_edges(unit: Unit, values: np.ndarray, sizes: np.ndarray, least: np.nd
 
 def dedup_words(docs: DataFrame, length: int = 13) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): kept holds the remaining words."""
-    return remove_repeats(docs, Unit("words", length, max(1, length // 3)), shared_edges)
+    return remove_repeats(docs, Unit("words", length, max(1, length // 3), key=fresh_key()), shared_edges)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

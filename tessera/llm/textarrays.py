@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +16,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of ASCII letters and of all code points over 127.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class Words(NamedTuple):
@@ -56,42 +60,43 @@ def eight_bytes(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes: eight bytes a step, mixed one to one, so words of equal length up to
-    eight bytes never hash alike. Runs of more than 64 bytes take XXH3."""
+def fresh_key() -> int:
+    """A key for the hashes of one job. Nobody who writes texts knows it, so nobody can make words that hash alike."""
+    return secrets.randbits(64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes. Runs of up to seven bytes and their length are mixed one to one with the
+    key, so no two of them hash alike; longer ones take XXH3 with the key as seed."""
     left = end - start
-    out = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    wide, at = eight_bytes(data), start
-    open_ = np.flatnonzero(left <= 64)
-    at, left = at[open_], left[open_]
-    while len(open_):
-        block = wide[at]
-        short = np.flatnonzero(left < 8)
-        block[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
-        out[open_] = mix(out[open_] ^ block)
-        more = np.flatnonzero(left > 8)
-        open_, at, left = open_[more], at[more] + 8, left[more] - 8
-    for i in np.flatnonzero(end - start > 64).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].data)
+    wide = eight_bytes(data)
+    short = left < 8
+    size = np.where(short, left, 0).astype(np.uint64)
+    out = (wide[start] & ((np.uint64(1) << (size * np.uint64(8))) - np.uint64(1))) | (size << np.uint64(56))
+    out = mix(out ^ np.uint64(key))
+    long = np.flatnonzero(~short)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], key) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long))
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts that ``offsets`` cut ``data`` into."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, key: int = 0, solid: np.ndarray | None = None) -> Words:
+    """Words of the texts that ``offsets`` cut ``data`` into; ``solid`` says of each byte whether words are made of it."""
     if lower:
         data = _LOWER[data]
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, none.astype(np.uint64))
-    solid = ~_SPACE[data]
+    solid = ~_SPACE[data] if solid is None else solid[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1] | edge[1:-1]
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(start, end, np.searchsorted(offsets, start, side="right") - 1, word_hashes(data, start, end))
+    return Words(start, end, np.searchsorted(offsets, start, side="right") - 1, word_hashes(data, start, end, key))
 
 
 def window_hashes(word_hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -105,6 +110,11 @@ def window_hashes(word_hashes: np.ndarray, width: int, salt: int = 0) -> np.ndar
     return mix(out)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return _LOWER[data]
+
+
 def rolling_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values."""
     out, reach = values, 1

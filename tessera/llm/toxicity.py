@@ -216,13 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, toxic_weight:
     return Model(ordinary, toxic, *calibrate(x, y, weights / weights.mean()))
 
 
-def toxicity_scores(docs: DataFrame, model: Model | None, keep_columns: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, ``keep_columns``, score) for every row of ``docs``."""
+def toxicity_scores(docs: DataFrame, model: Model | None, keep_columns: tuple[str, ...] = (), below: float | None = None) -> DataFrame:
+    """(doc_id, ``keep_columns``, score) for every row of ``docs``; with ``below`` only rows of smaller scores, without the score."""
     rows = with_ids(docs, F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep_columns)))
     extra = [f for f in rows.schema.fields if f.name.startswith("keep_")]
     schema = ", ".join(["doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in extra), "score double"])
     scored = rows.select("doc_id", *(f.name for f in extra), "text").mapInArrow(_scores(model), schema)
-    return scored.select(real_id(), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep_columns)), "score")
+    kept = [real_id(), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep_columns))]
+    return scored.select(*kept, "score") if below is None else scored.where(F.col("score") < below).select(*kept)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
