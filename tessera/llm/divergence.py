@@ -13,9 +13,8 @@ gives no rows; texts of any length are read whole; extra columns play no part.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,53 +22,83 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, slices
+from tessera.llm.common import flat_bytes, keep, slices
+from tessera.llm.textarrays import LETTERS, fresh_key, lowered, mix, words
 
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 DEPTH = 4
 #: Cells of a sketch row: a cell for each 256 bytes of input between these bounds, so a sketch takes 16 MB at most.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 22
 #: Sketches travel in parts of this many cells.
 PART = 1 << 16
-#: Terms that a task holds before it passes their counts on.
-HELD = 100_000
+#: Terms and documents, or groups and terms, that a task holds before it passes their counts on.
+HELD = 1 << 20
+SLICE_BYTES = 2 << 20
 
 
-def _cells(langs_terms: list[bytes], cells: int) -> np.ndarray:
-    """DEPTH places in the sketch of each key."""
-    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, langs_terms)), "<u4").reshape(-1, DEPTH)
-    return (digests & np.uint32(cells - 1)).astype(np.int64) + np.arange(DEPTH) * cells
+class Slice(NamedTuple):
+    """The different terms of each document of a slice, one document after the other: hash of the term, document, times, and
+    where the term stands; and the lower-cased bytes."""
 
+    hash: np.ndarray
+    doc: np.ndarray
+    times: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    data: np.ndarray
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list[bytes]]]:
-    for batch in (part for b in batches for part in slices(b, "text")):
-        for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"], strict=True):
-            yield lang, source, TERM.findall(text.as_buffer().to_pybytes().lower()) if text.is_valid else []
 
+def _slice(batch: pa.RecordBatch, key: int) -> Slice:
+    data, offsets = flat_bytes(batch["text"])
+    data = lowered(data)
+    w = words(data, offsets, key=key, solid=LETTERS)
+    cuts = np.searchsorted(w.doc, np.arange(batch.num_rows + 1)).tolist()
+    found, at = [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        _, first, times = np.unique(w.hash[a:b], return_index=True, return_counts=True)
+        found.append(first + a)
+        at.append(times)
+    own = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return Slice(w.hash[own], w.doc[own], np.concatenate(at) if at else own, w.start[own], w.end[own], data)
 
-def _sketch(cells: int):
+
+def _of_lang(hashes: np.ndarray, langs: np.ndarray | int) -> np.ndarray:
+    """Hashes of terms as those of a language's terms."""
+    return mix(hashes ^ langs)
+
+
+def _lang_hash(lang: str, key: int) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), key))
+
+
+def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """DEPTH places in the sketch of each hash."""
+    both = np.stack([hashes, mix(hashes ^ np.uint64(0x5851F42D4C957F2D))], 1).view("<u4")
+    return (both & np.uint32(cells - 1)).astype(np.int64) + np.arange(DEPTH) * cells
+
+
+def _sketch(cells: int, key: int):
     """Document frequencies of a task's terms, as parts of a sketch; counters stop at 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = np.zeros(DEPTH * cells, np.uint8), Counter()
+        table, held, n = np.zeros(DEPTH * cells, np.uint8), [], 0
 
         def add() -> None:
-            if held:
-                at = _cells(list(held), cells).ravel()
-                sums = np.bincount(np.unique(at, return_inverse=True)[1], np.repeat(np.fromiter(held.values(), np.int64), DEPTH))
-                places = np.unique(at)
-                table[places] = np.minimum(table[places] + sums, 255).astype(np.uint8)
-                held.clear()
-
-        for lang, _, terms in _texts(batches):
-            start = lang.encode() + b"\x00"
-            held.update(start + t for t in set(terms))
-            if len(held) > HELD:
+            at, sums = np.unique(_cells(np.concatenate(held), cells), return_counts=True)
+            table[at] = np.minimum(table[at] + sums, 255).astype(np.uint8)
+            held.clear()
+
+        for batch in (part for b in batches for part in slices(b, "text", SLICE_BYTES)):
+            s = _slice(batch, key)
+            langs = np.array([_lang_hash(x, key) for x in batch["lang"].to_pylist()], np.uint64)
+            held.append(_of_lang(s.hash, langs[s.doc]))
+            n += len(s.hash)
+            if n > HELD:
                 add()
-        add()
+                n = 0
+        if held:
+            add()
         parts = table.reshape(-1, PART)
-        used = np.flatnonzero(parts.any(axis=1)).tolist()
-        for i in used:
+        for i in np.flatnonzero(parts.any(axis=1)).tolist():
             at = np.flatnonzero(parts[i])
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([parts[i][at].tobytes()], pa.binary())], names=["part", "at", "n"])
 
@@ -86,9 +115,9 @@ def _merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], names=["part", "n"])
 
 
-def sketch(rows: DataFrame, cells: int) -> np.ndarray:
+def sketch(rows: DataFrame, cells: int, key: int) -> np.ndarray:
     """The merged sketch, DEPTH x ``cells`` bytes: bounded whatever the input."""
-    parts = rows.mapInArrow(_sketch(cells), "part int, at binary, n binary")
+    parts = rows.mapInArrow(_sketch(cells, key), "part int, at binary, n binary")
     merged = parts.groupBy("part").applyInArrow(_merged, "part int, n binary")
     table = np.zeros((DEPTH * cells // PART, PART), np.uint8)
     for row in merged.toLocalIterator():
@@ -96,53 +125,75 @@ def sketch(rows: DataFrame, cells: int) -> np.ndarray:
     return table.ravel()
 
 
-def _counts(known, cells: int, min_docs: int):
+class Counts(NamedTuple):
+    """Counts of terms by group, and the terms."""
+
+    group: np.ndarray
+    hash: np.ndarray
+    times: np.ndarray
+    docs: np.ndarray
+    term: pa.Array
+
+    def summed(self) -> Counts:
+        """A row for each group and hash."""
+        order = np.lexsort((self.hash, self.group))
+        group, hashes = self.group[order], self.hash[order]
+        first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (hashes[1:] != hashes[:-1])]) if len(order) else order
+        add = lambda x: np.add.reduceat(x[order], first) if len(first) else x
+        return Counts(group[first], hashes[first], add(self.times), add(self.docs), self.term.take(pa.array(order[first])))
+
+
+def _bytes_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The runs of bytes as strings."""
+    sizes = end - start
+    ends = np.cumsum(sizes)
+    places = np.repeat(start - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(np.r_[0, ends].astype("<i4")), pa.py_buffer(data[places])])
+
+
+def _counts(known, cells: int, min_docs: int, key: int):
     """(lang, source, term, n, docs) of the terms that may reach ``min_docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        possible: dict[bytes, bool] = {}
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (times, docs) in held.items():
-                start = lang.encode() + b"\x00"
-                new = [start + t for t in times if start + t not in possible]
-                if new:
-                    possible.update(zip(new, (table[_cells(new, cells)].min(axis=1) >= min_docs).tolist(), strict=True))
-                terms = [t for t in times if possible[start + t]]
-                n = len(terms)
-                arrays = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([times[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
+        table, held, n = known.value, [], 0
+        groups: dict[tuple[str, str], int] = {}
+
+        def passed() -> pa.RecordBatch:
+            c = Counts(*(np.concatenate(x) for x in zip(*(h[:4] for h in held), strict=True)), pa.concat_arrays([h.term for h in held])).summed()
             held.clear()
-            if len(possible) > HELD * 10:
-                possible.clear()
-
-        size = 0
-        for lang, source, terms in _texts(batches):
-            times, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            own = Counter(terms)
-            before = len(times)
-            times.update(own)
-            docs.update(own.keys())
-            size += len(times) - before
-            if size > HELD:
-                yield from flush()
-                size = 0
-        yield from flush()
+            names = [pa.array([g[i] for g in groups], pa.string()).take(pa.array(c.group)) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*names, c.term, pa.array(c.times), pa.array(c.docs)], names=["lang", "source", "term", "n", "docs"])
+
+        for batch in (part for b in batches for part in slices(b, "text", SLICE_BYTES)):
+            s = _slice(batch, key)
+            pairs = list(zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True))
+            group = np.array([groups.setdefault(p, len(groups)) for p in pairs], np.int64)[s.doc]
+            langs = np.array([_lang_hash(lang, key) for lang, _ in pairs], np.uint64)
+            possible = table[_cells(_of_lang(s.hash, langs[s.doc]), cells)].min(axis=1) >= min_docs
+            own = np.flatnonzero(possible)
+            # the places of terms stand for them until they are summed up
+            c = Counts(group[own], s.hash[own], s.times[own], np.ones(len(own), np.int64), pa.array(own)).summed()
+            at = c.term.to_numpy()
+            held.append(c._replace(term=_bytes_at(s.data, s.start[at], s.end[at])))
+            n += len(at)
+            if n > HELD:
+                yield passed()
+                n = 0
+        if held:
+            yield passed()
 
     return run
 
 
 def kept_terms(docs: DataFrame, min_docs: int = 30, cells: int | None = None) -> DataFrame:
     """(lang, source, term, n): how often each group holds each term that ``min_docs`` documents of the language hold."""
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, fresh_key()
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     if cells is None:
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(total // 256).bit_length()))
-    known = spark.sparkContext.broadcast(sketch(rows, cells))
-    counted = rows.mapInArrow(_counts(known, cells, min_docs), "lang string, source string, term string, n long, docs long")
+    known = spark.sparkContext.broadcast(sketch(rows, cells, key))
+    counted = rows.mapInArrow(_counts(known, cells, min(min_docs, 255), key), "lang string, source string, term string, n long, docs long")
     exact = keep(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
     enough = exact.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
     return keep(exact.join(enough, ["lang", "term"]).select("lang", "source", "term", "n"), "kept-terms")
