@@ -179,6 +179,21 @@ def plain_words(docs: DataFrame, patterns: DataFrame, few: int = 10_000) -> Data
     return patterns.join(counts, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("plain"))
 
 
+def seeded(docs: DataFrame) -> DataFrame:
+    """Documents that hold a base form."""
+    return docs.where(reduce(lambda a, b: a | b, (F.col("text").rlike(form) for form in (EMAIL, IP, r"[0-9](?:[\x20-]?+[0-9]){13}", PHONE))))
+
+
+def looked_up(docs: DataFrame, patterns: DataFrame, min_confidence: float) -> DataFrame:
+    """(pattern, plain) of (pattern, ids). The words of documents with a base form alone show that most patterns cannot reach the
+    confidence, since no pattern's score is over its ids; only the others are looked up in all documents."""
+    some = keep(patterns.join(plain_words(seeded(docs), patterns.select("pattern")), "pattern"), "plain-words")
+    open_ = F.col("ids") >= min_confidence * (F.col("ids") + F.col("plain")) - 1e-6
+    left = some.where(open_).select("pattern")
+    out = some.where(~open_).select("pattern", "plain")
+    return out if left.isEmpty() else keep(out.unionByName(plain_words(docs, left)), "plain-words")
+
+
 def accepted_patterns(docs: DataFrame, edges: DataFrame, rounds: int, min_confidence: float, min_support: int) -> DataFrame:
     """(pattern, confidence, order) of the accepted patterns, confidence in millionths; order is 3 less the place of the kind, so that the
     largest (confidence, order) is the best kind listed first. ``edges``: (pattern, value, kind), different pairs."""
@@ -195,9 +210,9 @@ def accepted_patterns(docs: DataFrame, edges: DataFrame, rounds: int, min_confid
         sums = scores.groupBy("pattern").agg(F.sum("score").alias("total"), F.count(F.when(F.col("score") >= least, 1)).alias("support"), F.count("*").alias("ids"), *weights)
         # a pattern's place is looked up once it has support enough
         able = keep(sums.where(F.col("support") >= min_support), "able-patterns")
-        fresh = able.select("pattern") if plain is None else able.select("pattern").join(plain, "pattern", "left_anti")
+        fresh = able.select("pattern", "ids") if plain is None else able.select("pattern", "ids").join(plain, "pattern", "left_anti")
         if plain is None or not fresh.isEmpty():
-            counted = keep(plain_words(docs, fresh), "plain-words")
+            counted = looked_up(docs, fresh, min_confidence)
             plain = counted if plain is None else plain.unionByName(counted)
         best = F.greatest(*(f"w{k}" for k in kinds))
         order = reduce(lambda rest, k: F.when(F.col(f"w{k}") == best, F.lit(3 - k)).otherwise(rest), reversed(kinds), F.lit(0))
