@@ -75,10 +75,10 @@ def radix_ranks(rows: DataFrame, group: str, key: str, copies: str, bucket: int
         if width >= longest or above.agg(F.max("keys")).first()[0] <= bucket:
             break
         width += 2
-    buckets = above.select(F.col("group").alias("g"), F.col("prefix").alias("p"), "before")
-    joined = rows.withColumn("prefix", F.substring(key, 1, width)).join(buckets, F.col(group).eqNullSafe(F.col("g")) & (F.col("prefix") == F.col("p")))
-    smaller = Window.partitionBy(group, "prefix").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn("place", F.col("before") + F.coalesce(F.sum(copies).over(smaller), F.lit(0))).drop("g", "p", "prefix", "before")
+    buckets = above.select(F.col("group").alias("_group"), F.col("prefix").alias("_bucket"), F.col("before").alias("_before"))
+    joined = rows.withColumn("_prefix", F.substring(key, 1, width)).join(buckets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_prefix") == F.col("_bucket")))
+    smaller = Window.partitionBy(group, "_prefix").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn("place", F.col("_before") + F.coalesce(F.sum(copies).over(smaller), F.lit(0))).drop("_group", "_bucket", "_prefix", "_before")
 
 
 def each_copy(rows: DataFrame, block: int = 4096) -> DataFrame:
