@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip
+from tessera.functions.text import alias_key_query, strip
+from tessera.operators.containment import contained
 
+#: Keys that name no table in particular, and sections that are not text.
+GENERIC = ["config", "配置", "table", "表", "data", "数据", "配置表", "config表"]
 UTILITY = ["trust", "citations", "引用", "证据"]
 OKF_TYPES = [("activities/", "activity_template"), ("systems/", "system_rule"), ("tables/", "table_schema"), ("fields/", "field_definition"), ("numeric_rules/", "numeric_rule"), ("ui_flows/", "ui_flow"), ("concepts/", "concept")]
 
@@ -75,18 +78,23 @@ def dependency_hints(parts: DataFrame, key: str = "component_id") -> DataFrame:
 
 
 def resolve_hints(hints: DataFrame, tables: DataFrame, aliases: DataFrame, key: str = "component_id") -> DataFrame:
-    """(key, hint, table, step): a hint is a table by its name (1), by an alias (2), or by a name of four
-    characters or more that it contains (3); the first step that finds one counts."""
-    squash = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s_\-()\[\]（）【】{}《》:：,，.。/\\]+", "")
-    h = hints.withColumn("k", squash(F.col("hint")))
-    names = tables.select("table", squash(F.col("table")).alias("k"))
+    """(key, hint, table, step): a hint is a table by its name (1), by an alias (2), by a name of four characters or more that it contains
+    (3), or by an alias of four characters or two Han characters in a row that it contains (4). The first step that finds one counts; a
+    hint of a word that any table has stops after the first."""
+    h = hints.withColumn("k", alias_key_query(F.col("hint"))).where("k <> ''")
+    names = tables.select("table", alias_key_query(F.col("table")).alias("k")).where("k <> ''")
+    other = aliases.select("table", alias_key_query(F.col("alias")).alias("k")).where("k <> ''")
     exact = h.join(names, "k").select(key, "hint", "table", F.lit(1).alias("step"))
-    alias = h.join(aliases.select("table", squash(F.col("alias")).alias("k")), "k").select(key, "hint", "table", F.lit(2).alias("step"))
-    # containment is tested between distinct hints and the table names
-    distinct = h.select("k").distinct().withColumnRenamed("k", "text")
-    inside = distinct.join(names.where(F.char_length("k") >= 4), F.contains("text", F.col("k"))).select(F.col("text").alias("k"), "table")
-    contained = h.join(inside, "k").select(key, "hint", "table", F.lit(3).alias("step"))
-    every = exact.union(alias).union(contained)
+    open_ = h.where(~F.col("k").isin(*GENERIC))
+    alias = open_.join(other, "k").select(key, "hint", "table", F.lit(2).alias("step"))
+    texts = open_.select(F.col("k").alias("text"))
+
+    def inside(keys: DataFrame, step: int) -> DataFrame:
+        found = contained(texts, keys.select(F.col("k").alias("pattern"))).withColumnRenamed("text", "k")
+        return open_.join(found, "k").join(keys.select(F.col("k").alias("pattern"), "table"), "pattern").select(key, "hint", "table", F.lit(step).alias("step"))
+
+    long = F.char_length("k") >= 4
+    every = exact.union(alias).union(inside(names.where(long), 3)).union(inside(other.where(long | F.col("k").rlike(r"\p{IsHan}{2}")), 4))
     first = Window.partitionBy(key, "hint")
     return every.withColumn("_m", F.min("step").over(first)).where("step = _m").drop("_m").distinct()
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rounding import half_up
+from tessera.sources.scratch import shared_path
 
 #: Tolerances of the gates.
 QUALITY_TOLERANCE, TRUST_TOLERANCE, HIT_TOLERANCE = 0.005, 0.0001, 1e-9
@@ -145,35 +145,75 @@ def gap_candidates(feedback: DataFrame) -> DataFrame:
     return grouped.withColumn("status", F.when(F.col("event_count") >= GAP_DISMISS_LIMIT, "dismissed").otherwise("open"))
 
 
-def cluster_keys(feedback: DataFrame, keep_latest: int = 50, days: int = 90) -> DataFrame:
+def _nearest_earlier(keep_latest: int, days: int):
+    """For each row of a chunk the most similar of the rows before it: at most ``keep_latest`` of them, none older than ``days`` days."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        rn, own = table["rn"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
+        when, ids, queries = table["created_at"].to_numpy().astype("datetime64[us]"), table["event_id"].to_numpy(), np.array(table["query"].to_pylist(), object)
+        vectors = table["vector"].to_pylist()
+        size = max((len(v) for v in vectors if v is not None), default=1)
+        known = np.array([v is not None for v in vectors])
+        flat = np.array([v if v is not None else [0.0] * size for v in vectors], float).reshape(len(vectors), size)
+        best, parent = np.full(len(rn), -1, np.int64), np.arange(len(rn))
+        for back in range(1, min(keep_latest, len(rn) - 1) + 1):
+            late, early = np.arange(back, len(rn)), np.arange(len(rn) - back)
+            # scores are compared as whole billionths, so that the order of sums cannot decide
+            score = np.where(known[late] & known[early], np.floor((flat[late] * flat[early]).sum(1) * 1e9 + 0.5), 0).astype(np.int64)
+            score = np.where(queries[late] == queries[early], 10**9, score)
+            fine = (when[late] - when[early] <= np.timedelta64(days + 1, "D") - np.timedelta64(1, "us")) & (score >= round(CLUSTER_SIMILARITY * 1e9)) & (score > best[late])
+            best[late[fine]], parent[late[fine]] = score[fine], early[fine]
+        at = np.flatnonzero(own)
+        return pa.Table.from_arrays([pa.array(ids[at]), pa.array(ids[parent[at]])], names=["event_id", "parent"])
+
+    return run
+
+
+def followed(parents: DataFrame) -> DataFrame:
+    """(event_id, root): links (event_id, parent) followed to their ends; a row whose parent is itself is an end. Each round doubles the
+    reach, so a chain of n links takes log2(n) rounds."""
+    spark, state = parents.sparkSession, parents
+    while True:
+        upper = state.select(F.col("event_id").alias("parent"), F.col("parent").alias("above"))
+        path = shared_path(spark, "links")
+        state.join(upper, "parent").select("event_id", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")).write.parquet(path)
+        moved = spark.read.parquet(path)
+        state = moved.select("event_id", "parent")
+        if moved.where("moved").isEmpty():
+            return state.withColumnRenamed("parent", "root")
+
+
+def cluster_keys(feedback: DataFrame, keep_latest: int = 50, days: int = 90, chunk: int = 4096) -> DataFrame:
     """Adds cluster_key: rows of a project and type, in order of time, take the key of the most similar of
-    the latest ``keep_latest`` earlier queries of ``days`` days if their vectors' cosine is 0.85 or more,
-    else their own query's. Each row depends on the keys before it, so a group is replayed in order;
-    what a group keeps is bounded by ``keep_latest``. Without a vector only equal queries meet."""
-    columns = ["event_id", "project_id", "feedback_type", "query", "created_at", "vector"]
-    schema = "event_id long, cluster_key string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        group, seen = None, []
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.project_id, row.feedback_type) != group:
-                    group, seen = (row.project_id, row.feedback_type), []
-                recent = [s for s in seen[-keep_latest:] if (row.created_at - s[2]).days <= days]
-                best, key = 0.0, row.query
-                for text, vector, _, known in reversed(recent):
-                    same = 1.0 if text == row.query else float(np.dot(vector, row.vector)) if vector is not None and row.vector is not None else 0.0
-                    if same >= CLUSTER_SIMILARITY and same > best:
-                        best, key = same, known
-                seen = [*seen, (row.query, row.vector, row.created_at, key)][-keep_latest:]
-                out.append((row.event_id, key))
-            yield pd.DataFrame(out, columns=["event_id", "cluster_key"])
-
-    parts = feedback.select(*columns).repartition("project_id", "feedback_type").sortWithinPartitions("project_id", "feedback_type", "created_at", "event_id")
-    return feedback.join(parts.mapInPandas(run, schema), "event_id")
+    the latest ``keep_latest`` earlier queries of ``days`` days if their vectors' cosine is 0.85 or more (the latest of equally similar ones),
+    else their own query's. Without a vector only equal queries meet.
+
+    Which row a row follows does not depend on keys, so a group is cut into chunks of rows in order, each with the ``keep_latest`` rows before it,
+    and all chunks are looked through at once. Keys are the queries at the ends of the links."""
+    spark, order = feedback.sparkSession, ["project_id", "feedback_type", "created_at", "event_id"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = feedback.select("event_id", "project_id", "feedback_type", "query", "created_at", "vector")
+    path = shared_path(spark, "ordered")
+    # neighbours in time are neighbours in a range partition: its number and the place in it make up the id
+    columns.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("part", F.shiftright("id", 33))
+    group = ["project_id", "feedback_type"]
+    runs = rows.groupBy(*group, "part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*(F.col(c).alias(f"_{c}") for c in group), F.col("part").alias("_part"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    same = [rows[c].eqNullSafe(runs[f"_{c}"]) for c in group] + [rows["part"] == runs["_part"]]
+    placed = rows.join(runs, same).withColumn("rn", F.col("offset") + F.col("id") - F.col("first"))
+    own = F.floor(F.col("rn") / chunk)
+    reach = F.when(F.col("rn") % chunk >= chunk - keep_latest, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = placed.select(*group, "event_id", "query", "created_at", "vector", "rn", F.explode(reach).alias("chunk")).withColumn("own", F.col("chunk") == F.floor(F.col("rn") / chunk))
+    kind = feedback.schema["event_id"].dataType.simpleString()
+    links = dealt.groupBy(*group, "chunk").applyInArrow(_nearest_earlier(keep_latest, days), f"event_id {kind}, parent {kind}")
+    kept = shared_path(spark, "parents")
+    links.write.parquet(kept)
+    ends = followed(spark.read.parquet(kept))
+    keys = feedback.select(F.col("event_id").alias("root"), F.col("query").alias("cluster_key"))
+    return feedback.join(ends.join(keys, "root").select("event_id", "cluster_key"), "event_id")
 
 
 def rebuild_proposals(feedback: DataFrame, open_tasks: DataFrame, least: int = 2) -> DataFrame:

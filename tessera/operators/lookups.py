@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rounding import half_up
 from tessera.functions.text import alias_key_query
+from tessera.operators.containment import contained as texts_with
 from tessera.operators.relational import equivalent_paths, first_n
 
 #: The payload fields that may name what was asked, in order.
@@ -50,12 +51,12 @@ def contained(path: Column) -> Column:
 
 
 def source_root(listing: DataFrame) -> DataFrame:
-    """(root): empty where a listing of paths has a source folder at its top, else the one folder below
-    which they are; no row where several have them."""
+    """(root): the one folder of a listing of paths that has source folders in it; empty, which is the listing's own root, where that
+    has one itself, and where none or several have. Folders that start with a dot are passed over."""
     top = F.regexp_extract("path", r"^(?:([^/]+)/)?(?:gamedata|gamedocs)/", 1)
-    found = listing.where(F.col("path").rlike(r"^(?:[^/]+/)?(?:gamedata|gamedocs)/")).select(top.alias("root")).distinct()
+    found = listing.where(F.col("path").rlike(r"^(?:[^/.][^/]*/)?(?:gamedata|gamedocs)/")).select(top.alias("root")).distinct()
     totals = found.agg(F.count("*").alias("n"), F.min("root").alias("root"))
-    return totals.where("n = 1 OR root = ''").select("root")
+    return totals.select(F.when(F.col("n") == 1, F.col("root")).otherwise("").alias("root"))
 
 
 def table_names(listing: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def affected_knowledge(components: DataFrame, changed: DataFrame) -> DataFrame:
     by_ref = refs.select("component_id", F.explode(endings(F.col("ref"))).alias("end")).join(changed.select(F.col("path").alias("end")), "end").select("component_id")
     by_target = refs.withColumnRenamed("ref", "end").join(changed.select(F.explode(endings(F.col("path"))).alias("end")), "end").select("component_id")
     stems = changed.select(F.lower(F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")).alias("stem")).where("stem <> ''").distinct()
-    named = components.select("component_id", F.lower("path").alias("p"), F.lower("title").alias("t"))
-    by_name = named.join(stems, F.contains("p", F.col("stem")) | F.contains("t", F.col("stem"))).select("component_id")
+    named = components.select("component_id", F.explode(F.array(F.lower("path"), F.lower("title"))).alias("text"))
+    by_name = named.join(texts_with(named, stems.withColumnRenamed("stem", "pattern")).select("text").distinct(), "text").select("component_id")
     return by_ref.union(by_target).union(by_name).distinct()
 
 
@@ -203,28 +204,6 @@ def schema_assets(fields: DataFrame) -> DataFrame:
 
 
 # retrieval -------------------------------------------------------------------------------------
-def intent_bonus(hits: DataFrame, expanded: DataFrame, facts: DataFrame) -> DataFrame:
-    """(query_id, component_id, bonus): 3 for each intent of which a page holds an added term, 4 where a query about
-    tables meets a page that has some, 4 where one about structure meets an activity template. ``hits``:
-    (query_id, component_id, term); ``expanded``: (query_id, intent, term); ``facts``: (component_id, has_tables, type)."""
-    keys = ["query_id", "component_id"]
-    matched = hits.join(expanded, ["query_id", "term"]).groupBy(*keys).agg((3.0 * F.count_distinct("intent")).alias("matched"))
-    intents = expanded.groupBy("query_id").agg(F.max((F.col("intent") == "tables").cast("int")).alias("tables"), F.max((F.col("intent") == "structure").cast("int")).alias("structure"))
-    joined = hits.select(*keys).distinct().join(intents, "query_id").join(facts, "component_id").join(matched, keys, "left")
-    more = 4.0 * (F.col("tables") * F.col("has_tables").cast("int") + F.col("structure") * (F.col("type") == "activity_template").cast("int"))
-    return joined.select(*keys, (F.coalesce("matched", F.lit(0.0)) + more).alias("bonus")).where("bonus > 0")
-
-
-def explanations(hits: DataFrame, most: int = 8) -> DataFrame:
-    """(query_id, component_id, terms, fields, why): what a page was found by. ``hits``: (query_id, component_id,
-    field, term); ``why`` has a line for each field, ``most`` at most."""
-    keys = ["query_id", "component_id"]
-    lines = hits.groupBy(*keys, "field").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    line = F.concat("field", F.lit(" 命中："), F.array_join(F.slice("terms", 1, 6), ", "))
-    rows = lines.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"), F.array_sort(F.collect_list("field")).alias("fields"), F.array_sort(F.collect_list(line)).alias("why"))
-    return rows.withColumn("why", F.slice("why", 1, most))
-
-
 def align_tables(hits: DataFrame, page_tables: DataFrame) -> DataFrame:
     """Hits with the tables of their page; without any, the field ``tables`` explains nothing. ``hits`` has an
     array column ``fields``; ``page_tables``: (component_id, tables)."""

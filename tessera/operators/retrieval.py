@@ -41,6 +41,11 @@ def query_terms(queries: DataFrame, han: bool = True) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col("query"), han)).alias("term"))
 
 
+def placed_terms(queries: DataFrame, han: bool = True) -> DataFrame:
+    """(query_id, place, term): the terms with their places in the query."""
+    return queries.select("query_id", F.posexplode(tokenize(F.col("query"), han)).alias("place", "term"))
+
+
 def lexical_scores(posts: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, component_id, score): matches times field weights, no frequency or length terms."""
     return posts.join(terms, "term").groupBy("query_id", "component_id").agg(F.sum("weight").cast("double").alias("score"))
@@ -60,42 +65,93 @@ def intents_of(queries: DataFrame) -> DataFrame:
 
 
 def anchors_of(queries: DataFrame) -> DataFrame:
-    """(query_id, anchor): query tokens of three characters or more that are no intent trigger."""
+    """(query_id, place, anchor): query tokens of three characters or more that are no intent trigger."""
     triggers = [t for _, ts, _ in INTENTS for t in ts]
     runs = F.regexp_extract_all(normalize_text(F.col("query")), F.lit(r"[a-z0-9]+|\p{IsHan}+"), F.lit(0))
     kept = F.filter(F.array_distinct(runs), lambda t: (F.char_length(t) >= 3) & ~t.isin(*triggers))
-    return queries.select("query_id", F.explode(kept).alias("anchor"))
+    return queries.select("query_id", F.posexplode(kept).alias("place", "anchor"))
+
 
+def anchor_terms(grams: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(term, anchor): tokens that contain an anchor. ``grams``: (gram, term) of all tokens; a token that contains an
+    anchor has the anchor's first three characters at some place."""
+    wanted = anchors.select("anchor").distinct().withColumn("gram", F.substring("anchor", 1, 3))
+    return grams.join(wanted, "gram").where(F.contains("term", F.col("anchor"))).select("term", "anchor")
 
-def anchor_matches(posts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(query_id, component_id, in_text, in_title): anchors that a page's text contains, and those
-    its title or path contains. An anchor is a run of letters or digits, so it can only lie inside
-    a token: containment is tested on the distinct tokens, and pages follow by an equi-join."""
-    vocabulary = posts.where("field <> 'citations'").select("term").distinct()
-    wanted = anchors.select("anchor").distinct()
-    # a token that contains an anchor has the anchor's first three characters at some place
+
+def grams_of(posts: DataFrame) -> DataFrame:
+    """(gram, term): the distinct tokens by their pieces of three characters."""
     gram = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("term") - 2, F.lit(1))), lambda i: F.substr(F.col("term"), i, F.lit(3)))
-    grams = vocabulary.select("term", F.explode(F.array_distinct(gram)).alias("gram"))
-    holding = grams.join(wanted.withColumn("gram", F.substring("anchor", 1, 3)), "gram").where(F.contains("term", F.col("anchor"))).select("term", "anchor")
+    return posts.where("field <> 'citations'").select("term").distinct().select("term", F.explode(F.array_distinct(gram)).alias("gram"))
+
+
+def held_anchors(posts: DataFrame, anchors: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """(query_id, component_id, anchor, top): anchors that a page's text contains, and whether its title or path does. An anchor
+    is a run of letters or digits, so it can only lie inside a token: containment is tested on the distinct tokens, and
+    pages follow by an equi-join."""
+    holding = anchor_terms(grams_of(posts) if grams is None else grams, anchors)
     places = posts.where("field <> 'citations'").select("component_id", "term", F.col("field").isin("title", "path").alias("top"))
     held = places.join(holding, "term").groupBy("component_id", "anchor").agg(F.max("top").alias("top"))
-    return held.join(anchors, "anchor").groupBy("query_id", "component_id").agg(F.count("*").alias("in_text"), F.count_if("top").alias("in_title"))
+    return held.join(anchors.select("query_id", "anchor"), "anchor").select("query_id", "component_id", "anchor", "top")
+
+
+def anchor_matches(posts: DataFrame, anchors: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """(query_id, component_id, in_text, in_title): how many anchors a page's text and its title or path contain."""
+    return held_anchors(posts, anchors, grams).groupBy("query_id", "component_id").agg(F.count("*").alias("in_text"), F.count_if("top").alias("in_title"))
+
+
+def phrase_hits(posts: DataFrame, texts: DataFrame, queries: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """(query_id, component_id): pages whose text holds the whole query. Tokens between a phrase's first and last must be tokens of the page;
+    a phrase without such is looked for by its longest token of three characters or more, inside the page's tokens; one of shorter tokens alone
+    only where they are tokens of the page. ``texts``: (component_id, text). Candidates are then compared with the text."""
+    runs = F.regexp_extract_all("phrase", F.lit(r"[a-z0-9]+|\p{IsHan}+"), F.lit(0))
+    asked = queries.select("query_id", normalize_text(F.col("query")).alias("phrase")).where("phrase <> ''").withColumn("runs", runs).where("size(runs) > 0")
+    inner = asked.where("size(runs) > 2").select("query_id", F.array_distinct(F.slice("runs", 2, F.size("runs") - 2)).alias("inner"))
+    needed = inner.select("query_id", F.size("inner").alias("n"), F.explode("inner").alias("term"))
+    words = posts.where("field <> 'citations'").select("component_id", "term").distinct()
+    first = needed.join(words, "term").groupBy("query_id", "component_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m = n").select("query_id", "component_id")
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-F.char_length(r)).alias("n"), r.alias("r")))), 0)["r"]
+    rest = asked.where("size(runs) <= 2").select("query_id", longest.alias("anchor"))
+    long, short = rest.where(F.char_length("anchor") >= 3), rest.where(F.char_length("anchor") < 3)
+    second = held_anchors(posts, long, grams).select("query_id", "component_id").distinct()
+    third = short.join(words.withColumnRenamed("term", "anchor"), "anchor").select("query_id", "component_id")
+    pairs = first.unionByName(second).unionByName(third).join(asked.select("query_id", "phrase"), "query_id")
+    return pairs.join(texts, "component_id").where(F.contains(normalize_text(F.col("text")), F.col("phrase"))).select("query_id", "component_id")
+
+
+def intent_bonus(hits: DataFrame, expanded: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, component_id, bonus): 3 for each intent of which a page holds an added term, 4 where a query about
+    tables meets a page that has some, 4 where one about structure meets an activity template. ``hits``:
+    (query_id, component_id, term); ``expanded``: (query_id, intent, term); ``facts``: (component_id, has_tables, type)."""
+    keys = ["query_id", "component_id"]
+    matched = hits.join(expanded, ["query_id", "term"]).groupBy(*keys).agg((3.0 * F.count_distinct("intent")).alias("matched"))
+    intents = expanded.groupBy("query_id").agg(F.max((F.col("intent") == "tables").cast("int")).alias("tables"), F.max((F.col("intent") == "structure").cast("int")).alias("structure"))
+    joined = hits.select(*keys).distinct().join(intents, "query_id").join(facts, "component_id").join(matched, keys, "left")
+    more = 4.0 * (F.col("tables") * F.col("has_tables").cast("int") + F.col("structure") * (F.col("type") == "activity_template").cast("int"))
+    return joined.select(*keys, (F.coalesce("matched", F.lit(0.0)) + more).alias("bonus")).where("bonus > 0")
 
 
-def rank_lexical(posts: DataFrame, queries: DataFrame, phrases: DataFrame | None = None, trust: DataFrame | None = None) -> DataFrame:
+def rank_lexical(posts: DataFrame, queries: DataFrame, phrases: DataFrame | None = None, trust: DataFrame | None = None, facts: DataFrame | None = None, grams: DataFrame | None = None, fill: int = 0) -> DataFrame:
     """(query_id, component_id, score): term matches, intents, anchors, the whole phrase and trust.
     ``phrases``: (query_id, component_id) whose page text holds the whole query. ``trust``:
-    (component_id, trust)."""
+    (component_id, trust). ``facts``: (component_id, has_tables, type) for what intents add beyond their terms. ``grams``: those of
+    a stored index. An intent's 4 also raise pages without any term: ``fill`` of them at most are added to a query, the best ones."""
     expanded = intents_of(queries)
     terms = query_terms(queries).union(expanded.select("query_id", "term")).distinct()
     hits = posts.join(terms, "term")
     base = hits.groupBy("query_id", "component_id").agg(F.sum("weight").cast("double").alias("base"))
-    bonus = hits.join(expanded, ["query_id", "term"]).groupBy("query_id", "component_id").agg((3.0 * F.count_distinct("intent")).alias("bonus"))
+    if facts is None:
+        bonus = hits.join(expanded, ["query_id", "term"]).groupBy("query_id", "component_id").agg((3.0 * F.count_distinct("intent")).alias("bonus"))
+    else:
+        bonus = intent_bonus(hits, expanded, facts)
     anchors = anchors_of(queries)
     counts = anchors.groupBy("query_id").agg(F.count("*").alias("anchors"))
-    matched = anchor_matches(posts, anchors)
+    matched = anchor_matches(posts, anchors, grams)
     keys = ["query_id", "component_id"]
     joined = base.join(matched, keys, "full_outer").join(bonus, keys, "left").join(counts, "query_id", "left")
+    if facts is not None and fill:
+        others = unmatched(expanded, facts, trust, fill).join(joined.select(*keys), keys, "left_anti")
+        joined = joined.unionByName(others, allowMissingColumns=True)
     base_score, text, title = F.coalesce("base", F.lit(0.0)), F.coalesce("in_text", F.lit(0)), F.coalesce("in_title", F.lit(0))
     anchored = (
         F.when(F.col("anchors").isNull(), base_score)
@@ -112,6 +168,78 @@ def rank_lexical(posts: DataFrame, queries: DataFrame, phrases: DataFrame | None
     return joined.select(*keys, half_up(score).alias("score")).where("score > 0")
 
 
+def unmatched(expanded: DataFrame, facts: DataFrame, trust: DataFrame | None, k: int) -> DataFrame:
+    """(query_id, component_id, bonus): for queries about tables or structure the ``k`` best pages by what the intent alone gives them. There are
+    three kinds of such queries, so three short lists serve all of them."""
+    tables, activity = F.col("has_tables"), F.col("type") == "activity_template"
+    asked = expanded.groupBy("query_id").agg(F.max(F.col("intent") == "tables").alias("t"), F.max(F.col("intent") == "structure").alias("s")).where("t OR s")
+    factor = F.lit(1.0)
+    if trust is not None:
+        facts, factor = facts.join(trust, "component_id", "left"), F.coalesce(0.9 + clamp01(F.col("trust")) * 0.1, F.lit(1.0))
+    lists = None
+    for t, s in ((True, False), (False, True), (True, True)):
+        bonus = 4.0 * ((F.lit(t) & F.coalesce(tables, F.lit(False))).cast("int") + (F.lit(s) & F.coalesce(activity, F.lit(False))).cast("int"))
+        best = facts.select("component_id", bonus.alias("bonus"), half_up(bonus * factor).alias("score")).where("bonus > 0").orderBy(F.col("score").desc(), "component_id").limit(k)
+        own = best.select(F.lit(t).alias("t"), F.lit(s).alias("s"), "component_id", "bonus")
+        lists = own if lists is None else lists.union(own)
+    return asked.join(lists, ["t", "s"]).select("query_id", "component_id", "bonus")
+
+
+#: The lines of an explanation, and the names that intents have in them.
+WHY = {"field": " 命中：", "title": "核心词命中标题/路径：", "text": "核心词命中正文：", "missed": "缺少核心词：", "phrase": "完整短语命中", "tables": "配置表意图命中结构化表依赖：", "activity": "活动结构意图命中活动模板", "trust": "可信度 "}
+REASONS = {"structure": "活动结构意图扩展", "tables": "配置表意图扩展", "evidence": "证据追溯意图扩展"}
+
+
+def explanations(hits: DataFrame, held: DataFrame | None = None, anchors: DataFrame | None = None, phrases: DataFrame | None = None, expanded: DataFrame | None = None, facts: DataFrame | None = None, trust: DataFrame | None = None, most: int = 8) -> DataFrame:
+    """(query_id, component_id, terms, fields, why): what a page was found by. ``hits``: (query_id, component_id, field, term, place), the place of the
+    term in the query. ``why`` has in this order, ``most`` lines at most: the whole phrase, anchors in title or text, a line for each field in
+    the order of the weights with its first five terms, anchors that are missing, intents, trust. ``held``: :func:`held_anchors`; ``anchors``:
+    (query_id, anchor, place); ``facts``: (component_id, tables, type)."""
+    keys = ["query_id", "component_id"]
+    order = {name: i for i, name in enumerate(FIELD_WEIGHTS)}
+    pages = hits.select(*keys).distinct()
+    firsts = lambda column, n: F.array_join(F.slice(F.transform(F.array_sort(F.collect_set(F.struct("place", column))), lambda x: x[column]), 1, n), ", ")
+    place = F.element_at(F.create_map(*(F.lit(x) for pair in order.items() for x in pair)), F.col("field"))
+    by_field = hits.groupBy(*keys, "field").agg(firsts("term", 5).alias("shown"))
+    lines = [by_field.select(*keys, F.lit(2).alias("part"), place.alias("at"), F.concat("field", F.lit(WHY["field"]), "shown").alias("line"))]
+    found = hits.select(*keys, "term")
+    fields = hits.select(*keys, "field")
+    if held is not None:
+        own = held.join(pages, keys, "left_semi").join(anchors, ["query_id", "anchor"])
+        best = own.groupBy(*keys).agg(F.max("top").alias("any_top"), *(F.array_join(F.slice(F.transform(F.array_sort(F.collect_set(F.when(when, F.struct("place", "anchor")))), lambda x: x["anchor"]), 1, 3), ", ").alias(name) for name, when in (("tops", F.col("top")), ("all", F.lit(True)))))
+        text = F.when(F.col("any_top"), F.concat(F.lit(WHY["title"]), "tops")).otherwise(F.concat(F.lit(WHY["text"]), "all"))
+        lines.append(best.select(*keys, F.lit(1), F.lit(0), text))
+        wanted = anchors.groupBy("query_id").agg(firsts("anchor", 3).alias("shown"))
+        missed = pages.join(own.select(*keys).distinct(), keys, "left_anti").join(wanted, "query_id")
+        lines.append(missed.select(*keys, F.lit(3), F.lit(0), F.concat(F.lit(WHY["missed"]), "shown")))
+        found = found.union(own.select(*keys, "anchor"))
+    if phrases is not None:
+        whole = phrases.select(*keys).join(pages, keys, "left_semi")
+        lines.append(whole.select(*keys, F.lit(0), F.lit(0), F.lit(WHY["phrase"])))
+        fields = fields.union(whole.select(*keys, F.lit("body")))
+    if expanded is not None:
+        rank = F.element_at(F.create_map(*(F.lit(x) for i, (name, *_) in enumerate(INTENTS) for x in (name, i))), F.col("intent"))
+        reason = F.element_at(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair)), F.col("intent"))
+        met = found.distinct().join(expanded, ["query_id", "term"]).withColumn("place", F.lit(0)).groupBy(*keys, "intent").agg(firsts("term", 4).alias("shown"))
+        lines.append(met.select(*keys, F.lit(4), rank * 2, F.concat(reason, F.lit("："), "shown")))
+        if facts is not None:
+            meant = pages.join(expanded.select("query_id", "intent").distinct(), "query_id").join(facts, "component_id")
+            tables = meant.where("intent = 'tables' AND size(tables) > 0")
+            lines.append(tables.select(*keys, F.lit(4), rank * 2 + 1, F.concat(F.lit(WHY["tables"]), F.array_join(F.slice("tables", 1, 3), ", "))))
+            activity = meant.where("intent = 'structure' AND type = 'activity_template'")
+            lines.append(activity.select(*keys, F.lit(4), rank * 2 + 1, F.lit(WHY["activity"])))
+            fields = fields.union(tables.select(*keys, F.lit("tables"))).union(activity.select(*keys, F.lit("type")))
+    if trust is not None:
+        lines.append(pages.join(trust.where("trust IS NOT NULL"), "component_id").select(*keys, F.lit(5), F.lit(0), F.concat(F.lit(WHY["trust"]), F.col("trust").cast("string"))))
+    every = lines[0]
+    for more in lines[1:]:
+        every = every.union(more)
+    why = every.groupBy(*keys).agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"])), 1, most).alias("why"))
+    terms = found.groupBy(*keys).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    names = fields.groupBy(*keys).agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    return terms.join(names, keys).join(why, keys).select(*keys, "terms", "fields", "why")
+
+
 def top_by_query(scores: DataFrame, k: int, tie: str = "component_id", floor: float | None = None) -> DataFrame:
     """The ``k`` best of each query with their rank from 1, ties by ``tie``."""
     if floor is not None:
@@ -178,18 +306,28 @@ def pool_size(limit: int) -> int:
     return max(limit * 2, 20)
 
 
+def weak_queries(lexical: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, weak): whether the best lexical score is under 9 and the query has four Han characters or more."""
+    best = lexical.groupBy("query_id").agg(F.max("score").alias("best"))
+    han = F.char_length(F.regexp_replace("query", r"[^\p{IsHan}]", ""))
+    return queries.join(best, "query_id", "left").select("query_id", ((F.coalesce("best", F.lit(0.0)) < WEAK_LEXICAL) & (han >= 4)).alias("weak"))
+
+
+def embedding_text(title: Column, headings: Column, kind: Column, tables: Column, dependencies: Column, body: Column) -> Column:
+    """What a page's vector is made from: six fields, a line each, of the body the first 2000 characters. Headings and tables are arrays."""
+    return F.concat_ws("\n", title, F.array_join(headings, " "), kind, F.array_join(tables, " "), dependencies, F.substring(body, 1, 2000))
+
+
 def conditional(lexical: DataFrame, hashed: DataFrame, semantic: DataFrame | None, queries: DataFrame, limit: int) -> DataFrame:
     """Lexical hits fused with semantic ranks where the lexical result is weak (best score under 9) and
     the query has four Han characters or more, else with hashed ranks. Without semantic ranks
     a weak query stays lexical only. Rankings: (query_id, component_id, score, rank)."""
-    best = lexical.groupBy("query_id").agg(F.max("score").alias("best"))
-    han = F.char_length(F.regexp_replace("query", r"[^\p{IsHan}]", ""))
-    route = queries.join(best, "query_id", "left").select("query_id", ((F.coalesce("best", F.lit(0.0)) < WEAK_LEXICAL) & (han >= 4)).alias("weak"))
+    route = weak_queries(lexical, queries)
     strong, weak = route.where("NOT weak").select("query_id"), route.where("weak").select("query_id")
     parts = [lexical, hashed.join(strong, "query_id", "left_semi")]
     if semantic is not None:
         parts.append(semantic.join(weak, "query_id", "left_semi"))
-    return top_by_query(fuse(parts), limit)
+    return top_by_query(fuse(parts).withColumn("score", half_up(F.col("score"), 9)), limit)
 
 
 def rerank(pool: DataFrame, scorer, limit: int) -> DataFrame:
@@ -203,6 +341,13 @@ def rerank(pool: DataFrame, scorer, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("pool", "rank_before", "before")
 
 
+def term_shares(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, component_id, share): the share of a query's terms that a page holds, a scorer of query and page for :func:`rerank`."""
+    core = terms.groupBy("query_id").agg(F.count_distinct("term").alias("core"))
+    met = posts.select("component_id", "term").distinct().join(terms, "term").groupBy("query_id", "component_id").agg(F.count_distinct("term").alias("met"))
+    return met.join(core, "query_id").select("query_id", "component_id", (F.col("met") / F.col("core")).alias("share"))
+
+
 def visible(hits: DataFrame, visibility: DataFrame, roles: DataFrame) -> DataFrame:
     """Hits that a query's role may see. ``visibility``: (component_id, visibility), missing counts as
     public. ``roles``: (query_id, role); an unknown role sees public only. The filter comes after

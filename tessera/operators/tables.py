@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import alias_key_query
+
 TECHNICAL = r"^[A-Za-z_][A-Za-z0-9_]*$"
 #: What a row of types and uses consists of.
 META = r"(?i)^\s*(?:int|long|float|double|number|string|string\(intern\)|bool|boolean|json|array|primary|none|null|client|server|all|both)\s*$"
@@ -36,17 +38,19 @@ def header_row(cells: DataFrame) -> DataFrame:
 
 
 def query_header_row(cells: DataFrame, fields: DataFrame) -> DataFrame:
-    """(table, row_idx, score): at query time known field names decide: 20 for each direct match, 1 for
-    each technical name, less what the row has beyond the fields; the first best of twelve."""
+    """(table, row_idx, score): at query time known field names decide: 20 for each direct match of alias keys, 1 for
+    each technical name, less what the row has beyond the fields; the first best of twelve. Where no row has a score of 0 or
+    more it is the row 0, with the score -1."""
     few = cells.where((F.col("row_idx") < SCAN_ROWS) & (F.trim("value") != ""))
-    known = fields.select("table", F.lower("field").alias("name")).distinct().withColumn("hit", F.lit(1))
-    counts = fields.groupBy("table").agg(F.count_distinct("field").alias("n_fields"))
-    joined = few.withColumn("name", F.lower(F.trim("value"))).join(known, ["table", "name"], "left")
-    rows = joined.groupBy("table", "row_idx").agg(F.count("hit").alias("direct"), F.count_if(F.col("value").rlike(TECHNICAL)).alias("names"), F.count("*").alias("filled"))
+    known = fields.select("table", alias_key_query(F.col("field")).alias("name")).distinct().withColumn("hit", F.lit(1))
+    counts = fields.groupBy("table").agg(F.count("*").alias("n_fields"))
+    joined = few.withColumn("name", alias_key_query(F.col("value"))).join(known, ["table", "name"], "left")
+    rows = joined.groupBy("table", "row_idx").agg(F.count("hit").alias("direct"), F.count_if(F.trim("value").rlike(TECHNICAL)).alias("names"), F.count("*").alias("filled"))
     score = 20 * F.col("direct") + F.col("names") - F.greatest(F.lit(0), F.col("filled") - F.col("n_fields"))
     scored = rows.join(counts, "table").withColumn("score", score)
     best = scored.groupBy("table").agg(F.max_by(F.struct("row_idx", "score"), F.struct("score", -F.col("row_idx"))).alias("b"))
-    return best.select("table", "b.row_idx", "b.score")
+    fine = F.col("b.score") > -1
+    return best.select("table", F.when(fine, F.col("b.row_idx")).otherwise(0).alias("row_idx"), F.when(fine, F.col("b.score")).otherwise(-1).alias("score"))
 
 
 def raw_grid(cells: DataFrame, header_rows: int = 0) -> DataFrame:

@@ -126,6 +126,22 @@ def snk8(t):
     return sinks.bundle_hash(t.nation.select(F.col("n_name").alias("path"), F.md5("n_name").alias("hash")))
 
 
+SHARDED = """SELECT {dir} AS dir, sha256(string_agg(name || chr(0) || h || chr(0), '' ORDER BY name)) AS h FROM (
+  SELECT dir, substr(sha256(name), 1, 2) AS name, sha256(string_agg(name || chr(0) || h || chr(0), '' ORDER BY name)) AS h FROM {of} GROUP BY dir, substr(sha256(name), 1, 2)) GROUP BY dir"""
+
+
+@query("snk8_tree_hash", f"""WITH f AS (SELECT 'pages/' || source AS dir, doc_id || '.md' AS name, sha256(text) AS h FROM documents),
+d2 AS ({SHARDED.format(dir="dir", of="f")}),
+e1 AS (SELECT 'pages' AS dir, split_part(dir, '/', 2) AS name, h FROM d2),
+d1 AS ({SHARDED.format(dir="dir", of="e1")}),
+e0 AS (SELECT '' AS dir, 'pages' AS name, h FROM d1),
+d0 AS ({SHARDED.format(dir="dir", of="e0")})
+SELECT dir AS path, h AS hash FROM d2 UNION ALL SELECT dir, h FROM d1 UNION ALL SELECT dir, h FROM d0""")
+def snk8_tree(t):
+    """All pages of a release as a tree of folders."""
+    return sinks.tree_hash(t.documents.select(F.concat(F.lit("pages/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.sha2("text", 256).alias("hash")))
+
+
 @query("snk13_classify", "SELECT doc_id, CASE lang WHEN 'en' THEN 'markdown' WHEN 'de' THEN 'table' WHEN 'fr' THEN 'document' ELSE 'other' END AS kind FROM documents")
 def snk13(t):
     ext = F.when(F.col("lang") == "en", ".md").when(F.col("lang") == "de", ".xlsx").when(F.col("lang") == "fr", ".docx").otherwise(".bin")
@@ -181,12 +197,19 @@ def str4s(t):
     return ST.drain(ST.escalate(rows), "escalate").groupBy("stored_type", "severity").agg(F.count("*").alias("n"))
 
 
-@query("win9_rate_limit")
+@query("win9_rate_limit", """WITH RECURSIVE calls AS (SELECT user_id, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+walk AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS times, CAST(NULL AS BOOLEAN) AS allowed FROM calls
+  UNION ALL
+  SELECT user_id, rn, CASE WHEN len(f) < 3 THEN list_append(f, s) ELSE f END, len(f) < 3 FROM (
+    SELECT c.user_id, c.rn, c.s, list_filter(w.times, lambda x: c.s - x < 36000) AS f FROM walk w JOIN calls c ON c.user_id = w.user_id AND c.rn = w.rn + 1))
+SELECT allowed, count(*) AS n FROM walk WHERE rn > 0 GROUP BY allowed""")
 def win9(t):
     calls = ST.read_events(t.spark, t.sf_dir).select("event_id", "ts", "user_id")
     return ST.drain(ST.rate_limit(calls, most=3, seconds=36000), "rate").groupBy("allowed").agg(F.count("*").alias("n"))
 
 
-@query("ext_tumbling_windows")
+@query("ext_tumbling_windows", """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, sum(value) AS total FROM events
+WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
 def ext_tumbling(t):
     return ST.drain(ST.tumbling(ST.read_events(t.spark, t.sf_dir), "1 day", "1 hour"), "tumbling")

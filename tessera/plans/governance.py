@@ -236,13 +236,25 @@ def str4(t):
     return G.escalate(_feedback(t), ["project_id", "query"], ["created_at", "event_id"]).select("event_id", "stored_type", "severity")
 
 
-@query("str5_cluster_keys")
+@query("str5_cluster_keys", f"""WITH RECURSIVE {FEEDBACK}, size AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+asked AS (SELECT event_id, feedback_type, query, created_at, CAST(split_part(query, ':', 1) AS BIGINT) % 64 AS project, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+  row_number() OVER (PARTITION BY CAST(split_part(query, ':', 1) AS BIGINT) % 64, feedback_type ORDER BY created_at, event_id) AS rn
+  FROM feedback CROSS JOIN size LEFT JOIN embeddings ON vec_id = CAST(split_part(query, ':', 1) AS BIGINT) % n),
+near AS (
+  SELECT a.event_id, b.event_id AS parent, CASE WHEN a.query = b.query THEN 1e9 ELSE coalesce(floor(list_inner_product(a.v, b.v) * 1e9 + 0.5), 0) END AS s, b.rn
+  FROM asked a JOIN asked b ON a.project = b.project AND a.feedback_type = b.feedback_type AND b.rn BETWEEN a.rn - 50 AND a.rn - 1 AND a.created_at - b.created_at < INTERVAL 91 DAY),
+links AS (SELECT event_id, parent FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, rn DESC) AS r FROM near WHERE s >= 850000000) WHERE r = 1),
+steps AS (
+  SELECT event_id, event_id AS at FROM asked
+  UNION ALL SELECT s.event_id, l.parent FROM steps s JOIN links l ON l.event_id = s.at)
+SELECT s.event_id, f.query AS cluster_key FROM steps s JOIN feedback f ON f.event_id = s.at WHERE s.at NOT IN (SELECT event_id FROM links)""")
 def str5(t):
-    # every query has a vector by its hash, out of all of them; users are dealt to projects
+    # every user has one of all vectors, and is dealt to a project
     n = t.embeddings.agg((F.max("vec_id") + 1).alias("n"))
     vectors = t.embeddings.groupBy(F.col("vec_id").alias("slot")).agg(F.first(F.transform("embedding", lambda x: x.cast("double"))).alias("vector"))
-    asked = _feedback(t).join(F.broadcast(n), F.lit(True)).withColumn("slot", F.pmod(F.xxhash64("query"), "n")).drop("n")
-    project = F.concat(F.lit("p"), F.pmod(F.split("query", ":")[0].cast("long"), F.lit(64)))
+    user = F.split("query", ":")[0].cast("long")
+    asked = _feedback(t).join(F.broadcast(n), F.lit(True)).withColumn("slot", F.pmod(user, F.col("n"))).drop("n")
+    project = F.concat(F.lit("p"), F.pmod(user, F.lit(64)))
     return G.cluster_keys(asked.withColumn("project_id", project).join(vectors, "slot", "left").drop("slot")).select("event_id", "cluster_key")
 
 

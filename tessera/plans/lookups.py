@@ -223,9 +223,6 @@ def qua3(t):
 
 
 # retrieval -------------------------------------------------------------------------------------
-INTENT_QUERIES = "SELECT query_id, query || CASE query_id % 3 WHEN 0 THEN ' 配置表' WHEN 1 THEN ' 活动结构' ELSE '' END AS query FROM queries_"
-
-
 @query("ret6_intent_bonus", f"""WITH {P.POSTS}, {P.TERMS},
 hit AS (SELECT DISTINCT query_id, component_id FROM posts JOIN terms USING (term)),
 facts AS (SELECT component_id, kind <> 'src1' AS has_tables, type = 'en' AS activity FROM pages_),
@@ -238,50 +235,163 @@ def ret6(t):
     hits = P._posts(t).join(R.query_terms(S.queries(t), han=False), "term").select("query_id", "component_id", "term")
     # the tables intent adds English terms too; no page of these tables holds one of both
     latin = R.intents_of(asked).where(~F.col("term").rlike("^[a-z_ ]+$"))
-    return L.intent_bonus(hits, latin, facts)
-
-
-@query("ret8_explanations", f"""WITH {P.LEXICAL},
-hit AS (SELECT DISTINCT query_id, component_id, field, term FROM lexical_top JOIN posts USING (component_id) JOIN terms USING (query_id, term) WHERE rank <= 3),
-lines AS (SELECT query_id, component_id, field, field || ' 命中：' || array_to_string(list_sort(list(term))[1:6], ', ') AS line FROM hit GROUP BY query_id, component_id, field),
-words AS (SELECT query_id, component_id, array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms FROM hit GROUP BY ALL),
-why AS (SELECT query_id, component_id, string_agg(field, ' ' ORDER BY field) AS fields, array_to_string(list_sort(list(line))[1:8], '; ') AS why FROM lines GROUP BY ALL)
-SELECT query_id, component_id, terms, fields, why FROM words JOIN why USING (query_id, component_id)""")
+    return R.intent_bonus(hits, latin, facts)
+
+
+PLACED = """placed AS (
+  SELECT query_id, term, min(i) AS place FROM (
+    SELECT query_id, unnest(l) AS term, generate_subscripts(l, 1) AS i FROM (SELECT query_id, regexp_extract_all(lower(query), '[a-z0-9]+') AS l FROM queries_)) GROUP BY ALL)"""
+NORMAL = r"trim(regexp_replace(regexp_replace(lower({}), '[`*_~#\[\]()>|]', ' ', 'g'), '\s+', ' ', 'g'))"
+WHOLE = f"""whole AS (SELECT component_id, {NORMAL.format("title || chr(10) || path || chr(10) || type || chr(10) || body")} AS normal FROM pages_),
+asked AS (SELECT query_id, {NORMAL.format("query")} AS phrase FROM queries_),
+phrases AS (SELECT query_id, component_id FROM asked JOIN whole ON contains(normal, phrase))"""
+
+
+def _phrases(t, asked=None):
+    index = P.index(t)
+    texts = S.pages(t).select("component_id", F.concat_ws("\n", "title", "path", "type", "body").alias("text"))
+    return R.phrase_hits(index.posts(), texts, S.queries(t) if asked is None else asked, index.grams)
+
+
+@query("ret5_exact_phrase", f"WITH {S.PAGES_SQL}, {S.QUERIES_SQL}, {WHOLE} SELECT query_id, component_id FROM phrases")
+def ret5(t):
+    return _phrases(t)
+
+
+@query("ret3_intent_expansion", """WITH asked AS (SELECT item_id, item_id % 4 AS k FROM benchmark)
+SELECT item_id AS query_id, intent, count(*) AS terms FROM asked JOIN (VALUES
+(0, 'tables', '关联配置表'), (0, 'tables', '关联'), (0, 'tables', '联配'), (0, 'tables', '配置'), (0, 'tables', '置表'), (0, 'tables', '关联配'), (0, 'tables', '联配置'), (0, 'tables', '配置表'),
+(0, 'tables', 'data'), (0, 'tables', 'dependencies'), (0, 'tables', 'table'), (0, 'tables', 'schema'), (0, 'tables', 'fields'), (0, 'tables', 'configured'), (0, 'tables', 'in'),
+(1, 'evidence', '证据'), (1, 'evidence', 'citations'), (1, 'evidence', 'source'), (1, 'evidence', 'trust')) v(k, intent, term) USING (k) GROUP BY ALL""")
+def ret3(t):
+    """Every fourth query asks for a table, every fourth for evidence."""
+    n = F.col("query_id") % 4
+    asked = S.queries(t).withColumn("query", F.concat("query", F.when(n == 0, " 查表").when(n == 1, " 有什么依据").otherwise("")))
+    return R.intents_of(asked).groupBy("query_id", "intent").agg(F.count("*").alias("terms"))
+
+
+def _trust(t):
+    return t.labels.select(F.col("doc_id").cast("string").alias("component_id"), F.col("quality").cast("double").alias("trust"))
+
+
+@query("ret8_explanations", f"""WITH {P.LEXICAL}, {PLACED}, {WHOLE},
+top3 AS (SELECT query_id, component_id FROM lexical_top WHERE rank <= 3),
+hit AS (SELECT DISTINCT query_id, component_id, field, term, place FROM top3 JOIN posts USING (component_id) JOIN placed USING (query_id, term)),
+long_ AS (SELECT * FROM placed WHERE length(term) >= 3),
+norm AS (SELECT component_id, lower(title || chr(10) || path) AS top, lower(title || chr(10) || path || chr(10) || type || chr(10) || body) AS all_ FROM pages_),
+held AS (SELECT query_id, component_id, term, place, contains(top, term) AS t FROM top3 JOIN long_ USING (query_id) JOIN norm USING (component_id) WHERE contains(all_, term)),
+lines AS (
+  SELECT query_id, component_id, 2 AS part, CASE field WHEN 'title' THEN 0 WHEN 'path' THEN 1 WHEN 'type' THEN 2 ELSE 4 END AS pos, field || ' 命中：' || array_to_string((list(term ORDER BY place))[1:5], ', ') AS line FROM hit GROUP BY query_id, component_id, field
+  UNION ALL SELECT query_id, component_id, 1, 0, CASE WHEN bool_or(t) THEN '核心词命中标题/路径：' || array_to_string((list(term ORDER BY place) FILTER (t))[1:3], ', ') ELSE '核心词命中正文：' || array_to_string((list(term ORDER BY place))[1:3], ', ') END FROM held GROUP BY query_id, component_id
+  UNION ALL SELECT query_id, component_id, 0, 0, '完整短语命中' FROM top3 JOIN phrases USING (query_id, component_id)
+  UNION ALL SELECT query_id, component_id, 3, 0, '缺少核心词：' || array_to_string((list(term ORDER BY place))[1:3], ', ') FROM top3 JOIN long_ USING (query_id) WHERE (query_id, component_id) NOT IN (SELECT (query_id, component_id) FROM held) GROUP BY query_id, component_id
+  UNION ALL SELECT query_id, component_id, 5, 0, '可信度 ' || CAST(CAST(quality AS DOUBLE) AS VARCHAR) FROM top3 JOIN labels ON component_id = CAST(doc_id AS VARCHAR) WHERE quality IS NOT NULL),
+words AS (SELECT query_id, component_id, array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms FROM (SELECT query_id, component_id, term FROM hit UNION SELECT query_id, component_id, term FROM held) GROUP BY ALL),
+names AS (SELECT query_id, component_id, array_to_string(list_sort(list(DISTINCT field)), ' ') AS fields FROM (SELECT query_id, component_id, field FROM hit UNION SELECT query_id, component_id, 'body' FROM top3 JOIN phrases USING (query_id, component_id)) GROUP BY ALL),
+why AS (SELECT query_id, component_id, array_to_string((list(line ORDER BY part, pos))[1:8], '; ') AS why FROM lines GROUP BY ALL)
+SELECT query_id, component_id, terms, fields, why FROM words JOIN names USING (query_id, component_id) JOIN why USING (query_id, component_id)""")
 def ret8(t):
-    top = P._lexical(t).where("rank <= 3").select("query_id", "component_id")
-    hits = P._posts(t).join(top, "component_id").join(R.query_terms(S.queries(t), han=False), ["query_id", "term"]).select("query_id", "component_id", "field", "term")
-    out = L.explanations(hits)
+    top, index, anchors = P._lexical(t).where("rank <= 3").select("query_id", "component_id"), P.index(t), R.anchors_of(S.queries(t))
+    hits = index.posts().join(top, "component_id").join(R.placed_terms(S.queries(t), han=False), ["query_id", "term"]).select("query_id", "component_id", "field", "term", "place")
+    held = R.held_anchors(index.posts(), anchors, index.grams)
+    out = R.explanations(hits, held, anchors, _phrases(t), trust=_trust(t))
     return out.select("query_id", "component_id", F.array_join("terms", " ").alias("terms"), F.array_join("fields", " ").alias("fields"), F.array_join("why", "; ").alias("why"))
 
 
-SEARCH = f"""{P.LEXICAL}, {P.VECTORS},
-ranks AS (SELECT query_id, component_id, rank FROM lexical_top UNION ALL SELECT query_id, component_id, rank FROM dense_top),
+#: Queries of which every third asks for tables and every third for structure; pages of one source have no tables, those of one language are activities.
+RANKED = f"""{P.LEXICAL}, {WHOLE},
+expansions AS (
+  SELECT query_id, unnest(['data', 'dependencies', 'table', 'schema', 'fields', 'configured', 'in']) AS term FROM queries_ WHERE query_id % 3 = 0
+  UNION ALL SELECT query_id, unnest(['data', 'dependencies']) FROM queries_ WHERE query_id % 3 = 1),
+wide AS (SELECT query_id, component_id, CAST(sum(weight) AS DOUBLE) AS score FROM posts JOIN (SELECT * FROM terms UNION SELECT * FROM expansions) USING (term) GROUP BY ALL),
+meant AS (SELECT DISTINCT query_id, component_id, 3 AS more FROM posts JOIN expansions USING (term)),
+long_ AS (SELECT * FROM terms WHERE length(term) >= 3),
+counts AS (SELECT query_id, count(*) AS anchors FROM long_ GROUP BY ALL),
+norm AS (SELECT component_id, kind, type, lower(title || chr(10) || path) AS top, lower(title || chr(10) || path || chr(10) || type || chr(10) || body) AS all_ FROM pages_),
+matched AS (
+  SELECT query_id, component_id, count(*) AS in_text, count(*) FILTER (contains(top, term)) AS in_title
+  FROM long_ JOIN norm ON contains(all_, term) GROUP BY ALL),
+raw AS (
+  SELECT query_id, component_id, quality, CASE WHEN anchors IS NULL THEN coalesce(l.score, 0) WHEN coalesce(in_text, 0) > 0 THEN coalesce(l.score, 0) + in_title * 90 + (in_text - in_title) * 35 ELSE coalesce(l.score, 0) * 0.35 END
+    + CASE WHEN p.component_id IS NOT NULL THEN 6 ELSE 0 END + coalesce(more, 0)
+    + CASE WHEN query_id % 3 = 0 AND kind <> 'src1' THEN 4 WHEN query_id % 3 = 1 AND type = 'en' THEN 4 ELSE 0 END AS s
+  FROM queries_ CROSS JOIN norm LEFT JOIN wide l USING (query_id, component_id) LEFT JOIN meant USING (query_id, component_id) LEFT JOIN matched USING (query_id, component_id) LEFT JOIN counts USING (query_id)
+  LEFT JOIN (SELECT query_id, component_id FROM phrases WHERE query_id % 3 = 2) p USING (query_id, component_id) LEFT JOIN labels ON component_id = CAST(doc_id AS VARCHAR)),
+full_ AS (SELECT query_id, component_id, floor(CASE WHEN quality IS NULL THEN s ELSE s * (0.9 + greatest(0, least(1, CAST(quality AS DOUBLE))) * 0.1) END * 1000 + 0.5) / 1000 AS score FROM raw),
+full_top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM full_ WHERE score > 0) WHERE rank <= 20)"""
+
+
+def _asked(t):
+    n = F.col("query_id") % 3
+    return S.queries(t).withColumn("query", F.concat("query", F.when(n == 0, " 配置表").when(n == 1, " 活动结构").otherwise("")))
+
+
+def _full(t, k=20):
+    """The whole lexical score: fields, anchors, phrase, intents, trust."""
+    index, asked = P.index(t), _asked(t)
+    kept = index.pages
+    facts = kept.select("component_id", (F.col("kind") != "src1").alias("has_tables"), F.when(F.col("type") == "en", "activity_template").otherwise("concept").alias("type"))
+    scores = R.rank_lexical(index.posts(), asked, _phrases(t, asked), _trust(t), facts, index.grams, fill=k)
+    return R.top_by_query(scores, k)
+
+
+@query("ret6_ranked_with_intents", f"WITH {RANKED} SELECT query_id, component_id, score, rank FROM full_top")
+def ret6_ranked(t):
+    return _full(t)
+
+
+SEARCH = f"""{RANKED}, {P.VECTORS},
+ranks AS (SELECT query_id, component_id, rank FROM full_top UNION ALL SELECT query_id, component_id, rank FROM dense_top),
 fused AS (SELECT query_id, component_id, floor(sum(1.0 / (60 + rank)) * 1e9 + 0.5) / 1e9 AS score FROM ranks GROUP BY ALL),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS r FROM fused) WHERE r <= 20),
 seen AS (
-  SELECT query_id, component_id, score FROM pool JOIN pages_ USING (component_id)
+  SELECT query_id, component_id, score, r, kind, body FROM pool JOIN pages_ USING (component_id)
   WHERE query_id % 2 = 0 OR kind NOT IN ('src1', 'src2', 'src3')),
-found AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM seen) WHERE rank <= 5)"""
+sized AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM seen),
+close_ AS (SELECT query_id, component_id, count(DISTINCT term) / (SELECT count(*) FROM terms u WHERE u.query_id = sized.query_id) AS c FROM sized JOIN posts p USING (component_id) JOIN terms USING (query_id, term) GROUP BY query_id, component_id),
+found AS (
+  SELECT query_id, component_id, kind, CASE WHEN n <= 5 THEN score ELSE floor(coalesce(c, 0) * 1e9 + 0.5) / 1e9 END AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 5 THEN -r ELSE floor(coalesce(c, 0) * 1e9 + 0.5) / 1e9 END DESC, component_id) AS INT) AS rank
+  FROM sized LEFT JOIN close_ USING (query_id, component_id) QUALIFY rank <= 5)"""
 
 
 def _search(t):
-    kind = F.col("kind")
-    marked = S.pages(t).where(kind.isin("src1", "src2", "src3")).select("component_id", F.when(kind == "src3", "restricted").otherwise("internal").alias("visibility"))
+    """As a user meets it: the whole lexical score fused with hashed vectors, roles, rerank by the share of query terms in a page, fallback."""
+    kind, index = F.col("kind"), P.index(t)
+    marked = index.pages.where(kind.isin("src1", "src2", "src3")).select("component_id", F.when(kind == "src3", "restricted").otherwise("internal").alias("visibility"))
     roles = S.queries(t).select("query_id", F.when(F.col("query_id") % 2 == 0, "admin").otherwise("guest").alias("role"))
-    fallback = R.fallback_scores(S.pages(t), R.query_terms(S.queries(t), han=False))
-    found = L.kb_search([P._lexical(t), P._dense(t)], lambda hits: R.visible(hits, marked, roles), fallback, S.queries(t), 5)
-    return found.withColumn("score", half_up(F.col("score"), 9))
+    terms = R.query_terms(S.queries(t), han=False)
+    # fallback looks at bodies alone, which the index holds as a field
+    body = index.posts().where("field = 'body'").select("component_id", "term").distinct()
+    fallback = body.join(terms, "term").groupBy("query_id", "component_id").agg(F.count("*").cast("double").alias("score"))
+    shares = R.term_shares(index.posts(), terms)
+
+    def scorer(pool):
+        return pool.join(shares, ["query_id", "component_id"], "left").withColumn("score", half_up(F.coalesce("share", F.lit(0.0)), 9)).drop("share")
+
+    return L.kb_search([_full(t), P._dense(t)], lambda hits: R.visible(hits, marked, roles), fallback, S.queries(t), 5, lambda pool, limit: R.rerank(pool, scorer, limit))
 
 
 @query("ret16_kb_search", f"""WITH {SEARCH},
 tokens AS (SELECT DISTINCT component_id, kind, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM pages_),
 rest AS (
   SELECT query_id, component_id, CAST(count(*) AS DOUBLE) AS score FROM tokens JOIN terms USING (term)
-  WHERE query_id NOT IN (SELECT query_id FROM found) AND (query_id % 2 = 0 OR kind NOT IN ('src1', 'src2', 'src3')) GROUP BY ALL)
-SELECT query_id, component_id, score, rank, 'hybrid_rrf' AS mode FROM found
-UNION ALL SELECT query_id, component_id, score, rank, 'fallback' FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM rest) WHERE rank <= 5""")
+  WHERE query_id NOT IN (SELECT query_id FROM found) AND (query_id % 2 = 0 OR kind NOT IN ('src1', 'src2', 'src3')) GROUP BY ALL),
+every AS (SELECT query_id, component_id, score, rank, 'hybrid_rrf' AS mode FROM found
+  UNION ALL SELECT query_id, component_id, score, rank, 'fallback' FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM rest) WHERE rank <= 5),
+core AS (SELECT query_id, count(*) AS core FROM terms GROUP BY ALL),
+met AS (SELECT e.query_id, e.component_id, count(DISTINCT p.term) AS m FROM every e JOIN posts p USING (component_id) JOIN terms USING (query_id, term) GROUP BY ALL)
+SELECT query_id, component_id, floor(score * 1e9 + 0.5) / 1e9 AS score, rank, mode, CASE WHEN p.kind = 'src1' THEN '' ELSE p.kind END AS tables,
+  CASE WHEN score <= 0 THEN 'near_miss' WHEN coalesce(core, 0) >= 4 AND coalesce(m, 0) / core < 0.35 THEN 'low_confidence_hit' ELSE 'hit' END AS match_class
+FROM every JOIN pages_ p USING (component_id) LEFT JOIN core USING (query_id) LEFT JOIN met USING (query_id, component_id)""")
 def ret16(t):
-    return _search(t)
+    index, terms = P.index(t), R.query_terms(S.queries(t), han=False)
+    found = _search(t).withColumn("fields", F.array(F.lit("body"), F.lit("tables")))
+    aligned = L.align_tables(found, index.pages.where("kind <> 'src1'").select("component_id", F.array("kind").alias("tables")))
+    shares = R.term_shares(index.posts(), terms)
+    core = terms.groupBy("query_id").agg(F.count("*").alias("core"))
+    joined = aligned.join(shares, ["query_id", "component_id"], "left").join(core, "query_id", "left")
+    matched, n = F.round(F.coalesce("share", F.lit(0.0)) * F.coalesce("core", F.lit(0))), F.coalesce("core", F.lit(0))
+    return joined.select("query_id", "component_id", half_up(F.col("score"), 9).alias("score"), "rank", "mode", F.array_join("tables", ",").alias("tables"), R.match_class(F.col("score"), matched, n).alias("match_class"))
 
 
 @query("ret20_align_tables", f"""WITH {P.LEXICAL} SELECT query_id, component_id, CASE WHEN kind = 'src1' THEN 'body' ELSE 'body,tables' END AS fields, CASE WHEN kind = 'src1' THEN '' ELSE kind END AS tables FROM lexical_top JOIN pages_ USING (component_id)""")

@@ -9,6 +9,9 @@ from tessera.functions.text import normalize_text, snippet, tokenize
 from tessera.operators import retrieval as R
 from tessera.plans import standins as S
 from tessera.plans.base import query
+from tessera.sources import index as I
+from tessera.sources import vectors as V
+from tessera.sources.scratch import shared_path
 
 POSTS, TERMS, PAGES, QUERIES = S.POSTS_SQL, S.TERMS_SQL, S.PAGES_SQL, S.QUERIES_SQL
 LEXICAL = f"""{POSTS}, {TERMS},
@@ -32,18 +35,23 @@ dense_top AS (
   SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM dense WHERE score > 0.01) WHERE rank <= 20)"""
 
 
+def index(t):
+    """The stored index of the pages: texts are read and cut into terms once for all queries of a session."""
+    return I.index_of(t.documents, S.pages(t), S.page_fields(), R.FIELD_WEIGHTS, keep=("title", "path", "type", "kind"), han=False)
+
+
 def _posts(t):
-    return R.postings(S.pages(t), S.page_fields(), han=False)
+    return index(t).posts()
 
 
 def _lexical(t, k=20):
-    return R.top_by_query(R.lexical_scores(_posts(t), R.query_terms(S.queries(t), han=False)), k)
+    return I.top_k(index(t), R.query_terms(S.queries(t), han=False), k)
 
 
-def _dense(t, k=20):
+def _dense(t, k=20, asked=None):
     text = F.concat_ws("\n", "title", "type", F.substring("body", 1, 2000))
     pages = R.hashed_vectors(S.pages(t), "component_id", text, han=False)
-    asked = R.hashed_vectors(S.queries(t), "query_id", F.col("query"), han=False)
+    asked = R.hashed_vectors(S.queries(t) if asked is None else asked, "query_id", F.col("query"), han=False)
     scores = R.dense_scores(pages, asked).withColumn("score", half_up(F.col("score"), 9))
     return R.top_by_query(scores, k, floor=R.DENSE_FLOOR)
 
@@ -76,7 +84,7 @@ norm AS (SELECT component_id, lower(title || chr(10) || path) AS top, lower(titl
 SELECT query_id, component_id, count(*) AS in_text, count(*) FILTER (contains(top, anchor)) AS in_title
 FROM long_ JOIN norm ON contains(all_, anchor) GROUP BY ALL""")
 def ret4(t):
-    return R.anchor_matches(_posts(t), R.anchors_of(S.queries(t)))
+    return R.anchor_matches(_posts(t), R.anchors_of(S.queries(t)), index(t).grams)
 
 
 @query("ret7_ranked_search", f"""WITH {LEXICAL},
@@ -99,7 +107,7 @@ rounded AS (SELECT query_id, component_id, floor(s * 1000 + 0.5) / 1000 AS score
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM rounded WHERE score > 0) WHERE rank <= 10""")
 def ret7(t):
     trust = t.labels.select(F.col("doc_id").cast("string").alias("component_id"), F.col("quality").cast("double").alias("trust"))
-    return R.top_by_query(R.rank_lexical(_posts(t), S.queries(t), trust=trust), 10)
+    return R.top_by_query(R.rank_lexical(_posts(t), S.queries(t), trust=trust, grams=index(t).grams), 10)
 
 
 @query("ret9_hashed_vectors", f"WITH {PAGES}, {QUERIES}, {VECTORS} SELECT id AS component_id, idx, floor(value * 1e9 + 0.5) / 1e9 AS value FROM page_vec")
@@ -122,10 +130,71 @@ def ret13(t):
     return R.top_by_query(fused, 5)
 
 
-@query("ret14_conditional_hybrid")
+#: Every page and every query has one of the vectors, dealt by its number; Latin queries of odd number keep a word and ask in Chinese.
+SEMANTIC = """size AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+vec AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+page_dense AS (SELECT CAST(doc_id AS VARCHAR) AS component_id, v FROM documents CROSS JOIN size JOIN vec ON vec_id = doc_id % n),
+query_dense AS (SELECT item_id AS query_id, v FROM benchmark CROSS JOIN size JOIN vec ON vec_id = (item_id * 7 + 3) % n),
+semantic AS (SELECT query_id, component_id, floor(list_inner_product(q.v, p.v) * 1e9 + 0.5) / 1e9 AS score FROM query_dense q CROSS JOIN page_dense p),
+semantic_top AS (
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM semantic) WHERE rank <= 20)"""
+
+
+def _dealt(t, rows, key, number):
+    n = t.embeddings.agg((F.max("vec_id") + 1).alias("n"))
+    dealt = rows.join(F.broadcast(n), F.lit(True)).select(key, F.expr(f"({number}) % n").alias("vec_id"))
+    return dealt.join(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(key, "vector")
+
+
+def vectors(t):
+    """The stored vectors of the pages, written once in a session."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _stored:
+        path = shared_path(t.spark, "vectors")
+        V.write_vectors(_dealt(t, t.documents.withColumn("component_id", F.col("doc_id").cast("string")), "component_id", "doc_id"), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _semantic(t, k=20):
+    asked = _dealt(t, t.benchmark.withColumn("query_id", F.col("item_id")), "query_id", "item_id * 7 + 3")
+    return V.nearest(t.spark, vectors(t), asked, k)
+
+
+@query("ret12_stored_vectors", f"WITH {SEMANTIC} SELECT query_id, component_id, score, rank FROM semantic_top")
+def ret12(t):
+    return _semantic(t)
+
+
+@query("ret10_embedding_text", """SELECT doc_id, md5(concat_ws(chr(10), substr(text, 1, 40), '', lang, CASE WHEN source = 'src1' THEN '' ELSE source END, '', substr(text, 1, 2000))) AS text FROM documents""")
+def ret10(t):
+    p = S.pages(t)
+    tables = F.when(F.col("kind") != "src1", F.array("kind")).otherwise(F.array().cast("array<string>"))
+    text = R.embedding_text(F.col("title"), F.regexp_extract_all("body", F.lit(r"(?m)^#{1,6}[ \t]+(.+)$"), F.lit(1)), F.col("type"), tables, F.lit(""), F.col("body"))
+    return p.select(F.col("component_id").cast("long").alias("doc_id"), F.md5(text).alias("text"))
+
+
+@query("ret14_conditional_hybrid", f"""WITH {POSTS}, {SEMANTIC}, queries_ AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 1 THEN regexp_extract(text, '[A-Za-z]+') || ' 玩法奖励流程' ELSE text END AS query FROM benchmark),
+terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM queries_),
+lexical AS (SELECT query_id, component_id, CAST(sum(weight) AS DOUBLE) AS score FROM posts JOIN terms USING (term) GROUP BY ALL),
+lexical_top AS (
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM lexical) WHERE rank <= 20), {VECTORS},
+route AS (SELECT query_id, coalesce(max(score), 0) < 9 AND query_id % 2 = 1 AS weak FROM queries_ LEFT JOIN lexical_top USING (query_id) GROUP BY query_id),
+ranks AS (SELECT query_id, component_id, rank FROM lexical_top
+  UNION ALL SELECT query_id, component_id, rank FROM dense_top JOIN route USING (query_id) WHERE NOT weak
+  UNION ALL SELECT query_id, component_id, rank FROM semantic_top JOIN route USING (query_id) WHERE weak),
+fused AS (SELECT query_id, component_id, floor(sum(1.0 / (60 + rank)) * 1e9 + 0.5) / 1e9 AS score FROM ranks GROUP BY ALL)
+SELECT query_id, component_id, score, rank, weak FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, component_id) AS INT) AS rank FROM fused) JOIN route USING (query_id) WHERE rank <= 5""")
 def ret14(t):
-    # embeddings carry no key to documents; the semantic side is left out and weak queries stay lexical
-    return R.conditional(_lexical(t), _dense(t), None, S.queries(t), 5)
+    short = F.concat(F.regexp_extract("query", "[A-Za-z]+", 0), F.lit(" 玩法奖励流程"))
+    asked = S.queries(t).withColumn("query", F.when(F.col("query_id") % 2 == 1, short).otherwise(F.col("query")))
+    lexical = I.top_k(index(t), R.query_terms(asked, han=False), 20)
+    hashed = _dense(t, asked=asked)
+    found = R.conditional(lexical, hashed, _semantic(t), asked, 5)
+    return found.join(R.weak_queries(lexical, asked), "query_id").select("query_id", "component_id", half_up(F.col("score"), 9).alias("score"), "rank", "weak")
 
 
 @query("ret15_rerank", f"""WITH {LEXICAL},
@@ -242,6 +311,22 @@ def fn17(t):
     return t.documents.select("doc_id", snippet(F.col("text"), F.array(F.lit("the"))).alias("snippet"))
 
 
+@query("join17_near_vectors", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM v),
+best AS (
+  SELECT a.vec_id, b.vec_id AS match, list_inner_product(a.v, b.v) AS s,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY floor(list_inner_product(a.v, b.v) * 1e9 + 0.5) DESC, b.vec_id) AS r
+  FROM n a JOIN n b ON a.label = b.label AND b.vec_id < a.vec_id)
+SELECT vec_id, match, floor(s * 1e6 + 0.5) / 1e6 AS similarity FROM best WHERE r = 1 AND s >= 0.25""")
+def join17_near(t):
+    """The same join at a similarity that vectors of these tables reach."""
+    v = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = v.withColumn("norm", norm).select("vec_id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    best = R.best_earlier(unit, "label", "vec_id", "v")
+    return best.where("score >= 0.25").select("vec_id", "match", half_up(F.col("score"), 6).alias("similarity"))
+
+
 @query("join17_similarity_join", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 best AS (
   SELECT a.vec_id, b.vec_id AS match, list_inner_product(a.v, b.v) AS s,

@@ -27,6 +27,16 @@ def tab9(t):
     return T.infer_foreign_keys(_fields(t), ["nId", "rId"])
 
 
+@query("tab9_inferred_keys", r"""WITH f AS (SELECT DISTINCT 'Game/' || source AS t, 'Src' || (doc_id % 25) || ['Id', '_Ids', '_id', 'Key'][doc_id % 4 + 1] AS field FROM documents)
+SELECT f.t AS source, u.t AS target, field, CASE WHEN ends_with(field, 'Id') THEN 'confirmed' ELSE 'candidate' END AS state
+FROM f JOIN (SELECT DISTINCT t FROM f) u ON lower(regexp_extract(field, '(?i)^(.+?)_?Ids?$', 1)) = lower(split_part(u.t, '/', 2)) WHERE f.t <> u.t""")
+def tab9_inferred(t):
+    """Sources as tables, with a field for each of their documents that may be named like another source."""
+    form = F.element_at(F.array(*map(F.lit, ("Id", "_Ids", "_id", "Key"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    fields = t.documents.select(F.concat(F.lit("Game/"), "source").alias("table"), F.concat(F.lit("Src"), F.col("doc_id") % 25, form).alias("field")).distinct()
+    return T.infer_foreign_keys(fields, ["Id"])
+
+
 @query("tab7_missing_fields", """WITH a AS (SELECT source AS t, list(DISTINCT lang) AS fields FROM documents WHERE n_chars < 300 GROUP BY ALL), b AS (SELECT source AS t, list(DISTINCT lang) AS names FROM documents WHERE n_chars > 6000 GROUP BY ALL)
 SELECT t AS "table", array_to_string(list_sort(list_filter(coalesce(fields, []), lambda x: NOT list_contains(coalesce(names, []), x))), ',') AS missing, array_to_string(list_sort(list_filter(coalesce(names, []), lambda x: NOT list_contains(coalesce(fields, []), x))), ',') AS unmapped FROM a FULL JOIN b USING (t)""")
 def tab7(t):
@@ -197,6 +207,20 @@ def val8(t):
     return T.formula(t.part, "p_partkey", T.approximately(F.col("p_retailprice"), 900 + F.col("p_partkey") / 10.0, 0.1), "price")
 
 
+@query("val8_formula_broken", "SELECT 'price' AS rule, CAST(p_partkey AS VARCHAR) AS key FROM part WHERE p_partkey % 50 = 0 OR p_retailprice IS NULL")
+def val8_broken(t):
+    """Every fiftieth price is raised by 500, every hundredth is lost."""
+    price = F.when(F.col("p_partkey") % 100 != 0, F.col("p_retailprice") + F.when(F.col("p_partkey") % 50 == 0, 500).otherwise(0))
+    return T.formula(t.part, "p_partkey", T.approximately(price, 900 + F.col("p_partkey") / 10.0, 0.1), "price")
+
+
+@query("val9_protected_broken", "SELECT n_nationkey AS key FROM nation WHERE n_nationkey % 6 = 1 OR n_nationkey % 5 <> n_regionkey")
+def val9_broken(t):
+    """Some protected names are in lower case."""
+    named = t.nation.withColumn("n_name", F.when(F.col("n_nationkey") % 6 == 1, F.lower("n_name")).otherwise(F.col("n_name")))
+    return named.where((F.col("n_name") != F.upper("n_name")) | (F.col("n_regionkey") != F.col("n_nationkey") % 5)).select(F.col("n_nationkey").alias("key"))
+
+
 @query("val9_protected_rows", "SELECT n_nationkey AS key FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name <> upper(n_name) OR r_regionkey <> n_nationkey % 5")
 def val9(t):
     j = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CELLS = "path string, sheet string, row_idx int, col_idx int, value string"
+CELLS = "path string, sheet string, sheet_idx int, row_idx int, col_idx int, value string"
 
 
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -35,20 +35,25 @@ def markdown_pages(spark: SparkSession, root: str) -> DataFrame:
     return with_path.select(rel.alias("path"), "markdown").where(~F.col("path").isin("index.md", "log.md"))
 
 
-def _xlsx(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """Cells of all sheets of a workbook, in order."""
-    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+def _xlsx(content: bytes) -> Iterator[tuple[str, int, int, int, str]]:
+    """Cells of all sheets of a workbook, in the order of the workbook; its relations say which part a sheet is in."""
+    relation, space = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id", {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", space):
                 shared.append("".join(t.text or "" for t in item.iter(f"{{{space['m']}}}t")))
+        parts = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            parts = {x.get("Id"): x.get("Target", "") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        for n, sheet in enumerate(book.findall("m:sheets/m:sheet", space), 1):
-            if f"xl/worksheets/sheet{n}.xml" not in names:
+        for n, sheet in enumerate(book.findall("m:sheets/m:sheet", space)):
+            target = parts.get(sheet.get(relation), f"worksheets/sheet{n + 1}.xml")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part not in names:
                 continue
-            for r, row in enumerate(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{n}.xml")).findall("m:sheetData/m:row", space)):
+            for r, row in enumerate(ElementTree.fromstring(z.read(part)).findall("m:sheetData/m:row", space)):
                 at = int(row.get("r", r + 1)) - 1
                 for c, cell in enumerate(row.findall("m:c", space)):
                     letters = re.match(r"[A-Z]*", cell.get("r", ""))[0]
@@ -57,18 +62,18 @@ def _xlsx(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                         col = col * 26 + ord(x) - 64
                     value = cell.find("m:v", space)
                     text = value.text if value is not None else "".join(t.text or "" for t in cell.iter(f"{{{space['m']}}}t"))
-                    yield sheet.get("name", f"Sheet{n}"), at, (col - 1 if letters else c), shared[int(text)] if cell.get("t") == "s" and text else text or ""
+                    yield sheet.get("name", f"Sheet{n + 1}"), n, at, (col - 1 if letters else c), shared[int(text)] if cell.get("t") == "s" and text else text or ""
 
 
 def _workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
             cells = [(row.path, *c) for c in _xlsx(row.content)]
-            yield pd.DataFrame(cells, columns=["path", "sheet", "row_idx", "col_idx", "value"])
+            yield pd.DataFrame(cells, columns=["path", "sheet", "sheet_idx", "row_idx", "col_idx", "value"])
 
 
 def workbook_cells(spark: SparkSession, root: str) -> DataFrame:
-    """All sheets of all workbooks as (path, sheet, row_idx, col_idx, value)."""
+    """All sheets of all workbooks as (path, sheet, sheet_idx, row_idx, col_idx, value)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(root)
     return files.select("path", "content").mapInPandas(_workbooks, CELLS)
 
@@ -77,10 +82,11 @@ def csv_cells(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFra
     """CSV files in the same long form, ragged rows as they are, a byte order mark removed."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     rows = text.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r"\r?\n$", ""), r"\r?\n")).alias("row_idx", "line"))
-    # a comma counts where an even number of quotes follows it
-    parts = rows.select("path", "row_idx", F.posexplode(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')).alias("col_idx", "raw"))
+    # a field is made of quoted runs, others, and at most one quote without its partner; read in one go from left to right
+    field = r',((?:"(?:[^"]++|"")*+"|[^,"]++|")*+)'
+    parts = rows.select("path", "row_idx", F.posexplode(F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(field), F.lit(1))).alias("col_idx", "raw"))
     value = F.when(F.col("raw").rlike(r'^\s*".*"\s*$'), F.regexp_replace(F.regexp_replace("raw", r'^\s*"|"\s*$', ""), '""', '"')).otherwise(F.col("raw"))
-    return parts.select("path", F.lit("Sheet1").alias("sheet"), "row_idx", "col_idx", value.alias("value"))
+    return parts.select("path", F.lit("Sheet1").alias("sheet"), F.lit(0).alias("sheet_idx"), "row_idx", "col_idx", value.alias("value"))
 
 
 def csv_problems(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
@@ -94,7 +100,7 @@ def csv_problems(spark: SparkSession, root: str, pattern: str = "*.csv") -> Data
 
 
 def first_sheet(cells: DataFrame) -> DataFrame:
-    """Cells of each workbook's first sheet alone, blank rows kept. ``cells`` has the sheets' order in ``sheet_idx``."""
+    """Cells of each workbook's first sheet alone, blank rows kept."""
     first = cells.groupBy("path").agg(F.min("sheet_idx").alias("sheet_idx"))
     return cells.join(first, ["path", "sheet_idx"], "left_semi")
 

@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path there, deleted when the session's JVM ends. A temporary folder is only made where
-    ``spark.checkpoint.dir`` is unset."""
+    ``spark.checkpoint.dir`` is unset on a single machine; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"

@@ -36,6 +36,24 @@ def bundle_hash(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", line.alias("l")))), lambda x: x["l"]), ""), 256).alias("bundle_hash"))
 
 
+def tree_hash(files: DataFrame) -> DataFrame:
+    """(path, hash) of every folder of a release, the root as the empty path. A folder's hash is that of its shards, a shard's that of its entries (name and
+    hash, in the order of names) whose names' hashes begin alike; so what one task takes together is a 256th of a folder. ``files``: (path, hash)."""
+    rows = files.select(F.split("path", "/").alias("steps"), "hash")
+    deepest, out = rows.agg(F.max(F.size("steps"))).first()[0] or 0, None
+    for depth in range(deepest, 0, -1):
+        own = rows.where(F.size("steps") == depth).select(F.slice("steps", 1, depth - 1).alias("steps"), F.element_at("steps", depth).alias("name"), "hash")
+        entry = F.struct("name", F.concat("name", F.lit("\0"), "hash", F.lit("\0")).alias("line"))
+        joined = lambda entries: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(entries)), lambda x: x["line"]), ""), 256)
+        shards = own.groupBy("steps", F.substring(F.sha2("name", 256), 1, 2).alias("name")).agg(joined(entry).alias("hash"))
+        folders = shards.groupBy("steps").agg(joined(entry).alias("hash"))
+        out = folders if out is None else out.unionByName(folders)
+        rows = rows.where(F.size("steps") < depth).unionByName(folders)
+    if out is None:
+        return files.limit(0).select("path", "hash")
+    return out.select(F.array_join("steps", "/").alias("path"), "hash")
+
+
 def manifest_hash(manifest: dict) -> str:
     """A hash that does not depend on the order of keys."""
     return hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
