@@ -131,7 +131,7 @@ PART = 4096
 #: compared; they end once a round adds less than half a percent of the links.
 STAR_ROUNDS = 8
 #: Tokens that a task packs together, tokens of a bucket, and sets from which a token's list is dealt over many tasks.
-FLUSH, BUCKET_TOKENS, SPLIT = 1 << 18, 1 << 20, 1 << 16
+FLUSH, BUCKET_TOKENS, SPLIT = 1 << 18, 1 << 19, 1 << 16
 #: Tasks that share such a list.
 SPREAD = 256
 SENT = "bucket long, token long, node long, size int, before int, p0 long, p1 long, payload binary"
