@@ -81,11 +81,13 @@ def gap_query_key(text: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a of the code units, 32 bits, as 8 hex digits (texts of the basic plane)."""
-    units = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    """FNV-1a of the UTF-16 code units, 32 bits, as 8 hex digits."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), (F.char_length(digits) / 4).cast("int") - 1), lambda i: F.conv(F.substr(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    units = F.when(F.char_length(digits) > 0, units).otherwise(F.array().cast("array<bigint>"))
     # the product of a 32-bit and a 25-bit number fits a long
     step = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
-    value = F.aggregate(F.filter(units, lambda c: c > 0), F.lit(2166136261).cast("long"), step)
+    value = F.aggregate(units, F.lit(2166136261).cast("long"), step)
     return F.lower(F.lpad(F.hex(value), 8, "0"))
 
 

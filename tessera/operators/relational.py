@@ -43,6 +43,12 @@ def bounded_limit(value, default: int, most: int) -> int:
     return default if n <= 0 else min(n, most)
 
 
+def bounded(value: Column, default: int, most: int) -> Column:
+    """The same for a column of limits given as text."""
+    n = F.trim(value).try_cast("long")
+    return F.when(n > 0, F.least(n, F.lit(most).cast("long"))).otherwise(F.lit(default).cast("long"))
+
+
 def sampled_groups(df: DataFrame, keys: list[str], value: str, n: int = 20) -> DataFrame:
     """(keys, count, sample, truncated): like :func:`sample_array` of each group, of which no more than the first
     ``n`` values are ever collected."""

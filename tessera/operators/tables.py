@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,3 +193,31 @@ def formula(df: DataFrame, key: str, holds: Column, rule: str) -> DataFrame:
 
 def approximately(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.abs(b) * tolerance, F.lit(tolerance))
+
+
+class Reference(NamedTuple):
+    """A reference that has to exist: rows of ``table`` for which ``when`` holds name a row of ``target`` by ``value``; both are SQL over the table. A null value is
+    a finding unless ``nullable``."""
+
+    rule: str
+    table: str
+    target: str
+    value: str
+    when: str = "true"
+    nullable: bool = False
+
+
+def typed_references(tables: dict[str, DataFrame], targets: dict[str, tuple[DataFrame, str]], references: list[Reference]) -> DataFrame:
+    """(rule, key) of references without a target. All rules of a table are one pass over it, and all references of all tables meet the keys of
+    all targets in one join, whatever the number of rules."""
+    asked = None
+    for table in sorted({r.table for r in references}):
+        each = [F.when(F.expr(r.when), F.struct(F.lit(r.rule).alias("rule"), F.lit(r.target).alias("target"), F.expr(r.value).cast("string").alias("key"), F.lit(r.nullable).alias("nullable"))) for r in references if r.table == table]
+        own = tables[table].select(F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
+        asked = own if asked is None else asked.unionByName(own)
+    known = None
+    for name, (df, key) in targets.items():
+        keys = df.select(F.lit(name).alias("target"), F.col(key).cast("string").alias("key"))
+        known = keys if known is None else known.unionByName(keys)
+    open_ = asked.where(~(F.col("key").isNull() & F.col("nullable"))).select("rule", "target", "key")
+    return open_.join(known, ["target", "key"], "left_anti").select("rule", "key")

@@ -70,7 +70,7 @@ DEFAULTS = '{"trust":{"minAutoPublishScore":0.7,"requireEvidence":true,"maxAudit
 
 @query("hlt5_profile_merge", """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer)
 SELECT CAST(k AS VARCHAR) AS project_id, '{"eval":{"goldPath":"' || CASE WHEN k % 5 = 0 THEN 'p' || k ELSE 'gold.json' END || '","minHitAtK":0.85},"feedback":{"highFrequencyThreshold":' || CASE WHEN k % 2 = 0 THEN least(greatest(n * 10, 1), 100) ELSE 3 END
- || '},"lint":{"autoEligibleThreshold":' || CASE WHEN k % 3 = 0 THEN '1.0' ELSE '0.85' END || ',"autoGovernanceEnabled":true},"release":{"autoPublishMode":"' || CASE WHEN k % 7 = 1 THEN 'always' ELSE 'guarded' END || '","blockOnDeletes":' || CASE WHEN k % 3 = 1 THEN 'false' ELSE 'true' END
+ || '},"lint":{"autoEligibleThreshold":' || CASE WHEN k % 3 = 0 THEN '1.0' ELSE '0.85' END || ',"autoGovernanceEnabled":true},"release":{"autoPublishMode":"' || CASE WHEN k % 7 = 1 AND k % 5 <> 0 THEN 'always' ELSE 'guarded' END || '","blockOnDeletes":' || CASE WHEN k % 3 = 1 THEN 'false' ELSE 'true' END
  || '},"trust":{"maxAuditAgeDays":' || CASE WHEN k % 5 = 0 AND k % 4 <> 3 THEN n + 1 ELSE 90 END || ',"minAutoPublishScore":0.7,"requireEvidence":true}}' AS config FROM c""")
 def hlt5_merge(t):
     """Defaults, a project's own values and a patch: each sets some fields, some of the wrong type, out of bounds, unknown, or no record at all."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import commits, documents, governance, lookups, pages, publishing, records, relational, retrieval, summaries, tables  # noqa: F401
+from tessera.plans import bundle, cells, commits, documents, governance, lookups, pages, publishing, records, relational, retrieval, summaries, tables  # noqa: F401
 from tessera.plans.base import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -61,6 +61,11 @@ def _create(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def claim(spark: SparkSession, path: str) -> None:
+    """Create a file that nobody else has; a :class:`Conflict` where somebody has."""
+    _create(spark, path, "{}")
+
+
 def history(spark: SparkSession, root: str, channel: str) -> list[Pointer]:
     """All pointers of a channel, oldest first. A file that a writer left unfinished is no pointer."""
     fs, folder = _fs(spark, f"{root}/channels/{channel}")

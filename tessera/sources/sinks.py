@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import redact
+
 
 def write_blobs(contents: DataFrame, path: str) -> None:
     """(content) by its hash, sharded by the first two digits; blobs that are there stay."""
@@ -30,6 +34,28 @@ def write_log(rows: DataFrame, path: str, ts: str = "created_at") -> None:
     rows.withColumn("day", F.date_format(ts, "yyyy-MM-dd")).write.mode("append").partitionBy("day").json(path)
 
 
+def write_diagnostics(rows: DataFrame, path: str, payloads: list[str], level: str = "info", ts: str = "created_at") -> None:
+    """Diagnostic rows of at least ``level`` by day as JSON lines, secrets in the JSON columns ``payloads`` redacted."""
+    order = F.array(*map(F.lit, ("debug", "info", "warn", "error")))
+    kept = rows.where(F.array_position(order, F.col("level")) >= F.array_position(order, F.lit(level)))
+    write_log(kept.withColumns({c: redact(F.col(c)) for c in payloads}), path, ts)
+
+
+def expire_days(spark: SparkSession, path: str, today: str, days: int) -> list[str]:
+    """Remove the folders of days more than ``days`` before ``today``; what is no day stays, and nothing goes without a positive number. Returns the days."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if days <= 0 or not fs.exists(folder):
+        return []
+    cutoff, gone = dt.date.fromisoformat(today) - dt.timedelta(days=days), []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if re.fullmatch(r"day=\d{4}-\d{2}-\d{2}", name) and dt.date.fromisoformat(name[4:]) < cutoff:
+            fs.delete(status.getPath(), True)
+            gone.append(name[4:])
+    return sorted(gone)
+
+
 def bundle_hash(files: DataFrame) -> DataFrame:
     """One hash over all files (path, hash) in the order of their paths."""
     line = F.concat("path", F.lit("\0"), "hash", F.lit("\0"))
