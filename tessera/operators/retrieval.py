@@ -260,6 +260,12 @@ def hashed_vectors(rows: DataFrame, key: str, text: Column, han: bool = True) ->
     return summed.select(key, "idx", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(norm))).alias("value"))
 
 
+def dense_rows(sparse: DataFrame, key: str, size: int = DENSE_DIM) -> DataFrame:
+    """(key, vector): sparse vectors (key, idx, value) as arrays."""
+    held = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
 def dense_scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, component_id, score): dot products of sparse vectors, by place."""
     return pages.join(queries.withColumnRenamed("value", "q"), "idx").groupBy("query_id", "component_id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))

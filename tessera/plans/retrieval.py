@@ -48,12 +48,24 @@ def _lexical(t, k=20):
     return I.top_k(index(t), R.query_terms(S.queries(t), han=False), k)
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored_vectors(t, name, make) -> str:
+    """Where the vectors of the pages are stored; they are written once in a session and when the tables change."""
+    key = (t.spark.sparkContext.applicationId, I.file_state(t.documents) + I.file_state(t.embeddings), name)
+    if key not in _stored:
+        path = shared_path(t.spark, "vectors")
+        V.write_vectors(make(), path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def _dense(t, k=20, asked=None):
     text = F.concat_ws("\n", "title", "type", F.substring("body", 1, 2000))
-    pages = R.hashed_vectors(S.pages(t), "component_id", text, han=False)
+    path = stored_vectors(t, "hashed", lambda: R.dense_rows(R.hashed_vectors(S.pages(t), "component_id", text, han=False), "component_id"))
     asked = R.hashed_vectors(S.queries(t) if asked is None else asked, "query_id", F.col("query"), han=False)
-    scores = R.dense_scores(pages, asked).withColumn("score", half_up(F.col("score"), 9))
-    return R.top_by_query(scores, k, floor=R.DENSE_FLOOR)
+    return V.nearest(t.spark, path, R.dense_rows(asked, "query_id"), k).where(F.col("score") > R.DENSE_FLOOR)
 
 
 @query("fn1_normalize_text", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[`*_~#\[\]()>|]', ' ', 'g'), '\s+', ' ', 'g'))) AS normal FROM documents""")
@@ -146,22 +158,10 @@ def _dealt(t, rows, key, number):
     return dealt.join(t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(key, "vector")
 
 
-def vectors(t):
-    """The stored vectors of the pages, written once in a session."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _stored:
-        path = shared_path(t.spark, "vectors")
-        V.write_vectors(_dealt(t, t.documents.withColumn("component_id", F.col("doc_id").cast("string")), "component_id", "doc_id"), path)
-        _stored[key] = path
-    return _stored[key]
-
-
-_stored: dict[tuple[str, str], str] = {}
-
-
 def _semantic(t, k=20):
     asked = _dealt(t, t.benchmark.withColumn("query_id", F.col("item_id")), "query_id", "item_id * 7 + 3")
-    return V.nearest(t.spark, vectors(t), asked, k)
+    pages = lambda: _dealt(t, t.documents.withColumn("component_id", F.col("doc_id").cast("string")), "component_id", "doc_id")
+    return V.nearest(t.spark, stored_vectors(t, "semantic", pages), asked, k)
 
 
 @query("ret12_stored_vectors", f"WITH {SEMANTIC} SELECT query_id, component_id, score, rank FROM semantic_top")

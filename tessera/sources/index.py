@@ -58,7 +58,7 @@ def write_index(pages: DataFrame, fields: dict[str, Column], weights: dict[str,
     blocks = max(1, tokens.count() // block_pages)
     placed = tokens.withColumn("block", F.pmod(F.xxhash64("component_id"), F.lit(blocks)).cast("int"))
     placed.select("component_id", "block", *keep).write.parquet(f"{path}/pages")
-    # a page is a row, so its fields meet without a shuffle
+    # the fields of a page that hold a term are one posting
     listed = placed.select("component_id", "block", F.inline("each")).select("component_id", "block", "bit", "weight", F.explode("terms").alias("term"))
     postings = listed.groupBy("term", "block", "component_id").agg(F.bit_or("bit").alias("fields"), F.sum("weight").cast("int").alias("weight"))
     postings.repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block", "component_id").write.parquet(f"{path}/postings")
@@ -77,15 +77,20 @@ def read_index(spark: SparkSession, path: str, fields: dict[str, Column], weight
 _written: dict[tuple[str, str], str] = {}
 
 
-def index_of(source: DataFrame, pages: DataFrame, fields: dict[str, Column], weights: dict[str, int], keep: tuple[str, ...] = (), han: bool = True) -> Index:
-    """The index of ``pages``, written on first use in a session and whenever the files of ``source`` have changed."""
-    spark = source.sparkSession
-    conf, state = spark._jsc.hadoopConfiguration(), []
+def file_state(source: DataFrame) -> str:
+    """A hash of the files of a table with their lengths and times, so that what was made of them is made anew when they change."""
+    spark, state = source.sparkSession, []
     for name in sorted(source.inputFiles()):
         jpath = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = jpath.getFileSystem(conf).getFileStatus(jpath)
+        status = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath)
         state.append((name, status.getLen(), status.getModificationTime()))
-    made_of = (state, sorted((n, str(c)) for n, c in fields.items()), sorted(weights.items()), keep, han)
+    return hashlib.sha256(repr(state).encode()).hexdigest()
+
+
+def index_of(source: DataFrame, pages: DataFrame, fields: dict[str, Column], weights: dict[str, int], keep: tuple[str, ...] = (), han: bool = True) -> Index:
+    """The index of ``pages``, written on first use in a session and whenever the files of ``source`` have changed."""
+    spark = source.sparkSession
+    made_of = (file_state(source), sorted((n, str(c)) for n, c in fields.items()), sorted(weights.items()), keep, han)
     key = (spark.sparkContext.applicationId, hashlib.sha256(repr(made_of).encode()).hexdigest())
     if key not in _written:
         path = shared_path(spark, "index")
