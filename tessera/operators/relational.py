@@ -108,15 +108,18 @@ def full_diff(old: DataFrame, new: DataFrame, key: str, fingerprint: str) -> Dat
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+#: The roots that a source lies under, and in which forms: as its own file, or as the page made of it.
+ROOTS = {"": ("file", "page"), "gamedocs/": ("file", "page"), "processed/parsed/": ("page",)}
+
+
 def path_spellings(path: Column) -> Column:
-    """The ways one source path is written: with and without its roots, as the source file and as the
-    markdown made of it."""
-    p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^/+", "")
-    parsed = F.regexp_replace(p, r"^processed/parsed/", "")
-    bare = F.regexp_replace(parsed, r"^gamedocs/", "")
-    page = F.regexp_replace(bare, r"\.[^.]+$", ".md")
-    under = lambda root, x: F.concat(F.lit(root), x)
-    return F.array_distinct(F.filter(F.array(p, parsed, bare, page, under("gamedocs/", bare), under("gamedocs/", page), under("processed/parsed/", page)), lambda x: x != ""))
+    """The ways one source path is written: as it is given, and below each root in each form that the root has."""
+    given = F.ltrim(F.translate(path, "\\", "/"), F.lit("/"))
+    file = F.regexp_replace(given, r"^(?:processed/parsed/)?(?:gamedocs/)?", "")
+    form = {"file": file, "page": F.regexp_replace(file, r"\.[^.]+$", ".md")}
+    below = [F.concat(F.lit(root), form[f]) for root, forms in ROOTS.items() for f in forms]
+    inner = F.regexp_replace(given, "^processed/parsed/", "")
+    return F.array_distinct(F.filter(F.array(given, inner, *below), lambda x: x != ""))
 
 
 def equivalent_paths(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:

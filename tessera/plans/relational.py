@@ -208,6 +208,17 @@ def join18(t):
     return R.equivalent_paths(p.select("component_id", "path"), r, "path", "other").select("component_id", "other")
 
 
+@query("fn14_path_candidates", """WITH p AS (SELECT doc_id, ['gamedocs/', 'processed/parsed/', 'processed/parsed/gamedocs/', ''][doc_id % 4 + 1] AS root, source || '/' || doc_id AS stem, CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.tar.docx' END AS ext FROM documents),
+s AS (SELECT doc_id, root || stem || ext AS given, CASE WHEN doc_id % 4 = 2 THEN 'gamedocs/' || stem || ext ELSE replace(root, 'processed/parsed/', '') || stem || ext END AS inner_, stem || ext AS file, stem || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.tar.md' END AS page FROM p)
+SELECT doc_id, array_to_string(list_sort(list_distinct([given, inner_, file, page, 'gamedocs/' || file, 'gamedocs/' || page, 'processed/parsed/' || page])), ' ') AS spellings FROM s""")
+def fn14_paths(t):
+    """Paths under four roots, with slashes of either kind in front and inside."""
+    n = F.col("doc_id")
+    root = F.element_at(F.array(*map(F.lit, ("gamedocs/", "processed\\parsed/", "/processed/parsed/gamedocs\\", "//"))), (n % 4 + 1).cast("int"))
+    path = F.concat(root, "source", F.lit("/"), "doc_id", F.when(n % 3 == 0, ".md").otherwise(".tar.docx"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(R.path_spellings(path)), " ").alias("spellings"))
+
+
 @query("agg1_count", "SELECT count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'")
 def agg1(t):
     return t.lineitem.where("l_shipdate >= timestamp_ntz '1998-01-01'").agg(F.count("*").alias("n"))
