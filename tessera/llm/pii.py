@@ -2,7 +2,8 @@
 
 Spans of the four base forms are the seeds. Words that look like identifiers are instances, the
 words around them patterns, and both form a graph: a pattern counts for the share of identifiers among
-all different words that stand in its place, an instance for the best pattern it is found by. Scores go back
+all different words that stand in its place, an instance for the best pattern it is found by. An instance that no pattern
+has spoken for yet is neither for nor wholly against a pattern: it weighs a quarter of a plain word. Scores go back
 and forth for a fixed number of rounds in whole millionths, so results do not depend on the order of sums.
 Instances of patterns that stay at ``min_confidence`` with ``min_support`` different identifiers are new spans.
 
@@ -207,7 +208,7 @@ def accepted_patterns(docs: DataFrame, edges: DataFrame, rounds: int, min_confid
             score = F.when(F.col("kind").isNotNull(), million).otherwise(F.coalesce("best.confidence", F.lit(0)))
             scores = edges.join(reach, "value", "left").select("pattern", F.coalesce(F.lit(3) - F.col("kind"), "best.order").alias("order"), score.alias("score"))
         weights = [F.sum(F.when(F.col("order") == 3 - k, F.col("score")).otherwise(0)).alias(f"w{k}") for k in kinds]
-        sums = scores.groupBy("pattern").agg(F.sum("score").alias("total"), F.count(F.when(F.col("score") >= least, 1)).alias("support"), F.count("*").alias("ids"), *weights)
+        sums = scores.groupBy("pattern").agg(F.sum("score").alias("total"), F.count(F.when(F.col("score") >= least, 1)).alias("support"), F.count("*").alias("ids"), F.sum(F.when(F.col("score") > 0, 4).otherwise(1)).alias("quarters"), *weights)
         # a pattern's place is looked up once it has support enough
         able = keep(sums.where(F.col("support") >= min_support), "able-patterns")
         fresh = able.select("pattern", "ids") if plain is None else able.select("pattern", "ids").join(plain, "pattern", "left_anti")
@@ -216,7 +217,7 @@ def accepted_patterns(docs: DataFrame, edges: DataFrame, rounds: int, min_confid
             plain = counted if plain is None else plain.unionByName(counted)
         best = F.greatest(*(f"w{k}" for k in kinds))
         order = reduce(lambda rest, k: F.when(F.col(f"w{k}") == best, F.lit(3 - k)).otherwise(rest), reversed(kinds), F.lit(0))
-        confidence = F.call_function("div", F.col("total"), F.col("ids") + F.col("plain"))
+        confidence = F.call_function("div", F.col("total") * 4, F.col("quarters") + F.col("plain") * 4)
         accepted = keep(able.join(plain, "pattern").select("pattern", confidence.alias("confidence"), order.alias("order")).where(F.col("confidence") >= least), "patterns")
         if accepted.isEmpty():
             break

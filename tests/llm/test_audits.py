@@ -213,7 +213,7 @@ def brute_spans(table, rounds, least, support):
         for p, values in of.items():
             known = [score.get(v, (0, None)) for v in values]
             if sum(s >= least * 1_000_000 for s, _ in known) >= support:
-                confidence = sum(s for s, _ in known) // (len(values) + len(places[p] - {None}))
+                confidence = 4 * sum(s for s, _ in known) // (sum(4 if s else 1 for s, _ in known) + 4 * len(places[p] - {None}))
                 if confidence >= least * 1_000_000:
                     weight = Counter()
                     for s, order in known:
@@ -334,3 +334,16 @@ def test_stages_pass_on_columns_of_any_name(spark):
         assert all(out.where(f"{n} <> 'as {n}'").isEmpty() for n in names), name
         assert out.where("doc_id IS NULL").count() >= 1 and out.where("doc_id = 900").count() == 1, name
     assert corpus_pipeline.packing(spark, docs, folder).where("doc_id = 900").count() > 1
+
+
+def test_toxicity_of_labelled_documents_held_out(spark):
+    """A floor for what the method finds on the tables themselves; none of these documents was learnt from."""
+    from tessera.llm import registry
+
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    rows = registry.QUERIES["op4_toxicity"](spark, folder).where("held_out").join(labels, "doc_id").where("toxic IS NOT NULL").collect()
+    toxic, clean = ([r.score for r in rows if r.toxic == t] for t in (1, 0))
+    wins = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert len(rows) >= 50 and wins > 0.85
+    assert sum(s >= 0.5 for s in toxic) / len(toxic) >= 0.5 and sum(s < 0.5 for s in clean) / len(clean) >= 0.95
