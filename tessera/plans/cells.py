@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.text import alias_key_build
 from tessera.operators import relational as R
 from tessera.operators import sweeps
 from tessera.operators import tables as T
@@ -72,6 +73,28 @@ def src12(t):
     return pages.select(F.regexp_extract("path", "^([^/]+)/", 1).alias("folder"), lines.alias("lines"))
 
 
+@query("src16_alias_files", """WITH d AS (SELECT doc_id, doc_id % 5 AS k, 'Table/' || doc_id AS t FROM documents),
+e AS (SELECT doc_id AS place, 0 AS n, t, t AS alias FROM d WHERE k < 4
+  UNION ALL SELECT doc_id, 1, t, 'Key ' || doc_id FROM d WHERE k = 2
+  UNION ALL SELECT doc_id, 2, t, 'alias-' || doc_id FROM d WHERE k < 4
+  UNION ALL SELECT doc_id, 3, t, 'Shared_' || doc_id % 10 FROM d WHERE k IN (0, 2, 3)),
+m AS (SELECT regexp_replace(lower(alias), '[\s_/\-]+', '', 'g') AS key, max_by(t, place * 10 + n) AS t, max_by(alias, place * 10 + n) AS alias FROM e GROUP BY 1)
+SELECT key, t AS "table", alias FROM m""")
+def src16(t):
+    """Alias files in the order of the documents: lists of records, flat maps, maps of records, maps of lists, and files that are broken. Later ones win."""
+    k, n = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    shared = F.concat(F.lit('"Shared_'), (F.col("doc_id") % 10).cast("string"), F.lit('"'))
+    listed = F.concat(F.lit('"aliases":["alias-'), n, F.lit('", 5, " ",'), shared, F.lit("]"))
+    json = (
+        F.when(k == 0, F.concat(F.lit('[{"canonicalName":" Table/'), n, F.lit('",'), listed, F.lit('}, 7, {"aliases":["none"]}]')))
+        .when(k == 1, F.concat(F.lit('{"Table/'), n, F.lit('":"alias-'), n, F.lit('","x":3}')))
+        .when(k == 2, F.concat(F.lit('{"Key '), n, F.lit('":{"table":"Table/'), n, F.lit('",'), listed, F.lit("}}")))
+        .when(k == 3, F.concat(F.lit('{"Table/'), n, F.lit('":["alias-'), n, F.lit('",'), shared, F.lit("]}"))).otherwise('{"broken')
+    )
+    entries = files.alias_entries(t.documents.select(F.col("doc_id").alias("place"), json.alias("json")))
+    return files.merged_aliases(entries, alias_key_build)
+
+
 @query("srt5_bounded_limits", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN least(event_id, 50) WHEN 3 THEN 10 WHEN 4 THEN 7 ELSE 50 END AS n FROM events")
 def srt5(t):
     """Limits as text: none, no number, a number, a negative one, one with spaces, one beyond the most."""

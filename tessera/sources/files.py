@@ -5,11 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CELLS = "path string, sheet string, sheet_idx int, row_idx int, col_idx int, value string"
@@ -118,6 +118,34 @@ def aliases(spark: SparkSession, path: str) -> DataFrame:
     return first.union(second)
 
 
+def alias_entries(texts: DataFrame) -> DataFrame:
+    """(place, table, alias, at) of alias files (place, json), place being their order: a list of records, or a record whose values are an alias, a list of aliases or a
+    record of its own. A table is an alias of itself, and the key of a record too. ``at`` is the order within a file. What is no JSON, and names or aliases
+    that are no text or blank, are left out."""
+    name = lambda v, key: F.nullif(F.trim(F.try_variant_get(v, f"$.{key}", "string")), F.lit(""))
+    named = lambda v: F.coalesce(name(v, "canonical"), name(v, "canonicalName"), name(v, "table"))
+    is_ = lambda v, kind: F.schema_of_variant(v).startswith(kind)
+    listed = lambda v: F.when(is_(v, "ARRAY"), F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(is_(x, "STRING"), F.try_variant_get(x, "$", "string"))))
+    parsed = texts.select("place", F.try_parse_json("json").alias("v")).where("v IS NOT NULL")
+    parsed.where(is_(F.col("v"), "ARRAY") | is_(F.col("v"), "OBJECT")).createOrReplaceTempView("_alias_files")
+    each = texts.sparkSession.sql("SELECT f.place, e.pos, e.key, e.value AS r FROM _alias_files f, LATERAL variant_explode(f.v) e")
+    record, own = is_(F.col("r"), "OBJECT"), F.nullif(F.trim("key"), F.lit(""))
+    table = F.when(F.col("key").isNull(), F.when(record, named(F.col("r")))).otherwise(F.coalesce(F.when(record, named(F.col("r"))), own))
+    inner = F.try_variant_get("r", "$.aliases", "variant")
+    given = F.when(is_(F.col("r"), "STRING"), F.array(F.try_variant_get("r", "$", "string"))).when(record, F.coalesce(listed(inner), F.array().cast("array<string>"))).otherwise(listed(F.col("r")))
+    fine = is_(F.col("r"), "STRING") | record | is_(F.col("r"), "ARRAY")
+    every = F.concat(F.array(table), F.when(record & F.col("key").isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>")), F.coalesce(given, F.array().cast("array<string>")))
+    rows = each.where(fine).select("place", "pos", table.alias("table"), F.posexplode(every).alias("n", "alias")).where("table IS NOT NULL AND trim(alias) <> ''")
+    return rows.select("place", "table", F.trim("alias").alias("alias"), F.struct("pos", "n").alias("at"))
+
+
+def merged_aliases(entries: DataFrame, key: Callable[[Column], Column]) -> DataFrame:
+    """(key, table, alias) of :func:`alias_entries`: for each key of an alias the last entry, later files over earlier ones."""
+    rows = entries.withColumn("k", key(F.col("alias"))).where("k <> ''")
+    last = rows.groupBy("k").agg(F.max_by(F.struct("table", "alias"), F.struct("place", "at")).alias("b"))
+    return last.select(F.col("k").alias("key"), "b.table", "b.alias")
+
+
 def _docx(content: bytes) -> str:
     """Paragraphs of a word processor file as markdown, headings by their style, pictures as a mark."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
