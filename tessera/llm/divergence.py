@@ -31,7 +31,7 @@ LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 22
 #: Sketches travel in parts of this many cells.
 PART = 1 << 16
 #: Terms and documents, or groups and terms, that a task holds before it passes their counts on.
-HELD = 1 << 20
+HELD = 1 << 19
 SLICE_BYTES = 2 << 20
 
 
