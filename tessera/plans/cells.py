@@ -73,7 +73,7 @@ def src12(t):
     return pages.select(F.regexp_extract("path", "^([^/]+)/", 1).alias("folder"), lines.alias("lines"))
 
 
-@query("src16_alias_files", """WITH d AS (SELECT doc_id, doc_id % 5 AS k, 'Table/' || doc_id AS t FROM documents),
+@query("src16_alias_files", r"""WITH d AS (SELECT doc_id, doc_id % 5 AS k, 'Table/' || doc_id AS t FROM documents),
 e AS (SELECT doc_id AS place, 0 AS n, t, t AS alias FROM d WHERE k < 4
   UNION ALL SELECT doc_id, 1, t, 'Key ' || doc_id FROM d WHERE k = 2
   UNION ALL SELECT doc_id, 2, t, 'alias-' || doc_id FROM d WHERE k < 4
