@@ -13,6 +13,8 @@ TAGGED_KINDS = ["wiki_page", "table_wiki_page"]
 TRUST_VERSION = "v2-lite"
 CITED = "(?:Citations|引用|证据)"
 PER_TYPE, RELATIONS = 120, 200
+#: Labels of digits and punctuation alone, and labels with markup, are no names.
+NO_NAME, MARKUP, LONGEST = r"""^[\d\s.,;:_/\-+*<>{}()\[\]'"，。、；：]+$""", r"(?i)</?[a-z][\s\S]*>", 80
 TRUST_PARTS = ["evidence", "completeness", "auditFreshness", "consistency"]
 
 
@@ -27,7 +29,7 @@ def number(x: Column) -> Column:
 
 
 def render(page: dict[str, Column], tags: Column, trust: Column, cited: Column) -> Column:
-    """A page as markdown. ``page``: type, title, body, published_at, component_id, package_id, artifact_id, profile_hash. ``trust``: struct(score, status, the
+    """A page as markdown; the keys and headings are the bundle's fixed format. ``page``: type, title, body, published_at, component_id, package_id, artifact_id, profile_hash. ``trust``: struct(score, status, the
     parts, lastTrustedAuditAt, caps) or null. ``cited``: array of (quote, evidence_id, source, confidence, note)."""
     body = F.when(F.trim(page["body"]) != "", page["body"]).otherwise(F.concat(F.lit("# "), page["title"], F.lit("\n")))
     described = F.coalesce(F.nullif(description(body, 1 << 20), F.lit("")), page["title"])
@@ -134,12 +136,16 @@ def annotate(pages: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 # navigation --------------------------------------------------------------------------------------
+def indexable() -> Column:
+    """Nodes that the navigation index lists: no fields, and labels that are names."""
+    label = F.col("label")
+    return (F.col("type") != "field") & (F.trim(label) != "") & (F.char_length(label) <= LONGEST) & ~label.rlike(NO_NAME) & ~label.rlike(MARKUP)
+
+
 def navigation(nodes: DataFrame, edges: DataFrame, per_type: int = PER_TYPE, relations: int = RELATIONS) -> DataFrame:
     """(section, place, line): lines of the navigation index. A section for each type with its first labels, linked to their pages, and one of relationships with the
     first semantic and key edges; what is left out is counted in a last line. ``nodes``: (id, label, type, wiki_page); ``edges``: (source, relation, target, edge_kind)."""
-    label = F.col("label")
-    fine = (F.col("type") != "field") & (F.trim(label) != "") & (F.char_length(label) <= 80) & ~label.rlike(r"""^[\d\s.,;:_/\-+*<>{}()\[\]'"，。、；：]+$""") & ~label.rlike(r"(?i)</?[a-z][\s\S]*>")
-    own = nodes.where(fine)
+    label, own = F.col("label"), nodes.where(indexable())
     order = F.row_number().over(Window.partitionBy("type").orderBy("label", "id"))
     first = own.withColumn("place", order).where(F.col("place") <= per_type)
     linked = F.when(F.col("wiki_page").isNotNull(), F.concat(F.lit("["), label, F.lit("]("), F.regexp_replace("wiki_page", "^wiki/", ""), F.lit(")"))).otherwise(label)

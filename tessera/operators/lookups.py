@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rounding import half_up
 from tessera.functions.text import alias_key_query
+from tessera.operators.bundle import indexable
 from tessera.operators.containment import contained as texts_with
 from tessera.operators.relational import equivalent_paths, first_n
 
@@ -188,10 +189,8 @@ def canonical_names(rows: DataFrame, columns: list[str], aliases: DataFrame) ->
 def navigation_index(nodes: DataFrame, per_type: int = 120) -> DataFrame:
     """(type, listing, omitted): labels of a type in order, ``per_type`` at most; fields and labels that are
     blank, long, markup or no words are left out."""
-    label = F.col("label")
-    fine = (F.col("type") != "field") & (F.trim(label) != "") & (F.char_length(label) <= 80) & ~label.rlike(r"""^[\d\s.,;:_/\-+*<>{}()\[\]'"，。、；：]+$""") & ~label.rlike(r"(?i)</?[a-z][\s\S]*>")
-    own = nodes.where(fine)
-    few = first_n(own, ["type"], [label, F.col("id")], per_type)
+    own = nodes.where(indexable())
+    few = first_n(own, ["type"], [F.col("label"), F.col("id")], per_type)
     rows = few.groupBy("type").agg(F.array_sort(F.collect_list("label")).alias("labels"))
     counts = own.groupBy("type").agg(F.greatest(F.count("*") - per_type, F.lit(0)).alias("omitted"))
     return rows.join(counts, "type").select("type", F.array_join("labels", "\n").alias("listing"), "omitted")
