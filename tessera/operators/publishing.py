@@ -154,8 +154,10 @@ def figures(tables: dict[str, DataFrame], wanted: list[Figure]) -> DataFrame:
 
 
 def audit_figures(tables: dict[str, DataFrame], wanted: list[Figure], stated: DataFrame) -> DataFrame:
-    """(name, value, stated, consistent): a figure agrees with what was stated (name, stated) within its tolerance, relative or absolute."""
+    """(name, value, stated, consistent): a figure agrees with what was stated (name, stated) within its tolerance, relative or absolute;
+    one without a value (of no rows) agrees where none was stated for it."""
     limits = reduce(lambda acc, f: acc.when(F.col("name") == f.name, F.lit(float(f.tolerance))), wanted[1:], F.when(F.col("name") == wanted[0].name, F.lit(float(wanted[0].tolerance))))
-    joined = figures(tables, wanted).join(stated, "name", "left")
-    fine = F.abs(F.col("value") - F.col("stated")) <= F.greatest(limits * F.abs(F.col("stated")), limits)
+    joined = figures(tables, wanted).join(stated.withColumn("_named", F.lit(True)), "name", "left")
+    nothing = F.col("_named") & F.col("value").isNull() & F.col("stated").isNull()
+    fine = F.coalesce(nothing, F.lit(False)) | (F.abs(F.col("value") - F.col("stated")) <= F.greatest(limits * F.abs(F.col("stated")), limits))
     return joined.select("name", "value", "stated", F.coalesce(fine, F.lit(False)).alias("consistent"))

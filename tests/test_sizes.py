@@ -32,3 +32,9 @@ def test_names_that_many_tables_share_do_not_multiply(spark):
     schemas = spark.range(n).select(F.lit("hot bolt").alias("table"), F.concat(F.lit("T"), "id").alias("title"), F.concat(F.lit("a"), "id").alias("artifact_id"))
     aliases = schemas.select("table", F.lit("bolt (hot)").alias("alias"))
     assert [tuple(r) for r in L.resolve_tables(wanted, schemas, aliases).collect()] == [("HOT  Bolt", "hot bolt")]
+
+
+def test_figures_of_large_and_empty_tables(spark, tmp_path):
+    part = spark.read.parquet(f"{SMALL}/part.parquet").withColumn("p_retailprice", F.col("p_retailprice") * 1e6)
+    supplier = spark.read.parquet(f"{SMALL}/supplier.parquet").limit(0)
+    same(spark, folder_with(spark, tmp_path, part=part, supplier=supplier), "eva2_all_figures")
