@@ -11,7 +11,7 @@ from tessera.plans import retrieval as P
 from tessera.plans import standins as S
 from tessera.plans.base import query
 from tessera.sources import sinks
-from tessera.sources.scratch import shared_path
+from tessera.sources.scratch import shared_path, stored
 
 #: Every document as a page: every fifth a table's; labelled ones have trust, toxic ones citations.
 PAGES = r"""src AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 0 THEN 'wiki/tables/' ELSE 'wiki/pages/' END || doc_id || '.md' AS artifact, 'Line ' || doc_id || chr(10) || text AS body, quality, toxic
@@ -146,6 +146,7 @@ SELECT query_id, component_id, score, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 5 THEN -before ELSE score END DESC, component_id) AS INT) AS rank FROM scored) WHERE rank <= 5""")
 def ret15(t):
     """The pool ordered by a scorer of query and page: the share of the query's terms that the page holds."""
-    shares = R.term_shares(P.index(t).posts(), R.query_terms(S.queries(t), han=False))
+    pool = stored(P._lexical(t), "pool")
+    shares = R.pair_shares(P.index(t).held_by(pool), pool, R.query_terms(S.queries(t), han=False))
     scorer = lambda pool: pool.join(shares, ["query_id", "component_id"], "left").withColumn("score", half_up(F.coalesce("share", F.lit(0.0)), 9)).drop("share")
-    return R.rerank(P._lexical(t), scorer, 5).select("query_id", "component_id", "score", "rank")
+    return R.rerank(pool, scorer, 5).select("query_id", "component_id", "score", "rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lookups as L
@@ -44,3 +45,33 @@ def test_figures_of_large_and_empty_tables(spark, tmp_path):
     part = spark.read.parquet(f"{SMALL}/part.parquet").withColumn("p_retailprice", F.col("p_retailprice") * 1e6)
     supplier = spark.read.parquet(f"{SMALL}/supplier.parquet").limit(0)
     same(spark, folder_with(spark, tmp_path, part=part, supplier=supplier), "eva2_all_figures")
+
+
+def shuffled(spark) -> int:
+    """Rows that stages have written for others so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages, total = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator(), 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
+@pytest.mark.parametrize("name", ["ret16_kb_search", "ret6_ranked_with_intents", "ret8_explanations", "ret15_rerank_by_terms", "ret7_ranked_search", "ret5_exact_phrase", "ret18_match_class", "ret20_align_tables", "ret6_intent_bonus"])
+def test_matches_of_terms_are_not_shuffled(spark, tmp_path, name):
+    """All of 2000 pages hold all of some 30 words of 20 queries: 1.2 million matches, of which no stage writes rows for another."""
+    text = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("item_id = 0").first().text
+    words = text.split()
+    documents = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.lit(" "), "id").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 5).alias("source"), F.lit(300).cast("long").alias("n_chars"))
+    benchmark = spark.createDataFrame([(i, " ".join(words[i % 3 :])) for i in range(20)], "item_id long, text string")
+    folder = folder_with(spark, tmp_path, documents=documents, benchmark=benchmark)
+    before = shuffled(spark)
+    registry.QUERIES[name](spark, folder).count()
+    assert shuffled(spark) - before < 400_000
+
+
+@pytest.mark.parametrize("name", ["ret2_lexical_score", "ret4_anchors", "ret6_ranked_with_intents", "ret7_ranked_search", "ret1_index_build"])
+def test_scores_of_odd_pages(spark, tmp_path, name):
+    """Texts that are null, empty, of one long token, or equal."""
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = F.when(F.col("doc_id") % 9 == 1, None).when(F.col("doc_id") % 9 == 2, "").when(F.col("doc_id") % 9 == 3, F.repeat(F.lit("que"), 400)).when(F.col("doc_id") % 9 < 6, "el mente el QUE ciones").otherwise(F.col("text"))
+    same(spark, folder_with(spark, tmp_path, documents=d.withColumn("text", odd)), name)
