@@ -18,7 +18,7 @@ from tessera.llm.common import keep
 from tessera.llm.decontaminate import contamination
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.packing import pack
-from tessera.llm.simhash import similar_groups
+from tessera.llm.simhash import near_duplicates
 from tessera.llm.toxicity import fit, toxicity_scores
 
 #: Toxicity is learnt from labels and texts, near-duplicate groups are not SQL: tested otherwise.
@@ -42,9 +42,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike by five-word shingles the one with the smallest doc_id stays."""
-    groups = similar_groups(docs, width=5, similarity=0.8)
-    others = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    """Of documents whose SimHash fingerprints links of two bits or fewer connect, as in op5, those with the smallest doc_id stay. Rows of one
+    doc_id with unlike texts have a fingerprint each; the document goes only where none of its rows is its group's first."""
+    groups = near_duplicates(docs)
+    own = groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
+    others = own.groupBy(F.col("doc_id").alias("gone")).agg(F.max("first").alias("first")).where("NOT first AND gone IS NOT NULL").select("gone")
     return docs.join(others, docs["doc_id"] == others["gone"], "left_anti")
 
 
