@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lookups as L
+from tessera.operators import retrieval as R
 from tessera.plans import registry
+from tessera.sources import index as I
 from tests.compare import SMALL, connect, rows
 
 
@@ -75,3 +81,32 @@ def test_scores_of_odd_pages(spark, tmp_path, name):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     odd = F.when(F.col("doc_id") % 9 == 1, None).when(F.col("doc_id") % 9 == 2, "").when(F.col("doc_id") % 9 == 3, F.repeat(F.lit("que"), 400)).when(F.col("doc_id") % 9 < 6, "el mente el QUE ciones").otherwise(F.col("text"))
     same(spark, folder_with(spark, tmp_path, documents=d.withColumn("text", odd)), name)
+
+
+def test_anchors_inside_words():
+    """Anchors shorter than, of and beyond eight bytes, in words of one and of three bytes a character, against plain loops."""
+    r = random.Random(3)
+    for alphabet in ("ab", "abc1", "a活动b", "活"):
+        some = lambda most, n: list(dict.fromkeys("".join(r.choice(alphabet) for _ in range(r.randint(1, most))) for _ in range(n)))
+        words, anchors = some(30, 80), some(12, 30)
+        word, anchor = I._inside(words, anchors)
+        assert list(zip(word, anchor)) == [(w, a) for w, x in enumerate(words) for a, y in enumerate(anchors) if y in x]
+    assert not len(I._inside(words, [])[0])
+
+
+def test_vectors_of_equal_and_empty_rows(spark):
+    """Rows of one key add up, signs of one place cancel, rows without tokens have no vector; tokens are not shuffled one by one."""
+    rows = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, ""), (3, None), (4, " ".join(f"w{i}" for i in range(5000)))], "id long, text string").repartition(4)
+    before = shuffled(spark)
+    got = {(r.id, r.idx): r.value for r in R.hashed_vectors(rows, "id", F.col("text"), han=False).collect()}
+    assert shuffled(spark) - before < 20
+    want = {}
+    for key, text in ((1, "a b"), (1, "b c"), (4, " ".join(f"w{i}" for i in range(5000)))):
+        for t in text.split():
+            d = hashlib.sha1(t.encode()).digest()
+            place = (key, (d[0] * 256 + d[1]) % 64)
+            want[place] = want.get(place, 0) + (1 if d[2] % 2 else -1)
+    for key in (1, 4):
+        norm = math.sqrt(sum(x * x for (k, _), x in want.items() if k == key))
+        want |= {p: x / norm for p, x in want.items() if p[0] == key}
+    assert got == {p: x for p, x in want.items() if x}
