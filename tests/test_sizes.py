@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,16 @@ def test_vectors_of_equal_and_empty_rows(spark):
         norm = math.sqrt(sum(x * x for (k, _), x in want.items() if k == key))
         want |= {p: x / norm for p, x in want.items() if p[0] == key}
     assert got == {p: x for p, x in want.items() if x}
+
+
+def test_vectors_of_a_large_group_are_sent_eight_times(spark):
+    n = 10_000
+    rows = spark.range(n).select("id", F.lit(1).alias("g"), F.array(F.cos("id"), F.sin("id")).alias("v"))
+    before = shuffled(spark)
+    got = {r.id: r.match for r in R.best_earlier(rows, "g", "id", "v").collect()}
+    assert shuffled(spark) - before < 15 * n
+    assert len(got) == n - 1
+    v = np.array([(math.cos(i), math.sin(i)) for i in range(n)])
+    for i in (1, 2, 77, 5000, n - 1):
+        keys = np.floor(v[:i] @ v[i] * 1e9 + 0.5)
+        assert keys[got[i]] >= keys.max() - 1
