@@ -82,28 +82,37 @@ class Field(NamedTuple):
     values: tuple[str, ...] = ()
 
 
-def leaves(profiles: DataFrame, depth: int = 8) -> DataFrame:
+#: Profiles that a task merges, about.
+MERGED = 100_000
+
+
+def leaves(profiles: DataFrame, depth: int = 8, known: list[str] | None = None) -> DataFrame:
     """(project_id, level, path, value) of JSON records (project_id, level, config): one row for each value that is no record, its path with dots. What is
-    no JSON record has no rows."""
-    object_ = lambda v: F.schema_of_variant(v).startswith("OBJECT")
-    rows = profiles.select("project_id", "level", F.lit("").alias("path"), F.try_parse_json("config").alias("v")).where(F.col("v").isNotNull() & object_(F.col("v")))
-    out = None
+    no JSON record has no rows. Records are opened step by step in one pass, in which values stay as they are; ``known``: the only paths that are wanted."""
+    object_ = F.schema_of_variant("v").startswith("OBJECT")
+    rows = profiles.select("project_id", "level", F.lit("").alias("path"), F.try_parse_json("config").alias("v")).where(F.col("v").isNotNull()).withColumn("rec", object_).where("rec")
     for _ in range(depth):
         rows.createOrReplaceTempView("_profile_level")
-        inner = rows.sparkSession.sql("SELECT p.project_id, p.level, concat_ws('.', nullif(p.path, ''), e.key) AS path, e.value AS v FROM _profile_level p, LATERAL variant_explode(p.v) e")
-        done = inner.where(~object_(F.col("v"))).select("project_id", "level", "path", F.to_json("v").alias("value"))
-        out = done if out is None else out.unionByName(done)
-        rows = inner.where(object_(F.col("v")))
-    return out
+        opened = rows.sparkSession.sql(
+            "SELECT p.project_id, p.level, CASE WHEN p.rec THEN concat_ws('.', nullif(p.path, ''), e.key) ELSE p.path END AS path, CASE WHEN p.rec THEN e.value ELSE p.v END AS v "
+            "FROM _profile_level p, LATERAL variant_explode_outer(CASE WHEN p.rec THEN p.v END) e WHERE NOT p.rec OR e.key IS NOT NULL"
+        )
+        rows = opened.withColumn("rec", object_)
+        if known is not None:
+            above = sorted({"", *(k[:i] for k in known for i, c in enumerate(k) if c == ".")})
+            rows = rows.where(F.when(F.col("rec"), F.col("path").isin(*above)).otherwise(F.col("path").isin(*known)))
+    return rows.where("NOT rec").select("project_id", "level", "path", F.to_json("v").alias("value"))
 
 
 def merge_profiles(profiles: DataFrame, fields: list[Field]) -> DataFrame:
     """(project_id, path, value, level): the effective value of each field of each project. Of several levels (0 defaults, 1 project, 2 patch) the highest that
     has a value of the field's type wins; numbers are clamped to their bounds, whole numbers rounded half up first; unknown fields and values of another
-    type are passed over, as is all that lies below a field. Values are JSON."""
+    type are passed over, as is all that lies below a field. Values are JSON. Projects are dealt once to tasks of a bounded number of profiles, in which
+    all that follows by project happens."""
     spark = profiles.sparkSession
+    profiles = profiles.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-profiles.count() // MERGED)), "project_id")
     known = spark.createDataFrame([(f.path, f.kind, *(None if x is None else float(x) for x in (f.low, f.high)), list(f.values)) for f in fields], "path string, kind string, low double, high double, options array<string>")
-    rows = leaves(profiles).join(F.broadcast(known), "path")  # as many rows as there are fields
+    rows = leaves(profiles, known=[f.path for f in fields]).join(F.broadcast(known), "path")  # as many rows as there are fields
     number, text = F.col("value").try_cast("double"), F.col("value").startswith('"')
     is_number = number.isNotNull() & ~text & ~F.isnan(number)
     bare = F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")
@@ -118,17 +127,19 @@ def merge_profiles(profiles: DataFrame, fields: list[Field]) -> DataFrame:
     return rows.where(fine).withColumn("value", plain).groupBy("project_id", "path").agg(F.max_by(F.struct("value", "level"), F.struct("level", "value")).alias("best")).select("project_id", "path", "best.value", "best.level")
 
 
-def nested(values: DataFrame, key: str = "project_id") -> DataFrame:
-    """(key, config): the rows (key, path, value) as JSON records again, keys in the order of their names."""
+def nested(values: DataFrame, key: str = "project_id", deepest: int | None = None) -> DataFrame:
+    """(key, config): the rows (key, path, value) as JSON records again, keys in the order of their names. ``deepest``: steps of the longest path, looked for if
+    not given. A record's members are joined while all other rows stay as they are, so the rows are computed once."""
     rows = values.select(key, F.split("path", r"\.").alias("steps"), "value")
-    deepest = rows.agg(F.max(F.size("steps"))).first()[0] or 0
+    if deepest is None:
+        deepest = rows.agg(F.max(F.size("steps"))).first()[0] or 0
     for depth in range(deepest, 0, -1):
-        own = rows.where(F.size("steps") == depth)
-        quoted = F.concat(F.lit('"'), F.replace(F.replace(F.element_at("steps", depth), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'))
-        member = F.struct(F.element_at("steps", depth).alias("k"), F.concat(quoted, "value").alias("kv"))
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(member)), lambda m: m["kv"]), ",")
-        up = own.groupBy(key, F.slice("steps", 1, depth - 1).alias("steps")).agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("value"))
-        rows = rows.where(F.size("steps") != depth).unionByName(up)
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(F.element_at("steps", -1), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'))
+        own = F.size("steps") == depth
+        member = F.struct(F.element_at("steps", -1).alias("k"), F.when(own, F.concat(quoted, "value")).otherwise(F.col("value")).alias("kv"))
+        dealt = rows.select(key, F.when(own, F.slice("steps", 1, depth - 1)).otherwise(F.col("steps")).alias("steps"), own.alias("own"), member.alias("m"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["kv"]), ",")
+        rows = dealt.groupBy(key, "steps", "own").agg(joined.alias("j")).select(key, "steps", F.when(F.col("own"), F.concat(F.lit("{"), "j", F.lit("}"))).otherwise(F.col("j")).alias("value"))
     return rows.select(key, F.col("value").alias("config"))
 
 

@@ -82,7 +82,7 @@ def hlt5_merge(t):
     patch = F.when(F.col("k") % 5 == 0, F.concat(F.lit('{"trust":{"maxAuditAgeDays":'), F.when(F.col("k") % 4 == 3, '"x"').otherwise((F.col("n") + 0.6).cast("string")), F.lit('},"eval":{"goldPath":"p'), "k", F.lit('"}}')))
     patch = patch.when(F.col("k") % 7 == 1, '{"release":{"autoPublishMode":"always"}}').when(F.col("k") % 7 == 2, '{"release":{"autoPublishMode":"never"}}').otherwise("[1]")
     levels = F.array(F.struct(F.lit(0).alias("level"), F.lit(DEFAULTS).alias("config")), *(F.struct(F.lit(n).alias("level"), c.alias("config")) for n, c in ((1, own), (2, patch))))
-    return P.nested(P.merge_profiles(c.select("project_id", F.inline(levels).alias("level", "config")), FIELDS))
+    return P.nested(P.merge_profiles(c.select("project_id", F.inline(levels).alias("level", "config")), FIELDS), deepest=max(f.path.count(".") + 1 for f in FIELDS))
 
 
 @query("qua8_profile_values", """SELECT path, level, count(*) AS n FROM (

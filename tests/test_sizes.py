@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lookups as L
+from tessera.operators import publishing as P
 from tessera.operators import retrieval as R
-from tessera.plans import registry
+from tessera.plans import publishing, registry
 from tessera.sources import index as I
 from tests.compare import SMALL, connect, rows
 
@@ -124,3 +125,16 @@ def test_vectors_of_a_large_group_are_sent_eight_times(spark):
     for i in (1, 2, 77, 5000, n - 1):
         keys = np.floor(v[:i] @ v[i] * 1e9 + 0.5)
         assert keys[got[i]] >= keys.max() - 1
+
+
+def test_profiles_are_dealt_once(spark):
+    """A profile is one row of one shuffle, and not a row for each of its values in several; the number of tasks follows the profiles."""
+    n = 600
+    rows = spark.range(n).select(F.col("id").cast("string").alias("project_id"), F.lit(0).alias("level"), F.lit(publishing.DEFAULTS).alias("config"))
+    before = shuffled(spark)
+    got = P.nested(P.merge_profiles(rows, publishing.FIELDS), deepest=2).collect()
+    assert shuffled(spark) - before < 2 * n
+    assert len(got) == n and len({r.config for r in got}) == 1
+    assert P.leaves(rows.limit(0)).count() == 0
+    odd = spark.createDataFrame([("p", 0, c) for c in ('{"a":{},"b":[{"c":1}],"d":{"e":null}}', "[1]", "no", "{}", '{"x.y":1}')], "project_id string, level int, config string")
+    assert sorted((r.path, r.value) for r in P.leaves(odd).collect()) == [("b", '[{"c":1}]'), ("d.e", "null"), ("x.y", "1")]
