@@ -85,6 +85,23 @@ def test_scores_of_odd_pages(spark, tmp_path, name):
     same(spark, folder_with(spark, tmp_path, documents=d.withColumn("text", odd)), name)
 
 
+def test_tokens_of_a_field_are_one_text(spark, tmp_path):
+    """Pages are dealt and sent to Python as a few texts each, not as arrays of tokens; null and empty fields have none."""
+    pages = spark.createDataFrame([("a", "One two", None, 3), ("b", None, "two TWO x1", 4), ("c", "", "", None)], "component_id string, title string, body string, n int")
+    fields = {"title": F.col("title"), "body": F.concat_ws(" ", "title", "body")}
+    for han in (False, True):
+        path = str(tmp_path / str(han))
+        I.write_index(pages, fields, R.FIELD_WEIGHTS, path, keep=("title", "n"), han=han)
+        ix = I.read_index(spark, path, fields, R.FIELD_WEIGHTS)
+        assert not [c for c, kind in ix.rows.dtypes if kind.startswith("array")]
+        assert sorted(ix.counts().collect()) == [("a", "body", 2), ("a", "title", 2), ("b", "body", 2)]
+        assert {tuple(r) for r in ix.posts().collect()} == {("a", "title", 8, "one"), ("a", "title", 8, "two"), ("a", "body", 1, "one"), ("a", "body", 1, "two"), ("b", "body", 1, "two"), ("b", "body", 1, "x1")}
+        asked = spark.createDataFrame([(1, "two"), (2, "x1"), (3, "x")], "query_id long, term string")
+        assert {tuple(r)[:3] for r in I.matches(ix, I.as_terms(asked)).collect()} == {(1, "a", 9.0), (1, "b", 1.0), (2, "b", 1.0)}
+        held = I.matches(ix, I.as_anchors(asked.withColumnRenamed("term", "anchor"))).collect()
+        assert {(r.query_id, r.component_id, r.in_text, r.in_title) for r in held} == {(1, "a", 1, 1), (1, "b", 1, 0), (2, "b", 1, 0), (3, "b", 1, 0)}
+
+
 def test_anchors_inside_words():
     """Anchors shorter than, of and beyond eight bytes, in words of one and of three bytes a character, against plain loops."""
     r = random.Random(3)
