@@ -102,6 +102,25 @@ def test_tokens_of_a_field_are_one_text(spark, tmp_path):
         assert {(r.query_id, r.component_id, r.in_text, r.in_title) for r in held} == {(1, "a", 1, 1), (1, "b", 1, 0), (2, "b", 1, 0), (3, "b", 1, 0)}
 
 
+@pytest.mark.parametrize("name", ["ret5_exact_phrase"])
+def test_texts_stay_where_they_are(spark, tmp_path, name):
+    """Two queries have few hits, which are sent to the texts; the texts of 6000 pages are in no shuffle."""
+    n = 6000
+    noise = F.concat_ws(" ", *(F.sha1(F.concat("id", F.lit(i))) for i in range(4)))
+    text = F.when(F.col("id") % 1000 == 7, F.concat(noise, F.lit(" alphabetical order of things "), noise)).otherwise(noise)
+    documents = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(300).cast("long").alias("n_chars"))
+    benchmark = spark.createDataFrame([(0, "alphabetical order of things"), (1, "nowhere alphabetical")], "item_id long, text string")
+    folder = folder_with(spark, tmp_path, documents=documents, benchmark=benchmark)
+    before, limit = shuffled(spark), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "64k")
+    try:
+        assert registry.QUERIES[name](spark, folder).count() == (6 if name.startswith("ret5") else 2)
+    finally:
+        spark.conf.unset(limit)
+    assert shuffled(spark) - before < 1.5 * n
+    same(spark, folder, name)
+
+
 def test_anchors_inside_words():
     """Anchors shorter than, of and beyond eight bytes, in words of one and of three bytes a character, against plain loops."""
     r = random.Random(3)
