@@ -102,7 +102,7 @@ def test_tokens_of_a_field_are_one_text(spark, tmp_path):
         assert {(r.query_id, r.component_id, r.in_text, r.in_title) for r in held} == {(1, "a", 1, 1), (1, "b", 1, 0), (2, "b", 1, 0), (3, "b", 1, 0)}
 
 
-@pytest.mark.parametrize("name", ["ret5_exact_phrase"])
+@pytest.mark.parametrize("name", ["ret5_exact_phrase", "eva3_live_probe"])
 def test_texts_stay_where_they_are(spark, tmp_path, name):
     """Two queries have few hits, which are sent to the texts; the texts of 6000 pages are in no shuffle."""
     n = 6000
