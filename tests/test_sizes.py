@@ -7,9 +7,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.functions.text import tokenize
 from tessera.operators import lookups as L
 from tessera.operators import publishing as P
 from tessera.operators import retrieval as R
@@ -85,6 +88,21 @@ def test_scores_of_odd_pages(spark, tmp_path, name):
     same(spark, folder_with(spark, tmp_path, documents=d.withColumn("text", odd)), name)
 
 
+def test_tokens_of_odd_texts(spark):
+    """Tokens cut in Arrow are those of the expression, also where lower case turns other letters into ASCII; parts are bounded in bytes and hold every row."""
+    texts = ["A1 b-b A1 b", "", None, "\u212aelvin \u0130x stra\u00dfe \u00c5b", "活动a活动B", "x\0y\nz", "q" * 50_000, "\u01c5 \ufb01 \U0001d400a", "a\u0301 Z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    want = [r.w for r in rows.orderBy("id").select(tokenize(F.col("t"), han=False).alias("w")).collect()]
+    cut = pa.array(texts, pa.string())
+    assert T.ascii_tokens(cut).to_pylist() == want
+    assert T.ascii_tokens(cut[2:5]).to_pylist() == want[2:5]
+    long = pa.array(["é" * 1_000_000] * 9 + [None, "x" * 20_000_000, ""], pa.string())
+    cuts = list(T.parts(long, long))
+    assert [r for a, b in cuts for r in range(a, b)] == list(range(len(long)))
+    assert all(b == a + 1 or sum(2 * len((x or "").encode()) for x in long[a:b].to_pylist()) <= T.PART_BYTES for a, b in cuts)
+    assert list(T.parts(cut[:0])) == []
+
+
 def test_tokens_of_a_field_are_one_text(spark, tmp_path):
     """Pages are dealt and sent to Python as a few texts each, not as arrays of tokens; null and empty fields have none."""
     pages = spark.createDataFrame([("a", "One two", None, 3), ("b", None, "two TWO x1", 4), ("c", "", "", None)], "component_id string, title string, body string, n int")
