@@ -14,8 +14,10 @@ super-window. Packed tables of (minimizer, content) hashes are shuffled by minim
   gets them all, and each chunk sends a window once.
 
 Texts are stored once, as compressed chunks of documents. A chunk sends each content once,
-however often it holds it, so a passage that a third of all documents share is one row a chunk.
-Answers come back by chunk. Every table is rebuilt from the chunks or read from the shared folder.
+however often it holds it, so a passage that a third of all documents share is one content a chunk.
+Up to 16 chunks in a row send together, a row a bucket, and answers come back by such a group of
+chunks: rows between chunks and buckets are few and long, where a row for each chunk and bucket
+would be short and grow with the square of the input. Every table is rebuilt from the chunks or read from the shared folder.
 """
 
 from __future__ import annotations
@@ -30,14 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import flat_bytes, keep, real_id, slices, with_ids
-from tessera.llm.textarrays import eight_bytes, mix, powers, rolling_min, window_hashes, words
+from tessera.llm.textarrays import eight_bytes, mix, powers, rolling_min, stable_order, window_hashes, words
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
-SEGMENT = 1 << 19
+#: Groups of chunks that are made before groups grow, and the bits of the most chunks of a group.
+LEAST_GROUPS, GROUP_BITS = 64, 4
+#: Units that are hashed at a time; arrays of so many numbers stay in a core's cache.
+SEGMENT = 1 << 16
 CHUNKS = "chunk long, ids binary, sizes binary, text binary"
-SENT = "bucket long, chunk long, base long, n long, payload binary"
-ANSWER = "chunk long, kind int, payload binary"
+SENT = "bucket long, grp long, kind int, payload binary"
+ANSWER = "grp long, kind int, payload binary"
+#: What a chunk sends is named by its place there, behind the chunk's number in its group.
+PLACE_BITS = 28
 SETTLED, OPEN, RESOLVED, CROWDED, WINDOWS = range(5)
 
 
@@ -178,8 +185,18 @@ def crowded_windows(unit: Unit, s: Symbols, w: SuperWindows, d: Distinct, at: np
     return Windows(start, doc, place, hashes, start[sample], least)
 
 
+def order_of_pairs(h: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """An order by ``h``, then by the others; they are looked at only where ``h`` is equal."""
+    order = np.argsort(h)
+    equal = h[order][1:] == h[order][:-1]
+    tied = np.flatnonzero(np.r_[False, equal] | np.r_[equal, False]) if len(h) else order
+    own = order[tied]
+    order[tied] = own[np.lexsort((*(m[own] for m in more[::-1]), h[own]))]
+    return order
+
+
 def distinct(w: SuperWindows, ids: np.ndarray) -> Distinct:
-    order = np.lexsort((w.g, w.h))
+    order = order_of_pairs(w.h, w.g)
     h, g, doc = w.h[order], w.g[order], ids[w.doc[order]]
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.zeros(0, np.int64)
     place = np.empty(len(h), np.int64)
@@ -215,17 +232,20 @@ def wide(data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _chunks(chunk_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    number, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
-    for batch in (part for b in batches for part in slices(b, "text", CHUNK_BYTES)):
-        data, offsets = flat_bytes(batch["text"])
-        ids = batch["doc_id"].to_numpy().astype("<i8")
-        yield pa.RecordBatch.from_pydict(
-            {"chunk": pa.array([number]), "ids": pa.array([ids.tobytes()]), "sizes": pa.array([np.diff(offsets).astype("<i8").tobytes()]), "text": pa.array([press.compress(data.tobytes())])}
-        )
-        number += 1
+        number, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
+        for batch in (part for b in batches for part in slices(b, "text", chunk_bytes)):
+            data, offsets = flat_bytes(batch["text"])
+            ids = batch["doc_id"].to_numpy().astype("<i8")
+            yield pa.RecordBatch.from_pydict(
+                {"chunk": pa.array([number]), "ids": pa.array([ids.tobytes()]), "sizes": pa.array([np.diff(offsets).astype("<i8").tobytes()]), "text": pa.array([press.compress(data.tobytes())])}
+            )
+            number += 1
+
+    return run
 
 
 def _open_chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,29 +269,56 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["bucket", "chunk", "base", "n", "payload"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["bucket", "grp", "kind", "payload"])
 
 
 def _answers(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, kinds, strict=True)], names=["chunk", "kind", "payload"])
-
-
-def _emit(unit: Unit, buckets: int):
-    """A chunk's distinct contents by bucket of their minimizers."""
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, kinds, strict=True)], names=["grp", "kind", "payload"])
+
+
+def _codes(number: int, at: np.ndarray) -> np.ndarray:
+    """Places in a chunk, behind the chunk's number in its group."""
+    return (at + ((number & ((1 << GROUP_BITS) - 1)) << PLACE_BITS)).astype("<u4")
+
+
+def _emit(unit: Unit, buckets: int, bits: int):
+    """The distinct contents of a group's chunks by bucket of their minimizers, a row a bucket."""
+
+    def rows_of(group: int, parts: list[tuple]) -> list[tuple]:
+        h, g, least = (np.concatenate(c) for c in zip(*(p[1:] for p in parts), strict=True))
+        # documents of a group are near each other, so differences are short
+        low = least.min(keepdims=True)
+        doc = least.view(np.uint64) - low.view(np.uint64)
+        doc = doc.astype(np.min_scalar_type(doc.max()))
+        # a chunk's own are in the order of their buckets: of each bucket they are a range
+        each = [_bucket(p[1], buckets) for p in parts]
+        numbers = np.array([p[0] & ((1 << GROUP_BITS) - 1) for p in parts], "<u4")
+        bucket = np.concatenate(each)
+        order = stable_order(bucket)
+        bucket = bucket[order]
+        h, g, doc = short(h[order], 6).reshape(-1, 6), short(g[order], 7).reshape(-1, 7), doc[order]
+        runs = _runs(bucket)
+        asked = bucket[[a for a, _ in runs]]
+        base = np.array([np.searchsorted(x, asked) for x in each], "<u4")
+        size = np.array([np.searchsorted(x, asked, "right") for x in each], "<u4") - base
+        return [(int(asked[k]), group, OPEN, pack(h[a:b].ravel(), g[a:b].ravel(), low, doc[a:b], numbers, base[:, k], size[:, k])) for k, (a, b) in enumerate(runs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts = None, []
         for batch in batches:
             for row in batch.to_pylist():
+                if row["chunk"] >> bits != group:
+                    if parts:
+                        yield _sent(rows_of(group, parts))
+                    group, parts = row["chunk"] >> bits, []
                 ids, data, offsets = _open_chunk(row)
                 d = distinct(super_windows(unit, symbols(unit, data, offsets)), ids)
-                bucket = _bucket(d.h, buckets)
-                docs, place = np.unique(d.least, return_inverse=True)
-                rows = []
-                for a, b in _runs(bucket):
-                    rows.append((int(bucket[a]), row["chunk"], a, b - a, pack(short(d.h[a:b], 6), short(d.g[a:b], 7), docs, place[a:b].astype("<u4" if len(docs) > 65535 else "<u2"))))
-                yield _sent(rows)
+                if len(d.h):
+                    parts.append((row["chunk"], d.h, d.g, d.least))
+        if parts:
+            yield _sent(rows_of(group, parts))
 
     return run
 
@@ -291,16 +338,18 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
 
 
 def _settle(unit: Unit):
-    """For each chunk, which of its contents a smaller document elsewhere holds, and which are open or crowded."""
+    """For each group of chunks, which of their contents a smaller document elsewhere holds, and which are open or crowded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             parts = []
-            for i, (_, _, base, n, payload) in enumerate(rows):
-                h, g, docs, place = unpack(payload)
-                parts.append((wide(h, 6), wide(g, 7), docs[place], np.full(n, i), base + np.arange(n)))
+            for i, (_, _, _, payload) in enumerate(rows):
+                h, g, low, doc, *cuts = unpack(payload)
+                number, base, size = (x.astype(np.int64) for x in cuts)
+                first = (number << PLACE_BITS) + base - (np.cumsum(size) - size)
+                parts.append((wide(h, 6), wide(g, 7), (low.view(np.uint64) + doc.astype(np.uint64)).view(np.int64), np.full(len(doc), i), np.repeat(first, size) + np.arange(len(doc))))
             h, g, doc, who, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc, g, h))
+            order = order_of_pairs(h, g, doc)
             h, g, doc, who, at = h[order], g[order], doc[order], who[order], at[order]
             new_h = np.r_[True, h[1:] != h[:-1]]
             new = new_h | np.r_[True, g[1:] != g[:-1]]
@@ -312,7 +361,7 @@ def _settle(unit: Unit):
             out = []
             for kind, some in ((SETTLED, later), (OPEN, several), (CROWDED, crowded)):
                 picked = np.flatnonzero(some)
-                picked = picked[np.argsort(who[picked], kind="stable")]
+                picked = picked[stable_order(who[picked])]
                 cuts = np.searchsorted(who[picked], np.arange(len(rows) + 1))
                 for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                     if b > a:
@@ -323,45 +372,75 @@ def _settle(unit: Unit):
     return run
 
 
-def _contents(unit: Unit, buckets: int):
-    """The units of a chunk's open contents."""
+def _listed(answers: pa.Table, *kinds: int) -> dict[int, list[np.ndarray]]:
+    """The columns of the answers of each kind, the chunks' numbers in their group before places."""
+    out = {}
+    for kind in kinds:
+        found = [unpack(p) for k, p in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True) if k == kind]
+        if found:
+            code, *more = (np.concatenate(c) for c in zip(*found, strict=True))
+            code = code.astype(np.int64)
+            out[kind] = [code >> PLACE_BITS, code & ((1 << PLACE_BITS) - 1), *more]
+    return out
+
 
-    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
-        if chunk.num_rows and answers.num_rows:
-            row = chunk.to_pylist()[0]
+def _of_chunk(listed: dict[int, list[np.ndarray]], kind: int, chunk: int) -> list[np.ndarray] | None:
+    """The answers of a kind that are one chunk's."""
+    if kind not in listed:
+        return None
+    number, *columns = listed[kind]
+    own = np.flatnonzero(number == (chunk & ((1 << GROUP_BITS) - 1)))
+    return [c[own] for c in columns] if len(own) else None
+
+
+def _contents(unit: Unit, buckets: int, bits: int):
+    """The units of the open contents of a group's chunks, a row a bucket."""
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, listed = [], _listed(answers, OPEN, CROWDED)
+        parts: dict[int, list[tuple]] = {RESOLVED: [], WINDOWS: []}
+        for row in chunks.to_pylist() if listed else []:
+            opened, crowded = (_of_chunk(listed, kind, row["chunk"]) for kind in (OPEN, CROWDED))
+            if opened is None and crowded is None:
+                continue
             ids, data, offsets = _open_chunk(row)
             s = symbols(unit, data, offsets)
             w = super_windows(unit, s)
             d = distinct(w, ids)
-            listed = {kind: [unpack(p)[0] for k, p in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True) if k == kind] for kind in (OPEN, CROWDED)}
-            if listed[CROWDED]:
-                c = crowded_windows(unit, s, w, d, np.concatenate(listed[CROWDED]), ids)
-                bucket = _bucket(c.hash, buckets)
-                for a, b in _runs(bucket):
-                    inner = (c.sample[a:b, None] + np.arange(unit.length)).ravel()
-                    rows.append((int(bucket[a]), row["chunk"], WINDOWS, b - a, pack(np.arange(a, b).astype("<u4"), c.hash[a:b], c.least[a:b], np.full(b - a, unit.length, "<u2"), s.values[inner])))
-            at = np.sort(np.concatenate([np.zeros(0, "<u4"), *listed[OPEN]])).astype(np.int64)
-            bucket = _bucket(d.h[at], buckets)
-            for a, b in _runs(bucket):
-                own = d.sample[at[a:b]]
+            if crowded is not None:
+                c = crowded_windows(unit, s, w, d, crowded[0], ids)
+                inner = (c.sample[:, None] + np.arange(unit.length)).ravel()
+                parts[WINDOWS].append((_codes(row["chunk"], np.arange(len(c.hash))), c.hash, c.least, np.full(len(c.hash), unit.length), s.values[inner]))
+            if opened is not None:
+                at = np.sort(opened[0])
+                own = d.sample[at]
                 first, sizes = w.first[own], w.count[own] + unit.length - 1
                 inner = np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-                rows.append((int(bucket[a]), row["chunk"], RESOLVED, b - a, pack(at[a:b].astype("<u4"), d.h[at[a:b]], d.least[at[a:b]], sizes.astype("<u2"), s.values[inner])))
+                parts[RESOLVED].append((_codes(row["chunk"], at), d.h[at], d.least[at], sizes, s.values[inner]))
+        for kind, some in parts.items():
+            if not some:
+                continue
+            code, h, least, sizes, values = (np.concatenate(c) for c in zip(*some, strict=True))
+            bucket, starts = _bucket(h, buckets), np.cumsum(sizes) - sizes
+            order = stable_order(bucket)
+            code, h, least, sizes, starts, bucket = (x[order] for x in (code, h, least, sizes, starts, bucket))
+            for a, b in _runs(bucket):
+                inner = np.repeat(starts[a:b] - np.r_[0, np.cumsum(sizes[a:b])[:-1]], sizes[a:b]) + np.arange(sizes[a:b].sum())
+                rows.append((int(bucket[a]), chunks["chunk"][0].as_py() >> bits, kind, pack(code[a:b], h[a:b], least[a:b], sizes[a:b].astype("<u2"), values[inner])))
         return pa.Table.from_batches([_sent(rows)])
 
     return run
 
 
-def _resolve(unit: Unit, resolver: Callable, most: int = 1 << 20):
+def _resolve(unit: Unit, resolver: Callable, most: int = 1 << 17):
     """Open contents, minimizer by minimizer in batches: for each window the smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             parts, values = [], []
-            for i, (_, _, _, n, payload) in enumerate(rows):
+            for i, (_, _, _, payload) in enumerate(rows):
                 at, h, least, sizes, own = unpack(payload)
-                parts.append((np.full(n, i), at, h, least, sizes.astype(np.int64)))
+                parts.append((np.full(len(at), i), at, h, least, sizes.astype(np.int64)))
                 values.append(own)
             who, at, h, least, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
             values = np.concatenate(values)
@@ -387,7 +466,7 @@ def _resolve(unit: Unit, resolver: Callable, most: int = 1 << 20):
                 begin = np.flatnonzero(np.r_[True, ~joined]) if len(smaller) else np.zeros(0, np.int64)
                 run_of = np.diff(np.r_[begin, len(smaller)])
                 smaller, of = smaller[begin], of[begin]
-                by = np.argsort(who[own][of], kind="stable")
+                by = stable_order(who[own][of])
                 smaller, of, run_of = smaller[by], of[by], run_of[by]
                 edges = np.searchsorted(who[own][of], np.arange(len(rows) + 1))
                 for i in range(len(rows)):
@@ -402,45 +481,41 @@ def _resolve(unit: Unit, resolver: Callable, most: int = 1 << 20):
 def _apply(unit: Unit):
     """Marks what is covered by a window that a smaller document holds, and cuts it out."""
 
-    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "n_units", "n_removed", "n_spans", "kept"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         rows: list[tuple] = []
-        for row in chunk.to_pylist():
+        listed = _listed(answers, SETTLED, RESOLVED, CROWDED, WINDOWS)
+        for row in chunks.to_pylist():
             ids, data, offsets = _open_chunk(row)
             s = symbols(unit, data, offsets)
             w = super_windows(unit, s)
             d = distinct(w, ids)
             least, marks = d.least.copy(), np.zeros(len(s.values) + 1, np.int32)
-            for kind, payload in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True):
-                if kind == SETTLED:
-                    at, smaller = unpack(payload)
-                    least[at] = smaller
+            settled, resolved, crowded, windows_of = (_of_chunk(listed, kind, row["chunk"]) for kind in (SETTLED, RESOLVED, CROWDED, WINDOWS))
+            if settled is not None:
+                least[settled[0]] = settled[1]
             own = ids[w.doc]
             again = np.flatnonzero(own > least[d.place])
             np.add.at(marks, w.first[again], 1)
             np.add.at(marks, w.first[again] + w.count[again] + unit.length - 1, -1)
-            by_place = np.argsort(d.place, kind="stable")
-            starts = np.searchsorted(d.place[by_place], np.arange(len(d.h) + 1))
-            for kind, payload in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True):
-                if kind == RESOLVED:
-                    at, window, windows, smaller = unpack(payload)
-                    times = starts[at.astype(np.int64) + 1] - starts[at]
-                    each = np.repeat(np.arange(len(at)), times)
-                    nth = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-                    occurrence = by_place[starts[at[each]] + nth]
-                    later = own[occurrence] > smaller[each]
-                    first = (w.first[occurrence] + window[each])[later]
-                    np.add.at(marks, first, 1)
-                    np.add.at(marks, first + windows[each][later] + unit.length - 1, -1)
-            crowded = [unpack(p)[0] for k, p in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True) if k == CROWDED]
-            if crowded:
-                c = crowded_windows(unit, s, w, d, np.concatenate(crowded), ids)
+            if resolved is not None:
+                by_place = stable_order(d.place)
+                starts = np.searchsorted(d.place[by_place], np.arange(len(d.h) + 1))
+                at, window, windows, smaller = resolved
+                times = starts[at + 1] - starts[at]
+                each = np.repeat(np.arange(len(at)), times)
+                nth = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+                occurrence = by_place[starts[at[each]] + nth]
+                later = own[occurrence] > smaller[each]
+                first = (w.first[occurrence] + window[each])[later]
+                np.add.at(marks, first, 1)
+                np.add.at(marks, first + windows[each][later] + unit.length - 1, -1)
+            if crowded is not None:
+                c = crowded_windows(unit, s, w, d, crowded[0], ids)
                 smallest = c.least.copy()
-                for kind, payload in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist(), strict=True):
-                    if kind == WINDOWS:
-                        at, _, _, smaller = unpack(payload)
-                        smallest[at] = smaller
+                if windows_of is not None:
+                    smallest[windows_of[0]] = windows_of[3]
                 first = c.start[c.doc > smallest[c.place]]
                 np.add.at(marks, first, 1)
                 np.add.at(marks, first + unit.length, -1)
@@ -465,19 +540,25 @@ def _apply(unit: Unit):
     return run
 
 
-def remove_repeats(docs: DataFrame, unit: Unit, resolver: Callable) -> DataFrame:
+def group_bits(text_bytes: int, chunk_bytes: int) -> int:
+    """How many chunks send together, as a power of two: one until there are many, so that small inputs keep their tasks."""
+    return min(GROUP_BITS, max(1, text_bytes // (LEAST_GROUPS * chunk_bytes)).bit_length() - 1)
+
+
+def remove_repeats(docs: DataFrame, unit: Unit, resolver: Callable, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): each document without the units that a window
     covers which also starts in a document with a smaller doc_id."""
     spark = docs.sparkSession
     texts = with_ids(docs, F.col("text").cast("string").alias("text"))
-    chunks = keep(texts.mapInArrow(_chunks, CHUNKS), "chunks")
-    size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(size * 3 // BUCKET_BYTES + 1)
+    chunks = keep(texts.mapInArrow(_chunks(chunk_bytes), CHUNKS), "chunks")
+    size = (chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 3
+    buckets, bits = int(size // bucket_bytes + 1), group_bits(size, chunk_bytes)
+    grouped = chunks.groupBy(F.shiftright("chunk", bits))
     parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = chunks.mapInArrow(_emit(unit, buckets), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sent = chunks.mapInArrow(_emit(unit, buckets, bits), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
     first = keep(sent.mapInArrow(_settle(unit), ANSWER), "settled")
-    asked = chunks.groupBy("chunk").cogroup(first.where(f"kind IN ({OPEN}, {CROWDED})").groupBy("chunk")).applyInArrow(_contents(unit, buckets), SENT)
+    asked = grouped.cogroup(first.where(f"kind IN ({OPEN}, {CROWDED})").groupBy("grp")).applyInArrow(_contents(unit, buckets, bits), SENT)
     second = keep(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(unit, resolver), ANSWER), "resolved")
     answers = first.where(f"kind IN ({SETTLED}, {CROWDED})").union(second)
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(unit), "doc_id long, n_units long, n_removed long, n_spans long, kept binary")
+    out = grouped.cogroup(answers.groupBy("grp")).applyInArrow(_apply(unit), "doc_id long, n_units long, n_removed long, n_spans long, kept binary")
     return out.select(real_id(), "n_units", "n_removed", "n_spans", "kept")

@@ -20,24 +20,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.repeats import Unit, remove_repeats
-from tessera.llm.textarrays import _BYTES, mix, powers
+from tessera.llm.textarrays import _BYTES, mix, powers, stable_order
+
+HASH_BITS = 40
+
+
+def _dense(key: np.ndarray, most: int) -> np.ndarray:
+    """Ranks from 0 of non-negative integers up to ``most``: by counting where they are few, else by sorting."""
+    if most < max(4 * len(key), 1 << 16):
+        seen = np.zeros(most + 1, bool)
+        seen[key] = True
+        return (np.cumsum(seen) - 1)[key]
+    order = stable_order(key)
+    own = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.r_[False, own[1:] != own[:-1]])
+    return out
 
 
 def _names(*columns: np.ndarray) -> np.ndarray:
     """Ranks from 1 of rows of non-negative columns, equal rows alike."""
-    bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
-    if sum(bits) <= 63:
-        key = columns[0].astype(np.int64)
-        for c, b in zip(columns[1:], bits[1:], strict=True):
-            key = (key << b) | c
-        return np.unique(key, return_inverse=True)[1] + 1
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) + 1
-    return out
+    key = columns[0].astype(np.int64)
+    most, place = int(key.max(initial=0)), len(key).bit_length()
+    for c in columns[1:]:
+        high = int(c.max(initial=0))
+        if (most + 1).bit_length() + high.bit_length() + place > 63:
+            key = _dense(key, most)
+            most = int(key.max(initial=0))
+        key = key * (high + 1) + c
+        most = most * (high + 1) + high
+    return _dense(key, most) + 1
 
 
 def _below(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -50,6 +62,8 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     """A rank for each suffix of ``s`` (values from 1): ordered as their first ``depth`` symbols
     are at least; suffixes equal that far come next to each other."""
     n = len(s)
+    # symbols that occur, from 1: names of three then are small numbers
+    s = _dense(s, int(s.max(initial=0))) + 1 if n else s
     t = np.r_[s, 0, 0, 0]
     if depth <= 1 or n < 3:
         return _names(s, t[1 : n + 1] if depth > 1 else s) if n else s
@@ -95,8 +109,11 @@ def equal_prefixes(unit: Unit, data: np.ndarray, sizes: np.ndarray, least: np.nd
     of = np.repeat(np.arange(len(sizes)), windows)
     result = least[of]
     hashes = _hashes(data, starts, unit.length)
-    values, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    partnered = times[place] > 1
+    # some bits of a hash are enough to tell windows that are alone; they sort with their places as one number
+    by_hash = stable_order((hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+    same = np.diff(hashes[by_hash] >> np.uint64(64 - HASH_BITS)) == 0
+    partnered = np.zeros(len(hashes), bool)
+    partnered[by_hash[np.r_[False, same] | np.r_[same, False]]] = True
     if not partnered.any():
         return result
     # runs of windows with partners, each with an end mark; windows alone have no equal neighbour
@@ -114,7 +131,7 @@ def equal_prefixes(unit: Unit, data: np.ndarray, sizes: np.ndarray, least: np.nd
     text[solid] = data[inner[solid]].astype(np.int64) + 1
     ranks = suffix_ranks(text + 1, unit.length)
     begins = np.repeat(stop - run_sizes - np.r_[0, np.cumsum(run_windows)[:-1]], run_windows) + np.arange(len(window_of))
-    order = np.argsort(ranks[begins], kind="stable")
+    order = stable_order(ranks[begins])
     sorted_at = begins[order]
     # neighbours are compared in full, eight bytes at a time
     wide = np.r_[data[inner], np.zeros(8, np.uint8)].astype(np.uint64)

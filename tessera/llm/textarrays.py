@@ -115,6 +115,17 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """A stable order of non-negative integers. Where a value and its place fit one number these are sorted, which is several times as fast."""
+    n, most = len(values), int(values.max(initial=0))
+    bits = max(1, n - 1).bit_length()
+    if most.bit_length() + bits > 63:
+        return np.argsort(values, kind="stable")
+    packed = (values.astype(np.int64) << bits) | np.arange(n)
+    packed.sort()
+    return packed & ((1 << bits) - 1)
+
+
 def rolling_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values."""
     out, reach = values, 1

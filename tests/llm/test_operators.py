@@ -12,8 +12,10 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, common, decontaminate, line_dedup, mtree, packing, repeats, simhash, substring_dedup, suffix_dedup, textarrays, toxicity, warc
@@ -230,6 +232,25 @@ def test_many_contexts_of_one_passage(spark):
             break
 
 
+def test_chunks_send_together(spark):
+    """Many chunks and buckets exchange one row for 16 chunks and a bucket, and lose no window, open, settled or crowded."""
+    r = random.Random(11)
+    passage = lambda: "".join(r.choice("abcdefghij ") for _ in range(r.randint(60, 200)))
+    shared = [passage() for _ in range(40)]
+    texts = [(i, passage() + "".join(r.choice(shared)[r.randint(0, 9) :] for _ in range(3)) + passage()) for i in range(900)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    want = multiset(suffix_dedup.dedup_bytes(df, 50), "doc_id", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sum(row[1] > 0 for row in want) > 800
+    for crowd in (2048, 3):
+        small = repeats.remove_repeats(df, repeats.Unit("bytes", 50, 24, crowd=crowd), suffix_dedup.equal_prefixes, 2048, 1 << 16)
+        assert multiset(small, "doc_id", "n_removed", "n_spans", F.sha2("kept", 256)) == want
+    data = [t.encode() for _, t in texts[:320]]
+    chunk = lambda k: {"chunk": (3 << 32) + k, "ids": np.arange(20, dtype="<i8").tobytes(), "sizes": np.array([len(x) for x in data[20 * k : 20 * k + 20]], "<i8").tobytes(), "text": zstandard.compress(b"".join(data[20 * k : 20 * k + 20]))}
+    sent = [r for x in repeats._emit(repeats.Unit("bytes", 50, 24), 30, 4)(iter([pa.RecordBatch.from_pylist([chunk(k) for k in range(16)])])) for r in x.to_pylist()]
+    assert len(sent) == len({r["bucket"] for r in sent}) == 30
+    assert [repeats.group_bits(n, repeats.CHUNK_BYTES) for n in (0, 1 << 27, 1 << 28, 1 << 31, 1 << 40)] == [0, 0, 1, 4, 4]
+
+
 # line dedup ------------------------------------------------------------------------------------
 def test_lines(docs, empty):
     strip = " \t\n\x0b\x0c\r"
