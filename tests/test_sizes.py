@@ -139,6 +139,24 @@ def test_texts_stay_where_they_are(spark, tmp_path, name):
     same(spark, folder, name)
 
 
+def test_phrases_of_any_characters(spark, tmp_path):
+    """Phrases of short tokens inside words, of Han, other letters or signs alone, empty ones, and several of one query_id or of one text."""
+    texts = ["a xa by cab.", "Foo 活动流程 bar baz", "大活动图 foo", "... wait! Ещё раз", "été à l'heure", None, "", "foo*bar `x`", "no 活", "1 2 3 | 4", "Foo 活动流程 bar baz"]
+    documents = spark.createDataFrame([(i % 10, t, "en", f"src{i % 3}", 9) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    asked = ["a", "a b", "xa by", "b", "活动", "活", "活动流程 bar", "foo 活动流程 bar baz", "...", "ещё", "ещё раз", "é", "", "***", "!", "2 3 4", "foo bar x", "ab", "1", "wait! ещё раз", "foo 活动 bar baz", None]
+    benchmark = spark.createDataFrame([*enumerate(asked), (0, "baz"), (1, "a"), (1, "a"), (3, "cab x y z")], "item_id long, text string")
+    same(spark, folder_with(spark, tmp_path, documents=documents, benchmark=benchmark), "ret5_exact_phrase")
+
+
+def test_phrases_of_pages_without_id(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "some foo bar here"), ("p", "foo bar"), (None, "nothing")], "component_id string, body string")
+    I.write_index(pages, {"body": F.col("body")}, R.FIELD_WEIGHTS, str(tmp_path / "ix"), han=False)
+    ix = I.read_index(spark, str(tmp_path / "ix"), {"body": F.col("body")}, R.FIELD_WEIGHTS)
+    asked = spark.createDataFrame([(1, "foo bar"), (None, "foo"), (3, "…")], "query_id long, query string")
+    got = sorted((tuple(r) for r in R.phrases_stored(ix, pages.withColumnRenamed("body", "text"), asked).collect()), key=repr)
+    assert got == sorted([(1, None), (1, "p"), (None, None), (None, "p")], key=repr)
+
+
 def test_anchors_inside_words():
     """Anchors shorter than, of and beyond eight bytes, in words of one and of three bytes a character, against plain loops."""
     r = random.Random(3)
