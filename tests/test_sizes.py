@@ -157,6 +157,20 @@ def test_phrases_of_pages_without_id(spark, tmp_path):
     assert got == sorted([(1, None), (1, "p"), (None, None), (None, "p")], key=repr)
 
 
+@pytest.mark.parametrize("name", ["ret14_conditional_hybrid"])
+def test_vectors_of_whole_texts(spark, tmp_path, name):
+    """What a query asks for stands behind the first 2000 characters of a page; other pages are short, empty or null."""
+    asked = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    far = [(100_000 + r.item_id, "lorem " * 700 + r.text, "en", "src1", 9) for r in asked.collect()]
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 9 == 1, None).when(F.col("doc_id") % 9 == 2, "").otherwise(F.col("text")).alias("text"), "lang", "source", "n_chars")
+    folder = folder_with(spark, tmp_path, documents=documents.union(spark.createDataFrame(far, documents.schema)))
+    same(spark, folder, name)
+    if name.startswith("ret23"):
+        hits = {r.method: r.hits for r in registry.QUERIES[name](spark, folder).collect()}
+        cut = connect(folder).sql(registry.ORACLES[name].replace("chr(10) || body)", "chr(10) || substr(body, 1, 2000))")).df()
+        assert hits["dense"] > dict(zip(cut.method, cut.hits))["dense"]
+
+
 def test_anchors_inside_words():
     """Anchors shorter than, of and beyond eight bytes, in words of one and of three bytes a character, against plain loops."""
     r = random.Random(3)
