@@ -157,7 +157,7 @@ def test_phrases_of_pages_without_id(spark, tmp_path):
     assert got == sorted([(1, None), (1, "p"), (None, None), (None, "p")], key=repr)
 
 
-@pytest.mark.parametrize("name", ["ret14_conditional_hybrid"])
+@pytest.mark.parametrize("name", ["ret14_conditional_hybrid", "ret23_compare_rankings"])
 def test_vectors_of_whole_texts(spark, tmp_path, name):
     """What a query asks for stands behind the first 2000 characters of a page; other pages are short, empty or null."""
     asked = spark.read.parquet(f"{SMALL}/benchmark.parquet")
